@@ -255,3 +255,160 @@ sc AS (SELECT event_id, label, {scaled_cols(EVF, rnd=False)} FROM bal WHERE part
 scored AS (SELECT event_id AS key, 'flagship' AS model, label,
                   round(1.0 / (1.0 + exp(-((-0.2 + 0.8 * value) + 0.1 * hour))), 4) AS score FROM sc)""" + \
     EVALUATION + "\n" + EVAL_SELECT
+
+
+# --- catalog -----------------------------------------------------------------------------------
+
+LI_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+LI = "li AS (SELECT l_orderkey, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in LI_FEATS) + \
+     ", CAST(l_returnflag = 'R' AS INTEGER) AS label FROM lineitem)"
+
+LI_LONG = LI + ",\nli_long AS (" + " UNION ALL ".join(
+    f"SELECT l_orderkey, '{c}' AS feature, {c} AS value FROM li" for c in LI_FEATS) + ")"
+
+
+def values_rel(rows, cols) -> str:
+    vals = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {vals}) t({', '.join(cols)}))"
+
+
+LI_TAGGED = LI_LONG + f""",
+names AS {values_rel([(c,) for c in LI_FEATS], ['feature'])},
+kw AS {values_rel([('price', 'price'), ('extended', 'extended'), ('quantity', 'quantity'),
+                   ('discount', 'discount'), ('count', 'count')], ['grp', 'keyword'])},
+matched AS (SELECT DISTINCT n.feature, k.grp FROM names n JOIN kw k ON contains(lower(n.feature), k.keyword)),
+cat AS (SELECT feature, grp FROM matched
+        UNION ALL SELECT feature, 'other' FROM names WHERE feature NOT IN (SELECT feature FROM matched)),
+tagged AS (SELECT l.l_orderkey, l.feature, l.value, c.grp FROM li_long l JOIN cat c USING (feature))"""
+
+SQL["feature_groups"] = "WITH " + LI_TAGGED + """
+SELECT l_orderkey, feature, value, grp AS "group" FROM tagged"""
+
+SQL["group_profile"] = "WITH " + LI_TAGGED + """
+SELECT grp AS "group", count(*) AS n_values,
+       CAST(sum(CASE WHEN value IS NULL OR isnan(value) THEN 1 ELSE 0 END) AS BIGINT) AS n_null,
+       round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,
+       round(min(value), 6) AS min, round(max(value), 6) AS max
+FROM tagged GROUP BY grp"""
+
+SQL["feature_rank"] = "WITH " + LI + """,
+sc AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, CAST(label AS DOUBLE)) AS c FROM li"
+                                for c in LI_FEATS) + """)
+SELECT feature, round(c, 6) AS corr, round(abs(c), 6) AS importance FROM sc
+ORDER BY abs(c) DESC NULLS LAST, feature LIMIT 3"""
+
+# --- derived tables ----------------------------------------------------------------------------
+
+FILLED = """daily AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day,
+                         avg(value) AS value, count(*) AS n_events
+                  FROM events GROUP BY 1, 2),
+span AS (SELECT user_id, min(day) AS lo, max(day) AS hi FROM daily GROUP BY user_id),
+grid AS (SELECT user_id, unnest(range(lo, hi + 1)) AS day FROM span),
+g AS (SELECT grid.user_id, grid.day, d.value, d.n_events FROM grid LEFT JOIN daily d USING (user_id, day)),
+g2 AS (SELECT *,
+         max(CASE WHEN value IS NOT NULL THEN day END) OVER (PARTITION BY user_id ORDER BY day
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS d0,
+         min(CASE WHEN value IS NOT NULL THEN day END) OVER (PARTITION BY user_id ORDER BY day
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS d1
+       FROM g),
+filled AS (
+  SELECT g2.user_id, g2.day, g2.value, CAST(coalesce(g2.n_events, 0) AS BIGINT) AS n_events,
+         CASE WHEN g2.value IS NOT NULL THEN g2.value
+              WHEN a.value IS NOT NULL AND b.value IS NOT NULL
+                THEN a.value + ((b.value - a.value) * CAST(g2.day - g2.d0 AS DOUBLE)) / CAST(g2.d1 - g2.d0 AS DOUBLE)
+              WHEN a.value IS NOT NULL THEN a.value END AS value_filled
+  FROM g2 LEFT JOIN daily a ON a.user_id = g2.user_id AND a.day = g2.d0
+          LEFT JOIN daily b ON b.user_id = g2.user_id AND b.day = g2.d1),
+lagged AS (
+  SELECT user_id, day, value_filled AS value,
+         lag(value_filled, 1) OVER w AS value_lag_1, lag(value_filled, 2) OVER w AS value_lag_2,
+         lag(value_filled, 7) OVER w AS value_lag_7, n_events, lag(n_events, 1) OVER w AS n_events_lag_1
+  FROM filled WINDOW w AS (PARTITION BY user_id ORDER BY day))"""
+
+SQL["interpolated"] = "WITH " + FILLED + """
+SELECT user_id, day, round(value, 6) AS value, round(value_filled, 6) AS value_filled, n_events FROM filled"""
+
+SQL["lag_features"] = "WITH " + FILLED + """
+SELECT user_id, day, round(value, 6) AS value, round(value_lag_1, 6) AS value_lag_1,
+       round(value_lag_2, 6) AS value_lag_2, round(value_lag_7, 6) AS value_lag_7, n_events, n_events_lag_1
+FROM lagged"""
+
+LAG_NAMES = ["value", "value_lag_1", "value_lag_2", "value_lag_7", "n_events", "n_events_lag_1"]
+
+SQL["lag_groups"] = "WITH " + FILLED + f""",
+names AS {values_rel([(c,) for c in LAG_NAMES], ['feature'])},
+toks AS (SELECT feature, string_split(feature, '_') AS t FROM names),
+parsed AS (
+  SELECT feature,
+         list_filter(list_transform(range(0, len(t) - 1),
+                       lambda i: CASE WHEN lower(t[i + 1]) = 'lag' AND regexp_matches(t[i + 2], '^\\s*[+-]?[0-9]+\\s*$')
+                                      THEN CAST(trim(t[i + 2]) AS BIGINT) END),
+                     lambda v: v IS NOT NULL)[1] AS lag
+  FROM toks),
+cat AS (SELECT feature, lag FROM parsed WHERE contains(lower(feature), 'lag') AND lag IS NOT NULL AND lag <> 0
+        UNION ALL
+        SELECT feature, CAST(0 AS BIGINT) FROM names
+        WHERE NOT contains(lower(feature), 'lag') AND feature NOT IN ('is_fire', 'acq_date')),
+long AS (SELECT user_id, day, feature, value FROM
+           (SELECT user_id, day, value, value_lag_1, value_lag_2, value_lag_7,
+                   CAST(n_events AS DOUBLE) AS n_events, CAST(n_events_lag_1 AS DOUBLE) AS n_events_lag_1
+            FROM lagged)
+           UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(LAG_NAMES)})))
+SELECT l.user_id, l.day, l.feature, round(l.value, 6) AS value, c.lag FROM long l JOIN cat c USING (feature)"""
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+SQL["standard_names"] = "SELECT c_nationkey, " + ", ".join(
+    f"round(avg(CASE WHEN c_mktsegment = '{s}' THEN c_acctbal END), 6) AS {s.lower()}" for s in SEGMENTS) + \
+    " FROM customer GROUP BY c_nationkey"
+
+SQL["source_merge"] = """SELECT o.o_orderkey, o.o_custkey, c.c_name, c.c_mktsegment, n.n_name, o.o_totalprice
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+              LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey"""
+
+# --- history -----------------------------------------------------------------------------------
+
+HIST = """hd AS (
+  SELECT user_id AS run, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day,
+         coalesce(avg(value), 0.0) / 100.0 AS val_f1,
+         coalesce(avg(CASE WHEN event_type = 'view' THEN value END), 0.0) / 100.0 AS train_loss,
+         coalesce(avg(CASE WHEN event_type = 'click' THEN value END), 0.0) / 100.0 AS train_acc,
+         coalesce(avg(CASE WHEN event_type = 'purchase' THEN value END), 0.0) / 100.0 AS train_auc,
+         coalesce(avg(CASE WHEN event_type = 'signup' THEN value END), 0.0) / 100.0 AS val_loss,
+         coalesce(avg(CASE WHEN event_type = 'error' THEN value END), 0.0) / 100.0 AS val_acc,
+         min(value) AS mn, max(value) AS mx
+  FROM events GROUP BY 1, 2),
+hist AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY day) - 1 AS epoch, day,
+                train_loss, train_acc, train_auc, val_loss, val_acc, mn / 100.0 AS val_auc,
+                mx / 1000.0 AS val_precision, (mx - mn) / 1000.0 AS val_recall, val_f1 FROM hd),
+sched AS (SELECT *, (epoch % 2 = 0) OR (epoch = max(epoch) OVER (PARTITION BY run)) AS searched_epoch FROM hist),
+sched2 AS (SELECT *, coalesce(last_value(CASE WHEN searched_epoch THEN val_precision END IGNORE NULLS)
+                                OVER (PARTITION BY run ORDER BY epoch
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.5) AS threshold
+           FROM sched)"""
+
+SQL["threshold_carry"] = "WITH " + HIST + """
+SELECT run, epoch, searched_epoch, round(threshold, 6) AS threshold FROM sched2"""
+
+SQL["early_stop"] = "WITH " + HIST + """,
+h AS (SELECT *, val_f1 > greatest(coalesce(max(val_f1) OVER (PARTITION BY run ORDER BY epoch
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS improved
+      FROM sched2),
+h2 AS (SELECT *, coalesce(max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run ORDER BY epoch
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS last_improved FROM h),
+h3 AS (SELECT *, epoch - last_improved AS since FROM h2),
+st AS (SELECT run, min(CASE WHEN since >= 3 THEN epoch END) AS stop_epoch FROM h3 GROUP BY run)
+SELECT h3.run, st.stop_epoch, count(*) AS epochs_run,
+       coalesce(max(CASE WHEN improved THEN epoch END), -1) AS best_epoch,
+       round(max(CASE WHEN improved THEN val_f1 END), 6) AS best_metric
+FROM h3 JOIN st USING (run) WHERE st.stop_epoch IS NULL OR h3.epoch <= st.stop_epoch
+GROUP BY h3.run, st.stop_epoch"""
+
+SERIES = ["train_loss", "train_acc", "train_auc", "val_loss", "val_acc", "val_auc", "val_precision", "val_recall",
+          "val_f1", "threshold"]
+
+SQL["training_curves"] = "WITH " + HIST + f"""
+SELECT run, epoch, series, round(value, 6) AS value FROM
+  (SELECT run, epoch, {', '.join(SERIES)} FROM sched2)
+  UNPIVOT INCLUDE NULLS (value FOR series IN ({', '.join(SERIES)}))"""

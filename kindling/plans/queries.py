@@ -223,3 +223,116 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metric_bars": q_metric_bars,
     "flagship": flagship,
 }
+
+
+# --- catalog -----------------------------------------------------------------------------------
+
+from kindling.operators import catalog as C  # noqa: E402
+from kindling.operators import derive as DV  # noqa: E402
+from kindling.operators import history as H  # noqa: E402
+
+
+def _lineitem_tagged(spark, sf):
+    li = T.lineitem_labelled(spark, sf)
+    cat = C.feature_group_catalog(C.names_frame(spark, T.LINEITEM_FEATURES), T.LINEITEM_GROUPS, exclude=("label",))
+    return C.tag(C.to_long(li, ["l_orderkey"], T.LINEITEM_FEATURES), cat)
+
+
+def q_feature_groups(spark, sf):
+    return _lineitem_tagged(spark, sf).select("l_orderkey", "feature", "value", "group")
+
+
+def q_group_profile(spark, sf):
+    return _round(C.group_profile(_lineitem_tagged(spark, sf)), ["mean", "std", "min", "max"])
+
+
+def _daily_filled(spark, sf):
+    """Gap-free daily grid per user with linearly interpolated values."""
+    daily = T.events_daily(spark, sf)
+    grid = DV.daily_grid(daily.drop("n_events"), "user_id", "day", "value")
+    counts = daily.select("user_id", "day", "n_events")
+    filled = DV.interpolate_linear(grid, "user_id", "day", "value", out="value_filled")
+    return filled.join(counts, ["user_id", "day"], "left").select(
+        "user_id", "day", "value", "value_filled", F.coalesce("n_events", F.lit(0)).cast("bigint").alias("n_events"))
+
+
+LAG_DAYS = (1, 2, 7)
+
+
+def _lagged(spark, sf):
+    d = _daily_filled(spark, sf).select("user_id", "day", F.col("value_filled").alias("value"), "n_events")
+    d = DV.lag_features(d, "user_id", "day", ["value"], LAG_DAYS)
+    return DV.lag_features(d, "user_id", "day", ["n_events"], (1,))
+
+
+def q_interpolated(spark, sf):
+    return _round(_daily_filled(spark, sf), ["value", "value_filled"])
+
+
+def q_lag_features(spark, sf):
+    cols = ["value"] + [f"value_lag_{d}" for d in LAG_DAYS] + ["n_events", "n_events_lag_1"]
+    return _round(_lagged(spark, sf).select("user_id", "day", *cols), [c for c in cols if c.startswith("value")])
+
+
+def q_lag_groups(spark, sf):
+    lagged = _lagged(spark, sf)
+    names = [c for c in lagged.columns if c not in ("user_id", "day")]
+    cat = C.lag_catalog(C.names_frame(spark, names))
+    long = C.to_long(lagged, ["user_id", "day"], names)
+    return _round(C.tag(long, cat).select("user_id", "day", "feature", "value", "lag"), ["value"])
+
+
+def q_feature_rank(spark, sf):
+    li = T.lineitem_labelled(spark, sf)
+    return _round(C.feature_rank(li, T.LINEITEM_FEATURES, "label", top=3).select("feature", "corr", "importance"),
+                  ["corr", "importance"])
+
+
+def q_standard_names(spark, sf):
+    cust = T.table(spark, sf, "customer")
+    segs = DV.pivot_values(cust, "c_mktsegment")
+    wide = cust.groupBy("c_nationkey").pivot("c_mktsegment", segs).agg(F.round(F.avg("c_acctbal"), R))
+    return DV.standardise_names(wide)
+
+
+def q_source_merge(spark, sf):
+    o = T.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    c = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment",
+                                              F.col("c_nationkey").alias("n_nationkey"))
+    n = T.table(spark, sf, "nation").select("n_nationkey", "n_name")
+    return DV.merge_sources(o, (c, ["o_custkey"], False), (n, ["n_nationkey"], True)).select(
+        "o_orderkey", "o_custkey", "c_name", "c_mktsegment", "n_name", "o_totalprice")
+
+
+# --- history (T6, K3, E17) ----------------------------------------------------------------------
+
+def _history(spark, sf):
+    h = T.events_history(spark, sf)
+    return H.threshold_schedule(h, "val_precision")
+
+
+def q_early_stop(spark, sf):
+    return _round(H.early_stop(_history(spark, sf), "val_f1", patience=3), ["best_metric"])
+
+
+def q_threshold_carry(spark, sf):
+    return _round(_history(spark, sf).select("run", "epoch", "searched_epoch", "threshold"), ["threshold"])
+
+
+def q_training_curves(spark, sf):
+    return _round(H.training_curves(_history(spark, sf)), ["value"])
+
+
+QUERIES.update({
+    "feature_groups": q_feature_groups,
+    "group_profile": q_group_profile,
+    "lag_groups": q_lag_groups,
+    "feature_rank": q_feature_rank,
+    "interpolated": q_interpolated,
+    "lag_features": q_lag_features,
+    "standard_names": q_standard_names,
+    "source_merge": q_source_merge,
+    "early_stop": q_early_stop,
+    "threshold_carry": q_threshold_carry,
+    "training_curves": q_training_curves,
+})

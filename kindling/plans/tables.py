@@ -80,3 +80,24 @@ def events_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "train_loss", "train_acc", "train_auc", "val_loss", "val_acc",
         (F.col("_mn") / 100.0).alias("val_auc"), (F.col("_mx") / 1000.0).alias("val_precision"),
         ((F.col("_mx") - F.col("_mn")) / 1000.0).alias("val_recall"), "val_f1")
+
+
+# Fixed stand-in values for the catalog queries on lineitem: its numeric columns and
+# keyword groups over their names (two names fall in two groups, one in none).
+LINEITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+LINEITEM_GROUPS = (("price", "price"), ("extended", "extended"), ("quantity", "quantity"),
+                   ("discount", "discount"), ("count", "count"))
+
+
+def lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem numeric columns plus ``label`` = returnflag is 'R'."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", *LINEITEM_FEATURES, (F.col("l_returnflag") == "R").cast("int").alias("label"))
+
+
+def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(user_id, day, value, n_events)``: daily mean value and event count per user."""
+    ev = table(spark, sf_dir, "events")
+    day = F.datediff(F.to_date("ts"), F.lit(EVENTS_DAY0))
+    return ev.groupBy("user_id", day.alias("day")).agg(F.avg("value").alias("value"),
+                                                       F.count(F.lit(1)).alias("n_events"))
