@@ -23,6 +23,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
+
+    Expressions written inside a ``transform``/``aggregate`` lambda run once per
+    element; binding row-level statistics here keeps them once per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lit_array(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -63,17 +72,21 @@ def entropy_score(arr, n_landcover: int = 4, k: float = 1.0, alpha: Sequence[flo
     """
     a = _c(arr)
     lc = F.slice(a, 1, n_landcover)
-    m = F.array_max(lc)
-    e = F.transform(lc, lambda x: F.exp(x.cast("double") - m))
-    z = array_sum(e)
-    ent = -F.lit(float(k)) * F.aggregate(
-        e, F.lit(0.0), lambda acc, v: acc + (v / z) * F.log(v / z + F.lit(ENTROPY_LOG_EPS)))
+
+    def shares_term(e):  # e = exp(x - max) of the land-cover values, bound once
+        return let(array_sum(e), lambda z: -F.lit(float(k)) * F.aggregate(
+            e, F.lit(0.0), lambda acc, v: acc + (v / z) * F.log(v / z + F.lit(ENTROPY_LOG_EPS))))
+
+    ent = let(lc, lambda xs: let(F.array_max(xs).cast("double"), lambda m: shares_term(
+        F.transform(xs, lambda x: F.exp(x.cast("double") - m)))))
     rest = F.slice(a, n_landcover + 1, F.greatest(F.size(a) - F.lit(n_landcover), F.lit(0)))
     if alpha is None:
         env = array_sum(rest)
     else:
-        w = F.slice(lit_array(alpha), 1, F.greatest(F.size(rest), F.lit(1)))
-        env = array_sum(F.zip_with(rest, w, lambda x, y: F.coalesce(x.cast("double") * y, F.lit(0.0))))
+        w = lit_array(alpha)
+        env = let(rest, lambda r: array_sum(F.zip_with(
+            r, F.slice(w, 1, F.greatest(F.size(r), F.lit(1))),
+            lambda x, y: F.coalesce(x.cast("double") * y, F.lit(0.0)))))
     return ent + env
 
 
@@ -83,14 +96,16 @@ def conv1d_same(arr, kernel: Sequence[float], bias: float = 0.0) -> Column:
     ``y[t] = l·x[t-1] + m·x[t] + r·x[t+1] + b`` where missing neighbours are 0.
     """
     l, mid, r = (float(v) for v in kernel)
-    a = _c(arr)
-    return F.transform(
-        a,
-        lambda x, i: F.lit(l) * F.coalesce(F.get(a, i - 1).cast("double"), F.lit(0.0))
-        + F.lit(mid) * x.cast("double")
-        + F.lit(r) * F.coalesce(F.get(a, i + 1).cast("double"), F.lit(0.0))
-        + F.lit(float(bias)),
-    )
+
+    def body(a):
+        return F.transform(
+            a,
+            lambda x, i: F.lit(l) * F.coalesce(F.get(a, i - 1).cast("double"), F.lit(0.0))
+            + F.lit(mid) * x.cast("double")
+            + F.lit(r) * F.coalesce(F.get(a, i + 1).cast("double"), F.lit(0.0))
+            + F.lit(float(bias)))
+
+    return body(arr) if isinstance(arr, str) else let(arr, body)
 
 
 def conv1d_filters(arr, kernels: Sequence[Sequence[float]], act: str = "identity") -> Column:
@@ -103,11 +118,14 @@ def conv1d_filters(arr, kernels: Sequence[Sequence[float]], act: str = "identity
 
 def array_layer_norm(arr, eps: float = 1e-5) -> Column:
     """Normalise within one vector: ``(x - mean) / sqrt(var_pop + eps)``."""
-    a = _c(arr)
-    n = F.size(a).cast("double")
-    mean = array_sum(a) / n
-    var = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean)) / n
-    return F.transform(a, lambda x: (x.cast("double") - mean) / F.sqrt(var + F.lit(float(eps))))
+
+    def body(a):
+        n = F.size(a).cast("double")
+        return let(array_sum(a) / n, lambda mean: let(
+            F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean)) / n,
+            lambda var: F.transform(a, lambda x: (x.cast("double") - mean) / F.sqrt(var + F.lit(float(eps))))))
+
+    return let(_c(arr), body)
 
 
 def feature_slices(arr, n_slices: int = 4) -> list[Column]:

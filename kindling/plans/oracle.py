@@ -412,3 +412,78 @@ SQL["training_curves"] = "WITH " + HIST + f"""
 SELECT run, epoch, series, round(value, 6) AS value FROM
   (SELECT run, epoch, {', '.join(SERIES)} FROM sched2)
   UNPIVOT INCLUDE NULLS (value FOR series IN ({', '.join(SERIES)}))"""
+
+
+# --- scoring -------------------------------------------------------------------------------------
+
+U = """u AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x,
+                 unnest(generate_series(0, len(embedding) - 1)) AS i, len(embedding) AS width
+          FROM embeddings)"""
+
+SQL["entropy_score"] = "WITH " + U + """,
+lc AS (SELECT vec_id, x FROM u WHERE i < 4),
+mx AS (SELECT vec_id, max(x) AS m FROM lc GROUP BY vec_id),
+e AS (SELECT lc.vec_id, exp(lc.x - mx.m) AS e FROM lc JOIN mx USING (vec_id)),
+z AS (SELECT vec_id, sum(e) AS z FROM e GROUP BY vec_id),
+ent AS (SELECT e.vec_id, -1.0 * sum((e.e / z.z) * ln(e.e / z.z + 1e-10)) AS ent
+        FROM e JOIN z USING (vec_id) GROUP BY e.vec_id),
+env AS (SELECT vec_id, sum(x * (CAST(((7 * (i - 4) + 3) % 11) - 5 AS DOUBLE) / 10.0)) AS env
+        FROM u WHERE i >= 4 GROUP BY vec_id)
+SELECT vec_id, round(ent + coalesce(env, 0.0), 6) AS entropy_score FROM ent LEFT JOIN env USING (vec_id)"""
+
+SQL["dense_layer"] = "WITH " + U + """,
+w AS (SELECT i, unnest(range(0, 4)) AS j FROM range(0, 64) t(i)),
+w2 AS (SELECT i, j, CAST((7 * i + 3 * j) % 11 - 5 AS DOUBLE) / 10.0 AS w FROM w),
+z AS (SELECT u.vec_id, w2.j, sum(u.x * w2.w) AS z FROM u JOIN w2 USING (i) GROUP BY u.vec_id, w2.j)
+SELECT vec_id, CAST(j AS INTEGER) AS unit,
+       round(greatest(z + (CAST(j AS DOUBLE) - 1.5) / 10.0, 0.0), 6) AS h FROM z"""
+
+BN_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+SQL["batch_norm"] = "WITH st AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in BN_COLS) + " FROM lineitem)\nSELECT l_orderkey, " + \
+    ", ".join(f"round(({c} - m_{c}) / sqrt(v_{c} + 1e-5), 6) AS {c}" for c in BN_COLS) + " FROM lineitem, st"
+
+SQL["layer_norm"] = "WITH " + U + """,
+st AS (SELECT vec_id, avg(x) AS m, var_pop(x) AS v FROM u GROUP BY vec_id)
+SELECT u.vec_id, CAST(u.i AS INTEGER) AS pos, round((u.x - st.m) / sqrt(st.v + 1e-5), 6) AS value
+FROM u JOIN st USING (vec_id)"""
+
+SQL["conv_features"] = "WITH " + U + """,
+c AS (SELECT vec_id, i, x, coalesce(lag(x) OVER w, 0.0) AS xp, coalesce(lead(x) OVER w, 0.0) AS xn
+      FROM u WINDOW w AS (PARTITION BY vec_id ORDER BY i))
+SELECT vec_id, 0 AS filter, CAST(i AS INTEGER) AS pos, round(0.25 * xp + 0.5 * x + 0.25 * xn + 0.0, 6) AS value FROM c
+UNION ALL
+SELECT vec_id, 1, CAST(i AS INTEGER), round(-1.0 * xp + 0.0 * x + 1.0 * xn + 0.1, 6) FROM c"""
+
+
+def _additive_sql() -> str:
+    from kindling.plans.tables import ADDITIVE_BIAS, ADDITIVE_BINS, ADDITIVE_SHAPES
+
+    terms = []
+    for f, (lo, width, n) in ADDITIVE_BINS.items():
+        shape = "[" + ", ".join(repr(float(v)) for v in ADDITIVE_SHAPES[f]) + "]"
+        b = f"CAST(least(greatest(floor((CAST({f} AS DOUBLE) - {lo!r}) / {width!r}), 0), {n - 1}) AS INTEGER)"
+        terms.append(f"coalesce(CAST({shape} AS DOUBLE[])[{b} + 1], 0.0)")
+    return (f"SELECT l_orderkey, round({ADDITIVE_BIAS!r} + " + " + ".join(terms)
+            + ", 6) + 0.0 AS additive_score FROM lineitem")
+
+
+SQL["additive_score"] = _additive_sql()
+
+SQL["branch_concat"] = "WITH " + U + """,
+bw AS (SELECT li, unnest(range(0, 2)) AS j FROM range(0, 16) t(li)),
+br AS (SELECT u.vec_id, u.i // 16 AS bb, bw.j,
+              sum(u.x * (CAST((7 * (u.i % 16) + 3 * bw.j + u.i // 16) % 11 - 5 AS DOUBLE) / 10.0)) AS z
+       FROM u JOIN bw ON bw.li = u.i % 16 GROUP BY u.vec_id, u.i // 16, bw.j),
+bo AS (SELECT vec_id, 2 * bb + j AS p, greatest(z + CAST(0.05 AS DOUBLE) * CAST(bb - j AS DOUBLE), 0.0) AS v FROM br),
+rw AS (SELECT i, unnest(range(0, 8)) AS p FROM range(0, 64) t(i)),
+rs AS (SELECT u.vec_id, rw.p, sum(u.x * (CAST((5 * u.i + 2 * rw.p) % 9 - 4 AS DOUBLE) / 20.0)) AS r
+       FROM u JOIN rw USING (i) GROUP BY u.vec_id, rw.p)
+SELECT bo.vec_id, CAST(bo.p AS INTEGER) AS pos, round(bo.v + rs.r, 6) AS value
+FROM bo JOIN rs ON bo.vec_id = rs.vec_id AND bo.p = rs.p"""
+
+SQL["feature_slices"] = "WITH " + U + """
+SELECT vec_id, CAST(least(i // (width // 4), 3) AS INTEGER) AS slice, CAST(count(*) AS INTEGER) AS n,
+       round(sum(x), 6) AS total
+FROM u GROUP BY vec_id, least(i // (width // 4), 3)"""

@@ -336,3 +336,89 @@ QUERIES.update({
     "threshold_carry": q_threshold_carry,
     "training_curves": q_training_curves,
 })
+
+
+# --- scoring (N1–N9, F4) --------------------------------------------------------------------------
+
+from kindling.functions import arrays as AR  # noqa: E402
+from kindling.operators import scoring as S  # noqa: E402
+
+
+def _emb(spark, sf):
+    return T.embeddings(spark, sf)
+
+
+def _long_array(df, key, col, pos="pos", val="value"):
+    return df.select(key, F.posexplode(col).alias(pos, val))
+
+
+def q_entropy_score(spark, sf):
+    out = S.entropy_scores(_emb(spark, sf), "embedding", n_landcover=4, k=1.0, alpha=T.ENTROPY_ALPHA)
+    return _round(out.select("vec_id", "entropy_score"), ["entropy_score"])
+
+
+def q_dense_layer(spark, sf):
+    out = S.dense_layer(_emb(spark, sf), "embedding", T.DENSE_W, T.DENSE_B, act="relu")
+    return _round(_long_array(out, "vec_id", "hidden", "unit", "h"), ["h"])
+
+
+def q_batch_norm(spark, sf):
+    li = T.table(spark, sf, "lineitem")
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return _round(S.batch_norm(li, cols).select("l_orderkey", *cols), cols)
+
+
+def q_layer_norm(spark, sf):
+    out = S.layer_norm(_emb(spark, sf), "embedding", out="normed")
+    return _round(_long_array(out, "vec_id", "normed"), ["value"])
+
+
+def q_conv_features(spark, sf):
+    out = S.conv_features(_emb(spark, sf), "embedding", T.CONV_KERNELS)
+    per_filter = out.select("vec_id", F.posexplode("conv").alias("filter", "ys"))
+    return _round(per_filter.select("vec_id", "filter", F.posexplode("ys").alias("pos", "value")), ["value"])
+
+
+def q_additive_score(spark, sf):
+    li = T.table(spark, sf, "lineitem")
+    bins = {f: S.Bins(*v) for f, v in T.ADDITIVE_BINS.items()}
+    out = S.additive_scores(li, bins, T.ADDITIVE_SHAPES, T.ADDITIVE_BIAS)
+    return _round(out.select("l_orderkey", "additive_score"), ["additive_score"])
+
+
+def q_branch_concat(spark, sf):
+    out = S.branch_concat(_emb(spark, sf), "embedding", T.BRANCH_W, T.BRANCH_B, T.RESIDUAL_W, act="relu")
+    return _round(_long_array(out, "vec_id", "branches"), ["value"])
+
+
+def q_feature_slices(spark, sf):
+    e = _emb(spark, sf)
+    sl = AR.feature_slices("embedding", 4)
+    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("slice"), s.alias("xs")) for i, s in enumerate(sl)]))
+    out = e.select("vec_id", parts.alias("p")).select(
+        "vec_id", "p.slice", F.size("p.xs").alias("n"), AR.array_sum("p.xs").alias("total"))
+    return _round(out, ["total"])
+
+
+def q_frozen_features(spark, sf):
+    block = S.FrozenBlock.random(T.EMB_WIDTH, seed=42)
+    return S.frozen_block_features(_emb(spark, sf), "embedding", block, key="vec_id")
+
+
+def q_batch_score(spark, sf):
+    net = S.DenseNet.random([T.EMB_WIDTH, 32, 16, 1], seed=42)
+    return S.batch_score(_emb(spark, sf), "embedding", net, key="vec_id", model_name="ffn", label="target")
+
+
+QUERIES.update({
+    "entropy_score": q_entropy_score,
+    "dense_layer": q_dense_layer,
+    "batch_norm": q_batch_norm,
+    "layer_norm": q_layer_norm,
+    "conv_features": q_conv_features,
+    "additive_score": q_additive_score,
+    "branch_concat": q_branch_concat,
+    "feature_slices": q_feature_slices,
+    "frozen_features": q_frozen_features,
+    "batch_score": q_batch_score,
+})

@@ -101,3 +101,29 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff(F.to_date("ts"), F.lit(EVENTS_DAY0))
     return ev.groupBy("user_id", day.alias("day")).agg(F.avg("value").alias("value"),
                                                        F.count(F.lit(1)).alias("n_events"))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(vec_id, embedding array<float>, label)`` plus ``target`` = label >= 5 for binary jobs."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "embedding", "label", (F.col("label") >= 5).cast("int").alias("target"))
+
+
+# Fixed stand-in parameters for the scoring queries, all from simple integer formulas.
+EMB_WIDTH = 64
+ENTROPY_ALPHA = [((7 * j + 3) % 11 - 5) / 10 for j in range(EMB_WIDTH - 4)]
+DENSE_W = [[((7 * i + 3 * j) % 11 - 5) / 10 for j in range(4)] for i in range(EMB_WIDTH)]
+DENSE_B = [(j - 1.5) / 10 for j in range(4)]
+CONV_KERNELS = [(0.25, 0.5, 0.25, 0.0), (-1.0, 0.0, 1.0, 0.1)]
+BRANCH_W = [[[((7 * i + 3 * j + b) % 11 - 5) / 10 for j in range(2)] for i in range(EMB_WIDTH // 4)] for b in range(4)]
+BRANCH_B = [[0.05 * (b - j) for j in range(2)] for b in range(4)]
+RESIDUAL_W = [[((5 * i + 2 * j) % 9 - 4) / 20 for j in range(8)] for i in range(EMB_WIDTH)]
+ADDITIVE_BINS = {  # feature: (lo, width, n_bins)
+    "l_quantity": (0.0, 10.0, 5),
+    "l_extendedprice": (0.0, 20000.0, 5),
+    "l_discount": (0.0, 0.02, 5),
+    "l_tax": (0.0, 0.02, 5),
+}
+ADDITIVE_SHAPES = {f: [((5 * k + 3 * b) % 7 - 3) / 10 for b in range(n)]
+                   for k, (f, (_, _, n)) in enumerate(ADDITIVE_BINS.items())}
+ADDITIVE_BIAS = 0.1
