@@ -422,3 +422,42 @@ QUERIES.update({
     "frozen_features": q_frozen_features,
     "batch_score": q_batch_score,
 })
+
+
+# --- fitting (T1–T5) -----------------------------------------------------------------------------
+
+from kindling.operators import fit as FT  # noqa: E402
+from kindling.session import cut_lineage  # noqa: E402
+
+
+def _events_prepared(spark, sf):
+    ev = T.events_labelled(spark, sf)
+    prepared, _ = P.prepare(ev, "event_id", "label", "ts", T.EVENTS_CUT, EVENT_FEATURES)
+    return cut_lineage(prepared)
+
+
+def _fit_one(name):
+    def q(spark, sf):
+        prepared = _events_prepared(spark, sf)
+        evals, _ = FT.fit_and_evaluate(prepared, {name: FT.DEFAULT_SPECS[name]}, EVENT_FEATURES, "event_id")
+        return _round(evals, EVAL_DOUBLES)
+
+    q.__name__ = f"q_fit_{name}"
+    q.__doc__ = f"Prepare events, fit the {name} model on the train part, evaluate on the valid part."
+    return q
+
+
+def q_fit_all(spark, sf):
+    """Prepare once, fit every model, evaluate each, and return the comparison table (T5)."""
+    prepared = _events_prepared(spark, sf)
+    _, comparison = FT.fit_and_evaluate(prepared, FT.DEFAULT_SPECS, EVENT_FEATURES, "event_id")
+    return comparison
+
+
+QUERIES.update({
+    "fit_logistic": _fit_one("logistic"),
+    "fit_mlp": _fit_one("mlp"),
+    "fit_additive": _fit_one("additive"),
+    "fit_frozen_head": _fit_one("frozen_head"),
+    "fit_all": q_fit_all,
+})
