@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from kindling.functions.columns import bce_on_logits, bce_on_probs, sigmoid
 from kindling.operators.prefix import running_sums_desc
+from kindling.session import cut_lineage
 
 # Fixed value: the constant in the denominator of the threshold search's F1.
 F1_SEARCH_EPS = 1e-8
@@ -52,25 +53,35 @@ def with_prediction(df: DataFrame, threshold=DEFAULT_THRESHOLD, score: str = "sc
 
 # --- core counts -------------------------------------------------------------------
 
-def score_counts(scored: DataFrame, model: str = "model", label: str = "label", score: str = "score") -> DataFrame:
-    """``(model, score, pos, neg)``: one row per distinct score (map-side combined)."""
+def score_counts(scored: DataFrame, model: str = "model", label: str = "label", score: str = "score",
+                 materialize: bool = False) -> DataFrame:
+    """``(model, score, pos, neg)``: one row per distinct score (map-side combined).
+
+    ``materialize`` checkpoints the counts into the shared checkpoint folder so that
+    operators reading them several times scan the scored table once."""
     y = F.col(label).cast("int")
-    return (scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
-            .groupBy(F.col(model).alias("model"), F.col(score).cast("double").alias("score"))
-            .agg(F.sum(F.when(y == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
-                 F.sum(F.when(y == 1, 0).otherwise(1)).cast("bigint").alias("neg")))
+    counts = (scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+              .groupBy(F.col(model).alias("model"), F.col(score).cast("double").alias("score"))
+              .agg(F.sum(F.when(y == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
+                   F.sum(F.when(y == 1, 0).otherwise(1)).cast("bigint").alias("neg")))
+    return cut_lineage(counts) if materialize else counts
+
+
+def model_totals(counts: DataFrame) -> DataFrame:
+    """``(model, P, N, M)``: positives, negatives and distinct scores per model."""
+    return counts.groupBy("model").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                                       F.count(F.lit(1)).alias("M"))
 
 
-def curve_counts(counts: DataFrame, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+def curve_counts(counts: DataFrame, lo: float = 0.0, hi: float = 1.0, materialize: bool = False) -> DataFrame:
     """Counts plus running ``tp``/``fp`` (score >= this score), point index ``idx`` from the
-    top, and the model totals ``P``/``N``."""
+    top, and the model totals ``P``/``N``/``M``."""
     c = counts.withColumn("one", F.lit(1).cast("bigint"))
     run = running_sums_desc(c, ["model"], "score", ["pos", "neg", "one"], lo=lo, hi=hi)
-    totals = counts.groupBy("model").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                                         F.count(F.lit(1)).alias("M"))
-    return (run.select("model", "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-                       F.col("cum_one").alias("idx"))
-            .join(totals, "model"))
+    cc = (run.select("model", "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+                     F.col("cum_one").alias("idx"))
+          .join(model_totals(counts), "model"))
+    return cut_lineage(cc) if materialize else cc
 
 
 # --- E1 / E2 / E18 ----------------------------------------------------------------------
@@ -133,7 +144,7 @@ def rates(cells: DataFrame) -> DataFrame:
         _div(F.lit(2) * tp, F.lit(2) * tp + fp + fn).alias("f1"))
 
 
-def confusion_matrix(scored: DataFrame, thresholds=None) -> DataFrame:
+def confusion_matrix(scored: DataFrame, thresholds=None) -> DataFrame:  # noqa: D401
     """2 × 2 confusion matrix as rows ``(model, label, pred, n)``; empty cells are 0."""
     cells = confusion_cells(score_counts(scored), thresholds)
     grid = F.explode(F.array(
@@ -151,33 +162,36 @@ def binary_metrics(scored: DataFrame, thresholds=None) -> DataFrame:
 
 # --- ranking metrics (E6, E9–E13) ---------------------------------------------------------
 
+def _auc_expr() -> Column:
+    num = F.sum(F.col("pos") * (F.lit(2) * (F.col("N") - F.col("fp")) + F.col("neg")))
+    return F.when((F.first("P") > 0) & (F.first("N") > 0),
+                  num.cast("double") / (F.lit(2.0) * F.first("P") * F.first("N")))
+
+
 def auc_from_counts(counts: DataFrame) -> DataFrame:
     """ROC AUC with ties counted half (E6), exact in integer arithmetic:
     ``Σ pos·(2·(N - fp) + neg) / (2·P·N)`` where ``fp`` counts negatives at or above the score."""
-    cc = curve_counts(counts)
-    num = F.sum(F.col("pos") * (F.lit(2) * (F.col("N") - F.col("fp")) + F.col("neg")))
-    return cc.groupBy("model").agg(
-        F.when((F.first("P") > 0) & (F.first("N") > 0),
-               num.cast("double") / (F.lit(2.0) * F.first("P") * F.first("N"))).alias("auc"))
+    return curve_counts(counts).groupBy("model").agg(_auc_expr().alias("auc"))
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    return auc_from_counts(score_counts(scored))
+    return auc_from_counts(score_counts(scored, materialize=True))
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
     """Precision-recall curve (E9): ``(model, threshold, precision, recall)``."""
-    cc = curve_counts(score_counts(scored))
-    return pr_points(cc, with_end=True)
+    counts = score_counts(scored, materialize=True)
+    return pr_points(curve_counts(counts), ends_from=model_totals(counts))
 
 
-def pr_points(cc: DataFrame, with_end: bool) -> DataFrame:
+def pr_points(cc: DataFrame, ends_from: DataFrame | None = None) -> DataFrame:
+    """PR points of a curve-count table, plus the end point per model of ``ends_from``."""
     recall = F.when(F.col("P") == 0, F.lit(1.0)).otherwise(F.col("tp") / F.col("P"))
     pts = cc.select("model", F.col("score").alias("threshold"),
                     _div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), recall.alias("recall"))
-    if not with_end:
+    if ends_from is None:
         return pts
-    ends = cc.select("model").distinct().select(
+    ends = ends_from.select(
         "model", F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
         F.lit(0.0).alias("recall"))
     return pts.unionByName(ends)
@@ -188,8 +202,10 @@ def roc_curve(scored: DataFrame, drop_intermediate: bool = False) -> DataFrame:
 
     ``drop_intermediate`` removes points collinear with both neighbours (a point is
     kept when the next lower point's counts differ from its own), first and last kept.
+    The next point is found by a join on the point index, not a global window.
     """
-    cc = curve_counts(score_counts(scored))
+    counts = score_counts(scored, materialize=True)
+    cc = curve_counts(counts, materialize=drop_intermediate)
     if drop_intermediate:
         nxt = cc.select("model", (F.col("idx") - 1).alias("idx"), F.col("pos").alias("pos_next"),
                         F.col("neg").alias("neg_next"))
@@ -199,7 +215,7 @@ def roc_curve(scored: DataFrame, drop_intermediate: bool = False) -> DataFrame:
     fpr = F.when(F.col("N") > 0, F.col("fp") / F.col("N"))
     tpr = F.when(F.col("P") > 0, F.col("tp") / F.col("P"))
     pts = cc.select("model", F.col("score").alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
-    starts = cc.select("model").distinct().select(
+    starts = model_totals(counts).select(
         "model", F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(starts)
 
@@ -211,7 +227,7 @@ def trapezoid_auc(scored: DataFrame) -> DataFrame:
     counts are this point's minus its own counts, so every trapezoid
     ``(fp - fp_prev)/N · (tp + tp_prev)/(2P)`` is computed row by row.
     """
-    cc = curve_counts(score_counts(scored))
+    cc = curve_counts(score_counts(scored, materialize=True))
     num = F.sum(F.col("neg") * (F.lit(2) * F.col("tp") - F.col("pos")))
     return cc.groupBy("model").agg(
         F.when((F.first("P") > 0) & (F.first("N") > 0),
@@ -225,18 +241,27 @@ def mean_precision(scored: DataFrame) -> DataFrame:
     return pr_curve(scored).groupBy("model").agg(F.avg("precision").alias("mean_precision"))
 
 
+def _best_expr() -> Column:
+    p, r = F.col("_p"), F.col("_r")
+    f1 = F.lit(2.0) * (p * r) / (p + r + F.lit(F1_SEARCH_EPS))
+    return F.max_by(F.struct(F.col("score").alias("threshold"), f1.alias("search_f1")),
+                    F.struct(f1, -F.col("score")))
+
+
+def _with_pr(cc: DataFrame) -> DataFrame:
+    recall = F.when(F.col("P") == 0, F.lit(1.0)).otherwise(F.col("tp") / F.col("P"))
+    return cc.withColumn("_p", _div(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("_r", recall)
+
+
 def best_threshold_from_counts(cc: DataFrame) -> DataFrame:
     """F1-optimal threshold per model (E13, K2): highest search F1, lowest threshold on ties."""
-    pts = pr_points(cc, with_end=False)
-    f1 = F.lit(2.0) * (F.col("precision") * F.col("recall")) / (F.col("precision") + F.col("recall") + F.lit(F1_SEARCH_EPS))
-    best = pts.withColumn("search_f1", f1).groupBy("model").agg(
-        F.max_by(F.struct("threshold", "search_f1"), F.struct("search_f1", -F.col("threshold"))).alias("b"))
+    best = _with_pr(cc).groupBy("model").agg(_best_expr().alias("b"))
     return best.select("model", F.coalesce(F.col("b.threshold"), F.lit(DEFAULT_THRESHOLD)).alias("threshold"),
                        F.col("b.search_f1").alias("search_f1"))
 
 
 def best_threshold(scored: DataFrame) -> DataFrame:
-    return best_threshold_from_counts(curve_counts(score_counts(scored)))
+    return best_threshold_from_counts(curve_counts(score_counts(scored, materialize=True)))
 
 
 # --- E14 ---------------------------------------------------------------------------------
@@ -247,21 +272,31 @@ def evaluation(scored: DataFrame, threshold=None, find_best: bool = False) -> Da
     ``threshold`` is a number, a ``(model, threshold)`` table or None (0.5);
     ``find_best`` searches the F1-optimal threshold instead. Returns ``(model, n,
     loss, accuracy, auc, precision, recall, f1, tn, fp, fn, tp, threshold)``.
+
+    The scored table is read once (per-score counts, checkpointed); threshold
+    search and AUC share one aggregate over the curve; confusion cells and the
+    loss share one aggregate over the counts.
     """
-    counts = score_counts(scored)
-    cc = curve_counts(counts)
-    thr = best_threshold_from_counts(cc).select("model", "threshold") if find_best else threshold
-    cells = rates(confusion_cells(counts, thr))
-    ll = counts.groupBy("model").agg(
-        (F.sum(F.col("pos") * bce_on_probs(F.col("score"), F.lit(1)) + F.col("neg") * bce_on_probs(F.col("score"), F.lit(0)))
-         / F.sum(F.col("pos") + F.col("neg"))).alias("loss"))
-    num = F.sum(F.col("pos") * (F.lit(2) * (F.col("N") - F.col("fp")) + F.col("neg")))
-    au = cc.groupBy("model").agg(
-        F.when((F.first("P") > 0) & (F.first("N") > 0),
-               num.cast("double") / (F.lit(2.0) * F.first("P") * F.first("N"))).alias("auc"))
-    return (cells.join(ll, "model").join(au, "model")
-            .select("model", "n", "loss", "accuracy", "auc", "precision", "recall", "f1",
-                    "tn", "fp", "fn", "tp", "threshold"))
+    counts = score_counts(scored, materialize=True)
+    summary = _with_pr(curve_counts(counts)).groupBy("model").agg(_auc_expr().alias("auc"), _best_expr().alias("b"))
+    if find_best:
+        thr = summary.select("model", F.coalesce("b.threshold", F.lit(DEFAULT_THRESHOLD)).alias("threshold"))
+    else:
+        thr = threshold
+    c = _thresholds(counts, thr)
+    above = F.col("score") > F.col("threshold")
+    loss_sum = F.sum(F.col("pos") * bce_on_probs(F.col("score"), F.lit(1))
+                     + F.col("neg") * bce_on_probs(F.col("score"), F.lit(0)))
+    cells = c.groupBy("model", "threshold").agg(
+        F.sum(F.when(~above, F.col("neg")).otherwise(0)).cast("bigint").alias("tn"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("bigint").alias("fp"),
+        F.sum(F.when(~above, F.col("pos")).otherwise(0)).cast("bigint").alias("fn"),
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("bigint").alias("tp"),
+        F.sum(F.col("pos") + F.col("neg")).cast("bigint").alias("n"),
+        loss_sum.alias("_loss"))
+    out = rates(cells).withColumn("loss", F.col("_loss") / F.col("n")).join(summary.select("model", "auc"), "model")
+    return out.select("model", "n", "loss", "accuracy", "auc", "precision", "recall", "f1",
+                      "tn", "fp", "fn", "tp", "threshold")
 
 
 # --- E15–E17, K1 ---------------------------------------------------------------------------

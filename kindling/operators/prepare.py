@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import hash_order
+from kindling.session import cut_lineage
 
 TRAIN, VALID = "train", "valid"
 
@@ -96,21 +97,28 @@ def balanced_sample(df: DataFrame, key: str, label: str, part_col: str = "part",
     rows = (df.filter(F.col(label).isin(0, 1))
             .withColumn("_h", hash_order(key, salt))
             .withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int")))
+    # Histogram: at most parts × 2 × 16**digits rows. Class sizes, k per part and the
+    # crossing bucket all come from windows over this small table (one pass over rows).
     hist = rows.groupBy(part_col, label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    counts = hist.groupBy(part_col, label).agg(F.sum("_cnt").alias("n"))
-    ks = rows_per_class(counts, label, part_col, cap).select(part_col, "k")
-    w = Window.partitionBy(part_col, label).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    crossing = (hist.join(F.broadcast(ks), part_col)  # ks: one row per part
-                .withColumn("_cum", F.sum("_cnt").over(w))
-                .filter(F.col("_cum") >= F.col("k"))
+    w_cls = Window.partitionBy(part_col, label)
+    w_cum = w_cls.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_part = Window.partitionBy(part_col)
+    h = (hist.withColumn("_n", F.sum("_cnt").over(w_cls))
+         .withColumn("_cum", F.sum("_cnt").over(w_cum))
+         .withColumn("_classes", F.size(F.collect_set(label).over(w_part))))
+    k = F.min("_n").over(w_part)
+    if cap:
+        k = F.least(k, F.lit(int(cap)).cast("bigint"))
+    h = h.withColumn("k", F.when(F.col("_classes") < 2, F.raise_error(F.concat(
+        F.lit("balanced sample: a class is missing in part "), F.col(part_col).cast("string")))).otherwise(k))
+    crossing = (h.filter(F.col("_cum") >= F.col("k"))
                 .groupBy(part_col, label)
                 .agg(F.min(F.struct("_b", "_cum", "_cnt", "k")).alias("_x"))
                 .select(part_col, label,
                         F.col("_x._b").alias("_bx"),
                         (F.col("_x.k") - (F.col("_x._cum") - F.col("_x._cnt"))).alias("_need")))
     # k >= 1 whenever both classes exist, so every (part, label) crosses somewhere.
-    plan = F.broadcast(crossing)  # at most parts × 2 rows
-    tagged = rows.join(plan, [part_col, label])
+    tagged = rows.join(F.broadcast(crossing), [part_col, label])  # at most parts × 2 rows
     whole = tagged.filter(F.col("_b") < F.col("_bx"))
     edge = tagged.filter(F.col("_b") == F.col("_bx"))
     rn = F.row_number().over(Window.partitionBy(part_col, label).orderBy("_h", key))
@@ -189,8 +197,8 @@ def prepare(df: DataFrame, key: str, label: str, ts: str, cut, features: Sequenc
     """
     base = df.select(key, label, ts, *features)
     parts = time_split(base, ts, cut, part_col)
-    balanced = balanced_sample(parts, key, label, part_col, cap=cap, seed=seed)
-    balanced = drop_if_present(balanced, ts)
+    # The sample feeds both the scaler fit and the transform: write it once.
+    balanced = cut_lineage(drop_if_present(balanced_sample(parts, key, label, part_col, cap=cap, seed=seed), ts))
     params = collect_params(fit_scaler(balanced.filter(F.col(part_col) == TRAIN), features))
     scaled = scaler_transform(balanced, params, features)
     return shuffle_order(scaled, key, seed), params

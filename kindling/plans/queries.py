@@ -15,6 +15,7 @@ from kindling.functions.columns import sigmoid
 from kindling.operators import evaluate as E
 from kindling.operators import prepare as P
 from kindling.plans import tables as T
+from kindling.session import cut_lineage
 
 R = 6  # rounding digits for computed doubles
 
@@ -43,8 +44,9 @@ def q_time_split(spark, sf):
     return _events_parts(spark, sf).select("event_id", "part")
 
 
-def _events_balanced(spark, sf, cap=None):
-    return P.balanced_sample(_events_parts(spark, sf), "event_id", "label", cap=cap)
+def _events_balanced(spark, sf, cap=None, materialize=False):
+    bal = P.balanced_sample(_events_parts(spark, sf), "event_id", "label", cap=cap)
+    return cut_lineage(bal) if materialize else bal
 
 
 def q_balanced_sample(spark, sf):
@@ -69,12 +71,12 @@ ORDER_FEATURES = ["o_totalprice", "priority", "month"]
 
 
 def q_scaler_params(spark, sf):
-    train = _events_balanced(spark, sf).filter(F.col("part") == P.TRAIN)
+    train = _events_balanced(spark, sf, materialize=True).filter(F.col("part") == P.TRAIN)
     return _round(P.fit_scaler(train, EVENT_FEATURES), ["mean", "std"])
 
 
 def q_scaler_transform(spark, sf):
-    bal = _events_balanced(spark, sf)
+    bal = _events_balanced(spark, sf, materialize=True)
     params = P.fit_scaler(bal.filter(F.col("part") == P.TRAIN), EVENT_FEATURES)
     out = P.scaler_transform(bal, params, EVENT_FEATURES)
     return _round(out.select("event_id", "part", "label", *EVENT_FEATURES), EVENT_FEATURES)
@@ -184,7 +186,7 @@ FLAGSHIP_BIAS = -0.2
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """events → split → balance → scale (fit on balanced train) → fixed-weight logistic
     score on the balanced valid part → F1-optimal threshold → evaluation record."""
-    bal = _events_balanced(spark, sf)
+    bal = _events_balanced(spark, sf, materialize=True)
     params = P.fit_scaler(bal.filter(F.col("part") == P.TRAIN), EVENT_FEATURES)
     scaled = P.scaler_transform(bal.filter(F.col("part") == P.VALID), params, EVENT_FEATURES)
     logit = F.lit(FLAGSHIP_BIAS)
@@ -427,7 +429,6 @@ QUERIES.update({
 # --- fitting (T1–T5) -----------------------------------------------------------------------------
 
 from kindling.operators import fit as FT  # noqa: E402
-from kindling.session import cut_lineage  # noqa: E402
 
 
 def _events_prepared(spark, sf):
