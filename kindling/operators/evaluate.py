@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import bce_on_logits, bce_on_probs, sigmoid
-from kindling.operators.prefix import running_sums_desc
+from kindling.operators.prefix import range_buckets, running_sums_desc
 from kindling.session import cut_lineage
 
 # Fixed value: the constant in the denominator of the threshold search's F1.
@@ -58,13 +58,15 @@ def score_counts(scored: DataFrame, model: str = "model", label: str = "label",
     """``(model, score, pos, neg)``: one row per distinct score (map-side combined).
 
     ``materialize`` checkpoints the counts into the shared checkpoint folder so that
-    operators reading them several times scan the scored table once."""
+    operators reading them several times scan the scored table once; the
+    checkpoint also pins a range-partition bucket ``_bk`` per row, which the
+    running sums use so that no bucket is hot however the scores are spread."""
     y = F.col(label).cast("int")
     counts = (scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
               .groupBy(F.col(model).alias("model"), F.col(score).cast("double").alias("score"))
               .agg(F.sum(F.when(y == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
                    F.sum(F.when(y == 1, 0).otherwise(1)).cast("bigint").alias("neg")))
-    return cut_lineage(counts) if materialize else counts
+    return cut_lineage(range_buckets(counts, ["model"], "score")) if materialize else counts
 
 
 def model_totals(counts: DataFrame) -> DataFrame:
@@ -77,7 +79,8 @@ def curve_counts(counts: DataFrame, lo: float = 0.0, hi: float = 1.0, materializ
     """Counts plus running ``tp``/``fp`` (score >= this score), point index ``idx`` from the
     top, and the model totals ``P``/``N``/``M``."""
     c = counts.withColumn("one", F.lit(1).cast("bigint"))
-    run = running_sums_desc(c, ["model"], "score", ["pos", "neg", "one"], lo=lo, hi=hi)
+    bucket = "_bk" if "_bk" in counts.columns else None
+    run = running_sums_desc(c, ["model"], "score", ["pos", "neg", "one"], lo=lo, hi=hi, bucket_col=bucket)
     cc = (run.select("model", "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                      F.col("cum_one").alias("idx"))
           .join(model_totals(counts), "model"))

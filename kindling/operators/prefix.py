@@ -15,22 +15,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_buckets(df: DataFrame, group_cols: Sequence[str], order_col: str, n: int | None = None,
+                  out: str = "_bk") -> DataFrame:
+    """Tag rows with their range-partition index over ``(group, order)``.
+
+    Range bounds come from a sample, so buckets hold similar row counts whatever
+    the value distribution. The index is only stable within one plan: checkpoint
+    the result before using the tag in more than one branch.
+    """
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *group_cols, order_col).withColumn(out, F.spark_partition_id())
+
+
 def running_sums_desc(df: DataFrame, group_cols: Sequence[str], order_col: str, sum_cols: Sequence[str],
                       lo: float = 0.0, hi: float = 1.0, n_buckets: int = 1 << 16,
-                      prefix: str = "cum_") -> DataFrame:
+                      prefix: str = "cum_", bucket_col: str | None = None) -> DataFrame:
     """Add ``cum_<c>`` = Σ c over rows of the same group whose ``order_col`` is >= this row's.
 
     ``df`` must hold one row per (group, order value), e.g. distinct scores with
-    their counts. Values are bucketed on ``[lo, hi]`` (values outside fall into the
-    edge buckets, which keeps the bucketing monotone); ``n_buckets`` only spreads
-    the work, it never changes the result.
+    their counts. Buckets are either ``bucket_col`` (any integer tag that does not
+    decrease with the order value within a group, e.g. from :func:`range_buckets`)
+    or equal-width ranges of ``[lo, hi]`` (values outside fall into the edge
+    buckets). Buckets only spread the work; they never change the result.
     """
     g = list(group_cols)
-    x = F.col(order_col).cast("double")
-    span = float(hi) - float(lo)
-    b = F.floor((x - F.lit(float(lo))) / F.lit(span) * F.lit(n_buckets))
-    b = F.least(F.greatest(b, F.lit(0)), F.lit(n_buckets - 1)).cast("int")
-    d = df.withColumn("_bk", b)
+    if bucket_col:
+        d = df.withColumnRenamed(bucket_col, "_bk") if bucket_col != "_bk" else df
+    else:
+        x = F.col(order_col).cast("double")
+        span = float(hi) - float(lo)
+        b = F.floor((x - F.lit(float(lo))) / F.lit(span) * F.lit(n_buckets))
+        b = F.least(F.greatest(b, F.lit(0)), F.lit(n_buckets - 1)).cast("int")
+        d = df.withColumn("_bk", b)
     totals = d.groupBy(*g, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.partitionBy(*g).orderBy(F.col("_bk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*g, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")

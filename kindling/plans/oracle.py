@@ -177,6 +177,12 @@ SQL["prepared"] = "WITH " + ORD + balanced("oparts", "o_orderkey", "obal") + \
 SELECT o_orderkey, part, label, {scaled_cols(ORF)},
        md5('shuffle:42:' || CAST(o_orderkey AS VARCHAR)) AS shuffle_key FROM obal"""
 
+SQL["probabilities"] = "WITH " + LOGITS + """
+SELECT key, model, label, round(1.0 / (1.0 + exp(-logit)), 6) AS score FROM logits"""
+
+SQL["predictions"] = "WITH " + SCORED + """
+SELECT key, model, label, score, CAST(score > 0.5 AS INTEGER) AS pred FROM scored"""
+
 SQL["log_loss"] = "WITH " + SCORED + f"""
 SELECT model, round(avg({bce('score', 'label')}), 6) AS log_loss FROM scored GROUP BY model"""
 

@@ -94,6 +94,17 @@ def _scored(spark, sf):
     return T.events_scored(spark, sf)
 
 
+def q_probabilities(spark, sf):
+    """Sigmoid of the logit table."""
+    p = E.with_probability(T.events_logits(spark, sf), "logit", "score")
+    return _round(p.select("key", "model", "label", "score"), ["score"])
+
+
+def q_predictions(spark, sf):
+    """Strict thresholded predictions at 0.5."""
+    return E.with_prediction(_scored(spark, sf), 0.5).select("key", "model", "label", "score", "pred")
+
+
 def q_log_loss(spark, sf):
     return _round(E.log_loss(_scored(spark, sf)), ["log_loss"])
 
@@ -207,6 +218,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scaler_params": q_scaler_params,
     "scaler_transform": q_scaler_transform,
     "prepared": q_prepared,
+    "probabilities": q_probabilities,
+    "predictions": q_predictions,
     "log_loss": q_log_loss,
     "weighted_log_loss": q_weighted_log_loss,
     "accuracy": q_accuracy,
