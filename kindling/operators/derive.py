@@ -26,12 +26,13 @@ def pivot_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
     return sorted(v for v in vals if v is not None)
 
 
-def daily_grid(df: DataFrame, place: str, day: str, value: str) -> DataFrame:
-    """``(place, day, value)`` with every day between each place's first and last day;
-    days without a value get null. Built from per-place ``sequence``, not a cross join."""
+def daily_grid(df: DataFrame, place: str, day: str, values) -> DataFrame:
+    """``(place, day, values…)`` with every day between each place's first and last day;
+    days without a row get nulls. Built from per-place ``sequence``, not a cross join."""
+    values = [values] if isinstance(values, str) else list(values)
     span = df.groupBy(place).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
     days = span.select(place, F.explode(F.sequence("_lo", "_hi")).alias(day))
-    return days.join(df.select(place, day, value), [place, day], "left")
+    return days.join(df.select(place, day, *values), [place, day], "left")
 
 
 def interpolate_linear(df: DataFrame, place: str, order: str, value: str, out: str | None = None) -> DataFrame:

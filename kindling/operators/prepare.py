@@ -7,9 +7,11 @@ Scale notes
 * ``balanced_sample`` never ranks a whole class in one task. Rows get a repeatable
   md5 order key; a histogram over the first hex digits of that key (a bounded
   table: parts × 2 labels × 16**digits rows) shows, per (part, label), the bucket
-  where the running count reaches k. Lower buckets are kept whole, higher ones
-  dropped, and only rows of the one crossing bucket are ranked. The result is
-  exactly the k smallest keys, the same rows a global ``row_number`` would keep.
+  where the running count reaches k. Only rows of that crossing bucket are ranked,
+  to find the k-th smallest (key hash, key) of the class; the sample is then one
+  narrow filter against that cutoff. The result is exactly the k smallest keys,
+  the same rows a global ``row_number`` would keep. Three scans of the source
+  (histogram, crossing bucket, selection), no union, no full-class window.
 * Scaler statistics are one aggregate (wide form) or an ``unpivot`` +
   ``groupBy(feature)`` (long form, above ``long_form_above`` columns). Only the
   parameter rows (one per feature) reach the driver, to become literals.
@@ -118,12 +120,16 @@ def balanced_sample(df: DataFrame, key: str, label: str, part_col: str = "part",
                         F.col("_x._b").alias("_bx"),
                         (F.col("_x.k") - (F.col("_x._cum") - F.col("_x._cnt"))).alias("_need")))
     # k >= 1 whenever both classes exist, so every (part, label) crosses somewhere.
-    tagged = rows.join(F.broadcast(crossing), [part_col, label])  # at most parts × 2 rows
-    whole = tagged.filter(F.col("_b") < F.col("_bx"))
-    edge = tagged.filter(F.col("_b") == F.col("_bx"))
+    # The k-th smallest (hash, key) of a class lies in its crossing bucket at rank
+    # _need; only that bucket's rows are ranked (at most parts × 2 small windows).
+    edge = rows.join(F.broadcast(crossing), [part_col, label]).filter(F.col("_b") == F.col("_bx"))
     rn = F.row_number().over(Window.partitionBy(part_col, label).orderBy("_h", key))
-    edge = edge.withColumn("_rn", rn).filter(F.col("_rn") <= F.col("_need")).drop("_rn")
-    return whole.unionByName(edge).drop("_h", "_b", "_bx", "_need")
+    cutoff = (edge.withColumn("_rn", rn).filter(F.col("_rn") == F.col("_need"))
+              .select(part_col, label, F.col("_h").alias("_hc"), F.col(key).alias("_kc")))
+    # Every kept row is at or below the cutoff in (hash, key) order: one narrow filter.
+    keep = (F.col("_h") < F.col("_hc")) | ((F.col("_h") == F.col("_hc")) & (F.col(key) <= F.col("_kc")))
+    return (rows.join(F.broadcast(cutoff), [part_col, label])  # at most parts × 2 rows
+            .filter(keep).drop("_h", "_b", "_hc", "_kc"))
 
 
 def shuffle_order(df: DataFrame, key: str, seed: int = 42, out_col: str = "shuffle_key") -> DataFrame:

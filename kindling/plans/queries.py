@@ -263,12 +263,10 @@ def q_group_profile(spark, sf):
 
 def _daily_filled(spark, sf):
     """Gap-free daily grid per user with linearly interpolated values."""
-    daily = T.events_daily(spark, sf)
-    grid = DV.daily_grid(daily.drop("n_events"), "user_id", "day", "value")
-    counts = daily.select("user_id", "day", "n_events")
+    grid = DV.daily_grid(T.events_daily(spark, sf), "user_id", "day", ["value", "n_events"])
     filled = DV.interpolate_linear(grid, "user_id", "day", "value", out="value_filled")
-    return filled.join(counts, ["user_id", "day"], "left").select(
-        "user_id", "day", "value", "value_filled", F.coalesce("n_events", F.lit(0)).cast("bigint").alias("n_events"))
+    return filled.select("user_id", "day", "value", "value_filled",
+                         F.coalesce("n_events", F.lit(0)).cast("bigint").alias("n_events"))
 
 
 LAG_DAYS = (1, 2, 7)
