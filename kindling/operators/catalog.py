@@ -43,14 +43,11 @@ def feature_group_catalog(names: DataFrame, groups: Sequence[tuple[str, str]] =
     """``(feature, group)``: a name is in every group whose keyword it contains
     (case-insensitive substring, so groups overlap); names in none are ``other`` (F1)."""
     names = names.filter(~F.col("feature").isin(*exclude)) if exclude else names
-    kw = F.explode(F.array(*[F.struct(F.lit(g).alias("group"), F.lit(k.lower()).alias("keyword"))
-                             for g, k in groups]))
-    matched = (names.select("feature", kw.alias("g"))
-               .filter(F.lower("feature").contains(F.col("g.keyword")))
-               .select("feature", F.col("g.group").alias("group"))
-               .dropDuplicates(["feature", "group"]))
-    other = names.join(matched, "feature", "left_anti").select("feature", F.lit(OTHER).alias("group"))
-    return matched.unionByName(other)
+    kw = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(k.lower()).alias("keyword")) for g, k in groups])
+    hits = F.array_distinct(F.transform(F.filter(kw, lambda g: F.lower(F.col("feature")).contains(g["keyword"])),
+                                        lambda g: g["group"]))
+    tags = F.when(F.size(hits) == 0, F.array(F.lit(OTHER))).otherwise(hits)
+    return names.select("feature", F.explode(tags).alias("group"))
 
 
 def lag_catalog(names: DataFrame, exclude: Sequence[str] = DEFAULT_EXCLUDE, keep_lag_zero: bool = False) -> DataFrame:

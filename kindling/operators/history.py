@@ -48,9 +48,9 @@ def early_stop(history: DataFrame, metric: str = "val_f1", patience: int = 3, ru
     Every improvement is strictly above all earlier values, so the best metric is
     the largest improved value up to the stop."""
     h = improvement_marks(history, metric, run, epoch)
-    stop = h.groupBy(run).agg(F.min(F.when(F.col("since") >= patience, F.col(epoch))).alias("stop_epoch"),
-                              F.count(F.lit(1)).alias("n_epochs"))
-    j = h.join(stop, run).filter(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
+    # Same partitioning (run) as the marks' windows: no further shuffle before the aggregate.
+    h = h.withColumn("stop_epoch", F.min(F.when(F.col("since") >= patience, F.col(epoch))).over(Window.partitionBy(run)))
+    j = h.filter(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
     return j.groupBy(run).agg(
         F.first("stop_epoch").alias("stop_epoch"),
         F.count(F.lit(1)).alias("epochs_run"),

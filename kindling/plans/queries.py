@@ -130,9 +130,7 @@ def q_binary_metrics(spark, sf):
 
 def q_epoch_metrics(spark, sf):
     """Train-part loss and accuracy per model (E18) at threshold 0.5."""
-    ev = T.events_labelled(spark, sf)
-    train_keys = P.split_part(ev, "ts", T.EVENTS_CUT, P.TRAIN).select(F.col("event_id").alias("key"))
-    scored = _scored(spark, sf).join(train_keys, "key", "left_semi")
+    scored = T.events_scored(spark, sf, before=T.EVENTS_CUT)  # train part: ts < cut, pushed to the scan
     return _round(E.epoch_metrics(scored, 0.5).select("model", "loss", "accuracy", "n"), ["loss", "accuracy"])
 
 

@@ -41,9 +41,13 @@ def orders_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.month("o_orderdate").cast("double").alias("month"))
 
 
-def events_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logit table ``(key, model, label, logit)``: logit = (value - centre) / scale."""
+def events_logits(spark: SparkSession, sf_dir: str, before: dt.datetime | None = None) -> DataFrame:
+    """Logit table ``(key, model, label, logit)``: logit = (value - centre) / scale.
+
+    ``before`` keeps only events earlier than that instant (a filter on the scan)."""
     ev = events_labelled(spark, sf_dir)
+    if before is not None:
+        ev = ev.filter(F.col("ts") < F.lit(before))
     models = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(c).alias("c"), F.lit(s).alias("s"))
                                  for n, c, s in SCORE_MODELS]))
     return (ev.select("event_id", "label", "value", models.alias("m"))
@@ -51,9 +55,9 @@ def events_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ((F.col("value") - F.col("m.c")) / F.col("m.s")).alias("logit")))
 
 
-def events_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_scored(spark: SparkSession, sf_dir: str, before: dt.datetime | None = None) -> DataFrame:
     """Scored table ``(key, model, label, score)``: score = round(sigmoid(logit), 4)."""
-    lg = events_logits(spark, sf_dir)
+    lg = events_logits(spark, sf_dir, before)
     return lg.select("key", "model", "label",
                      F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit"))), 4).alias("score"))
 
