@@ -112,7 +112,7 @@ rates AS (
   FROM cells)"""
 
 
-FIXED_THR = "SELECT DISTINCT model, 0.5 AS threshold FROM counts"
+FIXED_THR = "SELECT DISTINCT model, CAST(0.5 AS DOUBLE) AS threshold FROM counts"
 
 EVALUATION = COUNTS + cells("SELECT model, threshold FROM best") + f""",
 losses AS (SELECT model, sum(pos * {bce('score', '1')} + neg * {bce('score', '0')})
@@ -248,7 +248,7 @@ SQL["evaluation"] = "WITH " + SCORED + EVALUATION + "\n" + EVAL_SELECT
 
 SQL["model_comparison"] = "WITH " + SCORED + EVALUATION + """
 SELECT model, round(accuracy, 6) AS accuracy, round(auc, 6) AS auc, round(precision, 6) AS precision,
-       round(recall, 6) AS recall, round(f1, 6) AS f1, 0.0 AS training_time, CAST(2 AS BIGINT) AS parameters
+       round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(0.0 AS DOUBLE) AS training_time, CAST(2 AS BIGINT) AS parameters
 FROM evaluation"""
 
 SQL["metric_bars"] = "WITH " + SCORED + EVALUATION + """
@@ -306,11 +306,11 @@ ORDER BY abs(c) DESC NULLS LAST, feature LIMIT 3"""
 
 # --- derived tables ----------------------------------------------------------------------------
 
-FILLED = """daily AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day,
+FILLED = """daily AS (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS day,
                          avg(value) AS value, count(*) AS n_events
                   FROM events GROUP BY 1, 2),
 span AS (SELECT user_id, min(day) AS lo, max(day) AS hi FROM daily GROUP BY user_id),
-grid AS (SELECT user_id, unnest(range(lo, hi + 1)) AS day FROM span),
+grid AS (SELECT user_id, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS day FROM span),
 g AS (SELECT grid.user_id, grid.day, d.value, d.n_events FROM grid LEFT JOIN daily d USING (user_id, day)),
 g2 AS (SELECT *,
          max(CASE WHEN value IS NOT NULL THEN day END) OVER (PARTITION BY user_id ORDER BY day
@@ -385,7 +385,7 @@ HIST = """hd AS (
          coalesce(avg(CASE WHEN event_type = 'error' THEN value END), 0.0) / 100.0 AS val_acc,
          min(value) AS mn, max(value) AS mx
   FROM events GROUP BY 1, 2),
-hist AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY day) - 1 AS epoch, day,
+hist AS (SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY day) - 1 AS INTEGER) AS epoch, day,
                 train_loss, train_acc, train_auc, val_loss, val_acc, mn / 100.0 AS val_auc,
                 mx / 1000.0 AS val_precision, (mx - mn) / 1000.0 AS val_recall, val_f1 FROM hd),
 sched AS (SELECT *, (epoch % 2 = 0) OR (epoch = max(epoch) OVER (PARTITION BY run)) AS searched_epoch FROM hist),
@@ -405,8 +405,8 @@ h2 AS (SELECT *, coalesce(max(CASE WHEN improved THEN epoch END) OVER (PARTITION
                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS last_improved FROM h),
 h3 AS (SELECT *, epoch - last_improved AS since FROM h2),
 st AS (SELECT run, min(CASE WHEN since >= 3 THEN epoch END) AS stop_epoch FROM h3 GROUP BY run)
-SELECT h3.run, st.stop_epoch, count(*) AS epochs_run,
-       coalesce(max(CASE WHEN improved THEN epoch END), -1) AS best_epoch,
+SELECT h3.run, CAST(st.stop_epoch AS INTEGER) AS stop_epoch, count(*) AS epochs_run,
+       CAST(coalesce(max(CASE WHEN improved THEN epoch END), -1) AS INTEGER) AS best_epoch,
        round(max(CASE WHEN improved THEN val_f1 END), 6) AS best_metric
 FROM h3 JOIN st USING (run) WHERE st.stop_epoch IS NULL OR h3.epoch <= st.stop_epoch
 GROUP BY h3.run, st.stop_epoch"""
