@@ -102,6 +102,9 @@ def balanced_sample(df: DataFrame, key: str, label: str, part_col: str = "part",
     # Histogram: at most parts × 2 × 16**digits rows. Class sizes, k per part and the
     # crossing bucket all come from windows over this small table (one pass over rows).
     hist = rows.groupBy(part_col, label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    # Clustering the small histogram by part once satisfies every window and
+    # aggregate below ((part), (part, label)) without further shuffles.
+    hist = hist.repartition(part_col)
     w_cls = Window.partitionBy(part_col, label)
     w_cum = w_cls.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w_part = Window.partitionBy(part_col)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,7 +52,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local_dir
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df, how: str | None = None):
+    """Cut the lineage of ``df`` into the shared checkpoint folder (never localCheckpoint).
+
+    ``how="table"`` (default) writes the rows once as a parquet table under the
+    folder and reads it back: the plan runs once, later scans get column pruning
+    and predicate pushdown, and the files outlive any executor. ``how="rdd"`` uses
+    Spark's reliable ``checkpoint()``.
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    how = how or os.environ.get("KINDLING_CUT", "table")
+    if how == "rdd":
+        return df.checkpoint(eager=True)
+    path = os.path.join(root, "kindling-tables", uuid.uuid4().hex)
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
