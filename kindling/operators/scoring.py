@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindling.functions import arrays as A
 from kindling.functions.columns import activation
@@ -41,11 +42,64 @@ def entropy_scores(df: DataFrame, features: str, n_landcover: int = 4, k: float
 
 # --- N2 --------------------------------------------------------------------------------------------
 
+# Above this many weights a dense layer runs as one numpy matmul per Arrow batch;
+# at or below it, as SQL higher-order functions that stay inside the JVM.
+DENSE_SQL_MAX_WEIGHTS = 1024
+
+
 def dense_layer(df: DataFrame, features: str, weights: Sequence[Sequence[float]], bias: Sequence[float] | None = None,
                 act: str = "identity", out: str = "hidden") -> DataFrame:
-    """``act(x · W + b)`` on an array column (N2); ``weights`` are I × J rows."""
-    _check_size(len(weights) * len(weights[0]), "weight matrix")
-    return df.withColumn(out, A.dense(features, weights, bias, act))
+    """``act(x · W + b)`` on an array column (N2); ``weights`` are I × J rows.
+
+    Small layers are SQL expressions (one dot product per output unit); larger
+    ones are a ``mapInPandas`` matmul with broadcast weights, since per-element
+    lambdas grow with I × J while a BLAS product per batch does not."""
+    n_in, n_out = len(weights), len(weights[0])
+    _check_size(n_in * n_out, "weight matrix")
+    if n_in * n_out <= DENSE_SQL_MAX_WEIGHTS:
+        return df.withColumn(out, A.dense(features, weights, bias, act))
+    return dense_layer_numpy(df, features, weights, bias, act, out)
+
+
+def _np_act(x: np.ndarray, act: str) -> np.ndarray:
+    if act in ("identity", "linear", None):
+        return x
+    if act == "relu":
+        return np.maximum(x, 0.0)
+    if act == "sigmoid":
+        return 1.0 / (1.0 + np.exp(-x))
+    if act == "tanh":
+        return np.tanh(x)
+    if act == "selu":
+        from kindling.functions.columns import SELU_ALPHA, SELU_SCALE
+
+        return SELU_SCALE * np.where(x > 0, x, SELU_ALPHA * (np.exp(x) - 1.0))
+    if act == "gelu_tanh":
+        return 0.5 * x * (1.0 + np.tanh(0.7978845608028654 * (x + 0.044715 * x ** 3)))
+    if act == "gelu":
+        return _gelu(x)
+    raise ValueError(f"unknown activation {act!r}")
+
+
+def dense_layer_numpy(df: DataFrame, features: str, weights, bias=None, act: str = "identity",
+                      out: str = "hidden") -> DataFrame:
+    """N2 as one ``mapInPandas`` pass: every other column passes through unchanged."""
+    w = np.asarray(weights, dtype=np.float64)
+    b = np.zeros(w.shape[1]) if bias is None else np.asarray(bias, dtype=np.float64)
+    _check_size(w.size, "weight matrix")
+    bc = df.sparkSession.sparkContext.broadcast((w, b, act))
+
+    def run(batches):
+        wm, bv, a = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf[features].to_numpy()).astype(np.float64)
+            pdf[out] = list(_np_act(x @ wm + bv, a))
+            yield pdf
+
+    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return df.mapInPandas(run, schema)
 
 
 def dense_layer_long(long: DataFrame, weights: DataFrame, bias: DataFrame, key: str = "key",
@@ -146,7 +200,13 @@ def branch_concat(df: DataFrame, features: str, branch_weights: Sequence[Sequenc
                   branch_bias: Sequence[Sequence[float]], residual_weights: Sequence[Sequence[float]],
                   act: str = "relu", out: str = "branches") -> DataFrame:
     """Multi-branch features (N9): contiguous slices, a dense layer per slice, concatenation,
-    and a residual add of a linear map of the whole vector."""
+    and a residual add of a linear map of the whole vector.
+
+    Small weight sets run as SQL expressions, larger ones as one numpy pass."""
+    n_w = sum(len(w) * len(w[0]) for w in branch_weights) + len(residual_weights) * len(residual_weights[0])
+    _check_size(n_w, "branch weights")
+    if n_w > DENSE_SQL_MAX_WEIGHTS:
+        return _branch_concat_numpy(df, features, branch_weights, branch_bias, residual_weights, act, out)
     slices = A.feature_slices(features, len(branch_weights))
     outs = [A.dense(s, w, b, act) for s, w, b in zip(slices, branch_weights, branch_bias)]
     cat = F.concat(*outs)
@@ -154,6 +214,29 @@ def branch_concat(df: DataFrame, features: str, branch_weights: Sequence[Sequenc
     return df.withColumn(out, A.residual_add(cat, res))
 
 
+def _branch_concat_numpy(df, features, branch_weights, branch_bias, residual_weights, act, out):
+    ws = [np.asarray(w, dtype=np.float64) for w in branch_weights]
+    bs = [np.asarray(b, dtype=np.float64) for b in branch_bias]
+    r = np.asarray(residual_weights, dtype=np.float64)
+    bc = df.sparkSession.sparkContext.broadcast((ws, bs, r, act))
+
+    def run(batches):
+        wl, bl, rm, a = bc.value
+        k = len(wl)
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf[features].to_numpy()).astype(np.float64)
+            base = x.shape[1] // k
+            edges = [i * base for i in range(k)] + [x.shape[1]]
+            parts = [_np_act(x[:, edges[i]:edges[i + 1]] @ wl[i] + bl[i], a) for i in range(k)]
+            pdf[out] = list(np.concatenate(parts, axis=1) + x @ rm)
+            yield pdf
+
+    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return df.mapInPandas(run, schema)
+
+
 # --- N7 / N8: numpy batches -----------------------------------------------------------------------
 
 _ERF = np.frompyfunc(__import__("math").erf, 1, 1)

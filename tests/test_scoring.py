@@ -90,3 +90,31 @@ def test_feature_slices_sizes(spark):
     assert [len(four[i]) for i in range(4)] == [2, 2, 2, 4]
     three = df.select(*[s.alias(f"s{i}") for i, s in enumerate(A.feature_slices("x", 3))]).collect()[0]
     assert [len(three[i]) for i in range(3)] == [3, 3, 4]
+
+
+def test_wide_dense_numpy_path_equals_sql_form(spark):
+    rng = np.random.default_rng(5)
+    w = rng.normal(size=(40, 30)).tolist()  # 1200 weights: above the SQL bound
+    b = rng.normal(size=30).tolist()
+    df = spark.createDataFrame([(k, rng.normal(size=40).tolist()) for k in range(25)], "key long, x array<double>")
+    got = {r.key: r.hidden for r in S.dense_layer(df, "x", w, b, act="selu").collect()}
+    want = {r.key: r.h for r in df.select("key", A.dense("x", w, b, "selu").alias("h")).collect()}
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-9)
+
+
+def test_wide_branch_concat_numpy_path_equals_sql_form(spark):
+    rng = np.random.default_rng(6)
+    rows_per_slice = [10, 10, 10, 12]  # width 42 in four slices: 10, 10, 10 and the rest
+    bw = [rng.normal(size=(n, 8)).tolist() for n in rows_per_slice]
+    bb = [rng.normal(size=8).tolist() for _ in range(4)]
+    rw = rng.normal(size=(42, 32)).tolist()  # 1664 weights in total: above the SQL bound
+    df = spark.createDataFrame([(k, rng.normal(size=42).tolist()) for k in range(10)], "key long, x array<double>")
+    got = {r.key: r.branches for r in S.branch_concat(df, "x", bw, bb, rw).collect()}
+    sl = A.feature_slices("x", 4)
+    cat = F.concat(*[A.dense(s_, w, b_, "relu") for s_, w, b_ in zip(sl, bw, bb)])
+    want_df = df.select("key", A.residual_add(cat, A.dense("x", rw, None, "identity")).alias("v"))
+    want = {r.key: r.v for r in want_df.collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-9)
