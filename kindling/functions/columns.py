@@ -77,3 +77,40 @@ def clean_name(name: str) -> str:
     if not out:
         raise ValueError(f"column name {name!r} has no letters or digits")
     return out
+
+
+# --- SQL text builders: wide tables get one selectExpr instead of thousands of Column calls ---
+
+def sql_ident(name: str) -> str:
+    """Backtick-quoted identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_str(s: str) -> str:
+    """Single-quoted string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_double(x: float) -> str:
+    """Exact double literal (the shortest repr round-trips through the string cast)."""
+    x = float(x)
+    if x != x:
+        text = "NaN"
+    elif x in (float("inf"), float("-inf")):
+        text = "Infinity" if x > 0 else "-Infinity"
+    else:
+        text = repr(x)
+    return f"CAST('{text}' AS DOUBLE)"
+
+
+def sql_clean_double(name: str) -> str:
+    """The column as double with NaN turned into null."""
+    v = f"CAST({sql_ident(name)} AS DOUBLE)"
+    return f"CASE WHEN isnan({v}) THEN NULL ELSE {v} END"
+
+
+def stack_expr(features, value_sql=None, name_col: str = "feature", value_col: str = "value") -> str:
+    """``stack(n, 'f1', v1, …) AS (feature, value)``: long form as one generator expression."""
+    value_sql = value_sql or (lambda c: f"CAST({sql_ident(c)} AS DOUBLE)")
+    pairs = ", ".join(f"{sql_str(c)}, {value_sql(c)}" for c in features)
+    return f"stack({len(features)}, {pairs}) AS ({sql_ident(name_col)}, {sql_ident(value_col)})"

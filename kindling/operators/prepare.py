@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.functions.columns import hash_order
+from kindling.functions.columns import hash_order, sql_clean_double, sql_double, sql_ident, stack_expr
 from kindling.session import cut_lineage
 
 TRAIN, VALID = "train", "valid"
@@ -161,8 +161,7 @@ def fit_scaler(df: DataFrame, features: Sequence[str], long_form_above: int = 10
             for c in features]))
         stats = wide.select(stack.alias("s")).select("s.*")
     else:
-        long = df.select(*[_numeric_or_null(c).alias(c) for c in features]).unpivot(
-            [], features, "feature", "value")
+        long = df.selectExpr(stack_expr(features, sql_clean_double))
         stats = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     return stats.select("feature", "mean",
                         F.when((F.col("std") == 0) | F.col("std").isNull(), F.lit(1.0)).otherwise(F.col("std")).alias("std"))
@@ -180,15 +179,15 @@ def scaler_transform(df: DataFrame, params, features: Sequence[str] | None = Non
     """``(x - mean) / std`` with the fitted parameters as literals: a narrow projection (P10)."""
     p = params if isinstance(params, dict) else collect_params(params)
     features = list(features) if features is not None else list(p)
-    out = df
+    scaled = {}
     for c in features:
         mean, std = p[c]
-        if mean is None:
-            scaled = F.lit(None).cast("double")
-        else:
-            scaled = (_numeric_or_null(c) - F.lit(float(mean))) / F.lit(float(std))
-        out = out.withColumn(c + suffix, scaled)
-    return out
+        scaled[c + suffix] = ("CAST(NULL AS DOUBLE)" if mean is None else
+                              f"({sql_clean_double(c)} - {sql_double(mean)}) / {sql_double(std)}")
+    # one projection written as SQL text: cheap to build and analyse for hundreds of columns
+    exprs = [f"{scaled.pop(c)} AS {sql_ident(c)}" if c in scaled else sql_ident(c) for c in df.columns]
+    exprs += [f"{e} AS {sql_ident(c)}" for c, e in scaled.items()]
+    return df.selectExpr(*exprs)
 
 
 def assemble(df: DataFrame, features: Sequence[str], out_col: str = "features") -> DataFrame:

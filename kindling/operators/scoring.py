@@ -132,11 +132,8 @@ def batch_norm(df: DataFrame, cols: Sequence[str], params: DataFrame | dict | No
     if not isinstance(p, dict):
         rows = p.limit(len(cols) + 1).collect()  # one row per column
         p = {r["feature"]: (r["mean"], r["var"]) for r in rows}
-    out = df
-    for c in cols:
-        mean, var = p[c]
-        out = out.withColumn(c + suffix, (F.col(c).cast("double") - F.lit(float(mean))) / F.lit(float(np.sqrt(var + eps))))
-    return out
+    return df.withColumns({c + suffix: (F.col(c).cast("double") - F.lit(float(p[c][0])))
+                           / F.lit(float(np.sqrt(p[c][1] + eps))) for c in cols})
 
 
 def layer_norm(df: DataFrame, features: str, eps: float = BN_EPS, out: str | None = None) -> DataFrame:
