@@ -42,6 +42,56 @@ def entropy_scores(df: DataFrame, features: str, n_landcover: int = 4, k: float
 
 # --- N2 --------------------------------------------------------------------------------------------
 
+def _vectors(col) -> np.ndarray:
+    """A fixed-width list column of an Arrow batch as an (n, width) float64 matrix."""
+    import pyarrow as pa
+
+    if col.null_count:
+        raise ValueError("feature vectors must not be null")
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    offsets = col.offsets.to_numpy()
+    width = int(offsets[1] - offsets[0]) if n else 0
+    if n and not np.all(np.diff(offsets) == width):
+        raise ValueError("feature vectors must all have the same length")
+    values = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(n, width)
+
+
+def _list_array(y: np.ndarray):
+    """(n, k) → list<double>; (n, f, w) → list<list<double>>; no per-row Python objects."""
+    import pyarrow as pa
+
+    y = np.ascontiguousarray(y, dtype=np.float64)
+    inner = pa.array(y.ravel(), type=pa.float64())
+    for depth in range(y.ndim - 1, 0, -1):
+        count = int(np.prod(y.shape[:depth]))
+        size = y.shape[depth]
+        offsets = pa.array(np.arange(0, (count + 1) * size, size, dtype=np.int32))
+        inner = pa.ListArray.from_arrays(offsets, inner)
+    return inner
+
+
+def map_vectors(df: DataFrame, features: str, fn, out: str, out_type: T.DataType) -> DataFrame:
+    """Apply ``fn`` ((n, width) matrix → (n, k) or (n, f, w) array) to a vector column in
+    Arrow batches with ``mapInArrow``; every other column passes through untouched."""
+    import pyarrow as pa
+
+    keep = [f for f in df.schema.fields if f.name != out]
+    schema = T.StructType(keep + [T.StructField(out, out_type)])
+
+    def run(batches):
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            y = _list_array(fn(_vectors(rb.column(rb.schema.get_field_index(features)))))
+            cols = [rb.column(rb.schema.get_field_index(f.name)) for f in keep]
+            yield pa.RecordBatch.from_arrays(cols + [y], names=[f.name for f in keep] + [out])
+
+    return df.mapInArrow(run, schema)
+
+
 # Above this many weights a dense layer runs as one numpy matmul per Arrow batch;
 # at or below it, as SQL higher-order functions that stay inside the JVM.
 DENSE_SQL_MAX_WEIGHTS = 1024
@@ -83,23 +133,17 @@ def _np_act(x: np.ndarray, act: str) -> np.ndarray:
 
 def dense_layer_numpy(df: DataFrame, features: str, weights, bias=None, act: str = "identity",
                       out: str = "hidden") -> DataFrame:
-    """N2 as one ``mapInPandas`` pass: every other column passes through unchanged."""
+    """N2 as one Arrow-batched matmul with broadcast weights; other columns pass through."""
     w = np.asarray(weights, dtype=np.float64)
     b = np.zeros(w.shape[1]) if bias is None else np.asarray(bias, dtype=np.float64)
     _check_size(w.size, "weight matrix")
     bc = df.sparkSession.sparkContext.broadcast((w, b, act))
 
-    def run(batches):
+    def fn(x):
         wm, bv, a = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[features].to_numpy()).astype(np.float64)
-            pdf[out] = list(_np_act(x @ wm + bv, a))
-            yield pdf
+        return _np_act(x @ wm + bv, a)
 
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    return df.mapInPandas(run, schema)
+    return map_vectors(df, features, fn, out, T.ArrayType(T.DoubleType()))
 
 
 def dense_layer_long(long: DataFrame, weights: DataFrame, bias: DataFrame, key: str = "key",
@@ -143,11 +187,29 @@ def layer_norm(df: DataFrame, features: str, eps: float = BN_EPS, out: str | Non
 
 # --- N5 --------------------------------------------------------------------------------------------
 
+# Above this many filters the convolution runs as shifted numpy products per Arrow
+# batch; at or below it, as SQL higher-order functions.
+CONV_SQL_MAX_FILTERS = 4
+
+
 def conv_features(df: DataFrame, features: str, kernels: Sequence[Sequence[float]], act: str = "identity",
                   out: str = "conv") -> DataFrame:
     """Width-3, zero-padded convolution along the feature order with one output per
     kernel ``(l, m, r, b)`` (N5): ``array<array<double>>`` of filters × positions."""
-    return df.withColumn(out, A.conv1d_filters(features, kernels, act))
+    if len(kernels) <= CONV_SQL_MAX_FILTERS:
+        return df.withColumn(out, A.conv1d_filters(features, kernels, act))
+    k = np.asarray(kernels, dtype=np.float64)
+    bc = df.sparkSession.sparkContext.broadcast((k, act))
+
+    def fn(x):
+        kern, a = bc.value
+        prev = np.zeros_like(x)
+        prev[:, 1:] = x[:, :-1]
+        nxt = np.zeros_like(x)
+        nxt[:, :-1] = x[:, 1:]
+        return np.stack([_np_act(l * prev + m * x + r * nxt + b, a) for l, m, r, b in kern], axis=1)
+
+    return map_vectors(df, features, fn, out, T.ArrayType(T.ArrayType(T.DoubleType())))
 
 
 # --- N6 --------------------------------------------------------------------------------------------
@@ -217,21 +279,15 @@ def _branch_concat_numpy(df, features, branch_weights, branch_bias, residual_wei
     r = np.asarray(residual_weights, dtype=np.float64)
     bc = df.sparkSession.sparkContext.broadcast((ws, bs, r, act))
 
-    def run(batches):
+    def fn(x):
         wl, bl, rm, a = bc.value
         k = len(wl)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[features].to_numpy()).astype(np.float64)
-            base = x.shape[1] // k
-            edges = [i * base for i in range(k)] + [x.shape[1]]
-            parts = [_np_act(x[:, edges[i]:edges[i + 1]] @ wl[i] + bl[i], a) for i in range(k)]
-            pdf[out] = list(np.concatenate(parts, axis=1) + x @ rm)
-            yield pdf
+        base = x.shape[1] // k
+        edges = [i * base for i in range(k)] + [x.shape[1]]
+        parts = [_np_act(x[:, edges[i]:edges[i + 1]] @ wl[i] + bl[i], a) for i in range(k)]
+        return np.concatenate(parts, axis=1) + x @ rm
 
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    return df.mapInPandas(run, schema)
+    return map_vectors(df, features, fn, out, T.ArrayType(T.DoubleType()))
 
 
 # --- N7 / N8: numpy batches -----------------------------------------------------------------------
@@ -297,19 +353,12 @@ def frozen_block_features(df: DataFrame, features: str, block: FrozenBlock, key:
     _check_size(block.n_values(), "frozen block")
     bc = df.sparkSession.sparkContext.broadcast(block)
 
-    def run(batches):
-        import pandas as pd
-
-        blk = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[features].to_numpy()).astype(np.float64)
-            y = blk.forward(x).astype(np.float32)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), out: list(y)})
+    def fn(x):
+        # float32 in, float32 out as the block's features; the maths runs in float64
+        return bc.value.forward(x.astype(np.float32).astype(np.float64)).astype(np.float32)
 
-    key_type = df.schema[key].dataType.simpleString()
-    return df.select(key, features).mapInPandas(run, f"{key} {key_type}, {out} array<float>")
+    out_df = map_vectors(df.select(key, features), features, fn, out, T.ArrayType(T.DoubleType()))
+    return out_df.select(key, F.col(out).cast("array<float>").alias(out))
 
 
 @dataclass

@@ -118,3 +118,14 @@ def test_wide_branch_concat_numpy_path_equals_sql_form(spark):
     assert set(got) == set(want)
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-9)
+
+
+def test_many_filter_conv_numpy_path_equals_sql_form(spark):
+    rng = np.random.default_rng(7)
+    kernels = [tuple(rng.normal(size=4)) for _ in range(6)]  # above the SQL filter bound
+    df = spark.createDataFrame([(k, rng.normal(size=9).tolist()) for k in range(12)], "key long, x array<double>")
+    got = {r.key: r.conv for r in S.conv_features(df, "x", kernels, act="relu").collect()}
+    want = {r.key: r.c for r in df.select("key", A.conv1d_filters("x", kernels, "relu").alias("c")).collect()}
+    for k in want:
+        for g, w in zip(got[k], want[k]):
+            assert g == pytest.approx(w, abs=1e-12)
