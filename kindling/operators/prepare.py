@@ -35,16 +35,25 @@ def drop_if_present(df: DataFrame, *cols: str) -> DataFrame:
     return df.drop(*[c for c in cols if c in df.columns])
 
 
+def instant(value, dtype) -> F.Column:
+    """A cut point as a literal of the column's own type.
+
+    Written as text and cast, so a wall-clock cut against a ``timestamp_ntz`` column
+    never passes through the session or Python time zone."""
+    text = value.isoformat(sep=" ") if hasattr(value, "isoformat") and hasattr(value, "hour") else str(value)
+    return F.lit(text).cast(dtype)
+
+
 def time_split(df: DataFrame, ts: str, cut, part_col: str = "part") -> DataFrame:
     """Tag rows ``train`` (ts < cut) or ``valid`` (ts >= cut); rows without ts are dropped."""
-    cut_col = F.lit(cut).cast(df.schema[ts].dataType)
+    cut_col = instant(cut, df.schema[ts].dataType)
     part = F.when(F.col(ts) < cut_col, F.lit(TRAIN)).when(F.col(ts) >= cut_col, F.lit(VALID))
     return df.withColumn(part_col, part).filter(F.col(part_col).isNotNull())
 
 
 def split_part(df: DataFrame, ts: str, cut, which: str) -> DataFrame:
     """One part only, as a filter on ``ts`` that reaches the parquet scan."""
-    cut_col = F.lit(cut).cast(df.schema[ts].dataType)
+    cut_col = instant(cut, df.schema[ts].dataType)
     cond = F.col(ts) < cut_col if which == TRAIN else F.col(ts) >= cut_col
     return df.filter(cond)
 

@@ -47,7 +47,9 @@ def events_logits(spark: SparkSession, sf_dir: str, before: dt.datetime | None =
     ``before`` keeps only events earlier than that instant (a filter on the scan)."""
     ev = events_labelled(spark, sf_dir)
     if before is not None:
-        ev = ev.filter(F.col("ts") < F.lit(before))
+        from kindling.operators.prepare import instant
+
+        ev = ev.filter(F.col("ts") < instant(before, ev.schema["ts"].dataType))
     models = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(c).alias("c"), F.lit(s).alias("s"))
                                  for n, c, s in SCORE_MODELS]))
     return (ev.select("event_id", "label", "value", models.alias("m"))

@@ -103,3 +103,16 @@ def test_prepare_balanced_and_scaled(spark):
     assert stats[0] == pytest.approx(0.0, abs=1e-9)
     assert stats[1] == pytest.approx(1.0, abs=1e-9)
     assert "ts" not in prepared.columns
+
+
+def test_cut_is_wall_clock_in_any_session_time_zone(spark):
+    cut = dt.datetime(2022, 1, 1)
+    df = spark.createDataFrame([(1, cut), (2, cut - dt.timedelta(seconds=1))], "k long, ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        got = {r.k: r.part for r in P.time_split(df, "ts", cut).collect()}
+        only = [r.k for r in P.split_part(df, "ts", cut, P.TRAIN).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == {1: "valid", 2: "train"} and only == [2]
