@@ -41,21 +41,25 @@ def improvement_marks(history: DataFrame, metric: str = "val_f1", run: str = "ru
 
 
 def early_stop(history: DataFrame, metric: str = "val_f1", patience: int = 3, run: str = "run",
-               epoch: str = "epoch") -> DataFrame:
+               epoch: str = "epoch", threshold: str | None = "threshold") -> DataFrame:
     """Per run: ``stop_epoch`` (first epoch with ``patience`` epochs without improvement, null if
     none), ``epochs_run``, ``best_epoch`` (-1 if never improved) and ``best_metric`` (T6).
 
     Every improvement is strictly above all earlier values, so the best metric is
-    the largest improved value up to the stop."""
+    the largest improved value up to the stop. When the history has a ``threshold``
+    column, ``final_threshold`` is its value at the last epoch run: the final
+    evaluation pairs the best epoch's model with the latest searched threshold."""
     h = improvement_marks(history, metric, run, epoch)
     # Same partitioning (run) as the marks' windows: no further shuffle before the aggregate.
     h = h.withColumn("stop_epoch", F.min(F.when(F.col("since") >= patience, F.col(epoch))).over(Window.partitionBy(run)))
     j = h.filter(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
-    return j.groupBy(run).agg(
-        F.first("stop_epoch").alias("stop_epoch"),
-        F.count(F.lit(1)).alias("epochs_run"),
-        F.coalesce(F.max(F.when(F.col("improved"), F.col(epoch))), F.lit(-1)).alias("best_epoch"),
-        F.max(F.when(F.col("improved"), F.col(metric))).alias("best_metric"))
+    aggs = [F.first("stop_epoch").alias("stop_epoch"),
+            F.count(F.lit(1)).alias("epochs_run"),
+            F.coalesce(F.max(F.when(F.col("improved"), F.col(epoch))), F.lit(-1)).alias("best_epoch"),
+            F.max(F.when(F.col("improved"), F.col(metric))).alias("best_metric")]
+    if threshold and threshold in history.columns:
+        aggs.append(F.max_by(F.col(threshold), F.col(epoch)).alias("final_threshold"))
+    return j.groupBy(run).agg(*aggs)
 
 
 def training_curves(history: DataFrame, series: Sequence[str] = HISTORY_SERIES, run: str = "run",

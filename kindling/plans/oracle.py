@@ -150,8 +150,10 @@ ORF = ["o_totalprice", "priority", "month"]
 
 SQL: dict[str, str] = {}
 
-SQL["table_profile"] = "WITH " + PARTS + """
-SELECT part, count(*) AS n_rows, 6 AS n_cols FROM parts GROUP BY part"""
+SQL["table_profile"] = "WITH " + BAL + """
+SELECT 'raw' AS stage, 'all' AS part, count(*) AS n_rows, 6 AS n_cols FROM ev
+UNION ALL SELECT 'split', part, count(*), 6 FROM parts GROUP BY part
+UNION ALL SELECT 'balanced', part, count(*), 6 FROM bal GROUP BY part"""
 
 SQL["class_counts"] = "WITH " + PARTS + """
 SELECT part, label, count(*) AS n FROM parts GROUP BY part, label"""
@@ -365,6 +367,12 @@ SELECT l.user_id, l.day, l.feature, round(l.value, 6) AS value, c.lag FROM long
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
+SQL["lag_profile"] = SQL["lag_groups"].rsplit("SELECT l.user_id", 1)[0] + """SELECT c.lag, count(*) AS n_values,
+       CAST(sum(CASE WHEN l.value IS NULL OR isnan(l.value) THEN 1 ELSE 0 END) AS BIGINT) AS n_null,
+       round(avg(l.value), 6) AS mean, round(stddev_pop(l.value), 6) AS std,
+       round(min(l.value), 6) AS min, round(max(l.value), 6) AS max
+FROM long l JOIN cat c USING (feature) GROUP BY c.lag"""
+
 SQL["standard_names"] = "SELECT c_nationkey, " + ", ".join(
     f"round(avg(CASE WHEN c_mktsegment = '{s}' THEN c_acctbal END), 6) AS {s.lower()}" for s in SEGMENTS) + \
     " FROM customer GROUP BY c_nationkey"
@@ -407,7 +415,8 @@ h3 AS (SELECT *, epoch - last_improved AS since FROM h2),
 st AS (SELECT run, min(CASE WHEN since >= 3 THEN epoch END) AS stop_epoch FROM h3 GROUP BY run)
 SELECT h3.run, CAST(st.stop_epoch AS INTEGER) AS stop_epoch, count(*) AS epochs_run,
        CAST(coalesce(max(CASE WHEN improved THEN epoch END), -1) AS INTEGER) AS best_epoch,
-       round(max(CASE WHEN improved THEN val_f1 END), 6) AS best_metric
+       round(max(CASE WHEN improved THEN val_f1 END), 6) AS best_metric,
+       round(arg_max(threshold, epoch), 6) AS final_threshold
 FROM h3 JOIN st USING (run) WHERE st.stop_epoch IS NULL OR h3.epoch <= st.stop_epoch
 GROUP BY h3.run, st.stop_epoch"""
 

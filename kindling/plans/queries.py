@@ -33,7 +33,17 @@ def _events_parts(spark, sf):
 
 
 def q_table_profile(spark, sf):
-    return P.table_profile(_events_parts(spark, sf), "part")
+    """Rows and columns of the table before and after each preparation step."""
+    raw = T.events_labelled(spark, sf)
+    parts = P.time_split(raw, "ts", T.EVENTS_CUT)
+    bal = P.balanced_sample(parts, "event_id", "label")
+    stages = [("raw", P.table_profile(raw)), ("split", P.table_profile(parts, "part")),
+              ("balanced", P.table_profile(bal, "part"))]
+    out = None
+    for name, prof in stages:
+        prof = prof.select(F.lit(name).alias("stage"), "part", F.col("n_rows").cast("bigint"), "n_cols")
+        out = prof if out is None else out.unionByName(prof)
+    return out
 
 
 def q_class_counts(spark, sf):
@@ -293,6 +303,14 @@ def q_lag_groups(spark, sf):
     return _round(C.tag(long, cat).select("user_id", "day", "feature", "value", "lag"), ["value"])
 
 
+def q_lag_profile(spark, sf):
+    """Profile of the lag features per lag (F3 by lag)."""
+    lagged = _lagged(spark, sf)
+    names = [c for c in lagged.columns if c not in ("user_id", "day")]
+    tagged = C.tag(C.to_long(lagged, ["user_id", "day"], names), C.lag_catalog(C.names_frame(spark, names)))
+    return _round(C.group_profile(tagged, "lag"), ["mean", "std", "min", "max"])
+
+
 def q_feature_rank(spark, sf):
     li = T.lineitem_labelled(spark, sf)
     return _round(C.feature_rank(li, T.LINEITEM_FEATURES, "label", top=3).select("feature", "corr", "importance"),
@@ -323,7 +341,7 @@ def _history(spark, sf):
 
 
 def q_early_stop(spark, sf):
-    return _round(H.early_stop(_history(spark, sf), "val_f1", patience=3), ["best_metric"])
+    return _round(H.early_stop(_history(spark, sf), "val_f1", patience=3), ["best_metric", "final_threshold"])
 
 
 def q_threshold_carry(spark, sf):
@@ -338,6 +356,7 @@ QUERIES.update({
     "feature_groups": q_feature_groups,
     "group_profile": q_group_profile,
     "lag_groups": q_lag_groups,
+    "lag_profile": q_lag_profile,
     "feature_rank": q_feature_rank,
     "interpolated": q_interpolated,
     "lag_features": q_lag_features,

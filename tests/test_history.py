@@ -23,3 +23,13 @@ def test_threshold_carry(spark):
 def test_training_curves_long(spark):
     df = spark.createDataFrame([(1, 0, 0.1, 0.2)], "run long, epoch int, train_loss double, val_f1 double")
     assert H.training_curves(df).count() == 2
+
+
+def test_final_threshold_is_latest_search_up_to_stop(spark):
+    f1 = [0.5, 0.6, 0.6, 0.55, 0.6, 0.9]
+    df = spark.createDataFrame([(1, e, v, 0.1 * (e + 1)) for e, v in enumerate(f1)],
+                               "run long, epoch int, val_f1 double, s double")
+    sched = H.threshold_schedule(df, "s", n_epochs=6)
+    r = H.early_stop(sched, "val_f1", patience=3).collect()[0]
+    # searched at epochs 0, 2, 4 (and 5, never reached); stopped after epoch 4
+    assert r.stop_epoch == 4 and r.final_threshold == 0.5
