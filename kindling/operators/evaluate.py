@@ -282,22 +282,26 @@ def evaluation(scored: DataFrame, threshold=None, find_best: bool = False) -> Da
     """
     counts = score_counts(scored, materialize=True)
     summary = _with_pr(curve_counts(counts)).groupBy("model").agg(_auc_expr().alias("auc"), _best_expr().alias("b"))
+    # One per-model row (auc, threshold) joins the counts once, so the curve branch runs once.
     if find_best:
-        thr = summary.select("model", F.coalesce("b.threshold", F.lit(DEFAULT_THRESHOLD)).alias("threshold"))
+        per_model = summary.select("model", "auc", F.coalesce("b.threshold", F.lit(DEFAULT_THRESHOLD)).alias("threshold"))
+    elif threshold is None or isinstance(threshold, (int, float)):
+        t = DEFAULT_THRESHOLD if threshold is None else float(threshold)
+        per_model = summary.select("model", "auc", F.lit(t).alias("threshold"))
     else:
-        thr = threshold
-    c = _thresholds(counts, thr)
+        per_model = summary.select("model", "auc").join(threshold.select("model", "threshold"), "model")
+    c = counts.join(per_model, "model")
     above = F.col("score") > F.col("threshold")
     loss_sum = F.sum(F.col("pos") * bce_on_probs(F.col("score"), F.lit(1))
                      + F.col("neg") * bce_on_probs(F.col("score"), F.lit(0)))
-    cells = c.groupBy("model", "threshold").agg(
+    cells = c.groupBy("model", "threshold", "auc").agg(
         F.sum(F.when(~above, F.col("neg")).otherwise(0)).cast("bigint").alias("tn"),
         F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("bigint").alias("fp"),
         F.sum(F.when(~above, F.col("pos")).otherwise(0)).cast("bigint").alias("fn"),
         F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("bigint").alias("tp"),
         F.sum(F.col("pos") + F.col("neg")).cast("bigint").alias("n"),
         loss_sum.alias("_loss"))
-    out = rates(cells).withColumn("loss", F.col("_loss") / F.col("n")).join(summary.select("model", "auc"), "model")
+    out = rates(cells).withColumn("loss", F.col("_loss") / F.col("n"))
     return out.select("model", "n", "loss", "accuracy", "auc", "precision", "recall", "f1",
                       "tn", "fp", "fn", "tp", "threshold")
 

@@ -150,10 +150,10 @@ def dense_layer_long(long: DataFrame, weights: DataFrame, bias: DataFrame, key:
                      act: str = "identity") -> DataFrame:
     """Long form of N2: ``(key, i, x)`` ⋈ ``(i, j, w)`` → ``groupBy(key, j)`` Σ x·w, + ``(j, b)``.
 
-    The weight table is model-sized and broadcast; rows grow by J, so this form is
-    the check, not the default."""
-    prod = long.join(F.broadcast(weights), "i").groupBy(key, "j").agg(F.sum(F.col("x") * F.col("w")).alias("z"))
-    return prod.join(F.broadcast(bias), "j").select(key, "j", activation(F.col("z") + F.col("b"), act).alias("h"))
+    Rows grow by J, so this form is the check, not the default. The weight table's
+    size is not known here, so the join strategy is left to AQE's runtime size check."""
+    prod = long.join(weights, "i").groupBy(key, "j").agg(F.sum(F.col("x") * F.col("w")).alias("z"))
+    return prod.join(bias, "j").select(key, "j", activation(F.col("z") + F.col("b"), act).alias("h"))
 
 
 # --- N3 / N4 ---------------------------------------------------------------------------------------
@@ -249,7 +249,7 @@ def additive_scores_long(long: DataFrame, bins: dict[str, Bins], shape_table: Da
         e = F.when(F.col("feature") == f, b.index(F.col("value")))
         bin_col = e if bin_col is None else F.coalesce(bin_col, e)
     binned = long.withColumn("bin", bin_col)
-    return (binned.join(F.broadcast(shape_table), ["feature", "bin"], "left")
+    return (binned.join(shape_table, ["feature", "bin"], "left")  # join strategy left to AQE
             .groupBy(key).agg((F.lit(float(bias)) + F.sum(F.coalesce("w", F.lit(0.0)))).alias("additive_score")))
 
 
