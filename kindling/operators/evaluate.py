@@ -81,9 +81,9 @@ def curve_counts(counts: DataFrame, lo: float = 0.0, hi: float = 1.0, materializ
     c = counts.withColumn("one", F.lit(1).cast("bigint"))
     bucket = "_bk" if "_bk" in counts.columns else None
     run = running_sums_desc(c, ["model"], "score", ["pos", "neg", "one"], lo=lo, hi=hi, bucket_col=bucket)
-    cc = (run.select("model", "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-                     F.col("cum_one").alias("idx"))
-          .join(model_totals(counts), "model"))
+    cc = run.select("model", "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+                    F.col("cum_one").alias("idx"), F.col("tot_pos").alias("P"), F.col("tot_neg").alias("N"),
+                    F.col("tot_one").alias("M"))
     return cut_lineage(cc) if materialize else cc
 
 

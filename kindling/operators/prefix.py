@@ -30,7 +30,8 @@ def range_buckets(df: DataFrame, group_cols: Sequence[str], order_col: str, n: i
 def running_sums_desc(df: DataFrame, group_cols: Sequence[str], order_col: str, sum_cols: Sequence[str],
                       lo: float = 0.0, hi: float = 1.0, n_buckets: int = 1 << 16,
                       prefix: str = "cum_", bucket_col: str | None = None) -> DataFrame:
-    """Add ``cum_<c>`` = Σ c over rows of the same group whose ``order_col`` is >= this row's.
+    """Add ``cum_<c>`` = Σ c over rows of the same group whose ``order_col`` is >= this row's,
+    and the group total ``tot_<c>``.
 
     ``df`` must hold one row per (group, order value), e.g. distinct scores with
     their counts. Buckets are either ``bucket_col`` (any integer tag that does not
@@ -49,8 +50,10 @@ def running_sums_desc(df: DataFrame, group_cols: Sequence[str], order_col: str,
         d = df.withColumn("_bk", b)
     totals = d.groupBy(*g, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.partitionBy(*g).orderBy(F.col("_bk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*g, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
-                                         for c in sum_cols])
+    whole = Window.partitionBy(*g)
+    offsets = totals.select(*g, "_bk",
+                            *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
+                            *[F.sum(f"_t_{c}").over(whole).alias(f"tot_{c}") for c in sum_cols])
     # offsets has at most groups × n_buckets rows; AQE turns this join into a
     # broadcast when the materialised side is small and keeps a shuffle join otherwise.
     joined = d.join(offsets, [*g, "_bk"])
