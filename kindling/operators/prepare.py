@@ -144,9 +144,15 @@ def balanced_sample(df: DataFrame, key: str, label: str, part_col: str = "part",
             .filter(keep).drop("_h", "_b", "_hc", "_kc"))
 
 
+def with_shuffle_key(df: DataFrame, key: str, seed: int = 42, out_col: str = "shuffle_key") -> DataFrame:
+    """The repeatable shuffle position (P6) as a column: md5 with a salt of its own (the
+    sampling salt would put the kept majority rows first)."""
+    return df.withColumn(out_col, hash_order(key, f"shuffle:{seed}:"))
+
+
 def shuffle_order(df: DataFrame, key: str, seed: int = 42, out_col: str = "shuffle_key") -> DataFrame:
-    """Repeatable shuffle (P6): a separate md5 salt, sorted by a distributed range sort."""
-    return df.withColumn(out_col, hash_order(key, f"shuffle:{seed}:")).orderBy(out_col, key)
+    """Repeatable shuffle (P6), sorted by a distributed range sort; use it at the sink."""
+    return with_shuffle_key(df, key, seed, out_col).orderBy(out_col, key)
 
 
 def _numeric_or_null(c: str):
@@ -210,7 +216,8 @@ def prepare(df: DataFrame, key: str, label: str, ts: str, cut, features: Sequenc
     balanced train part, scale both parts, drop the date, add the shuffle key.
 
     Returns the prepared table ``(key, part, label, features…, shuffle_key)`` and the
-    scaler parameters.
+    scaler parameters. Rows are not sorted: order by ``shuffle_key`` at the sink
+    (``shuffle_order``), since fits and evaluations do not need the sort.
     """
     base = df.select(key, label, ts, *features)
     parts = time_split(base, ts, cut, part_col)
@@ -218,4 +225,4 @@ def prepare(df: DataFrame, key: str, label: str, ts: str, cut, features: Sequenc
     balanced = cut_lineage(drop_if_present(balanced_sample(parts, key, label, part_col, cap=cap, seed=seed), ts))
     params = collect_params(fit_scaler(balanced.filter(F.col(part_col) == TRAIN), features))
     scaled = scaler_transform(balanced, params, features)
-    return shuffle_order(scaled, key, seed), params
+    return with_shuffle_key(scaled, key, seed), params

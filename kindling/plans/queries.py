@@ -462,7 +462,7 @@ from kindling.operators import fit as FT  # noqa: E402
 def _events_prepared(spark, sf):
     ev = T.events_labelled(spark, sf)
     prepared, _ = P.prepare(ev, "event_id", "label", "ts", T.EVENTS_CUT, EVENT_FEATURES)
-    return cut_lineage(prepared)
+    return prepared  # a projection of the checkpointed sample: cheap to read for every fit
 
 
 def _fit_one(name):
