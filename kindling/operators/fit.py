@@ -1,8 +1,9 @@
 """Fitting class-weighted binary classifiers with Spark ML.
 
 Fits are distributed Spark ML jobs (L-BFGS with tree-aggregated gradients); the
-driver holds only coefficients. The prepared table is checkpointed once into the
-shared checkpoint folder and reused by every fit and evaluation.
+driver holds only coefficients. ``prepare`` checkpoints the balanced sample once into
+the shared checkpoint folder; the prepared table is a projection of it, read by
+every fit and evaluation without recomputing the sample.
 """
 
 from __future__ import annotations

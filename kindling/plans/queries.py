@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import sigmoid
+from kindling.functions import arrays as AR
+from kindling.operators import catalog as C
+from kindling.operators import derive as DV
+from kindling.operators import fit as FT
+from kindling.operators import history as H
+from kindling.operators import scoring as S
 from kindling.operators import evaluate as E
 from kindling.operators import prepare as P
 from kindling.plans import tables as T
@@ -250,10 +256,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # --- catalog -----------------------------------------------------------------------------------
 
-from kindling.operators import catalog as C  # noqa: E402
-from kindling.operators import derive as DV  # noqa: E402
-from kindling.operators import history as H  # noqa: E402
-
 
 def _lineitem_tagged(spark, sf):
     li = T.lineitem_labelled(spark, sf)
@@ -370,9 +372,6 @@ QUERIES.update({
 
 # --- scoring (N1–N9, F4) --------------------------------------------------------------------------
 
-from kindling.functions import arrays as AR  # noqa: E402
-from kindling.operators import scoring as S  # noqa: E402
-
 
 def _emb(spark, sf):
     return T.embeddings(spark, sf)
@@ -456,8 +455,6 @@ QUERIES.update({
 
 # --- fitting (T1–T5) -----------------------------------------------------------------------------
 
-from kindling.operators import fit as FT  # noqa: E402
-
 
 def _events_prepared(spark, sf):
     ev = T.events_labelled(spark, sf)

@@ -65,8 +65,12 @@ def events_scored(spark: SparkSession, sf_dir: str, before: dt.datetime | None =
 
 
 def events_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History table: run = user_id, one epoch per active day (0, 1, 2, … in day order),
-    metrics = daily means / 100 of event values by type."""
+    """History table: run = user_id, one epoch per active day (0, 1, 2, … in day order).
+
+    Metrics are daily statistics of event values: ``val_f1`` = mean / 100; the train
+    metrics, ``val_loss`` and ``val_acc`` = mean of one event type / 100 (0 without
+    such events); ``val_auc`` = min / 100, ``val_precision`` = max / 1000 and
+    ``val_recall`` = (max - min) / 1000."""
     from pyspark.sql import Window
 
     ev = table(spark, sf_dir, "events")
