@@ -115,6 +115,6 @@ def feature_rank(df: DataFrame, features: Sequence[str], label: str, top: int =
     else:
         long = to_long(df.withColumn("_y", y), ["_y"], features)  # stack: one generator
         scores = long.groupBy("feature").agg(F.corr("value", "_y").alias("corr"))
-    return (scores.withColumn("importance", F.abs("corr"))
-            .orderBy(F.col("importance").desc_nulls_last(), F.col("feature"))
-            .limit(top))
+    from kindling.operators.evaluate import top_n
+
+    return top_n(scores.withColumn("importance", F.abs("corr")), "importance", top, tie="feature")

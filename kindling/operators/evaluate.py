@@ -20,7 +20,7 @@ Conventions (fixed by the semantics being reproduced):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import bce_on_logits, bce_on_probs, sigmoid
@@ -147,7 +147,7 @@ def rates(cells: DataFrame) -> DataFrame:
         _div(F.lit(2) * tp, F.lit(2) * tp + fp + fn).alias("f1"))
 
 
-def confusion_matrix(scored: DataFrame, thresholds=None) -> DataFrame:  # noqa: D401
+def confusion_matrix(scored: DataFrame, thresholds=None) -> DataFrame:
     """2 × 2 confusion matrix as rows ``(model, label, pred, n)``; empty cells are 0."""
     cells = confusion_cells(score_counts(scored), thresholds)
     grid = F.explode(F.array(
@@ -337,8 +337,9 @@ def metric_bars(comparison: DataFrame) -> DataFrame:
 
 
 def top_n(df: DataFrame, by: str, n: int, tie: str | None = None) -> DataFrame:
-    """Descending sort and first ``n`` rows (K1); ``tie`` breaks equal values ascending."""
-    order = [F.col(by).desc()] + ([F.col(tie).asc()] if tie else [])
+    """Descending sort and first ``n`` rows (K1); ``tie`` breaks equal values ascending.
+    Planned as a per-partition top-n merged at the end, not a full sort."""
+    order = [F.col(by).desc_nulls_last()] + ([F.col(tie).asc()] if tie else [])
     return df.orderBy(*order).limit(n)
 
 
@@ -348,6 +349,3 @@ def first_max_per_group(df: DataFrame, group: str, by: str, tie: str) -> DataFra
     best = df.groupBy(group).agg(F.max_by(F.struct(*cols), F.struct(F.col(by), -F.col(tie))).alias("_b"))
     return best.select(group, "_b.*")
 
-
-def running_window(group: str, order: str) -> Window:
-    return Window.partitionBy(group).orderBy(order)

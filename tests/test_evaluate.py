@@ -194,3 +194,15 @@ def test_io_sinks_and_model_roundtrip(spark, tmp_path):
     s1 = [r.score for r in FT.score(model, data, "key", "label", "x").orderBy("key").collect()]
     s2 = [r.score for r in FT.score(again, data, "key", "label", "x").orderBy("key").collect()]
     assert s1 == s2
+
+
+def test_first_max_per_group_ties_to_smallest(spark):
+    df = spark.createDataFrame([("a", 0.3, 0.9), ("a", 0.1, 0.9), ("a", 0.2, 0.5), ("b", 0.7, 0.1)],
+                               "model string, threshold double, f1 double")
+    got = {r.model: r.threshold for r in E.first_max_per_group(df, "model", "f1", "threshold").collect()}
+    assert got == {"a": 0.1, "b": 0.7}
+
+
+def test_top_n(spark):
+    df = spark.createDataFrame([("x", 0.5), ("y", 0.9), ("z", 0.5), ("w", None)], "feature string, v double")
+    assert [r.feature for r in E.top_n(df, "v", 3, tie="feature").collect()] == ["y", "x", "z"]
