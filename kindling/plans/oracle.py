@@ -502,3 +502,37 @@ SQL["feature_slices"] = "WITH " + U + """
 SELECT vec_id, CAST(least(i // (width // 4), 3) AS INTEGER) AS slice, CAST(count(*) AS INTEGER) AS n,
        round(sum(x), 6) AS total
 FROM u GROUP BY vec_id, least(i // (width // 4), 3)"""
+
+
+def _zero_safe(sql: str) -> str:
+    """Wrap every ``round(…)`` outside string literals as ``(round(…) + 0.0)``: DuckDB rounds
+    tiny negatives to -0.0 where Spark gives 0.0; adding 0.0 changes no other value."""
+    out, i, n, quoted = [], 0, len(sql), False
+    while i < n:
+        ch = sql[i]
+        if ch == "'":
+            quoted = not quoted
+        starts = (not quoted and sql.startswith("round(", i)
+                  and (i == 0 or not (sql[i - 1].isalnum() or sql[i - 1] == "_")))
+        if not starts:
+            out.append(ch)
+            i += 1
+            continue
+        depth, k, q = 0, i + 5, False
+        while k < n:
+            c = sql[k]
+            if c == "'":
+                q = not q
+            elif not q and c == "(":
+                depth += 1
+            elif not q and c == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append("(round(" + _zero_safe(sql[i + 6:k]) + ") + 0.0)")
+        i = k + 1
+    return "".join(out)
+
+
+SQL = {name: _zero_safe(text) for name, text in SQL.items()}
