@@ -59,3 +59,13 @@ def test_evaluation_plan_has_no_single_partition_exchange(spark):
 
     plan = E.evaluation(T.events_scored(spark, SF001), find_best=True)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_balanced_accuracy_identity(spark):
+    """On balanced data, acc = (R + 1 - R·(1/P - 1)) / 2."""
+    import __spark_entry__ as entry
+
+    r = entry.queries()["flagship"](spark, SF001).collect()[0]
+    assert r.tp + r.fn == r.tn + r.fp  # the valid part is balanced
+    acc = (r.recall + 1 - r.recall * (1 / r.precision - 1)) / 2
+    assert acc == pytest.approx(r.accuracy, abs=2e-6)
