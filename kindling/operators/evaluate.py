@@ -75,15 +75,19 @@ def model_totals(counts: DataFrame) -> DataFrame:
                                        F.count(F.lit(1)).alias("M"))
 
 
-def curve_counts(counts: DataFrame, lo: float = 0.0, hi: float = 1.0, materialize: bool = False) -> DataFrame:
+def curve_counts(counts: DataFrame, lo: float = 0.0, hi: float = 1.0, materialize: bool = False,
+                 with_next: bool = False) -> DataFrame:
     """Counts plus running ``tp``/``fp`` (score >= this score), point index ``idx`` from the
-    top, and the model totals ``P``/``N``/``M``."""
+    top, and the model totals ``P``/``N``/``M``; ``with_next`` adds the next lower point's
+    counts ``pos_next``/``neg_next``."""
     c = counts.withColumn("one", F.lit(1).cast("bigint"))
     bucket = "_bk" if "_bk" in counts.columns else None
-    run = running_sums_desc(c, ["model"], "score", ["pos", "neg", "one"], lo=lo, hi=hi, bucket_col=bucket)
+    run = running_sums_desc(c, ["model"], "score", ["pos", "neg", "one"], lo=lo, hi=hi, bucket_col=bucket,
+                            next_cols=["pos", "neg"] if with_next else ())
+    extra = [F.col("next_pos").alias("pos_next"), F.col("next_neg").alias("neg_next")] if with_next else []
     cc = run.select("model", "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                     F.col("cum_one").alias("idx"), F.col("tot_pos").alias("P"), F.col("tot_neg").alias("N"),
-                    F.col("tot_one").alias("M"))
+                    F.col("tot_one").alias("M"), *extra)
     return cut_lineage(cc) if materialize else cc
 
 
@@ -205,16 +209,14 @@ def roc_curve(scored: DataFrame, drop_intermediate: bool = False) -> DataFrame:
 
     ``drop_intermediate`` removes points collinear with both neighbours (a point is
     kept when the next lower point's counts differ from its own), first and last kept.
-    The next point is found by a join on the point index, not a global window.
+    The next point's counts come from the running-sum pass (``lead`` within a bucket,
+    the next bucket's top point across buckets): no self-join, no global window.
     """
     counts = score_counts(scored, materialize=True)
-    cc = curve_counts(counts, materialize=drop_intermediate)
+    cc = curve_counts(counts, with_next=drop_intermediate)
     if drop_intermediate:
-        nxt = cc.select("model", (F.col("idx") - 1).alias("idx"), F.col("pos").alias("pos_next"),
-                        F.col("neg").alias("neg_next"))
-        cc = (cc.join(nxt, ["model", "idx"], "left")
-              .filter((F.col("M") <= 2) | (F.col("idx") == 1) | F.col("pos_next").isNull()
-                      | (F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg"))))
+        cc = cc.filter((F.col("M") <= 2) | (F.col("idx") == 1) | F.col("pos_next").isNull()
+                       | (F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg")))
     fpr = F.when(F.col("N") > 0, F.col("fp") / F.col("N"))
     tpr = F.when(F.col("P") > 0, F.col("tp") / F.col("P"))
     pts = cc.select("model", F.col("score").alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))

@@ -29,7 +29,8 @@ def range_buckets(df: DataFrame, group_cols: Sequence[str], order_col: str, n: i
 
 def running_sums_desc(df: DataFrame, group_cols: Sequence[str], order_col: str, sum_cols: Sequence[str],
                       lo: float = 0.0, hi: float = 1.0, n_buckets: int = 1 << 16,
-                      prefix: str = "cum_", bucket_col: str | None = None) -> DataFrame:
+                      prefix: str = "cum_", bucket_col: str | None = None,
+                      next_cols: Sequence[str] = ()) -> DataFrame:
     """Add ``cum_<c>`` = Σ c over rows of the same group whose ``order_col`` is >= this row's,
     and the group total ``tot_<c>``.
 
@@ -38,6 +39,11 @@ def running_sums_desc(df: DataFrame, group_cols: Sequence[str], order_col: str,
     decrease with the order value within a group, e.g. from :func:`range_buckets`)
     or equal-width ranges of ``[lo, hi]`` (values outside fall into the edge
     buckets). Buckets only spread the work; they never change the result.
+
+    ``next_cols`` adds ``next_<c>``: the value of ``c`` on the next lower row of the
+    group (null on the last row) — ``lead`` inside the bucket, and at a bucket's
+    lowest row the top row of the next non-empty lower bucket, carried by the small
+    bucket table. No self-join over all rows.
     """
     g = list(group_cols)
     if bucket_col:
@@ -48,12 +54,15 @@ def running_sums_desc(df: DataFrame, group_cols: Sequence[str], order_col: str,
         b = F.floor((x - F.lit(float(lo))) / F.lit(span) * F.lit(n_buckets))
         b = F.least(F.greatest(b, F.lit(0)), F.lit(n_buckets - 1)).cast("int")
         d = df.withColumn("_bk", b)
-    totals = d.groupBy(*g, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    head = [F.max_by(F.struct(*next_cols), order_col).alias("_head")] if next_cols else []
+    totals = d.groupBy(*g, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols], *head)
     before = Window.partitionBy(*g).orderBy(F.col("_bk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*g)
+    next_head = ([F.lead("_head").over(Window.partitionBy(*g).orderBy(F.col("_bk").desc())).alias("_next_head")]
+                 if next_cols else [])
     offsets = totals.select(*g, "_bk",
                             *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
-                            *[F.sum(f"_t_{c}").over(whole).alias(f"tot_{c}") for c in sum_cols])
+                            *[F.sum(f"_t_{c}").over(whole).alias(f"tot_{c}") for c in sum_cols], *next_head)
     # offsets has at most groups × n_buckets rows; AQE turns this join into a
     # broadcast when the materialised side is small and keeps a shuffle join otherwise.
     joined = d.join(offsets, [*g, "_bk"])
@@ -61,4 +70,7 @@ def running_sums_desc(df: DataFrame, group_cols: Sequence[str], order_col: str,
         Window.unboundedPreceding, Window.currentRow)
     for c in sum_cols:
         joined = joined.withColumn(prefix + c, F.col(f"_o_{c}") + F.sum(c).over(within))
-    return joined.drop("_bk", *[f"_o_{c}" for c in sum_cols])
+    order_only = Window.partitionBy(*g, "_bk").orderBy(F.col(order_col).desc())
+    for c in next_cols:
+        joined = joined.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(order_only), F.col(f"_next_head.{c}")))
+    return joined.drop("_bk", "_next_head", *[f"_o_{c}" for c in sum_cols])

@@ -206,3 +206,17 @@ def test_first_max_per_group_ties_to_smallest(spark):
 def test_top_n(spark):
     df = spark.createDataFrame([("x", 0.5), ("y", 0.9), ("z", 0.5), ("w", None)], "feature string, v double")
     assert [r.feature for r in E.top_n(df, "v", 3, tie="feature").collect()] == ["y", "x", "z"]
+
+
+def test_next_row_across_buckets(spark):
+    from kindling.operators.prefix import running_sums_desc
+
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), round(rng.random(), 3), rng.randint(0, 4)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "g string, x double, c long").groupBy("g", "x").agg(F.sum("c").alias("c"))
+    for nb in (1, 5, 64):
+        got = {(r.g, r.x): r.next_c for r in running_sums_desc(df, ["g"], "x", ["c"], n_buckets=nb,
+                                                                 next_cols=["c"]).collect()}
+        w = Window.partitionBy("g").orderBy(F.col("x").desc())
+        want = {(r.g, r.x): r.n for r in df.withColumn("n", F.lead("c").over(w)).collect()}
+        assert got == want
