@@ -102,7 +102,7 @@ def dense_layer(df: DataFrame, features: str, weights: Sequence[Sequence[float]]
     """``act(x · W + b)`` on an array column (N2); ``weights`` are I × J rows.
 
     Small layers are SQL expressions (one dot product per output unit); larger
-    ones are a ``mapInPandas`` matmul with broadcast weights, since per-element
+    ones are an Arrow-batched (``mapInArrow``) matmul with broadcast weights, since per-element
     lambdas grow with I × J while a BLAS product per batch does not."""
     n_in, n_out = len(weights), len(weights[0])
     _check_size(n_in * n_out, "weight matrix")
@@ -349,7 +349,7 @@ class FrozenBlock:
 
 def frozen_block_features(df: DataFrame, features: str, block: FrozenBlock, key: str,
                           out: str = "frozen") -> DataFrame:
-    """Features from a frozen block (N7): one ``mapInPandas`` pass, weights broadcast once."""
+    """Features from a frozen block (N7): one Arrow-batched pass, weights broadcast once."""
     _check_size(block.n_values(), "frozen block")
     bc = df.sparkSession.sparkContext.broadcast(block)
 
@@ -395,29 +395,28 @@ def batch_score(df: DataFrame, features: str, model, key: str, model_name: str =
     """Score every row (N8) → ``(key, model, [label,] score)`` with ``score = sigmoid(logit)``.
 
     ``model`` is a fitted Spark ML model (its ``probability`` column is used) or a
-    :class:`DenseNet` run in one ``mapInPandas`` pass with broadcast weights.
+    :class:`DenseNet` run in one ``mapInArrow`` pass with broadcast weights.
     Narrow: no shuffle either way.
     """
     keep = [key] + ([label] if label else [])
     if isinstance(model, DenseNet):
         _check_size(model.n_values(), "network")
         bc = df.sparkSession.sparkContext.broadcast(model)
+        fields = [df.schema[c] for c in keep]
 
         def run(batches):
-            import pandas as pd
+            import pyarrow as pa
 
             net = bc.value
-            for pdf in batches:
-                if len(pdf) == 0:
+            for rb in batches:
+                if rb.num_rows == 0:
                     continue
-                x = np.stack(pdf[features].to_numpy()).astype(np.float64)
-                z = net.logits(x)
-                cols = {c: pdf[c].to_numpy() for c in keep}
-                cols["score"] = 1.0 / (1.0 + np.exp(-z))
-                yield pd.DataFrame(cols)
-
-        schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-        scored = df.select(*keep, features).mapInPandas(run, schema)
+                z = net.logits(_vectors(rb.column(rb.schema.get_field_index(features))))
+                cols = [rb.column(rb.schema.get_field_index(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(1.0 / (1.0 + np.exp(-z)))], names=keep + ["score"])
+
+        schema = T.StructType(fields + [T.StructField("score", T.DoubleType())])
+        scored = df.select(*keep, features).mapInArrow(run, schema)
     else:
         from pyspark.ml.functions import vector_to_array
 

@@ -1,7 +1,7 @@
 """Scoring a streaming source with the same stateless operators as the batch jobs.
 
 The scaler transform (P10) is a projection with literal parameters and the
-network scorer (N8) is a ``mapInPandas`` pass; both are row-local, so they apply
+network scorer (N8) is a ``mapInArrow`` pass; both are row-local, so they apply
 unchanged to a ``readStream`` DataFrame with no state, watermark or shuffle. No
 streaming-specific semantics (windows, late data) exist in the experiment, so
 none are added here.
