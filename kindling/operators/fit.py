@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindling.operators import evaluate as E
+from kindling.operators.prepare import assemble
 from kindling.operators.scoring import FrozenBlock, frozen_block_features
 
 POS_WEIGHT = 2.0  # fixed value: weight of the positive class in the benchmark's loss
@@ -84,7 +85,7 @@ class FrozenHeadModel:
     key: str
 
     def transform(self, df: DataFrame) -> DataFrame:
-        arr = df.withColumn("_x", F.array(*[F.col(c).cast("float") for c in self.features]))
+        arr = assemble(df, self.features, "_x")
         fz = frozen_block_features(arr, "_x", self.block, key=self.key, out="_frozen")
         joined = df.join(fz, self.key)
         return self.head.transform(joined.withColumn("_fv", array_to_vector("_frozen")))
@@ -96,7 +97,7 @@ def fit_frozen_head(train: DataFrame, features: Sequence[str], key: str, label:
     """Logistic head on frozen-block features (T4)."""
     feats = list(features)
     block = block or FrozenBlock.random(len(feats), seed=42)
-    arr = train.withColumn("_x", F.array(*[F.col(c).cast("float") for c in feats]))
+    arr = assemble(train, feats, "_x")
     fz = frozen_block_features(arr, "_x", block, key=key, out="_frozen")
     data = train.join(fz, key).withColumn("_fv", array_to_vector("_frozen")).withColumn(
         "_w", class_weight(label, pos_weight))

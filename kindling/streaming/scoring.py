@@ -13,9 +13,8 @@ import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from kindling.operators.prepare import scaler_transform
+from kindling.operators.prepare import assemble, scaler_transform
 from kindling.operators.scoring import batch_score
 from kindling.session import ensure_checkpoint_dir
 
@@ -23,8 +22,7 @@ from kindling.session import ensure_checkpoint_dir
 def score_stream(stream: DataFrame, params: dict, features: Sequence[str], model, key: str,
                  label: str | None = None, model_name: str = "model") -> DataFrame:
     """Scale ``features`` with fitted parameters, assemble them and score every row."""
-    scaled = scaler_transform(stream, params, features)
-    arr = scaled.withColumn("_x", F.array(*[F.col(c).cast("float") for c in features]))
+    arr = assemble(scaler_transform(stream, params, features), features, "_x")
     return batch_score(arr, "_x", model, key=key, model_name=model_name, label=label)
 
 

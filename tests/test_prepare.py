@@ -116,3 +116,10 @@ def test_cut_is_wall_clock_in_any_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == {1: "valid", 2: "train"} and only == [2]
+
+
+def test_assemble_float_vector(spark):
+    df = spark.createDataFrame([(1.5, 2, None)], "a double, b int, c double")
+    out = P.assemble(df, ["a", "b", "c"], "v")
+    assert out.schema["v"].dataType.simpleString() == "array<float>"
+    assert out.collect()[0].v == [1.5, 2.0, None]
