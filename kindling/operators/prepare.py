@@ -12,7 +12,7 @@ Scale notes
   narrow filter against that cutoff. The result is exactly the k smallest keys,
   the same rows a global ``row_number`` would keep. Three scans of the source
   (histogram, crossing bucket, selection), no union, no full-class window.
-* Scaler statistics are one aggregate (wide form) or an ``unpivot`` +
+* Scaler statistics are one aggregate (wide form) or one ``stack`` generator +
   ``groupBy(feature)`` (long form, above ``long_form_above`` columns). Only the
   parameter rows (one per feature) reach the driver, to become literals.
 """
@@ -98,14 +98,14 @@ def balanced_sample(df: DataFrame, key: str, label: str, part_col: str = "part",
                     seed: int = 42, digits: int = 4) -> DataFrame:
     """Exactly k rows of label 0 and k of label 1 per part, chosen by the md5 order of ``seed:key``.
 
-    Rows with other labels are left out. ``digits`` hex digits of the order key
+    Rows with other labels, or with a null key, are left out. ``digits`` hex digits of the order key
     form the histogram buckets (16**digits per class); it only changes how much
     work the crossing bucket's ranking gets, never the result.
     """
     if not 1 <= digits <= 6:
         raise ValueError("digits must be in 1..6")
     salt = f"{seed}:"
-    rows = (df.filter(F.col(label).isin(0, 1))
+    rows = (df.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
             .withColumn("_h", hash_order(key, salt))
             .withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int")))
     # Histogram: at most parts × 2 × 16**digits rows. Class sizes, k per part and the

@@ -123,3 +123,11 @@ def test_assemble_float_vector(spark):
     out = P.assemble(df, ["a", "b", "c"], "v")
     assert out.schema["v"].dataType.simpleString() == "array<float>"
     assert out.collect()[0].v == [1.5, 2.0, None]
+
+
+def test_null_keys_are_not_sampled(spark):
+    rows = [(None, "train", 0)] * 3 + [(i, "train", 0) for i in range(4)] + [(10 + i, "train", 1) for i in range(2)]
+    df = spark.createDataFrame(rows, "key long, part string, label int")
+    got = P.balanced_sample(df, "key", "label").collect()
+    assert all(r.key is not None for r in got)
+    assert sorted((r.label, 1) for r in got) == [(0, 1), (0, 1), (1, 1), (1, 1)]
