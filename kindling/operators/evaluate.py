@@ -57,6 +57,9 @@ def score_counts(scored: DataFrame, model: str = "model", label: str = "label",
                  materialize: bool = False) -> DataFrame:
     """``(model, score, pos, neg)``: one row per distinct score (map-side combined).
 
+    Label 1 counts as positive and any other label as negative; rows with a null
+    label or score are left out.
+
     ``materialize`` checkpoints the counts into the shared checkpoint folder so that
     operators reading them several times scan the scored table once; the
     checkpoint also pins a range-partition bucket ``_bk`` per row, which the
