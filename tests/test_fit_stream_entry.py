@@ -69,3 +69,24 @@ def test_balanced_accuracy_identity(spark):
     assert r.tp + r.fn == r.tn + r.fp  # the valid part is balanced
     acc = (r.recall + 1 - r.recall * (1 / r.precision - 1)) / 2
     assert acc == pytest.approx(r.accuracy, abs=2e-6)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_are_pruned_and_filters_pushed(spark):
+    from kindling.plans.queries import QUERIES
+
+    plan = _plan(QUERIES["log_loss"](spark, SF001))
+    assert "ReadSchema: struct<event_type:string,value:double>" in plan
+    plan = _plan(QUERIES["epoch_metrics"](spark, SF001))
+    assert "LessThan(ts,2024-01-25T00:00)" in plan and "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # show the whole ReadSchema
+    try:
+        plan = _plan(QUERIES["feature_groups"](spark, SF001))
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    assert ("ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double,l_extendedprice:double,"
+            "l_discount:double,l_tax:double>") in plan
