@@ -55,6 +55,9 @@ def main() -> None:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             best = min(best, time.perf_counter() - t0)
         times[name] = round(best, 3)
+    from kindling.session import drop_scratch_tables
+
+    drop_scratch_tables(spark)  # intermediate tables of this run
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf_dir}))

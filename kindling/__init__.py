@@ -5,6 +5,6 @@ collects data rows to the driver; only parameter-sized results (scaler means,
 weight matrices, one threshold per model) are ever brought back.
 """
 
-from kindling.session import build_session, ensure_checkpoint_dir
+from kindling.session import build_session, cut_lineage, drop_scratch_tables, ensure_checkpoint_dir
 
-__all__ = ["build_session", "ensure_checkpoint_dir"]
+__all__ = ["build_session", "cut_lineage", "drop_scratch_tables", "ensure_checkpoint_dir"]

@@ -65,6 +65,23 @@ def cut_lineage(df, how: str | None = None):
     how = how or os.environ.get("KINDLING_CUT", "table")
     if how == "rdd":
         return df.checkpoint(eager=True)
-    path = os.path.join(root, "kindling-tables", uuid.uuid4().hex)
+    path = os.path.join(scratch_root(spark, root), uuid.uuid4().hex)
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def scratch_root(spark: SparkSession, root: str | None = None) -> str:
+    """Folder of this application's intermediate tables inside the checkpoint folder."""
+    root = root or ensure_checkpoint_dir(spark)
+    return os.path.join(root, "kindling-tables", spark.sparkContext.applicationId)
+
+
+def drop_scratch_tables(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables (call once its results are written).
+
+    Uses the Hadoop FileSystem of the checkpoint folder, so it works on shared storage.
+    Returns whether anything was deleted."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))

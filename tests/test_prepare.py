@@ -131,3 +131,17 @@ def test_null_keys_are_not_sampled(spark):
     got = P.balanced_sample(df, "key", "label").collect()
     assert all(r.key is not None for r in got)
     assert sorted((r.label, 1) for r in got) == [(0, 1), (0, 1), (1, 1), (1, 1)]
+
+
+def test_scratch_tables_are_dropped(spark):
+    import os
+
+    from kindling.session import cut_lineage, drop_scratch_tables, scratch_root
+
+    t = cut_lineage(spark.range(10))
+    assert t.count() == 10
+    root = scratch_root(spark)
+    local = root[len("file:"):] if root.startswith("file:") else root
+    assert os.path.isdir(local) and os.listdir(local)
+    assert drop_scratch_tables(spark)
+    assert not os.path.exists(local)
