@@ -1,10 +1,13 @@
 """Table-scale scoring: the per-row computations of the networks as Spark jobs.
 
-Default forms are narrow projections on an ``array`` feature column (higher-order
-functions, no shuffle). Weights are model parameters: they enter as literals or a
-broadcast numpy bundle whose size is the model's, checked against a bound. The
-long forms (``*_long``) express the same maths as joins and aggregates on a
-``(key, i, x)`` table and serve as their cross-check.
+Every form is narrow (no shuffle). Small models run as projections on an ``array``
+feature column (higher-order functions inside the JVM); wide dense or branch layers,
+many-filter convolutions, the frozen block and the network scorer run as one
+``mapInArrow`` pass that multiplies an (n, width) numpy matrix per Arrow batch.
+Weights are model parameters: they enter as literals or a broadcast numpy bundle
+whose size is the model's, checked against a bound. The long forms (``*_long``)
+express the same maths as joins and aggregates on a ``(key, i, x)`` table and serve
+as their cross-check.
 """
 
 from __future__ import annotations
