@@ -40,7 +40,9 @@ def main() -> None:
     from kindling.session import build_session
     from kindling.plans.queries import QUERIES
 
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="kindling-bench")
+    # BENCH_EVENT_LOG=<scratch dir> keeps Spark's event log for scripts/stage_times.py
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="kindling-bench",
+                          event_log_dir=os.environ.get("BENCH_EVENT_LOG"))
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
     if not os.path.isdir(warm_dir):
         warm_dir = sf_dir
@@ -51,6 +53,7 @@ def main() -> None:
     for name in names:
         best = float("inf")
         for _ in range(repeats):
+            spark.sparkContext.setJobGroup(name, name)  # lets the event log be split per query
             t0 = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             best = min(best, time.perf_counter() - t0)

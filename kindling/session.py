@@ -9,10 +9,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "kindling") -> SparkSession:
-    """Session used by tests and bench.py. Cluster jobs bring their own session."""
+def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "kindling",
+                  event_log_dir: str | None = None) -> SparkSession:
+    """Session used by tests and bench.py. Cluster jobs bring their own session.
+
+    ``event_log_dir`` writes Spark's event log there (stage and task times without the UI)."""
+    builder = SparkSession.builder
+    if event_log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
