@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.llm.substring import substring_dedup
+from kindling.llm.suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +19,14 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of ``documents`` outside the 50-byte strings that documents with smaller ids hold."""
+    out = suffix_dedup(_table(spark, sf, "documents"), width=50)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
