@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindling.llm.minhash import near_duplicates
 from kindling.llm.substring import substring_dedup
 from kindling.llm.suffix_dedup import suffix_dedup
 
@@ -19,6 +20,11 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of near duplicates of ``documents``: five-word shingles, similarity of 0.75 or more."""
+    return near_duplicates(_table(spark, sf, "documents"), size=5, percent=75)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of ``documents`` outside the 50-byte strings that documents with smaller ids hold."""
     out = suffix_dedup(_table(spark, sf, "documents"), width=50)
@@ -28,5 +34,6 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
