@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindling.llm.language import fit_prototypes, predict_language
 from kindling.llm.minhash import near_duplicates
+from kindling.llm.quality import fit_ranker, rank_quality
 from kindling.llm.substring import substring_dedup
 from kindling.llm.suffix_dedup import suffix_dedup
 
@@ -14,17 +16,37 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def _held_out(id_col: str = "doc_id"):
+    """The fifth of the documents that no model learns from; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+
+
 def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words of ``documents`` outside repeated runs of 35 words."""
     out = substring_dedup(_table(spark, sf, "documents"), width=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every text of ``documents``, from prototypes of the four fifths that are not held out."""
+    docs = _table(spark, sf, "documents").withColumn("held_out", _held_out())
+    langs, prototypes = fit_prototypes(docs.where(~F.col("held_out")))
+    return predict_language(docs.select("doc_id", "held_out", "text"), langs, prototypes).drop("text")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Components of near duplicates of ``documents``: five-word shingles, similarity of 0.75 or more."""
     return near_duplicates(_table(spark, sf, "documents"), size=5, percent=75)
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every text of ``documents``, learned from preference pairs of the labels that are not held out."""
+    docs = _table(spark, sf, "documents").select("doc_id", _held_out().alias("held_out"), "text")
+    labels = _table(spark, sf, "labels")
+    model = fit_ranker(docs.where("not held_out"), labels.where(~_held_out()), cut=0.3)
+    return rank_quality(docs, model).drop("text")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of ``documents`` outside the 50-byte strings that documents with smaller ids hold."""
     out = suffix_dedup(_table(spark, sf, "documents"), width=50)
@@ -34,6 +56,8 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_language_id": op3_language_id,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op8_quality": op8_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
