@@ -29,6 +29,7 @@ U = np.uint64
 CUT_GRAM, CUT_EVERY = 16, 64
 NO_ID = np.int64(2**63 - 1)  # documents without an id come last
 SIGN = U(1 << 63)
+GROUP_BYTES = 4 << 20
 HEAVY = 20_000  # segments of one hash beyond which they are dealt by whole strings
 
 
@@ -112,6 +113,14 @@ class _Cells:
         return np.concatenate(starts), np.concatenate(counts), np.concatenate(hashes)
 
 
+def _string_hashes(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes from each start on."""
+    out = np.zeros(len(starts), U)
+    for k in range(width):
+        out = TA.mix(out * U(TA.BASE_A) + TA.BYTE_VALUES[data[starts + k]])
+    return out
+
+
 def _smallest_id(table: pa.Table) -> pa.Table:
     """Bucket step 1: flags the cells that a document with a smaller id holds too."""
     (h1, h2, ids), offs = X.payload_arrays(table, [U, U, U])
@@ -181,7 +190,7 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24,
-                 shallow: int = 40, group_bytes: int = X.GROUP_BYTES, heavy: int = HEAVY) -> DataFrame:
+                 shallow: int = 40, group_bytes: int = GROUP_BYTES, heavy: int = HEAVY) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts in a document with a smaller id.
 
     Texts are their UTF-8 bytes (null: empty); matches never cross documents and are judged on the input. Returns
@@ -194,7 +203,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gram = min(gram, width)
     d, n_groups = X.deal_groups(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")),
                                 "id", "text", group_bytes)
-    n = n_groups
+    n = n_groups // 2 + 1  # buckets
 
     def group_of(table: pa.Table) -> int:
         return table.column("g")[0].as_py()
@@ -217,11 +226,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         many = X.answered(answers, 3, keys, n)[place] & shared
         deal = keys[place]
         single = TA.expand(starts[many], counts[many])  # strings of very common hashes, one by one
-        p = TA.prefix_hash(TA.BYTE_VALUES[cells.data], TA.BASE_BYTES)
         plain = shared & ~many
         starts = np.concatenate([starts[plain], single])
         counts = np.concatenate([counts[plain], np.ones(len(single), np.int64)])
-        deal = np.concatenate([deal[plain], TA.range_hash(p, single, single + width, TA.BASE_BYTES)])
+        deal = np.concatenate([deal[plain], _string_hashes(cells.data, single, width)])
         order = np.argsort(deal, kind="stable")
         starts, counts, deal = starts[order], counts[order], deal[order]
         doc = np.searchsorted(cells.offs, starts, side="right") - 1
@@ -244,20 +252,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for i in np.flatnonzero(kinds == 4).tolist():
             doc, start, length = np.frombuffer(payload[i].as_py(), np.int32).reshape(-1, 3).astype(np.int64).T
             flags[TA.expand(cells.offs[doc] + start, length)] = True
-        gone = TA.covered(np.flatnonzero(flags), width, len(cells.data))
-        whole = _whole_characters(cells.data, gone)
-        edge = np.zeros(len(gone) + 1, dtype=bool)
-        edge[cells.offs] = True
-        total = np.concatenate([[0], np.cumsum(gone)])
-        kept, texts, spans = [], [], []
-        for lo, hi in zip(cells.offs[:-1].tolist(), cells.offs[1:].tolist()):
-            d, x = cells.data[lo:hi], gone[lo:hi]
-            step = np.flatnonzero(np.diff(np.concatenate([[False], x, [False]]).astype(np.int8))).tolist()
-            spans.append([{"start": a, "end": b} for a, b in zip(step[::2], step[1::2])])
-            kept.append(d[~x].tobytes())
-            texts.append(d[~whole[lo:hi]].tobytes().decode("utf-8", "replace"))
+        kept, texts, spans, n_removed = [], [], [], []
+        for i, j, d, o in TA.blocks(cells.data, cells.offs):
+            gone = TA.covered(np.flatnonzero(flags[cells.offs[i]:cells.offs[j]]), width, len(d))
+            whole = _whole_characters(d, gone)
+            for lo, hi in zip(o[:-1].tolist(), o[1:].tolist()):
+                x = gone[lo:hi]
+                step = np.flatnonzero(np.diff(np.concatenate([[False], x, [False]]).astype(np.int8))).tolist()
+                spans.append([{"start": a, "end": b} for a, b in zip(step[::2], step[1::2])])
+                n_removed.append(int(np.count_nonzero(x)))
+                kept.append(d[lo:hi][~x].tobytes())
+                texts.append(d[lo:hi][~whole[lo:hi]].tobytes().decode("utf-8", "replace"))
         return pa.table({"id": cells.table.column("id"), "n_bytes": pa.array(np.diff(cells.offs), pa.int64()),
-                         "n_removed": pa.array(np.diff(total[cells.offs]), pa.int64()),
+                         "n_removed": pa.array(n_removed, pa.int64()),
                          "kept": pa.array(kept, pa.binary()), "kept_text": pa.array(texts, pa.string()),
                          "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 

@@ -16,7 +16,7 @@ U = np.uint64
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: bases of the rolling hashes (any odd numbers do)
 BASE_BYTES, BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
