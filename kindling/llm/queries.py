@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from kindling.llm.language import fit_prototypes, predict_language
 from kindling.llm.minhash import near_duplicates
+from kindling.llm.pieces import decode_pieces, encode_pieces, load_pieces
 from kindling.llm.quality import fit_ranker, rank_quality
 from kindling.llm.substring import substring_dedup
 from kindling.llm.suffix_dedup import suffix_dedup
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # a public vocabulary file on the driver; nothing else reads it
+
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
@@ -34,6 +37,16 @@ def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return predict_language(docs.select("doc_id", "held_out", "text"), langs, prototypes).drop("text")
 
 
+def op5_sentencepiece(spark: SparkSession, sf: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    """Piece ids of every whole text of ``documents``, decoded again."""
+    vocabulary = load_pieces(model_file)
+    out = decode_pieces(encode_pieces(_table(spark, sf, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+                      F.coalesce("n_byte_pieces", F.lit(0)).alias("n_byte_pieces"), "ids",
+                      F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+                      F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Components of near duplicates of ``documents``: five-word shingles, similarity of 0.75 or more."""
     return near_duplicates(_table(spark, sf, "documents"), size=5, percent=75)
@@ -57,6 +70,7 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_language_id": op3_language_id,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op8_quality": op8_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
