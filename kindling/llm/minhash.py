@@ -7,8 +7,9 @@ gives one candidate link per member, to its least member, so candidates grow wit
 Candidates are confirmed on the full sets, and components follow.
 
 A star alone could lose a link between two members that its centre does not connect. So buckets whose members are
-still in more than one component are looked at again: their members meet in blocks, and the pairs across components
-whose signatures agree as far as a similarity at the threshold allows (six standard deviations) are confirmed too.
+still in more than one component are looked at again: their members meet in blocks with their sets, and only pairs
+across components that are similar enough leave the task to be confirmed. Signatures rule out most pairs before the
+sets are compared: those that agree less than a similarity at the threshold allows (six standard deviations).
 """
 
 from __future__ import annotations
@@ -138,26 +139,47 @@ def _confirm(size: int, percent: int):
     return confirm
 
 
+def _set_rows(size: int):
+    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, h, offs in shingle_sets(batch.column("text"), size):
+                short, at = (h >> U(32)).astype(np.uint32), offs.tolist()  # ascending as h is
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(i, j - i),
+                     pa.array([short[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["id", "members"])
+    return set_rows
+
+
 def _across(percent: int):
-    """Pairs of a block pair that lie in different components and whose signatures allow the threshold."""
+    """Pairs of a block pair in different components whose sets, as 32-bit hashes, are similar enough.
+
+    A pair that shares several buckets is looked at in the one of its first common band. Shortened hashes can only
+    raise a similarity, so no link is lost; the pairs are confirmed on the full sets.
+    """
     def across(table: pa.Table) -> pa.Table:
         col = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
         ids, comp, left, n, hub = col("id"), col("comp"), col("is_left"), col("n"), col("is_hub")
-        same = bool(col("same_block")[0])
-        raw = table.column("sig").combine_chunks()
-        sig = np.frombuffer(b"".join(raw.to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        same, band = bool(col("same_block")[0]), int(col("band")[0])
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)[:, :band]
+        sets = [np.frombuffer(x, np.uint32) for x in table.column("members").to_pylist()]
         lhs, rhs = np.flatnonzero(left), np.arange(len(ids)) if same else np.flatnonzero(~left)
-        t = percent / 100
-        out = []
+        t, out = percent / 100, []
         for i in lhs.tolist():
             j = rhs[(comp[rhs] != comp[i]) & ~hub[rhs] & ~hub[i]]  # the centre of the star has been compared
             if same:
                 j = j[j > i]
-            if len(j) == 0:
-                continue
-            agree = (sig[j] == sig[i]).mean(axis=1)
             need = t - 6 * np.sqrt(t * (1 - t) / np.minimum(np.minimum(n[j], n[i]), sig.shape[1]))
-            out += [(ids[i], x) for x in ids[j[agree >= need]].tolist()]
+            j = j[(sig[j] == sig[i]).mean(axis=1) >= need]
+            j = j[~(keys[j] == keys[i]).any(axis=1)]
+            if len(j) == 0 or len(sets[i]) == 0:
+                continue
+            sizes = np.array([len(sets[x]) for x in j.tolist()])
+            other, owner = np.concatenate([sets[x] for x in j.tolist()]), np.repeat(np.arange(len(j)), sizes)
+            at = np.minimum(np.searchsorted(sets[i], other), len(sets[i]) - 1)
+            both = np.bincount(owner[sets[i][at] == other], minlength=len(j))
+            close = 100 * both >= percent * (np.minimum(sizes + len(sets[i]), n[j] + n[i]) - both)
+            out += [(ids[i], x) for x in ids[j[close]].tolist()]
         a = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(a.min(axis=1)), "b": pa.array(a.max(axis=1))})
     return across
@@ -184,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # classes of equal sets, each a node named by its least id
     classes = cut_lineage(usable.groupBy("k1", "k2").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    in_band = classes.select("id", F.explode("bands").alias("bucket"))
+    in_band = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     hubs = in_band.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1")
     members = cut_lineage(in_band.join(hubs.select("bucket", "hub"), "bucket"))
 
@@ -199,13 +221,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # buckets that still hold more than one component: members of each pair of blocks meet once
     placed = members.join(reached.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "id", "hub", F.coalesce("component", "id").alias("comp"))
+        "bucket", "band", "id", "hub", F.coalesce("component", "id").alias("comp"))
     open_ = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     open_ = open_.where("lo <> hi and m > 2").select("bucket", F.ceil(F.col("m") / block).cast("int").alias("n_blocks"))
-    again = placed.join(open_, "bucket").join(classes.select("id", "n", "sig"), "id").withColumn(
+    again = cut_lineage(placed.join(open_, "bucket"))
+    sets = d.join(again.select("id").distinct(), "id").mapInArrow(_set_rows(size), "id long, members binary")
+    again = again.join(classes.select("id", "n", "sig", "bands"), "id").join(sets, "id").withColumn(
         "blk", F.pmod(F.xxhash64("id", "bucket"), F.col("n_blocks")).cast("int"))
     meets = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "bucket", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "id", "comp", "n", "sig",
+        "bucket", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "band", "id", "comp", "n",
+        "sig", "bands", "members",
         (F.col("id") == F.col("hub")).alias("is_hub"), (F.col("blk") <= F.col("other")).alias("is_left"),
         (F.col("blk") == F.col("other")).alias("same_block"))
     more = meets.groupBy("bucket", "p", "q").applyInArrow(_across(percent), "a long, b long").distinct()
