@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindling.llm.chat import format_chats, parse_chats, unescape, Template
+from kindling.llm.decontaminate import contamination
 from kindling.llm.language import fit_prototypes, predict_language
+from kindling.llm.line_rules import line_rules
 from kindling.llm.minhash import near_duplicates
 from kindling.llm.pieces import decode_pieces, encode_pieces, load_pieces
 from kindling.llm.quality import fit_ranker, rank_quality
+from kindling.llm.reputation import filter_urls
 from kindling.llm.substring import substring_dedup
 from kindling.llm.suffix_dedup import suffix_dedup
 
@@ -30,6 +34,27 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+#: fixed by the task: both turns of conversation -7 hold control strings
+PLANTED_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op2_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """All ``conversations`` and one that holds control strings, formatted and read back from the output."""
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(*[
+        F.when(F.col("id") == 0, a).otherwise(b).cast(turns.schema[name].dataType).alias(name)
+        for name, a, b in zip(turns.columns, map(F.lit, PLANTED_TURNS[0]), map(F.lit, PLANTED_TURNS[1]))])
+    t = Template()
+    out = format_chats(turns.unionByName(planted), t).withColumn("back", parse_chats(F.col("formatted"), t))
+    said = F.array_join(F.transform("back", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
+    learned = unescape(F.array_join(F.transform(F.filter("segments", lambda x: x.loss), lambda x: x.text), ""), t)
+    return out.select("conv_id", F.size("back").cast("long").alias("n_turns"),
+                      F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
+                      F.length(learned).cast("long").alias("loss_chars"),
+                      F.sha2(F.encode(learned, "UTF-8"), 256).alias("loss_sha256"),
+                      F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+
+
 def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every text of ``documents``, from prototypes of the four fifths that are not held out."""
     docs = _table(spark, sf, "documents").withColumn("held_out", _held_out())
@@ -37,6 +62,11 @@ def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return predict_language(docs.select("doc_id", "held_out", "text"), langs, prototypes).drop("text")
 
 
+def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Base counts of ``documents`` and the verdict of the line frequencies of their sources."""
+    return line_rules(_table(spark, sf, "documents")).drop("kept_text")
+
+
 def op5_sentencepiece(spark: SparkSession, sf: str, model_file: str = PIECE_MODEL) -> DataFrame:
     """Piece ids of every whole text of ``documents``, decoded again."""
     vocabulary = load_pieces(model_file)
@@ -52,6 +82,18 @@ def op6_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), size=5, percent=75)
 
 
+#: fixed by the task
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
+             ("net/fr/", "block")]
+
+
+def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict on every url of ``pages``; the label of the document with a page's number is its outcome."""
+    outcomes = _table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    out = filter_urls(_table(spark, sf, "pages"), outcomes, URL_RULES)
+    return out.withColumns({"reputation": F.round("reputation", 6), "upper": F.round("upper", 6)})
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality of every text of ``documents``, learned from preference pairs of the labels that are not held out."""
     docs = _table(spark, sf, "documents").select("doc_id", _held_out().alias("held_out"), "text")
@@ -60,6 +102,13 @@ def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     return rank_quality(docs, model).drop("text")
 
 
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of ``documents`` inside 13-word windows of ``benchmark``."""
+    out = contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), length=13, min_percent=5)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of ``documents`` outside the 50-byte strings that documents with smaller ids hold."""
     out = suffix_dedup(_table(spark, sf, "documents"), width=50)
@@ -69,9 +118,13 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_language_id": op3_language_id,
+    "op4_quality_rules": op4_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
+    "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
