@@ -107,7 +107,7 @@ class _Cells:
             head = np.flatnonzero(head)
             starts.append(at[head] + self.offs[i])
             counts.append(np.diff(np.append(head, len(at))))
-            hashes.append(h[head])
+            hashes.append(TA.mix(h[head]))  # least hashes crowd at the low end, buckets are equal ranges
         if not starts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
         return np.concatenate(starts), np.concatenate(counts), np.concatenate(hashes)
