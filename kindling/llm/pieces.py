@@ -26,6 +26,7 @@ from kindling.llm import textarrays as TA
 
 MARKER = "▁"
 SPACE = 0x20
+SOLVE_BYTES = 1 << 18  # bytes of distinct segments solved at a time
 UNKNOWN_PENALTY = 10.0  # of a byte-fallback character below the least piece score
 _LENGTHS = np.where(np.arange(256) < 0x80, 1, np.where(np.arange(256) < 0xE0, 2, np.where(np.arange(256) < 0xF0, 3, 4)))
 
@@ -217,7 +218,10 @@ def encode_block(v: Pieces, d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, n
     _, place, _ = X.distinct(TA.range_hash(p, s, e, TA.BASE_BYTES), (e - s).astype(np.uint64))
     _, sample = np.unique(place, return_index=True)
     size = (e - s)[sample]
-    ids, at = solve(v, x[TA.expand(s[sample], size)], np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+    text, at = x[TA.expand(s[sample], size)], np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    solved = [solve(v, part, o) for _, _, part, o in TA.blocks(text, at, SOLVE_BYTES)]
+    ids = np.concatenate([part for part, _ in solved])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in solved]))])
     count = np.diff(at)[place]
     flat = ids[TA.expand(at[:-1][place], count)]
     ends = np.concatenate([[0], np.cumsum(count)])
@@ -238,6 +242,22 @@ def decode_block(v: Pieces, ids: np.ndarray, offs: np.ndarray) -> list[str]:
     return [raw[a + k:b].decode("utf-8", "replace") for a, b, k in zip(ends[:-1], ends[1:], lead.tolist())]
 
 
+def _with(docs: DataFrame, *new: StructField) -> StructType:
+    return StructType([*docs.schema.fields, *new])
+
+
+def _id_lists(v: Pieces, d: np.ndarray, o: np.ndarray, null: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    ids, ends = encode_block(v, d, o)
+    return ids, ends, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=null)
+
+
+def _texts(v: Pieces, ids: np.ndarray, ends: np.ndarray, null: pa.Array) -> list[pa.Array]:
+    """Decoded texts and the number of byte pieces of each sequence."""
+    missing = null.to_numpy(zero_copy_only=False).tolist()
+    texts = [None if x else t for t, x in zip(decode_block(v, ids, ends), missing)]
+    return [pa.array(texts, pa.string()), pa.array(np.diff(np.concatenate([[0], np.cumsum(v.is_byte[ids])])[ends]), pa.int64())]
+
+
 def encode_pieces(docs: DataFrame, vocabulary: Pieces, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the piece ids of each whole text (array<int>; null for a null text, empty for an empty one).
 
@@ -248,17 +268,14 @@ def encode_pieces(docs: DataFrame, vocabulary: Pieces, text_col: str = "text", i
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
         for batch in batches:
             data, offs = TA.string_block(batch.column(at))
-            for i, j, d, o in TA.blocks(data, offs, 2 * TA.BLOCK_BYTES):
+            for i, j, d, o in TA.blocks(data, offs):
                 part = batch.slice(i, j - i)
-                ids, ends = encode_block(v, d, o)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()),
-                                                 mask=part.column(at).is_null())
+                _, _, lists = _id_lists(shared.value, d, o, part.column(at).is_null())
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids_col])
 
-    return docs.mapInArrow(encode, StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
+    return docs.mapInArrow(encode, _with(docs, StructField(ids_col, ArrayType(IntegerType()))))
 
 
 def decode_pieces(encoded: DataFrame, vocabulary: Pieces, ids_col: str = "ids", out_col: str = "decoded",
@@ -272,24 +289,35 @@ def decode_pieces(encoded: DataFrame, vocabulary: Pieces, ids_col: str = "ids",
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            lists = batch.column(at)
-            empty = pa.array([[]], lists.type)[0]
-            lists = lists.fill_null(empty)
-            ids = lists.flatten().to_numpy()
-            offs = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-            null = batch.column(at).is_null().to_numpy(zero_copy_only=False)
-            fallback = np.diff(np.concatenate([[0], np.cumsum(v.is_byte[ids])])[offs])
-            for lo in range(0, batch.num_rows, 500):  # bounds the memory of the decoded texts
-                hi = min(lo + 500, batch.num_rows)
-                texts = decode_block(v, ids[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
-                part = batch.slice(lo, hi - lo)
+            for lo in range(0, batch.num_rows, 250):  # bounds the memory of the decoded texts
+                part = batch.slice(lo, 250)
+                null = part.column(at).is_null()
+                lists = part.column(at).fill_null(pa.array([[]], part.column(at).type)[0])
+                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([None if x else t for t, x in zip(texts, null[lo:hi].tolist())], pa.string()),
-                     pa.array(fallback[lo:hi], pa.int64())], names=[*part.schema.names, out_col, bytes_col])
+                    [*part.columns, *_texts(shared.value, lists.flatten().to_numpy(), ends, null)],
+                    names=[*part.schema.names, out_col, bytes_col])
+
+    return encoded.mapInArrow(decode, _with(encoded, StructField(out_col, StringType()), StructField(bytes_col, LongType())))
+
+
+def round_trip_pieces(docs: DataFrame, vocabulary: Pieces, text_col: str = "text", ids_col: str = "ids",
+                      out_col: str = "decoded", bytes_col: str = "n_byte_pieces") -> DataFrame:
+    """Both of the above in one pass over the texts: ids, the text decoded from them, the number of byte pieces."""
+    docs = docs.drop(ids_col, out_col, bytes_col)
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = TA.string_block(batch.column(at))
+            for i, j, d, o in TA.blocks(data, offs):
+                part = batch.slice(i, j - i)
+                null = part.column(at).is_null()
+                ids, ends, lists = _id_lists(shared.value, d, o, null)
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *_texts(shared.value, ids, ends, null)],
+                                                 names=[*part.schema.names, ids_col, out_col, bytes_col])
 
-    return encoded.mapInArrow(decode, StructType([*encoded.schema.fields, StructField(out_col, StringType()),
-                                                  StructField(bytes_col, LongType())]))
+    return docs.mapInArrow(both, _with(docs, StructField(ids_col, ArrayType(IntegerType())),
+                                       StructField(out_col, StringType()), StructField(bytes_col, LongType())))

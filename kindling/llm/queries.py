@@ -10,7 +10,7 @@ from kindling.llm.decontaminate import contamination
 from kindling.llm.language import fit_prototypes, predict_language
 from kindling.llm.line_rules import line_rules
 from kindling.llm.minhash import near_duplicates
-from kindling.llm.pieces import decode_pieces, encode_pieces, load_pieces
+from kindling.llm.pieces import load_pieces, round_trip_pieces
 from kindling.llm.quality import fit_ranker, rank_quality
 from kindling.llm.reputation import filter_urls
 from kindling.llm.substring import substring_dedup
@@ -69,8 +69,7 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf: str, model_file: str = PIECE_MODEL) -> DataFrame:
     """Piece ids of every whole text of ``documents``, decoded again."""
-    vocabulary = load_pieces(model_file)
-    out = decode_pieces(encode_pieces(_table(spark, sf, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    out = round_trip_pieces(_table(spark, sf, "documents").select("doc_id", "text"), load_pieces(model_file))
     return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
                       F.coalesce("n_byte_pieces", F.lit(0)).alias("n_byte_pieces"), "ids",
                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
