@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindling.session import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 500_000  # benchmark windows up to which their fingerprints are broadcast (8 bytes each)
@@ -66,7 +68,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     bench_windows = bench_prints = found = None
     for n in lengths:
         own = _with_prints(bench.where(F.col("length") == n), n)
-        own = own.select("item", "words", F.posexplode("prints").alias("at", "print"))
+        # exploded from an expression: from a column, Spark would push a copy of its whole formula below the projections
+        own = own.select("item", "words", F.explode(F.transform(
+            "prints", lambda p, i: F.struct(p.alias("print"), i.alias("at")))).alias("x")).select("item", "words", "x.*")
         windows = own.select(F.lit(n).alias("length"), "item", "print", _window_text(F.col("words"), F.col("at"), n).alias("window"))
         prints = windows.select("print").distinct()
         few = prints.count() <= broadcast_rows
@@ -80,7 +84,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         out = n_words.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
     else:
         bench_windows = bench_windows.select("length", "item", "window").distinct()
-        near = d.join(found, "key").select("key", "length", "hits", item_words(F.col("text")).alias("words"))
+        near = d.join(cut_lineage(found), "key").select("key", "length", "hits", item_words(F.col("text")).alias("words"))
         parts = []
         for n in lengths:
             w = _with_prints(near.where(F.col("length") == n), n)
@@ -91,7 +95,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         for p in parts[1:]:
             compared = compared.unionByName(p)
         same = bench_windows.select("length", "window").distinct()
-        hits = compared.join(same, ["length", "window"])
+        hits = cut_lineage(compared.join(same, ["length", "window"]))
         places = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "length"))).alias("places"))
         covered = F.aggregate("places", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, x: F.struct(
             (a.n + F.greatest(F.lit(0), x.at + x.length - F.greatest(a.end, x.at))).alias("n"),
