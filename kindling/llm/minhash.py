@@ -210,9 +210,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = in_band.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1")
     members = cut_lineage(in_band.join(hubs.select("bucket", "hub"), "bucket"))
 
+    # texts that share a bucket with another; all later steps read only these
+    texts = cut_lineage(d.join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        full = (pairs.join(d.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-                .join(d.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
+        full = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+                .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
         return cut_lineage(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long")
                            .distinct())
 
@@ -225,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     open_ = open_.where("lo <> hi and m > 2").select("bucket", F.ceil(F.col("m") / block).cast("int").alias("n_blocks"))
     again = cut_lineage(placed.join(open_, "bucket"))
-    sets = d.join(again.select("id").distinct(), "id").mapInArrow(_set_rows(size), "id long, members binary")
+    sets = texts.join(again.select("id").distinct(), "id").mapInArrow(_set_rows(size), "id long, members binary")
     again = again.join(classes.select("id", "n", "sig", "bands"), "id").join(sets, "id").withColumn(
         "blk", F.pmod(F.xxhash64("id", "bucket"), F.col("n_blocks")).cast("int"))
     meets = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
