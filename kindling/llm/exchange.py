@@ -21,12 +21,15 @@ GROUP_BYTES = 8 << 20
 ASK_SCHEMA = "b long, g long, kind int, payload binary"
 
 
-def deal_groups(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
-    """(g, id, text) and the number of groups: total text bytes / ``group_bytes``, at least 1."""
-    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+def deal_groups(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES,
+                carry: tuple = ()) -> tuple[DataFrame, int]:
+    """(g, id, text, c0, c1, ... for ``carry``) and the number of groups: text bytes / ``group_bytes``, at least 1."""
+    more = [f"c{i}" for i in range(len(carry))]
+    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"),
+                    *[docs[c].alias(a) for c, a in zip(carry, more)])
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // group_bytes) + 1
-    return d.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("long").alias("g"), "id", "text"), n
+    return d.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("long").alias("g"), "id", "text", *more), n
 
 
 def bucket_bounds(n: int) -> np.ndarray:

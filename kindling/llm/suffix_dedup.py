@@ -190,19 +190,20 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24,
-                 shallow: int = 40, group_bytes: int = GROUP_BYTES, heavy: int = HEAVY) -> DataFrame:
+                 shallow: int = 40, group_bytes: int = GROUP_BYTES, heavy: int = HEAVY, carry: tuple = ()) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts in a document with a smaller id.
 
     Texts are their UTF-8 bytes (null: empty); matches never cross documents and are judged on the input. Returns
     one row per input row: the id column, n_bytes, n_removed, kept (remaining bytes), kept_text (the text without
     the characters all of whose bytes go) and spans (maximal removed byte ranges, end exclusive). Ids are integers;
     a null id counts as larger than any other, rows with the same id are one document to each other (none removes
-    from another). Other columns are ignored; an empty table gives an empty result. Exact up to collisions of
-    128-bit cell hashes.
+    from another). The columns named in ``carry`` come along unchanged, others are ignored; an empty table gives an
+    empty result. Exact up to collisions of 128-bit cell hashes.
     """
     gram = min(gram, width)
-    d, n_groups = X.deal_groups(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")),
-                                "id", "text", group_bytes)
+    d, n_groups = X.deal_groups(docs, id_col, text_col, group_bytes, carry)
+    d = d.withColumn("id", d["id"].cast("long"))
+    more = [f"c{i}" for i in range(len(carry))]
     n = n_groups // 2 + 1  # buckets
 
     def group_of(table: pa.Table) -> int:
@@ -266,7 +267,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table({"id": cells.table.column("id"), "n_bytes": pa.array(np.diff(cells.offs), pa.int64()),
                          "n_removed": pa.array(n_removed, pa.int64()),
                          "kept": pa.array(kept, pa.binary()), "kept_text": pa.array(texts, pa.string()),
-                         "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+                         "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                         **{c: cells.table.column(c) for c in more}})
 
     def bucket_step(asked: DataFrame, answer) -> DataFrame:
         return asked.groupBy("b").applyInArrow(answer, X.ASK_SCHEMA)
@@ -279,5 +281,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sorted_ = bucket_step(group_step(cells.unionByName(counts), send_segments), _sort_bucket(width, shallow))
     out = group_step(cells.unionByName(sorted_), finish,
                      "id long, n_bytes long, n_removed long, kept binary, kept_text string, "
-                     "spans array<struct<start:long,end:long>>")
-    return out.withColumnRenamed("id", id_col)
+                     "spans array<struct<start:long,end:long>>"
+                     + "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in more))
+    return out.withColumnsRenamed({"id": id_col, **dict(zip(more, carry))})
