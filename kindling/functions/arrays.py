@@ -86,7 +86,7 @@ def entropy_score(arr, n_landcover: int = 4, k: float = 1.0, alpha: Sequence[flo
         w = lit_array(alpha)
         env = let(rest, lambda r: array_sum(F.zip_with(
             r, F.slice(w, 1, F.greatest(F.size(r), F.lit(1))),
-            lambda x, y: F.coalesce(x.cast("double") * y, F.lit(0.0)))))
+            lambda x, y: x.cast("double") * F.coalesce(y, F.lit(0.0)))))  # a null element makes the score null
     return ent + env
 
 

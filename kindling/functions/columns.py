@@ -30,12 +30,12 @@ def softplus(x) -> Column:
 
 
 def bce_on_probs(p, y) -> Column:
-    """Binary cross-entropy of a probability, each log term floored at -100."""
+    """Binary cross-entropy of a probability, each log term floored at -100; null for a null or NaN probability."""
     p, y = _c(p), _c(y).cast("double")
     q = F.lit(1.0) - p
     log_p = F.when(p > 0, F.greatest(F.log(p), F.lit(LOG_FLOOR))).otherwise(F.lit(LOG_FLOOR))
     log_q = F.when(q > 0, F.greatest(F.log(q), F.lit(LOG_FLOOR))).otherwise(F.lit(LOG_FLOOR))
-    return -(y * log_p + (F.lit(1.0) - y) * log_q)
+    return F.when(p.isNotNull() & ~F.isnan(p), -(y * log_p + (F.lit(1.0) - y) * log_q))
 
 
 def bce_on_logits(x, y, pos_weight: float = 1.0) -> Column:
@@ -53,7 +53,7 @@ def activation(x, name: str) -> Column:
     if name in ("identity", "linear", None):
         return x
     if name == "relu":
-        return F.greatest(x, F.lit(0.0))
+        return F.when(x > 0, x).when(x <= 0, F.lit(0.0))  # null stays null
     if name == "sigmoid":
         return sigmoid(x)
     if name == "tanh":

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import clean_name
+from kindling.session import broadcast_if_small
 
 
 def standardise_names(df: DataFrame) -> DataFrame:
@@ -18,11 +19,16 @@ def standardise_names(df: DataFrame) -> DataFrame:
     return df.toDF(*new)
 
 
-def pivot_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
-    """Distinct values of a categorical column, refusing more than ``max_values``."""
+def pivot_values(df: DataFrame, col: str, max_values: int = 1000, drop_null: bool = False) -> list:
+    """Distinct values of a categorical column in order, for the columns of a pivot.
+
+    More than ``max_values`` distinct values are refused: each becomes a column. A null has no column name, so it is
+    refused too unless ``drop_null`` leaves it out."""
     vals = [r[0] for r in df.select(col).distinct().limit(max_values + 1).collect()]
     if len(vals) > max_values:
         raise ValueError(f"{col} has more than {max_values} distinct values; not a pivot column")
+    if None in vals and not drop_null:
+        raise ValueError(f"{col} has nulls; fill them or pass drop_null=True")
     return sorted(v for v in vals if v is not None)
 
 
@@ -45,9 +51,10 @@ def interpolate_linear(df: DataFrame, place: str, order: str, value: str, out: s
     out = out or value
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("t"), F.col(value).alias("v")))
     before = Window.partitionBy(place).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(place).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # the next known value is the last one of the reversed order: running frames, linear in the rows of a place
+    after = Window.partitionBy(place).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = df.withColumn("_p", F.last(known, ignorenulls=True).over(before)).withColumn(
-        "_n", F.first(known, ignorenulls=True).over(after))
+        "_n", F.last(known, ignorenulls=True).over(after))
     t = F.col(order).cast("double")
     t0, v0 = F.col("_p.t").cast("double"), F.col("_p.v")
     t1, v1 = F.col("_n.t").cast("double"), F.col("_n.v")
@@ -67,11 +74,10 @@ def lag_features(df: DataFrame, place: str, order: str, cols: Sequence[str], lag
     return out
 
 
-def merge_sources(base: DataFrame, *others: tuple[DataFrame, list, bool]) -> DataFrame:
-    """Chained left joins (D4). Each ``other`` is ``(table, keys, small)``; ``small`` marks a
-    side whose size is fixed by its domain (e.g. 25 nations) and may be broadcast;
-    every other side is left to the planner and AQE's runtime size check."""
+def merge_sources(base: DataFrame, *others: tuple[DataFrame, list, bool], broadcast_rows: int = 100_000) -> DataFrame:
+    """Chained left joins (D4). Each ``other`` is ``(table, keys, small)``; a side marked ``small`` is counted and
+    broadcast if it has at most ``broadcast_rows`` rows; every other side is left to the planner and AQE."""
     out = base
     for tbl, keys, small in others:
-        out = out.join(F.broadcast(tbl) if small else tbl, keys if isinstance(keys, list) else keys, "left")
+        out = out.join(broadcast_if_small(tbl, broadcast_rows) if small else tbl, keys, "left")
     return out

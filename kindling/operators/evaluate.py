@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kindling.functions.columns import bce_on_logits, bce_on_probs, sigmoid
 from kindling.operators.prefix import range_buckets, running_sums_desc
-from kindling.session import cut_lineage
+from kindling.session import broadcast_if_small, cut_lineage
 
 # Fixed value: the constant in the denominator of the threshold search's F1.
 F1_SEARCH_EPS = 1e-8
@@ -51,21 +51,27 @@ def with_prediction(df: DataFrame, threshold=DEFAULT_THRESHOLD, score: str = "sc
     return df.withColumn(out, cond.cast("int"))
 
 
+def usable(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """The rows every metric counts (one rule for all): label and score neither null nor NaN."""
+    x = F.col(score).cast("double")
+    return df.filter(F.col(label).isNotNull() & x.isNotNull() & ~F.isnan(x))
+
+
 # --- core counts -------------------------------------------------------------------
 
 def score_counts(scored: DataFrame, model: str = "model", label: str = "label", score: str = "score",
                  materialize: bool = False) -> DataFrame:
     """``(model, score, pos, neg)``: one row per distinct score (map-side combined).
 
-    Label 1 counts as positive and any other label as negative; rows with a null
-    label or score are left out.
+    Label 1 counts as positive and any other label as negative; rows that are not
+    :func:`usable` are left out.
 
     ``materialize`` checkpoints the counts into the shared checkpoint folder so that
     operators reading them several times scan the scored table once; the
     checkpoint also pins a range-partition bucket ``_bk`` per row, which the
     running sums use so that no bucket is hot however the scores are spread."""
     y = F.col(label).cast("int")
-    counts = (scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+    counts = (usable(scored, label, score)
               .groupBy(F.col(model).alias("model"), F.col(score).cast("double").alias("score"))
               .agg(F.sum(F.when(y == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
                    F.sum(F.when(y == 1, 0).otherwise(1)).cast("bigint").alias("neg")))
@@ -98,7 +104,7 @@ def curve_counts(counts: DataFrame, lo: float = 0.0, hi: float = 1.0, materializ
 
 def log_loss(scored: DataFrame, group: str = "model", label: str = "label", score: str = "score") -> DataFrame:
     """Mean binary cross-entropy on probabilities, logs floored at -100."""
-    return scored.groupBy(group).agg(F.avg(bce_on_probs(score, label)).alias("log_loss"))
+    return usable(scored, label, score).groupBy(group).agg(F.avg(bce_on_probs(score, label)).alias("log_loss"))
 
 
 def weighted_log_loss(df: DataFrame, pos_weight: float = 2.0, group: str = "model", label: str = "label",
@@ -107,18 +113,16 @@ def weighted_log_loss(df: DataFrame, pos_weight: float = 2.0, group: str = "mode
 
     The mean divides by the row count, not by the sum of weights.
     """
-    return df.groupBy(group).agg(F.avg(bce_on_logits(logit, label, pos_weight)).alias("weighted_log_loss"))
+    return usable(df, label, logit).groupBy(group).agg(
+        F.avg(bce_on_logits(logit, label, pos_weight)).alias("weighted_log_loss"))
 
 
-def epoch_metrics(scored: DataFrame, threshold=DEFAULT_THRESHOLD, group: str = "model", label: str = "label",
-                  score: str = "score") -> DataFrame:
-    """Train-pass loss and accuracy (E18): the row mean, which is what batch means weighted by
-    batch size add up to."""
-    p = with_prediction(scored, threshold, score)
-    return p.groupBy(group).agg(
-        F.avg(bce_on_probs(score, label)).alias("loss"),
-        F.avg((F.col("pred") == F.col(label).cast("int")).cast("double")).alias("accuracy"),
-        F.count(F.lit(1)).alias("n"))
+def epoch_metrics(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD, model: str = "model", label: str = "label",
+                  score: str = "score", pos_weight: float = 1.0) -> DataFrame:
+    """Train-pass ``(model, loss, accuracy, auc, n)`` (E18): the row mean, which is what batch means weighted by batch
+    size add up to, and the AUC of the pass. ``pos_weight`` weighs the loss of positive rows."""
+    counts = score_counts(scored, model, label, score, materialize=True)
+    return evaluation_from_counts(counts, threshold, pos_weight=pos_weight).select("model", "loss", "accuracy", "auc", "n")
 
 
 # --- thresholded metrics (E5, E7, E8) ----------------------------------------------------
@@ -154,9 +158,22 @@ def rates(cells: DataFrame) -> DataFrame:
         _div(F.lit(2) * tp, F.lit(2) * tp + fp + fn).alias("f1"))
 
 
+def _cells(scored: DataFrame, thresholds) -> DataFrame:
+    """Confusion cells of a scored table. A number as threshold needs four sums per model, map-side combined; a
+    ``(model, threshold)`` table is joined to the per-score counts."""
+    if thresholds is not None and not isinstance(thresholds, (int, float)):
+        return confusion_cells(score_counts(scored), thresholds)
+    t = DEFAULT_THRESHOLD if thresholds is None else float(thresholds)
+    above, pos = F.col("score").cast("double") > t, F.col("label").cast("int") == 1
+    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
+    return usable(scored).groupBy("model").agg(
+        F.lit(t).alias("threshold"), n(~above & ~pos).alias("tn"), n(above & ~pos).alias("fp"),
+        n(~above & pos).alias("fn"), n(above & pos).alias("tp"), F.count(F.lit(1)).alias("n"))
+
+
 def confusion_matrix(scored: DataFrame, thresholds=None) -> DataFrame:
     """2 × 2 confusion matrix as rows ``(model, label, pred, n)``; empty cells are 0."""
-    cells = confusion_cells(score_counts(scored), thresholds)
+    cells = _cells(scored, thresholds)
     grid = F.explode(F.array(
         F.struct(F.lit(0).alias("label"), F.lit(0).alias("pred"), F.col("tn").alias("n")),
         F.struct(F.lit(0).alias("label"), F.lit(1).alias("pred"), F.col("fp").alias("n")),
@@ -167,15 +184,24 @@ def confusion_matrix(scored: DataFrame, thresholds=None) -> DataFrame:
 
 def binary_metrics(scored: DataFrame, thresholds=None) -> DataFrame:
     """``(model, threshold, accuracy, precision, recall, f1, tn, fp, fn, tp, n)``."""
-    return rates(confusion_cells(score_counts(scored), thresholds))
+    return rates(_cells(scored, thresholds))
 
 
 # --- ranking metrics (E6, E9–E13) ---------------------------------------------------------
 
-def _auc_expr() -> Column:
-    num = F.sum(F.col("pos") * (F.lit(2) * (F.col("N") - F.col("fp")) + F.col("neg")))
+def _wide(x) -> Column:
+    """A count as a decimal: products and sums of counts pass the bigint range from some 10**9 rows on."""
+    return x.cast("decimal(19,0)")
+
+
+def _share_of_pairs(numerator: Column) -> Column:
+    """``numerator / (2 P N)``, null for a single-class model."""
     return F.when((F.first("P") > 0) & (F.first("N") > 0),
-                  num.cast("double") / (F.lit(2.0) * F.first("P") * F.first("N")))
+                  F.sum(numerator).cast("double") / (F.lit(2.0) * F.first("P") * F.first("N")))
+
+
+def _auc_expr() -> Column:
+    return _share_of_pairs(_wide(F.col("pos")) * _wide(F.lit(2) * (F.col("N") - F.col("fp")) + F.col("neg")))
 
 
 def auc_from_counts(counts: DataFrame) -> DataFrame:
@@ -184,13 +210,18 @@ def auc_from_counts(counts: DataFrame) -> DataFrame:
     return curve_counts(counts).groupBy("model").agg(_auc_expr().alias("auc"))
 
 
-def auc(scored: DataFrame) -> DataFrame:
-    return auc_from_counts(score_counts(scored, materialize=True))
+def _counts(scored: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """Prepared per-score counts if the caller shares them between metrics, else those of ``scored``."""
+    return counts if counts is not None else score_counts(scored, materialize=True)
 
 
-def pr_curve(scored: DataFrame) -> DataFrame:
+def auc(scored: DataFrame | None, counts: DataFrame | None = None) -> DataFrame:
+    return auc_from_counts(_counts(scored, counts))
+
+
+def pr_curve(scored: DataFrame | None, counts: DataFrame | None = None) -> DataFrame:
     """Precision-recall curve (E9): ``(model, threshold, precision, recall)``."""
-    counts = score_counts(scored, materialize=True)
+    counts = _counts(scored, counts)
     return pr_points(curve_counts(counts), ends_from=model_totals(counts))
 
 
@@ -207,7 +238,7 @@ def pr_points(cc: DataFrame, ends_from: DataFrame | None = None) -> DataFrame:
     return pts.unionByName(ends)
 
 
-def roc_curve(scored: DataFrame, drop_intermediate: bool = False) -> DataFrame:
+def roc_curve(scored: DataFrame | None, drop_intermediate: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """ROC curve (E10): ``(model, threshold, fpr, tpr)`` with the (0, 0) start point at +inf.
 
     ``drop_intermediate`` removes points collinear with both neighbours (a point is
@@ -215,7 +246,7 @@ def roc_curve(scored: DataFrame, drop_intermediate: bool = False) -> DataFrame:
     The next point's counts come from the running-sum pass (``lead`` within a bucket,
     the next bucket's top point across buckets): no self-join, no global window.
     """
-    counts = score_counts(scored, materialize=True)
+    counts = _counts(scored, counts)
     cc = curve_counts(counts, with_next=drop_intermediate)
     if drop_intermediate:
         cc = cc.filter((F.col("M") <= 2) | (F.col("idx") == 1) | F.col("pos_next").isNull()
@@ -228,31 +259,30 @@ def roc_curve(scored: DataFrame, drop_intermediate: bool = False) -> DataFrame:
     return pts.unionByName(starts)
 
 
-def trapezoid_auc(scored: DataFrame) -> DataFrame:
+def trapezoid_auc(scored: DataFrame | None, counts: DataFrame | None = None) -> DataFrame:
     """Area under the ROC curve by the trapezoid rule.
 
     Each point's predecessor on the curve is the next higher score, whose running
     counts are this point's minus its own counts, so every trapezoid
     ``(fp - fp_prev)/N · (tp + tp_prev)/(2P)`` is computed row by row.
     """
-    cc = curve_counts(score_counts(scored, materialize=True))
-    num = F.sum(F.col("neg") * (F.lit(2) * F.col("tp") - F.col("pos")))
-    return cc.groupBy("model").agg(
-        F.when((F.first("P") > 0) & (F.first("N") > 0),
-               num.cast("double") / (F.lit(2.0) * F.first("P") * F.first("N"))).alias("trapezoid_auc"))
+    cc = curve_counts(_counts(scored, counts))
+    num = _wide(F.col("neg")) * _wide(F.lit(2) * F.col("tp") - F.col("pos"))
+    return cc.groupBy("model").agg(_share_of_pairs(num).alias("trapezoid_auc"))
 
 
-def mean_precision(scored: DataFrame) -> DataFrame:
+def mean_precision(scored: DataFrame | None, counts: DataFrame | None = None) -> DataFrame:
     """Mean of the PR curve's precision values including the end point.
 
     This is the plain mean of the points, not the area under the curve."""
-    return pr_curve(scored).groupBy("model").agg(F.avg("precision").alias("mean_precision"))
+    return pr_curve(scored, counts).groupBy("model").agg(F.avg("precision").alias("mean_precision"))
 
 
 def _best_expr() -> Column:
     p, r = F.col("_p"), F.col("_r")
     f1 = F.lit(2.0) * (p * r) / (p + r + F.lit(F1_SEARCH_EPS))
-    return F.max_by(F.struct(F.col("score").alias("threshold"), f1.alias("search_f1")),
+    return F.max_by(F.struct(F.col("score").alias("threshold"), f1.alias("search_f1"),
+                             (F.col("tp") - F.col("pos")).alias("tp"), (F.col("fp") - F.col("neg")).alias("fp")),
                     F.struct(f1, -F.col("score")))
 
 
@@ -268,44 +298,50 @@ def best_threshold_from_counts(cc: DataFrame) -> DataFrame:
                        F.col("b.search_f1").alias("search_f1"))
 
 
-def best_threshold(scored: DataFrame) -> DataFrame:
-    return best_threshold_from_counts(curve_counts(score_counts(scored, materialize=True)))
+def best_threshold(scored: DataFrame | None, counts: DataFrame | None = None) -> DataFrame:
+    return best_threshold_from_counts(curve_counts(_counts(scored, counts)))
 
 
 # --- E14 ---------------------------------------------------------------------------------
 
-def evaluation(scored: DataFrame, threshold=None, find_best: bool = False) -> DataFrame:
+def evaluation(scored: DataFrame, threshold=None, find_best: bool = False, pos_weight: float = 1.0) -> DataFrame:
     """Full evaluation record per model.
 
     ``threshold`` is a number, a ``(model, threshold)`` table or None (0.5);
-    ``find_best`` searches the F1-optimal threshold instead. Returns ``(model, n,
-    loss, accuracy, auc, precision, recall, f1, tn, fp, fn, tp, threshold)``.
+    ``find_best`` searches the F1-optimal threshold instead; ``pos_weight`` weighs the loss of
+    positive rows (the mean still divides by the row count). Returns ``(model, n, loss, accuracy,
+    auc, precision, recall, f1, tn, fp, fn, tp, threshold)``.
 
-    The scored table is read once (per-score counts, checkpointed); threshold
-    search and AUC share one aggregate over the curve; confusion cells and the
-    loss share one aggregate over the counts.
+    The scored table is read once (per-score counts, checkpointed).
     """
-    counts = score_counts(scored, materialize=True)
-    summary = _with_pr(curve_counts(counts)).groupBy("model").agg(_auc_expr().alias("auc"), _best_expr().alias("b"))
-    # One per-model row (auc, threshold) joins the counts once, so the curve branch runs once.
-    if find_best:
-        per_model = summary.select("model", "auc", F.coalesce("b.threshold", F.lit(DEFAULT_THRESHOLD)).alias("threshold"))
-    elif threshold is None or isinstance(threshold, (int, float)):
-        t = DEFAULT_THRESHOLD if threshold is None else float(threshold)
-        per_model = summary.select("model", "auc", F.lit(t).alias("threshold"))
+    return evaluation_from_counts(score_counts(scored, materialize=True), threshold, find_best, pos_weight)
+
+
+def evaluation_from_counts(counts: DataFrame, threshold=None, find_best: bool = False,
+                           pos_weight: float = 1.0) -> DataFrame:
+    """:func:`evaluation` of prepared per-score counts.
+
+    One map-side combined aggregate per model over the running counts gives everything: the counts above a fixed
+    threshold are conditional sums, those above the searched one are the running counts at its point without the
+    point's own. Only a threshold table is joined, by model, after its size is checked."""
+    cc = _with_pr(curve_counts(counts))
+    if find_best or threshold is None or isinstance(threshold, (int, float)):
+        cc = cc.withColumn("threshold", F.lit(DEFAULT_THRESHOLD if threshold is None else threshold).cast("double")
+                           if not find_best else F.lit(None).cast("double"))
     else:
-        per_model = summary.select("model", "auc").join(threshold.select("model", "threshold"), "model")
-    c = counts.join(per_model, "model")
+        cc = cc.join(broadcast_if_small(threshold.select("model", F.col("threshold").cast("double"))), "model")
     above = F.col("score") > F.col("threshold")
-    loss_sum = F.sum(F.col("pos") * bce_on_probs(F.col("score"), F.lit(1))
-                     + F.col("neg") * bce_on_probs(F.col("score"), F.lit(0)))
-    cells = c.groupBy("model", "threshold", "auc").agg(
-        F.sum(F.when(~above, F.col("neg")).otherwise(0)).cast("bigint").alias("tn"),
-        F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("bigint").alias("fp"),
-        F.sum(F.when(~above, F.col("pos")).otherwise(0)).cast("bigint").alias("fn"),
-        F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("bigint").alias("tp"),
-        F.sum(F.col("pos") + F.col("neg")).cast("bigint").alias("n"),
-        loss_sum.alias("_loss"))
+    loss = (F.lit(float(pos_weight)) * F.col("pos") * bce_on_probs(F.col("score"), F.lit(1))
+            + F.col("neg") * bce_on_probs(F.col("score"), F.lit(0)))
+    per_model = cc.groupBy("model").agg(
+        _auc_expr().alias("auc"), _best_expr().alias("b"), F.first("P").alias("P"), F.first("N").alias("N"),
+        F.max("threshold").alias("t"), F.sum(loss).alias("_loss"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("bigint").alias("_fp"),
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("bigint").alias("_tp"))
+    fp, tp, t = ("b.fp", "b.tp", "b.threshold") if find_best else ("_fp", "_tp", "t")
+    cells = per_model.select("model", "auc", F.col(t).alias("threshold"), (F.col("N") - F.col(fp)).alias("tn"),
+                             F.col(fp).alias("fp"), (F.col("P") - F.col(tp)).alias("fn"), F.col(tp).alias("tp"),
+                             (F.col("P") + F.col("N")).alias("n"), "_loss")
     out = rates(cells).withColumn("loss", F.col("_loss") / F.col("n"))
     return out.select("model", "n", "loss", "accuracy", "auc", "precision", "recall", "f1",
                       "tn", "fp", "fn", "tp", "threshold")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindling.functions import arrays as A
-from kindling.functions.columns import activation
+from kindling.functions.columns import activation, sql_ident
 
 # Bound on parameters shipped inside a plan or a broadcast (values, not bytes).
 MAX_MODEL_VALUES = 50_000_000
@@ -45,73 +45,80 @@ def entropy_scores(df: DataFrame, features: str, n_landcover: int = 4, k: float
 
 # --- N2 --------------------------------------------------------------------------------------------
 
-def _vectors(col) -> np.ndarray:
-    """A fixed-width list column of an Arrow batch as an (n, width) float64 matrix."""
+def _valid_rows(col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A list column of an Arrow batch as (values, start, length, valid); a row is valid if neither it nor an
+    element of it is null."""
     import pyarrow as pa
 
-    if col.null_count:
-        raise ValueError("feature vectors must not be null")
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    n = len(col)
-    offsets = col.offsets.to_numpy()
-    width = int(offsets[1] - offsets[0]) if n else 0
-    if n and not np.all(np.diff(offsets) == width):
-        raise ValueError("feature vectors must all have the same length")
-    values = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(n, width)
-
-
-def _list_array(y: np.ndarray):
-    """(n, k) → list<double>; (n, f, w) → list<list<double>>; no per-row Python objects."""
+    present = col.is_valid().to_numpy(zero_copy_only=False)
+    some = col.filter(pa.array(present))
+    lens = np.zeros(len(col), np.int64)
+    lens[present] = some.value_lengths().to_numpy(zero_copy_only=False)
+    flat = some.flatten()
+    start = np.concatenate([[0], np.cumsum(lens)])[:-1].astype(np.int64)
+    missing = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+    valid = present & (missing[start + lens] == missing[start])
+    values = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    return values, start, lens, valid
+
+
+def _list_array(y: np.ndarray, valid: np.ndarray):
+    """(n, k) → list<double> with one row per entry of ``valid``, null where it is False; no per-row Python objects."""
     import pyarrow as pa
 
-    y = np.ascontiguousarray(y, dtype=np.float64)
-    inner = pa.array(y.ravel(), type=pa.float64())
-    for depth in range(y.ndim - 1, 0, -1):
-        count = int(np.prod(y.shape[:depth]))
-        size = y.shape[depth]
-        offsets = pa.array(np.arange(0, (count + 1) * size, size, dtype=np.int32))
-        inner = pa.ListArray.from_arrays(offsets, inner)
-    return inner
+    offsets = np.concatenate([[0], np.cumsum(valid * y.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(y, np.float64).ravel()),
+                                    mask=pa.array(~valid))
 
 
-def map_vectors(df: DataFrame, features: str, fn, out: str, out_type: T.DataType) -> DataFrame:
-    """Apply ``fn`` ((n, width) matrix → (n, k) or (n, f, w) array) to a vector column in
-    Arrow batches with ``mapInArrow``; every other column passes through untouched."""
+def _map_column(df: DataFrame, features: str, fn, out: str, out_type: T.DataType) -> DataFrame:
+    """Add ``out`` = ``fn`` of the Arrow column ``features``, batch by batch; other columns pass through."""
     import pyarrow as pa
 
-    keep = [f for f in df.schema.fields if f.name != out]
-    schema = T.StructType(keep + [T.StructField(out, out_type)])
+    at = df.columns.index(features)
+    keep = [i for i, f in enumerate(df.schema.fields) if f.name != out]
+    schema = T.StructType([df.schema.fields[i] for i in keep] + [T.StructField(out, out_type)])
 
     def run(batches):
         for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            y = _list_array(fn(_vectors(rb.column(rb.schema.get_field_index(features)))))
-            cols = [rb.column(rb.schema.get_field_index(f.name)) for f in keep]
-            yield pa.RecordBatch.from_arrays(cols + [y], names=[f.name for f in keep] + [out])
+            yield pa.RecordBatch.from_arrays([rb.column(i) for i in keep] + [fn(rb.column(at))],
+                                             names=[rb.schema.names[i] for i in keep] + [out])
 
     return df.mapInArrow(run, schema)
 
 
-# Above this many weights a dense layer runs as one numpy matmul per Arrow batch;
-# at or below it, as SQL higher-order functions that stay inside the JVM.
-DENSE_SQL_MAX_WEIGHTS = 1024
+def map_vectors(df: DataFrame, features: str, fn, out: str, width: int) -> DataFrame:
+    """Apply ``fn`` ((n, width) matrix → (n, k) array) to a vector column in Arrow batches with ``mapInArrow``; every
+    other column passes through untouched. A vector that is null, has a null element or is not ``width`` long gives
+    null."""
+    def one(col):
+        values, start, lens, valid = _valid_rows(col)
+        valid &= lens == width
+        x = values[start[valid][:, None] + np.arange(width)]
+        return _list_array(fn(x), valid)
+
+    return _map_column(df, features, one, out, T.ArrayType(T.DoubleType()))
 
 
 def dense_layer(df: DataFrame, features: str, weights: Sequence[Sequence[float]], bias: Sequence[float] | None = None,
                 act: str = "identity", out: str = "hidden") -> DataFrame:
     """``act(x · W + b)`` on an array column (N2); ``weights`` are I × J rows.
 
-    Small layers are SQL expressions (one dot product per output unit); larger
-    ones are an Arrow-batched (``mapInArrow``) matmul with broadcast weights, since per-element
-    lambdas grow with I × J while a BLAS product per batch does not."""
-    n_in, n_out = len(weights), len(weights[0])
-    _check_size(n_in * n_out, "weight matrix")
-    if n_in * n_out <= DENSE_SQL_MAX_WEIGHTS:
-        return df.withColumn(out, A.dense(features, weights, bias, act))
-    return dense_layer_numpy(df, features, weights, bias, act, out)
+    One Arrow-batched matmul with broadcast weights, whatever their number; other columns pass through. Vectors that
+    are null, hold a null or have another length than I give null."""
+    w = np.asarray(weights, dtype=np.float64)
+    b = np.zeros(w.shape[1]) if bias is None else np.asarray(bias, dtype=np.float64)
+    _np_act(np.zeros(1), act)  # an unknown activation fails here, not in a task
+    _check_size(w.size, "weight matrix")
+    bc = df.sparkSession.sparkContext.broadcast((w, b, act))
+
+    def fn(x):
+        wm, bv, a = bc.value
+        return _np_act(x @ wm + bv, a)
+
+    return map_vectors(df, features, fn, out, w.shape[0])
 
 
 def _np_act(x: np.ndarray, act: str) -> np.ndarray:
@@ -134,21 +141,6 @@ def _np_act(x: np.ndarray, act: str) -> np.ndarray:
     raise ValueError(f"unknown activation {act!r}")
 
 
-def dense_layer_numpy(df: DataFrame, features: str, weights, bias=None, act: str = "identity",
-                      out: str = "hidden") -> DataFrame:
-    """N2 as one Arrow-batched matmul with broadcast weights; other columns pass through."""
-    w = np.asarray(weights, dtype=np.float64)
-    b = np.zeros(w.shape[1]) if bias is None else np.asarray(bias, dtype=np.float64)
-    _check_size(w.size, "weight matrix")
-    bc = df.sparkSession.sparkContext.broadcast((w, b, act))
-
-    def fn(x):
-        wm, bv, a = bc.value
-        return _np_act(x @ wm + bv, a)
-
-    return map_vectors(df, features, fn, out, T.ArrayType(T.DoubleType()))
-
-
 def dense_layer_long(long: DataFrame, weights: DataFrame, bias: DataFrame, key: str = "key",
                      act: str = "identity") -> DataFrame:
     """Long form of N2: ``(key, i, x)`` ⋈ ``(i, j, w)`` → ``groupBy(key, j)`` Σ x·w, + ``(j, b)``.
@@ -161,58 +153,90 @@ def dense_layer_long(long: DataFrame, weights: DataFrame, bias: DataFrame, key:
 
 # --- N3 / N4 ---------------------------------------------------------------------------------------
 
+def _usable(c: str) -> F.Column:
+    """The column as double with NaN as null."""
+    x = F.col(sql_ident(c)).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def fit_batch_norm(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Table mean and population variance per column: ``(feature, mean, var)`` (N3 statistics)."""
+    """Table mean and population variance per column: ``(feature, mean, var)`` (N3 statistics); null and NaN values
+    are skipped, a column without values has null for both."""
     aggs = []
-    for c in cols:
-        aggs += [F.avg(F.col(c).cast("double")).alias(f"m__{c}"), F.var_pop(F.col(c).cast("double")).alias(f"v__{c}")]
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m__{c}").alias("mean"),
-                                         F.col(f"v__{c}").alias("var")) for c in cols]))
+    for i, c in enumerate(cols):
+        aggs += [F.avg(_usable(c)).alias(f"m{i}"), F.var_pop(_usable(c)).alias(f"v{i}")]
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean"),
+                                         F.col(f"v{i}").alias("var")) for i, c in enumerate(cols)]))
     return df.agg(*aggs).select(stack.alias("s")).select("s.*")
 
 
 def batch_norm(df: DataFrame, cols: Sequence[str], params: DataFrame | dict | None = None, eps: float = BN_EPS,
-               suffix: str = "") -> DataFrame:
-    """``(x - mean) / sqrt(var + eps)`` per column (N3), statistics of this table unless
-    ``params`` (a fitted ``(feature, mean, var)`` table or dict) is given."""
+               suffix: str = "", scale: dict | None = None, shift: dict | None = None) -> DataFrame:
+    """``scale · (x - mean) / sqrt(var + eps) + shift`` per column (N3), statistics of this table unless ``params`` (a
+    fitted ``(feature, mean, var)`` table or dict, which may hold further features) is given; scale 1 and shift 0
+    unless the dicts name a column. A null or NaN value, and every value of a column without statistics, gives null."""
     p = params if params is not None else fit_batch_norm(df, cols)
     if not isinstance(p, dict):
-        rows = p.limit(len(cols) + 1).collect()  # one row per column
+        rows = p.where(F.col("feature").isin(list(cols))).collect()  # the rows of the asked columns
         p = {r["feature"]: (r["mean"], r["var"]) for r in rows}
-    return df.withColumns({c + suffix: (F.col(c).cast("double") - F.lit(float(p[c][0])))
-                           / F.lit(float(np.sqrt(p[c][1] + eps))) for c in cols})
-
-
-def layer_norm(df: DataFrame, features: str, eps: float = BN_EPS, out: str | None = None) -> DataFrame:
-    """Normalise each row's vector by its own mean and population variance."""
-    return df.withColumn(out or features, A.array_layer_norm(features, eps))
+    missing = [c for c in cols if c not in p]
+    if missing:
+        raise ValueError(f"no batch-norm parameters for {missing}")
+    new = {}
+    for c in cols:
+        mean, var = p[c]
+        if mean is None or var is None:
+            new[c + suffix] = F.lit(None).cast("double")
+            continue
+        x = (_usable(c) - F.lit(float(mean))) / F.lit(float(np.sqrt(var + eps)))
+        new[c + suffix] = x * F.lit(float((scale or {}).get(c, 1.0))) + F.lit(float((shift or {}).get(c, 0.0)))
+    return df.withColumns(new)
+
+
+def layer_norm(df: DataFrame, features: str, eps: float = BN_EPS, out: str | None = None,
+               scale: Sequence[float] | None = None, shift: Sequence[float] | None = None) -> DataFrame:
+    """Normalise each row's vector by its own mean and population variance (N4), then scale and shift by position."""
+    y = A.array_layer_norm(features, eps)
+    if scale is not None:
+        y = F.zip_with(y, A.lit_array(scale), lambda a, b: a * b)
+    if shift is not None:
+        y = F.zip_with(y, A.lit_array(shift), lambda a, b: a + b)
+    return df.withColumn(out or features, y)
 
 
 # --- N5 --------------------------------------------------------------------------------------------
 
-# Above this many filters the convolution runs as shifted numpy products per Arrow
-# batch; at or below it, as SQL higher-order functions.
-CONV_SQL_MAX_FILTERS = 4
-
-
 def conv_features(df: DataFrame, features: str, kernels: Sequence[Sequence[float]], act: str = "identity",
                   out: str = "conv") -> DataFrame:
     """Width-3, zero-padded convolution along the feature order with one output per
-    kernel ``(l, m, r, b)`` (N5): ``array<array<double>>`` of filters × positions."""
-    if len(kernels) <= CONV_SQL_MAX_FILTERS:
-        return df.withColumn(out, A.conv1d_filters(features, kernels, act))
+    kernel ``(l, m, r, b)`` (N5): ``array<array<double>>`` of filters × positions.
+
+    Shifted products over each Arrow batch, for vectors of any length; a vector that is null or holds a null gives
+    null."""
     k = np.asarray(kernels, dtype=np.float64)
+    _np_act(np.zeros(1), act)
     bc = df.sparkSession.sparkContext.broadcast((k, act))
 
-    def fn(x):
-        kern, a = bc.value
-        prev = np.zeros_like(x)
-        prev[:, 1:] = x[:, :-1]
-        nxt = np.zeros_like(x)
-        nxt[:, :-1] = x[:, 1:]
-        return np.stack([_np_act(l * prev + m * x + r * nxt + b, a) for l, m, r, b in kern], axis=1)
+    def fn(col):
+        import pyarrow as pa
 
-    return map_vectors(df, features, fn, out, T.ArrayType(T.ArrayType(T.DoubleType())))
+        kern, a = bc.value
+        values, start, lens, valid = _valid_rows(col)
+        prev, nxt = np.zeros_like(values), np.zeros_like(values)
+        prev[1:], nxt[:-1] = values[:-1], values[1:]
+        some = lens > 0
+        prev[start[some]] = 0.0
+        nxt[(start + lens - 1)[some]] = 0.0
+        y = np.concatenate([_np_act(l * prev + m * values + r * nxt + b, a) for l, m, r, b in kern])
+        n = np.repeat(lens[valid], len(kern))  # one run of values per (row, kernel)
+        begin = (start[valid][:, None] + np.arange(len(kern)) * len(values)).ravel()
+        ends = np.cumsum(n)
+        y = y[np.repeat(begin - (ends - n), n) + np.arange(int(n.sum()))]
+        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(y))
+        outer = np.concatenate([[0], np.cumsum(valid * len(kern))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(outer), inner, mask=pa.array(~valid))
+
+    return _map_column(df, features, fn, out, T.ArrayType(T.ArrayType(T.DoubleType())))
 
 
 # --- N6 --------------------------------------------------------------------------------------------
@@ -261,25 +285,14 @@ def additive_scores_long(long: DataFrame, bins: dict[str, Bins], shape_table: Da
 def branch_concat(df: DataFrame, features: str, branch_weights: Sequence[Sequence[Sequence[float]]],
                   branch_bias: Sequence[Sequence[float]], residual_weights: Sequence[Sequence[float]],
                   act: str = "relu", out: str = "branches") -> DataFrame:
-    """Multi-branch features (N9): contiguous slices, a dense layer per slice, concatenation,
-    and a residual add of a linear map of the whole vector.
-
-    Small weight sets run as SQL expressions, larger ones as one numpy pass."""
-    n_w = sum(len(w) * len(w[0]) for w in branch_weights) + len(residual_weights) * len(residual_weights[0])
-    _check_size(n_w, "branch weights")
-    if n_w > DENSE_SQL_MAX_WEIGHTS:
-        return _branch_concat_numpy(df, features, branch_weights, branch_bias, residual_weights, act, out)
-    slices = A.feature_slices(features, len(branch_weights))
-    outs = [A.dense(s, w, b, act) for s, w, b in zip(slices, branch_weights, branch_bias)]
-    cat = F.concat(*outs)
-    res = A.dense(features, residual_weights, None, "identity")
-    return df.withColumn(out, A.residual_add(cat, res))
-
-
-def _branch_concat_numpy(df, features, branch_weights, branch_bias, residual_weights, act, out):
+    """Multi-branch features (N9): contiguous slices, a dense layer per slice, concatenation, and a residual add of a
+    linear map of the whole vector, in one numpy pass per Arrow batch. Vectors that are null, hold a null or have
+    another length than the residual weights give null."""
     ws = [np.asarray(w, dtype=np.float64) for w in branch_weights]
     bs = [np.asarray(b, dtype=np.float64) for b in branch_bias]
     r = np.asarray(residual_weights, dtype=np.float64)
+    _check_size(sum(w.size for w in ws) + r.size, "branch weights")
+    _np_act(np.zeros(1), act)
     bc = df.sparkSession.sparkContext.broadcast((ws, bs, r, act))
 
     def fn(x):
@@ -290,17 +303,30 @@ def _branch_concat_numpy(df, features, branch_weights, branch_bias, residual_wei
         parts = [_np_act(x[:, edges[i]:edges[i + 1]] @ wl[i] + bl[i], a) for i in range(k)]
         return np.concatenate(parts, axis=1) + x @ rm
 
-    return map_vectors(df, features, fn, out, T.ArrayType(T.DoubleType()))
+    return map_vectors(df, features, fn, out, r.shape[0])
 
 
 # --- N7 / N8: numpy batches -----------------------------------------------------------------------
 
-_ERF = np.frompyfunc(__import__("math").erf, 1, 1)
+_ERF_TERMS = 90
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    """The error function as array arithmetic: the series 2/sqrt(pi) · exp(-x²) · Σ 2ⁿ x²ⁿ⁺¹ / (1·3·…·(2n+1)), all of
+    whose terms have one sign, up to |x| = 6; beyond that it is ±1 in double precision."""
+    z = np.clip(np.abs(x), 0.0, 6.0)
+    term = total = z.copy()
+    for n in range(1, _ERF_TERMS):
+        term = term * (2.0 * z * z / (2 * n + 1))
+        total = total + term
+        if n % 10 == 0 and not (term > 1e-17 * total).any():
+            break
+    return np.sign(x) * np.minimum(2.0 / np.sqrt(np.pi) * np.exp(-z * z) * total, 1.0)
 
 
 def _gelu(x: np.ndarray) -> np.ndarray:
-    """Exact GELU ``x·Φ(x)`` (erf from the standard library; Spark SQL has no erf)."""
-    return 0.5 * x * (1.0 + _ERF(x / np.sqrt(2.0)).astype(np.float64))
+    """Exact GELU ``x·Φ(x)`` (Spark SQL has no erf)."""
+    return 0.5 * x * (1.0 + _erf(x / np.sqrt(2.0)))
 
 
 def _layer_norm_np(x: np.ndarray, eps: float = BN_EPS) -> np.ndarray:
@@ -350,18 +376,23 @@ class FrozenBlock:
         return h + (_gelu(f @ self.w1 + self.b1) @ self.w2 + self.b2)
 
 
-def frozen_block_features(df: DataFrame, features: str, block: FrozenBlock, key: str,
-                          out: str = "frozen") -> DataFrame:
-    """Features from a frozen block (N7): one Arrow-batched pass, weights broadcast once."""
+def with_frozen_features(df: DataFrame, features: str, block: FrozenBlock, out: str = "frozen") -> DataFrame:
+    """``df`` with the features of a frozen block (N7): one Arrow-batched pass, weights broadcast once, no join.
+    float32 in, float32 out as the block's features; the maths runs in float64."""
     _check_size(block.n_values(), "frozen block")
     bc = df.sparkSession.sparkContext.broadcast(block)
 
     def fn(x):
-        # float32 in, float32 out as the block's features; the maths runs in float64
         return bc.value.forward(x.astype(np.float32).astype(np.float64)).astype(np.float32)
 
-    out_df = map_vectors(df.select(key, features), features, fn, out, T.ArrayType(T.DoubleType()))
-    return out_df.select(key, F.col(out).cast("array<float>").alias(out))
+    mapped = map_vectors(df, features, fn, out, block.wv.shape[0])
+    return mapped.withColumn(out, F.col(out).cast("array<float>"))
+
+
+def frozen_block_features(df: DataFrame, features: str, block: FrozenBlock, key: str,
+                          out: str = "frozen") -> DataFrame:
+    """``(key, out)`` of :func:`with_frozen_features`."""
+    return with_frozen_features(df.select(key, features), features, block, out).select(key, out)
 
 
 @dataclass
@@ -383,13 +414,7 @@ class DenseNet:
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         for w, b, act in self.layers:
-            x = x @ w + b
-            if act == "gelu":
-                x = _gelu(x)
-            elif act == "relu":
-                x = np.maximum(x, 0.0)
-            elif act == "sigmoid":
-                x = 1.0 / (1.0 + np.exp(-x))
+            x = _np_act(x @ w + b, act)
         return x[:, 0]
 
 
@@ -398,28 +423,19 @@ def batch_score(df: DataFrame, features: str, model, key: str, model_name: str =
     """Score every row (N8) → ``(key, model, [label,] score)`` with ``score = sigmoid(logit)``.
 
     ``model`` is a fitted Spark ML model (its ``probability`` column is used) or a
-    :class:`DenseNet` run in one ``mapInArrow`` pass with broadcast weights.
-    Narrow: no shuffle either way.
+    :class:`DenseNet` run in one ``mapInArrow`` pass with broadcast weights; vectors that are null, hold a null or
+    have another length than the first layer score null. Narrow: no shuffle either way.
     """
     keep = [key] + ([label] if label else [])
     if isinstance(model, DenseNet):
         _check_size(model.n_values(), "network")
         bc = df.sparkSession.sparkContext.broadcast(model)
-        fields = [df.schema[c] for c in keep]
-
-        def run(batches):
-            import pyarrow as pa
 
-            net = bc.value
-            for rb in batches:
-                if rb.num_rows == 0:
-                    continue
-                z = net.logits(_vectors(rb.column(rb.schema.get_field_index(features))))
-                cols = [rb.column(rb.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(1.0 / (1.0 + np.exp(-z)))], names=keep + ["score"])
+        def fn(x):
+            return 1.0 / (1.0 + np.exp(-bc.value.logits(x)))[:, None]
 
-        schema = T.StructType(fields + [T.StructField("score", T.DoubleType())])
-        scored = df.select(*keep, features).mapInArrow(run, schema)
+        scored = map_vectors(df.select(*keep, features), features, fn, "_score", model.layers[0][0].shape[0])
+        scored = scored.select(*keep, F.get("_score", F.lit(0)).alias("score"))
     else:
         from pyspark.ml.functions import vector_to_array
 

@@ -205,11 +205,22 @@ SQL["binary_metrics"] = "WITH " + SCORED + COUNTS + cells(FIXED_THR) + """
 SELECT model, threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
        tn, fp, fn, tp FROM rates"""
 
-SQL["epoch_metrics"] = "WITH " + SCORED + f""",
-tr AS (SELECT s.* FROM scored s WHERE s.key IN (SELECT event_id FROM ev WHERE ts < TIMESTAMP '2024-01-25 00:00:00'))
-SELECT model, round(avg({bce('score', 'label')}), 6) AS loss,
-       round(avg(CASE WHEN CAST(score > 0.5 AS INTEGER) = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
-       count(*) AS n FROM tr GROUP BY model"""
+TRAIN_SCORED = SCORED.replace("scored AS (", "all_scored AS (", 1) + """,
+scored AS (SELECT s.* FROM all_scored s WHERE s.key IN
+           (SELECT event_id FROM ev WHERE ts < TIMESTAMP '2024-01-25 00:00:00'))"""
+SQL["epoch_metrics"] = "WITH " + TRAIN_SCORED + COUNTS + f""",
+tr AS (SELECT model, round(avg({bce('score', 'label')}), 6) AS loss,
+              round(avg(CASE WHEN CAST(score > 0.5 AS INTEGER) = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+              count(*) AS n FROM scored GROUP BY model)
+SELECT model, loss, accuracy, round(auc, 6) AS auc, n FROM tr JOIN aucs USING (model)"""
+
+SQL["evaluation_weighted"] = "WITH " + SCORED + COUNTS + cells(FIXED_THR) + f""",
+losses AS (SELECT model, sum(2.0 * pos * {bce('score', '1')} + neg * {bce('score', '0')})
+                         / CAST(sum(pos + neg) AS DOUBLE) AS loss FROM counts GROUP BY model),
+evaluation AS (
+  SELECT r.model, r.n, l.loss, r.accuracy, a.auc, r.precision, r.recall, r.f1, r.tn, r.fp, r.fn, r.tp, r.threshold
+  FROM rates r JOIN losses l USING (model) JOIN aucs a USING (model))
+""" + EVAL_SELECT
 
 SQL["auc"] = "WITH " + SCORED + COUNTS + "\nSELECT model, round(auc, 6) AS auc FROM aucs"
 

@@ -76,6 +76,13 @@ def cut_lineage(df, how: str | None = None):
     return spark.read.parquet(path)
 
 
+def broadcast_if_small(df, max_rows: int = 100_000):
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows (it is counted), else ``df`` as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def scratch_root(spark: SparkSession, root: str | None = None) -> str:
     """Folder of this application's intermediate tables inside the checkpoint folder."""
     root = root or ensure_checkpoint_dir(spark)
