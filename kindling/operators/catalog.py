@@ -12,6 +12,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindling.session import broadcast_if_small
+
 from kindling.functions.columns import sql_ident, stack_expr
 
 # The keyword for each feature group, matched as a substring of the
@@ -89,32 +91,51 @@ def to_long(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataF
 
 
 def tag(long: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Attach catalog tags to the long table; the catalog is schema-sized, so broadcast."""
-    return long.join(F.broadcast(catalog), "feature")
-
-
-def group_profile(tagged: DataFrame, group_col: str = "group") -> DataFrame:
-    """Per group: values, nulls, mean, population std, min, max."""
-    v = F.col("value")
-    ok = F.when(~F.isnan(v), v)
-    return tagged.groupBy(group_col).agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.sum(F.when(ok.isNull(), 1).otherwise(0)).cast("bigint").alias("n_null"),
-        F.avg(ok).alias("mean"), F.stddev_pop(ok).alias("std"),
-        F.min(ok).alias("min"), F.max(ok).alias("max"))
-
-
-def feature_rank(df: DataFrame, features: Sequence[str], label: str, top: int = 30,
-                 long_form_above: int = 100) -> DataFrame:
-    """Features ranked by ``|corr(x, label)|``, highest first, top ``top``."""
+    """Attach catalog tags to the long table; the catalog (a row per feature and tag) is broadcast once counted."""
+    return long.join(broadcast_if_small(catalog), "feature")
+
+
+def feature_profile(long: DataFrame) -> DataFrame:
+    """Per feature: ``(feature, n_values, n_null, n, mean, m2, min, max)``; null and NaN count as null, ``m2`` is the
+    sum of squared deviations of the ``n`` others."""
+    ok = F.when(~F.isnan("value"), F.col("value"))
+    return long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_values"), (F.count(F.lit(1)) - F.count(ok)).alias("n_null"), F.count(ok).alias("n"),
+        F.avg(ok).alias("mean"), (F.var_pop(ok) * F.count(ok)).alias("m2"), F.min(ok).alias("min"), F.max(ok).alias("max"))
+
+
+def group_profile(long: DataFrame, catalog: DataFrame, group_col: str = "group") -> DataFrame:
+    """Per group of the catalog: values, nulls, mean, population std, min, max.
+
+    The long table is aggregated per feature first, map-side; the catalog is joined to that feature-sized result, and
+    the groups merge their features' counts, means and squared deviations."""
+    f = feature_profile(long).join(catalog, "feature")
+    total, n = F.sum("n"), F.col("n")
+    sums = f.groupBy(group_col).agg(
+        F.sum("n_values").cast("bigint").alias("n_values"), F.sum("n_null").cast("bigint").alias("n_null"),
+        total.alias("n"), F.sum(n * F.col("mean")).alias("s"), F.min("min").alias("min"), F.max("max").alias("max"),
+        F.sum("m2").alias("within"), F.collect_list(F.struct("n", "mean")).alias("parts"))
+    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
+    sums = sums.withColumn("mean", mean)
+    between = F.aggregate("parts", F.lit(0.0), lambda a, x: a + F.when(
+        x.n > 0, x.n * (x.mean - F.col("mean")) * (x.mean - F.col("mean"))).otherwise(0.0))
+    std = F.when(F.col("n") > 0, F.sqrt((F.col("within") + between) / F.col("n")))
+    return sums.select(group_col, "n_values", "n_null", "mean", std.alias("std"), "min", "max")
+
+
+def feature_rank(df: DataFrame, features: Sequence[str], label: str, top: int = 30) -> DataFrame:
+    """Features ranked by ``|corr(x, label)|``, highest first, top ``top`` (F5, K1); a feature without a correlation
+    comes last."""
     features = list(features)
-    y = F.col(label).cast("double")
-    if len(features) <= long_form_above:
-        wide = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(c) for c in features])
-        scores = wide.unpivot([], features, "feature", "corr")
-    else:
-        long = to_long(df.withColumn("_y", y), ["_y"], features)  # stack: one generator
-        scores = long.groupBy("feature").agg(F.corr("value", "_y").alias("corr"))
+    y = F.col(sql_ident(label)).cast("double")
+    long = to_long(df.withColumn("_y", y), ["_y"], features)  # stack: one generator
+    # corr() itself divides by zero on a constant column
+    known = F.col("value").isNotNull() & F.col("_y").isNotNull()
+    x, yy = F.when(known, F.col("value")), F.when(known, F.col("_y"))
+    scores = long.groupBy("feature").agg(F.covar_pop("value", "_y").alias("c"),
+                                         (F.stddev_pop(x) * F.stddev_pop(yy)).alias("s"))
+    scores = scores.select("feature", F.when(F.col("s") != 0, F.col("c") / F.col("s")).alias("corr"))
+    scores = names_frame(df.sparkSession, features).join(scores, "feature", "left")
     from kindling.operators.evaluate import top_n
 
     return top_n(scores.withColumn("importance", F.abs("corr")), "importance", top, tie="feature")

@@ -14,14 +14,14 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import OneHotEncoder, QuantileDiscretizer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, QuantileDiscretizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindling.operators import evaluate as E
-from kindling.operators.prepare import assemble
-from kindling.operators.scoring import FrozenBlock, frozen_block_features
+from kindling.functions.columns import sql_clean_double, sql_ident
+from kindling.operators.scoring import FrozenBlock, with_frozen_features
 
 POS_WEIGHT = 2.0  # fixed value: weight of the positive class in the benchmark's loss
 
@@ -30,12 +30,21 @@ def class_weight(label: str, pos_weight: float) -> F.Column:
     return F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0))
 
 
+def _filled(features: Sequence[str]) -> tuple[SQLTransformer, list[str]]:
+    """The one null rule of all fits: a null or NaN feature counts as 0, the mean of a scaled feature, so every model
+    fits and scores every row. A pipeline stage (saved with the model) and the columns it adds."""
+    cols = [f"_f{i}" for i in range(len(features))]
+    exprs = ", ".join(f"coalesce({sql_clean_double(c)}, 0D) AS {sql_ident(o)}" for c, o in zip(features, cols))
+    return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__"), cols
+
+
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "label", pos_weight: float = POS_WEIGHT,
                  reg: float = 0.0, max_iter: int = 100) -> PipelineModel:
     """Class-weighted logistic regression."""
     data = train.withColumn("_w", class_weight(label, pos_weight))
+    fill, cols = _filled(features)
     pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="_fv", handleInvalid="skip"),
+        fill, VectorAssembler(inputCols=cols, outputCol="_fv"),
         LogisticRegression(featuresCol="_fv", labelCol=label, weightCol="_w", regParam=reg, maxIter=max_iter)])
     return pipe.fit(data)
 
@@ -53,8 +62,9 @@ def fit_mlp(train: DataFrame, features: Sequence[str], label: str = "label", hid
     if float(pos_weight) != int(pos_weight):
         raise ValueError("the MLP takes an integer positive weight (rows are repeated)")
     data = repeat_positives(train, label, int(pos_weight))
+    fill, cols = _filled(features)
     pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="_fv", handleInvalid="skip"),
+        fill, VectorAssembler(inputCols=cols, outputCol="_fv"),
         MultilayerPerceptronClassifier(featuresCol="_fv", labelCol=label, layers=[len(features), *hidden, 2],
                                        maxIter=max_iter, seed=seed)])
     return pipe.fit(data)
@@ -63,12 +73,12 @@ def fit_mlp(train: DataFrame, features: Sequence[str], label: str = "label", hid
 def fit_additive(train: DataFrame, features: Sequence[str], label: str = "label", n_bins: int = 10,
                  pos_weight: float = POS_WEIGHT, reg: float = 0.0, max_iter: int = 100) -> PipelineModel:
     """Binned additive logistic model (T3): one shape value per (feature, quantile bin)."""
-    feats = list(features)
-    bins = [f"_{c}_bin" for c in feats]
-    ohe = [f"_{c}_ohe" for c in feats]
+    fill, feats = _filled(features)
+    bins = [f"{c}_bin" for c in feats]
+    ohe = [f"{c}_ohe" for c in feats]
     data = train.withColumn("_w", class_weight(label, pos_weight))
     pipe = Pipeline(stages=[
-        QuantileDiscretizer(inputCols=feats, outputCols=bins, numBuckets=n_bins, handleInvalid="keep"),
+        fill, QuantileDiscretizer(inputCols=feats, outputCols=bins, numBuckets=n_bins, handleInvalid="keep"),
         OneHotEncoder(inputCols=bins, outputCols=ohe, handleInvalid="keep"),
         VectorAssembler(inputCols=ohe, outputCol="_fv"),
         LogisticRegression(featuresCol="_fv", labelCol=label, weightCol="_w", regParam=reg, maxIter=max_iter)])
@@ -85,10 +95,15 @@ class FrozenHeadModel:
     key: str
 
     def transform(self, df: DataFrame) -> DataFrame:
-        arr = assemble(df, self.features, "_x")
-        fz = frozen_block_features(arr, "_x", self.block, key=self.key, out="_frozen")
-        joined = df.join(fz, self.key)
-        return self.head.transform(joined.withColumn("_fv", array_to_vector("_frozen")))
+        return self.head.transform(_frozen_vector(df, self.features, self.block))
+
+
+def _frozen_vector(df: DataFrame, features: Sequence[str], block: FrozenBlock) -> DataFrame:
+    """``df`` with the frozen features as the vector ``_fv``: one narrow pass, no join."""
+    fill, cols = _filled(features)
+    arr = fill.transform(df).withColumn("_x", F.array(*cols).cast("array<float>"))
+    return with_frozen_features(arr, "_x", block, "_frozen").withColumn("_fv", array_to_vector("_frozen")).drop(
+        *cols, "_x", "_frozen")
 
 
 def fit_frozen_head(train: DataFrame, features: Sequence[str], key: str, label: str = "label",
@@ -97,14 +112,28 @@ def fit_frozen_head(train: DataFrame, features: Sequence[str], key: str, label:
     """Logistic head on frozen-block features (T4)."""
     feats = list(features)
     block = block or FrozenBlock.random(len(feats), seed=42)
-    arr = assemble(train, feats, "_x")
-    fz = frozen_block_features(arr, "_x", block, key=key, out="_frozen")
-    data = train.join(fz, key).withColumn("_fv", array_to_vector("_frozen")).withColumn(
-        "_w", class_weight(label, pos_weight))
+    data = _frozen_vector(train, feats, block).withColumn("_w", class_weight(label, pos_weight))
     lr = LogisticRegression(featuresCol="_fv", labelCol=label, weightCol="_w", maxIter=max_iter)
     return FrozenHeadModel(block, PipelineModel(stages=[lr.fit(data)]), feats, key)
 
 
+def additive_tables(model: PipelineModel, features: Sequence[str]) -> tuple[dict, dict, float]:
+    """The shape tables of a fitted additive model (T3) as ``(bins, shapes, bias)`` for ``additive_scores`` (N6): per
+    feature the inner quantile edges and one weight per bin."""
+    from kindling.operators.scoring import Edges
+
+    lr = model.stages[-1]
+    discretizer = next(s for s in model.stages if s.hasParam("splitsArray"))
+    encoder = next(s for s in model.stages if s.hasParam("dropLast") and hasattr(s, "categorySizes"))
+    weights, at, bins, shapes = lr.coefficients.toArray(), 0, {}, {}
+    for f, splits, size in zip(features, discretizer.getSplitsArray(), encoder.categorySizes):
+        n = len(splits) - 1
+        bins[f] = Edges(tuple(float(x) for x in splits[1:-1]))
+        shapes[f] = [float(weights[at + k]) if k < size else 0.0 for k in range(n)]
+        at += size  # handleInvalid="keep" adds a category and dropLast takes one away
+    return bins, shapes, float(lr.intercept)
+
+
 def parameter_count(model) -> int:
     """Number of fitted parameters of the models above."""
     if isinstance(model, FrozenHeadModel):

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import hash_order, sql_clean_double, sql_double, sql_ident, stack_expr
+from kindling.operators.catalog import names_frame
 from kindling.session import cut_lineage
 
 TRAIN, VALID = "train", "valid"
@@ -135,9 +136,14 @@ def balanced_sample(df: DataFrame, key: str, label: str, part_col: str = "part",
     # The k-th smallest (hash, key) of a class lies in its crossing bucket at rank
     # _need; only that bucket's rows are ranked (at most parts × 2 small windows).
     edge = rows.join(F.broadcast(crossing), [part_col, label]).filter(F.col("_b") == F.col("_bx"))
-    rn = F.row_number().over(Window.partitionBy(part_col, label).orderBy("_h", key))
-    cutoff = (edge.withColumn("_rn", rn).filter(F.col("_rn") == F.col("_need"))
-              .select(part_col, label, F.col("_h").alias("_hc"), F.col(key).alias("_kc")))
+    ranked = Window.partitionBy(part_col, label).orderBy("_h", key)
+    # a key that repeats across the cutoff has no k-th row
+    same = F.coalesce(F.lead(key).over(ranked) == F.col(key), F.lit(False))
+    cutoff = (edge.withColumn("_rn", F.row_number().over(ranked)).withColumn("_again", same)
+              .filter(F.col("_rn") == F.col("_need"))
+              .select(part_col, label, F.when(F.col("_again"), F.raise_error(F.concat(
+                  F.lit("balanced sample: the key repeats at the cutoff: "), F.col(key).cast("string"))))
+                  .otherwise(F.col("_h")).alias("_hc"), F.col(key).alias("_kc")))
     # Every kept row is at or below the cutoff in (hash, key) order: one narrow filter.
     keep = (F.col("_h") < F.col("_hc")) | ((F.col("_h") == F.col("_hc")) & (F.col(key) <= F.col("_kc")))
     return (rows.join(F.broadcast(cutoff), [part_col, label])  # at most parts × 2 rows
@@ -155,35 +161,23 @@ def shuffle_order(df: DataFrame, key: str, seed: int = 42, out_col: str = "shuff
     return with_shuffle_key(df, key, seed, out_col).orderBy(out_col, key)
 
 
-def _numeric_or_null(c: str):
-    x = F.col(c).cast("double")
-    return F.when(~F.isnan(x), x)
-
-
-def fit_scaler(df: DataFrame, features: Sequence[str], long_form_above: int = 100) -> DataFrame:
+def fit_scaler(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean and population standard deviation per feature (P9); std 0 becomes 1.
 
-    Null and NaN values are skipped. Returns ``(feature, mean, std)``.
+    Null and NaN values are skipped. Returns one row ``(feature, mean, std)`` per feature, with a null mean and std 1
+    for a feature without values. The columns are stacked to rows and aggregated map-side per feature.
     """
     features = list(features)
-    if len(features) <= long_form_above:
-        aggs = []
-        for c in features:
-            aggs += [F.avg(_numeric_or_null(c)).alias(f"m__{c}"), F.stddev_pop(_numeric_or_null(c)).alias(f"s__{c}")]
-        wide = df.agg(*aggs)
-        stack = F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(f"m__{c}").alias("mean"), F.col(f"s__{c}").alias("std"))
-            for c in features]))
-        stats = wide.select(stack.alias("s")).select("s.*")
-    else:
-        long = df.selectExpr(stack_expr(features, sql_clean_double))
-        stats = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    long = df.selectExpr(stack_expr(features, sql_clean_double))
+    stats = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    stats = names_frame(df.sparkSession, features).join(stats, "feature", "left")
     return stats.select("feature", "mean",
                         F.when((F.col("std") == 0) | F.col("std").isNull(), F.lit(1.0)).otherwise(F.col("std")).alias("std"))
 
 
 def collect_params(params: DataFrame, max_rows: int = 100_000) -> dict[str, tuple[float, float]]:
-    """Bring scaler parameters (one row per feature) to the driver, refusing oversized tables."""
+    """Bring scaler parameters (one row per feature) to the driver. A table of more than ``max_rows`` rows is refused
+    as a whole: it is not a parameter table."""
     rows = params.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"parameter table has more than {max_rows} rows; it is not a parameter table")

@@ -254,7 +254,19 @@ class Bins:
         return F.least(F.greatest(b, F.lit(0)), F.lit(self.n - 1)).cast("int")
 
 
-def additive_scores(df: DataFrame, bins: dict[str, Bins], shapes: dict[str, Sequence[float]], bias: float = 0.0,
+@dataclass(frozen=True)
+class Edges:
+    """Bins between ascending inner edges ``e``: bin k holds ``e[k-1] <= x < e[k]`` (what a quantile fit gives). A null
+    or NaN value counts as 0, as in the fits."""
+
+    inner: tuple
+
+    def index(self, x) -> F.Column:
+        v = F.coalesce(F.when(~F.isnan(x.cast("double")), x.cast("double")), F.lit(0.0))
+        return sum((F.when(v >= e, 1).otherwise(0) for e in self.inner), F.lit(0)).cast("int")
+
+
+def additive_scores(df: DataFrame, bins: dict[str, Bins | Edges], shapes: dict[str, Sequence[float]], bias: float = 0.0,
                     out: str = "additive_score") -> DataFrame:
     """Generalised additive score ``b + Σ_f g_f(x_f)`` with tabulated shape functions.
 
@@ -356,6 +368,7 @@ class FrozenBlock:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    act: str = "gelu"
 
     @classmethod
     def random(cls, width: int, seed: int = 42, expansion: int = 4) -> FrozenBlock:
@@ -366,14 +379,14 @@ class FrozenBlock:
                    _xavier(rng, width, h), z(h), _xavier(rng, h, width), z(width))
 
     def n_values(self) -> int:
-        return sum(a.size for a in self.__dict__.values())
+        return sum(a.size for a in self.__dict__.values() if isinstance(a, np.ndarray))
 
     def forward(self, x: np.ndarray) -> np.ndarray:
         h = x
         a = _layer_norm_np(h)
         h = h + ((a @ self.wv + self.bv) @ self.wo + self.bo)
         f = _layer_norm_np(h)
-        return h + (_gelu(f @ self.w1 + self.b1) @ self.w2 + self.b2)
+        return h + (_np_act(f @ self.w1 + self.b1, self.act) @ self.w2 + self.b2)
 
 
 def with_frozen_features(df: DataFrame, features: str, block: FrozenBlock, out: str = "frozen") -> DataFrame:

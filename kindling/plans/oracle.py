@@ -547,3 +547,51 @@ def _zero_safe(sql: str) -> str:
 
 
 SQL = {name: _zero_safe(text) for name, text in SQL.items()}
+
+
+# --- N7, N8, P11, E15 -----------------------------------------------------------------------------
+
+def formula(n: int, m: int, a: int, b: int, scale: float) -> str:
+    """The weight table ``(i, j, w)`` of the formula the registered networks use."""
+    return (f"(SELECT i, j, CAST(({a} * i + {b} * j) % 11 - 5 AS DOUBLE) / {scale} AS w "
+            f"FROM (SELECT i, unnest(range(0, {m})) AS j FROM range(0, {n}) t(i)))")
+
+
+def layer(name: str, src: str, n: int, m: int, a: int, b: int, scale: float) -> str:
+    """``(vec_id, i, x)`` of ``src`` times a weight table, as ``(vec_id, i, x)``."""
+    return (f"{name} AS (SELECT s.vec_id, w.j AS i, sum(s.x * w.w) AS x FROM {src} s JOIN "
+            f"{formula(n, m, a, b, scale)} w USING (i) GROUP BY s.vec_id, w.j)")
+
+
+SQL["batch_score"] = "WITH " + U + ",\n" + ",\n".join([
+    layer("z0", "u", 64, 8, 7, 3, 20.0),
+    "h0 AS (SELECT vec_id, i, greatest(x + (i - 1) / 10.0, 0.0) AS x FROM z0)",
+    layer("z1", "h0", 8, 4, 8, 4, 20.0),
+    "h1 AS (SELECT vec_id, i, 1.0 - 2.0 / (exp(2.0 * (x + (i - 1) / 10.0)) + 1.0) AS x FROM z1)",
+    layer("z2", "h1", 4, 1, 9, 5, 20.0)]) + """
+SELECT z2.vec_id, 'ffn' AS model, CAST(e.label >= 5 AS INTEGER) AS target,
+       round(1.0 / (1.0 + exp(-(z2.x - 0.1))), 6) AS score
+FROM z2 JOIN embeddings e USING (vec_id)"""
+
+
+def normed(name: str, src: str) -> str:
+    return (f"{name} AS (SELECT s.vec_id, i, (x - mu) / sqrt(v + 1e-5) AS x FROM {src} s JOIN "
+            f"(SELECT vec_id, avg(x) AS mu, var_pop(x) AS v FROM {src} GROUP BY vec_id) USING (vec_id))")
+
+
+SQL["frozen_features"] = "WITH " + U + ",\n" + ",\n".join([
+    normed("a", "u"), layer("v", "a", 64, 64, 7, 3, 40.0), layer("o", "v", 64, 64, 5, 2, 40.0),
+    "h AS (SELECT u.vec_id, u.i, u.x + o.x + 0.1 AS x FROM u JOIN o USING (vec_id, i))",
+    normed("f", "h"), layer("p", "f", 64, 16, 3, 4, 40.0),
+    "g AS (SELECT vec_id, i, 0.5 * x * (2.0 - 2.0 / (exp(2.0 * (0.7978845608028654 * (x + 0.044715 * x * x * x))) + 1.0)) AS x FROM p)",
+    layer("q", "g", 16, 64, 2, 9, 40.0)]) + """
+SELECT h.vec_id, CAST(h.i AS INTEGER) AS pos, round(CAST(CAST(h.x + q.x AS FLOAT) AS DOUBLE), 4) + 0.0 AS value
+FROM h JOIN q USING (vec_id, i)"""
+
+SQL["assembled"] = "WITH " + LI + """
+SELECT l_orderkey, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 2) AS value FROM (
+""" + "\nUNION ALL ".join(f"SELECT l_orderkey, {k} AS pos, {c} AS v FROM li" for k, c in enumerate(LI_FEATS)) + ")"
+
+SQL["comparison_display"] = "WITH c AS (" + SQL["model_comparison"] + """)
+SELECT model, """ + ", ".join(f"printf('%.4f', {c}) AS {c}" for c in ("accuracy", "auc", "precision", "recall", "f1", "training_time")) + """,
+       format('{:,}', parameters) AS parameters FROM c"""

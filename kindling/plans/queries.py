@@ -263,18 +263,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # --- catalog -----------------------------------------------------------------------------------
 
 
-def _lineitem_tagged(spark, sf):
+def _lineitem_long(spark, sf):
+    """The long lineitem features and the catalog of their groups."""
     li = T.lineitem_labelled(spark, sf)
     cat = C.feature_group_catalog(C.names_frame(spark, T.LINEITEM_FEATURES), T.LINEITEM_GROUPS, exclude=("label",))
-    return C.tag(C.to_long(li, ["l_orderkey"], T.LINEITEM_FEATURES), cat)
+    return C.to_long(li, ["l_orderkey"], T.LINEITEM_FEATURES), cat
 
 
 def q_feature_groups(spark, sf):
-    return _lineitem_tagged(spark, sf).select("l_orderkey", "feature", "value", "group")
+    return C.tag(*_lineitem_long(spark, sf)).select("l_orderkey", "feature", "value", "group")
 
 
 def q_group_profile(spark, sf):
-    return _round(C.group_profile(_lineitem_tagged(spark, sf)), ["mean", "std", "min", "max"])
+    return _round(C.group_profile(*_lineitem_long(spark, sf)), ["mean", "std", "min", "max"])
 
 
 def _daily_filled(spark, sf):
@@ -315,8 +316,8 @@ def q_lag_profile(spark, sf):
     """Profile of the lag features per lag (F3 by lag)."""
     lagged = _lagged(spark, sf)
     names = [c for c in lagged.columns if c not in ("user_id", "day")]
-    tagged = C.tag(C.to_long(lagged, ["user_id", "day"], names), C.lag_catalog(C.names_frame(spark, names)))
-    return _round(C.group_profile(tagged, "lag"), ["mean", "std", "min", "max"])
+    long = C.to_long(lagged, ["user_id", "day"], names)
+    return _round(C.group_profile(long, C.lag_catalog(C.names_frame(spark, names)), "lag"), ["mean", "std", "min", "max"])
 
 
 def q_feature_rank(spark, sf):
@@ -436,13 +437,28 @@ def q_feature_slices(spark, sf):
 
 
 def q_frozen_features(spark, sf):
-    block = S.FrozenBlock.random(T.EMB_WIDTH, seed=42)
-    return S.frozen_block_features(_emb(spark, sf), "embedding", block, key="vec_id")
+    """Features of a frozen block with weights of an integer formula, one row per position."""
+    out = S.frozen_block_features(_emb(spark, sf), "embedding", S.FrozenBlock(**T.frozen_weights()), key="vec_id")
+    return out.select("vec_id", F.posexplode("frozen").alias("pos", "v")).select(
+        "vec_id", "pos", (F.round(F.col("v").cast("double"), 4) + F.lit(0.0)).alias("value"))
 
 
 def q_batch_score(spark, sf):
-    net = S.DenseNet.random([T.EMB_WIDTH, 32, 16, 1], seed=42)
-    return S.batch_score(_emb(spark, sf), "embedding", net, key="vec_id", model_name="ffn", label="target")
+    """Scores of a feed-forward network with weights of an integer formula."""
+    net = S.DenseNet(T.network_layers())
+    return _round(S.batch_score(_emb(spark, sf), "embedding", net, key="vec_id", model_name="ffn", label="target"), ["score"])
+
+
+def q_assembled(spark, sf):
+    """The assembled feature vector (P11), one row per position."""
+    li = P.assemble(T.lineitem_labelled(spark, sf), T.LINEITEM_FEATURES)
+    return li.select("l_orderkey", F.posexplode("features").alias("pos", "v")).select(
+        "l_orderkey", "pos", F.round(F.col("v").cast("double"), 2).alias("value"))
+
+
+def q_comparison_display(spark, sf):
+    """The display copy of the comparison table."""
+    return E.comparison_display(q_model_comparison(spark, sf))
 
 
 QUERIES.update({
@@ -456,6 +472,8 @@ QUERIES.update({
     "feature_slices": q_feature_slices,
     "frozen_features": q_frozen_features,
     "batch_score": q_batch_score,
+    "assembled": q_assembled,
+    "comparison_display": q_comparison_display,
 })
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,3 +138,25 @@ ADDITIVE_BINS = {  # feature: (lo, width, n_bins)
 ADDITIVE_SHAPES = {f: [((5 * k + 3 * b) % 7 - 3) / 10 for b in range(n)]
                    for k, (f, (_, _, n)) in enumerate(ADDITIVE_BINS.items())}
 ADDITIVE_BIAS = 0.1
+
+
+def formula_matrix(n: int, m: int, a: int, b: int, scale: float) -> list[list[float]]:
+    """Weights ``((a·i + b·j) mod 11 - 5) / scale``, which SQL can state as well."""
+    return [[((a * i + b * j) % 11 - 5) / scale for j in range(m)] for i in range(n)]
+
+
+def network_layers() -> list:
+    """A 64-8-4-1 network: relu, tanh, then the logit."""
+    layers, acts = [], ("relu", "tanh", "identity")
+    for k, (n, m) in enumerate([(EMB_WIDTH, 8), (8, 4), (4, 1)]):
+        w = np.array(formula_matrix(n, m, 7 + k, 3 + k, 20.0))
+        layers.append((w, np.array([(j - 1) / 10 for j in range(m)]), acts[k]))
+    return layers
+
+
+def frozen_weights(width: int = EMB_WIDTH, hidden: int = 16) -> dict:
+    """Weights of a frozen block with a narrow hidden layer and an activation SQL can state."""
+    f = lambda n, m, a, b: np.array(formula_matrix(n, m, a, b, 40.0))
+    return {"wv": f(width, width, 7, 3), "bv": np.zeros(width), "wo": f(width, width, 5, 2), "bo": np.full(width, 0.1),
+            "w1": f(width, hidden, 3, 4), "b1": np.zeros(hidden), "w2": f(hidden, width, 2, 9), "b2": np.zeros(width),
+            "act": "gelu_tanh"}

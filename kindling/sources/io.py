@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindling.operators.fit import FrozenHeadModel
+from kindling.operators.scoring import DenseNet, FrozenBlock
+
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet scan (S1). A missing path fails with Spark's PATH_NOT_FOUND error; no data is invented.
@@ -27,21 +33,50 @@ def write_report(df: DataFrame, path: str, run_id: str | None = None) -> None:
 
 
 def save_model(model, path: str) -> None:
-    """Persist a fitted Spark ML model or pipeline."""
-    model.write().overwrite().save(path)
+    """Persist a fitted model (S5): Spark ML models and pipelines as Spark writes them; a ``FrozenHeadModel`` or
+    ``DenseNet`` as a table of its weights ``(part, i, j, w)`` with a small description, and the fitted head."""
+    if isinstance(model, DenseNet):
+        parts = {f"{k}.{n}": a for k, (w, b, _) in enumerate(model.layers) for n, a in (("w", w), ("b", b))}
+        _save_weights(parts, {"kind": "DenseNet", "acts": [a for _, _, a in model.layers]}, path)
+    elif isinstance(model, FrozenHeadModel):
+        parts = {n: a for n, a in vars(model.block).items() if n != "act"}
+        _save_weights(parts, {"kind": "FrozenHeadModel", "act": model.block.act, "features": model.features,
+                              "key": model.key}, path)
+        model.head.write().overwrite().save(f"{path}/head")
+    else:
+        model.write().overwrite().save(path)
+
+
+def _save_weights(parts: dict, about: dict, path: str) -> None:
+    spark = SparkSession.getActiveSession()
+    rows = [(n, int(i), int(j), float(w)) for n, a in parts.items()
+            for (i, j), w in np.ndenumerate(np.asarray(a, dtype=float).reshape(-1, np.shape(a)[-1]))]
+    about = about | {"shapes": {n: list(np.shape(a)) for n, a in parts.items()}}
+    spark.createDataFrame(rows, "part string, i int, j int, w double").write.mode("overwrite").parquet(f"{path}/weights")
+    spark.createDataFrame([(json.dumps(about),)], "value string").write.mode("overwrite").text(f"{path}/about")
+
+
+def _load_weights(spark: SparkSession, path: str) -> tuple[dict, dict]:
+    about = json.loads(spark.read.text(f"{path}/about").first().value)
+    parts = {n: np.zeros(shape) for n, shape in about["shapes"].items()}
+    for r in spark.read.parquet(f"{path}/weights").collect():  # one model's weights
+        a = parts[r.part]
+        a[(r.i, r.j) if a.ndim == 2 else r.j] = r.w
+    return about, parts
 
 
 def load_model(path: str):
-    """Load a model saved by :func:`save_model`."""
+    """Load a model saved by :func:`save_model` (S5); the class comes from what was saved with it."""
     from pyspark.ml import PipelineModel
-    from pyspark.ml.classification import (
-        LogisticRegressionModel,
-        MultilayerPerceptronClassificationModel,
-    )
-
-    for cls in (PipelineModel, LogisticRegressionModel, MultilayerPerceptronClassificationModel):
-        try:
-            return cls.load(path)
-        except Exception:  # noqa: BLE001 - try the next model type
-            continue
-    raise ValueError(f"no loadable Spark ML model at {path}")
+    from pyspark.ml.util import DefaultParamsReader
+
+    spark = SparkSession.getActiveSession()
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(fs_path, "weights")):
+        about, parts = _load_weights(spark, path)
+        if about["kind"] == "DenseNet":
+            return DenseNet([(parts[f"{k}.w"], parts[f"{k}.b"], act) for k, act in enumerate(about["acts"])])
+        return FrozenHeadModel(FrozenBlock(**parts, act=about["act"]), PipelineModel.load(f"{path}/head"),
+                               about["features"], about["key"])
+    return DefaultParamsReader.loadParamsInstance(path, spark)

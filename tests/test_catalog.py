@@ -25,6 +25,18 @@ def test_feature_rank_orders_by_abs_corr(spark):
 
 
 def test_group_profile(spark):
-    df = spark.createDataFrame([("g", 1.0), ("g", None), ("g", 3.0)], "group string, value double")
-    r = C.group_profile(df).collect()[0]
-    assert (r.n_values, r.n_null, r.mean, r.min, r.max) == (3, 1, 2.0, 1.0, 3.0)
+    long = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 3.0), ("b", float("nan")), ("c", None)],
+                                 "feature string, value double")
+    cat = spark.createDataFrame([("a", "g"), ("b", "g"), ("b", "h"), ("c", "n")], "feature string, group string")
+    got = {r.group: r for r in C.group_profile(long, cat).collect()}
+    r = got["g"]
+    assert (r.n_values, r.n_null, r.mean, r["std"], r.min, r.max) == (4, 2, 2.0, 1.0, 1.0, 3.0)
+    assert (got["h"].n_values, got["h"].mean, got["h"]["std"]) == (2, 3.0, 0.0)
+    assert (got["n"].n_values, got["n"].n_null, got["n"].mean, got["n"]["std"]) == (1, 1, None, None)
+
+
+def test_feature_rank_dotted_names_and_empty_input(spark):
+    df = spark.createDataFrame([(float(i), float(-i), 1.0, i % 2) for i in range(9)], "`a.b` double, c double, k double, y int")
+    got = C.feature_rank(df, ["a.b", "c", "k"], "y", top=3).collect()
+    assert {r.feature for r in got} == {"a.b", "c", "k"}
+    assert len(C.feature_rank(df.limit(0), ["a.b", "c"], "y").collect()) == 2

@@ -81,14 +81,29 @@ def test_scaler_population_std_and_constant(spark):
     assert sum(xs) == pytest.approx(0.0, abs=1e-12)
 
 
-def test_scaler_long_form_equals_wide(spark):
+def test_scaler_equals_a_wide_aggregate(spark):
     rng = random.Random(3)
     cols = [f"f{i}" for i in range(6)]
     df = spark.createDataFrame([tuple(rng.gauss(0, 1) for _ in cols) for _ in range(200)], ", ".join(f"{c} double" for c in cols))
-    wide = P.collect_params(P.fit_scaler(df, cols))
-    long = P.collect_params(P.fit_scaler(df, cols, long_form_above=2))
+    got = P.collect_params(P.fit_scaler(df, cols))
+    from pyspark.sql import functions as F
+
     for c in cols:
-        assert wide[c] == pytest.approx(long[c], rel=1e-12)
+        assert got[c] == pytest.approx(tuple(df.agg(F.avg(c), F.stddev_pop(c)).first()), rel=1e-12)
+
+
+def test_scaler_dotted_names_nulls_and_empty_input(spark):
+    df = spark.createDataFrame([(1.0, None), (float("nan"), None), (3.0, None)], "`a.b` double, n double")
+    got = {r.feature: (r["mean"], r["std"]) for r in P.fit_scaler(df, ["a.b", "n"]).collect()}
+    assert got == {"a.b": (2.0, 1.0), "n": (None, 1.0)}
+    assert {r.feature for r in P.fit_scaler(df.limit(0), ["a.b", "n"]).collect()} == {"a.b", "n"}
+
+
+def test_balanced_sample_refuses_a_key_that_repeats_at_the_cutoff(spark):
+    rows = [(7, 0, "train")] * 6 + [(1, 1, "train"), (2, 1, "train")]
+    df = spark.createDataFrame(rows, "k long, label int, part string")
+    with pytest.raises(Exception, match="repeats at the cutoff"):
+        P.balanced_sample(df, "k", "label").collect()
 
 
 def test_prepare_balanced_and_scaled(spark):
