@@ -29,7 +29,7 @@ HEADLINE = [
     "entropy_score", "dense_layer", "batch_norm", "layer_norm", "conv_features", "additive_score", "branch_concat",
     "frozen_features", "batch_score",
     # history and fitting
-    "early_stop", "training_curves", "fit_logistic",
+    "early_stop", "training_curves", "fit_logistic", "fit_mlp", "fit_additive", "fit_frozen_head", "evaluation_weighted",
 ]
 
 

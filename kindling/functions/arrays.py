@@ -1,7 +1,8 @@
 """Array-column math: one row's feature vector is an ``array<float|double>`` column.
 
-These run inside whole-stage codegen as higher-order functions (``transform``,
-``aggregate``, ``zip_with``), so per-row vector work needs no shuffle and no Python.
+These are higher-order functions (``transform``, ``aggregate``, ``zip_with``): per-row vector work needs no
+shuffle and no Python, but Spark evaluates their lambdas interpreted, element by element. They suit a few values per
+row; products with weight matrices are Arrow-batched numpy in ``operators.scoring``.
 Weights are model parameters and enter as literal arrays; their size is the model
 size, never the data size.
 """

@@ -30,15 +30,11 @@ OTHER = "other"
 DEFAULT_EXCLUDE = ("is_fire", "acq_date")
 # Fixed value: what counts as an integer token in a lag name.
 INT_TOKEN = r"^\s*[+-]?[0-9]+\s*$"
-# Bound on a catalog built from column names (a schema, not data).
-MAX_CATALOG_NAMES = 100_000
 
 
 def names_frame(spark: SparkSession, names: Iterable[str]) -> DataFrame:
     """One row per column name; the size is the width of a schema."""
     names = list(dict.fromkeys(names))
-    if len(names) > MAX_CATALOG_NAMES:
-        raise ValueError("too many column names for a catalog")
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 

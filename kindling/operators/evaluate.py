@@ -84,14 +84,15 @@ def model_totals(counts: DataFrame) -> DataFrame:
                                        F.count(F.lit(1)).alias("M"))
 
 
-def curve_counts(counts: DataFrame, lo: float = 0.0, hi: float = 1.0, materialize: bool = False,
-                 with_next: bool = False) -> DataFrame:
+def curve_counts(counts: DataFrame, materialize: bool = False, with_next: bool = False) -> DataFrame:
     """Counts plus running ``tp``/``fp`` (score >= this score), point index ``idx`` from the
     top, and the model totals ``P``/``N``/``M``; ``with_next`` adds the next lower point's
-    counts ``pos_next``/``neg_next``."""
+    counts ``pos_next``/``neg_next``. Counts without a pinned range bucket get one first (written once), so that no
+    bucket is hot however the scores are spread."""
+    if "_bk" not in counts.columns:
+        counts = cut_lineage(range_buckets(counts, ["model"], "score"))
     c = counts.withColumn("one", F.lit(1).cast("bigint"))
-    bucket = "_bk" if "_bk" in counts.columns else None
-    run = running_sums_desc(c, ["model"], "score", ["pos", "neg", "one"], lo=lo, hi=hi, bucket_col=bucket,
+    run = running_sums_desc(c, ["model"], "score", ["pos", "neg", "one"], bucket_col="_bk",
                             next_cols=["pos", "neg"] if with_next else ())
     extra = [F.col("next_pos").alias("pos_next"), F.col("next_neg").alias("neg_next")] if with_next else []
     cc = run.select("model", "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_THRESHOLD = 0.5
+# The series of a training history.
 HISTORY_SERIES = ("train_loss", "train_acc", "train_auc", "val_loss", "val_acc", "val_auc",
                   "val_precision", "val_recall", "val_f1", "threshold")
 

@@ -59,15 +59,18 @@ def split_part(df: DataFrame, ts: str, cut, which: str) -> DataFrame:
     return df.filter(cond)
 
 
-def table_profile(df: DataFrame, part_col: str | None = None) -> DataFrame:
-    """Rows and columns per part (or of the whole table) in one pass."""
+def table_profile(df: DataFrame, part_col: str | None = None, with_all: bool = False) -> DataFrame:
+    """Rows and columns per part (or of the whole table) in one pass (S2); ``with_all`` adds the row of the whole
+    table, all rows whatever their part, from the same scan."""
     n_cols = len(df.columns) - (1 if part_col else 0)
-    if part_col:
-        out = df.groupBy(part_col).agg(F.count(F.lit(1)).alias("n_rows"))
+    if part_col is None:
+        out = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("part", F.lit("all"))
+    elif with_all:
+        out = df.rollup(part_col).agg(F.count(F.lit(1)).alias("n_rows"), F.grouping(part_col).alias("_all"))
+        out = out.select(F.when(F.col("_all") == 1, "all").otherwise(F.col(part_col)).alias("part"), "n_rows")
     else:
-        out = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(part_col or "part", F.lit("all"))
-        part_col = "part"
-    return out.select(F.col(part_col).alias("part"), "n_rows", F.lit(n_cols).alias("n_cols"))
+        out = df.groupBy(F.col(part_col).alias("part")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return out.select("part", "n_rows", F.lit(n_cols).alias("n_cols"))
 
 
 def class_counts(df: DataFrame, label: str, part_col: str = "part") -> DataFrame:

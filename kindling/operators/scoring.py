@@ -23,23 +23,14 @@ from pyspark.sql import types as T
 from kindling.functions import arrays as A
 from kindling.functions.columns import activation, sql_ident
 
-# Bound on parameters shipped inside a plan or a broadcast (values, not bytes).
-MAX_MODEL_VALUES = 50_000_000
 BN_EPS = 1e-5
 
 
-def _check_size(n: int, what: str) -> None:
-    if n > MAX_MODEL_VALUES:
-        raise ValueError(f"{what} has {n} values, above the {MAX_MODEL_VALUES} bound for model parameters")
-
-
 # --- N1 --------------------------------------------------------------------------------------------
 
 def entropy_scores(df: DataFrame, features: str, n_landcover: int = 4, k: float = 1.0,
                    alpha: Sequence[float] | None = None, out: str = "entropy_score") -> DataFrame:
     """Entropy score per row (N1), see :func:`kindling.functions.arrays.entropy_score`."""
-    if alpha is not None:
-        _check_size(len(alpha), "alpha")
     return df.withColumn(out, A.entropy_score(features, n_landcover, k, alpha))
 
 
@@ -111,7 +102,6 @@ def dense_layer(df: DataFrame, features: str, weights: Sequence[Sequence[float]]
     w = np.asarray(weights, dtype=np.float64)
     b = np.zeros(w.shape[1]) if bias is None else np.asarray(bias, dtype=np.float64)
     _np_act(np.zeros(1), act)  # an unknown activation fails here, not in a task
-    _check_size(w.size, "weight matrix")
     bc = df.sparkSession.sparkContext.broadcast((w, b, act))
 
     def fn(x):
@@ -272,7 +262,6 @@ def additive_scores(df: DataFrame, bins: dict[str, Bins | Edges], shapes: dict[s
 
     Each feature's value picks its bin's weight from a literal array: a narrow
     projection. A null feature value contributes 0."""
-    _check_size(sum(len(v) for v in shapes.values()), "shape tables")
     total = F.lit(float(bias))
     for f, b in bins.items():
         w = A.lit_array(shapes[f])
@@ -303,7 +292,6 @@ def branch_concat(df: DataFrame, features: str, branch_weights: Sequence[Sequenc
     ws = [np.asarray(w, dtype=np.float64) for w in branch_weights]
     bs = [np.asarray(b, dtype=np.float64) for b in branch_bias]
     r = np.asarray(residual_weights, dtype=np.float64)
-    _check_size(sum(w.size for w in ws) + r.size, "branch weights")
     _np_act(np.zeros(1), act)
     bc = df.sparkSession.sparkContext.broadcast((ws, bs, r, act))
 
@@ -392,7 +380,6 @@ class FrozenBlock:
 def with_frozen_features(df: DataFrame, features: str, block: FrozenBlock, out: str = "frozen") -> DataFrame:
     """``df`` with the features of a frozen block (N7): one Arrow-batched pass, weights broadcast once, no join.
     float32 in, float32 out as the block's features; the maths runs in float64."""
-    _check_size(block.n_values(), "frozen block")
     bc = df.sparkSession.sparkContext.broadcast(block)
 
     def fn(x):
@@ -441,7 +428,6 @@ def batch_score(df: DataFrame, features: str, model, key: str, model_name: str =
     """
     keep = [key] + ([label] if label else [])
     if isinstance(model, DenseNet):
-        _check_size(model.n_values(), "network")
         bc = df.sparkSession.sparkContext.broadcast(model)
 
         def fn(x):

@@ -595,3 +595,7 @@ SELECT l_orderkey, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(v AS FLOAT) AS D
 SQL["comparison_display"] = "WITH c AS (" + SQL["model_comparison"] + """)
 SELECT model, """ + ", ".join(f"printf('%.4f', {c}) AS {c}" for c in ("accuracy", "auc", "precision", "recall", "f1", "training_time")) + """,
        format('{:,}', parameters) AS parameters FROM c"""
+
+SQL["csv_sink"] = SQL["model_comparison"]
+
+SQL["report_sink"] = "SELECT r.*, run_id FROM (" + SQL["metric_bars"] + ") r, (VALUES ('a'), ('b')) t(run_id)"

@@ -22,6 +22,7 @@ from kindling.operators import evaluate as E
 from kindling.operators import prepare as P
 from kindling.plans import tables as T
 from kindling.session import cut_lineage
+from kindling.sources.io import write_csv, write_report
 
 R = 6  # rounding digits for computed doubles
 
@@ -43,11 +44,11 @@ def q_table_profile(spark, sf):
     raw = T.events_labelled(spark, sf)
     parts = P.time_split(raw, "ts", T.EVENTS_CUT)
     bal = P.balanced_sample(parts, "event_id", "label")
-    stages = [("raw", P.table_profile(raw)), ("split", P.table_profile(parts, "part")),
-              ("balanced", P.table_profile(bal, "part"))]
+    stages = [("split", P.table_profile(parts, "part", with_all=True)), ("balanced", P.table_profile(bal, "part"))]
     out = None
     for name, prof in stages:
-        prof = prof.select(F.lit(name).alias("stage"), "part", F.col("n_rows").cast("bigint"), "n_cols")
+        stage = F.when(F.col("part") == "all", "raw").otherwise(name)
+        prof = prof.select(stage.alias("stage"), "part", F.col("n_rows").cast("bigint"), "n_cols")
         out = prof if out is None else out.unionByName(prof)
     return out
 
@@ -456,6 +457,29 @@ def q_assembled(spark, sf):
         "l_orderkey", "pos", F.round(F.col("v").cast("double"), 2).alias("value"))
 
 
+def _scratch(spark, name):
+    import uuid
+
+    from kindling.session import scratch_root
+
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def q_csv_sink(spark, sf):
+    """The comparison table written as CSV (S3) and read back."""
+    table, path = q_model_comparison(spark, sf), _scratch(spark, "csv")
+    write_csv(table, path)
+    return spark.read.schema(table.schema).option("header", True).csv(path)
+
+
+def q_report_sink(spark, sf):
+    """The run report as JSON lines (S4), appended twice under two run ids, and read back."""
+    bars, path = q_metric_bars(spark, sf), _scratch(spark, "report")
+    for run in ("a", "b"):
+        write_report(bars, path, run)
+    return spark.read.schema("model string, metric string, value double, run_id string").json(path)
+
+
 def q_comparison_display(spark, sf):
     """The display copy of the comparison table."""
     return E.comparison_display(q_model_comparison(spark, sf))
@@ -474,6 +498,8 @@ QUERIES.update({
     "batch_score": q_batch_score,
     "assembled": q_assembled,
     "comparison_display": q_comparison_display,
+    "csv_sink": q_csv_sink,
+    "report_sink": q_report_sink,
 })
 
 

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindling.sources.io import read_table
+
 # Fixed values for the stand-ins (see FIXTURES.md).
 EVENTS_CUT = dt.datetime(2024, 1, 25)
 ORDERS_CUT = dt.datetime(2000, 1, 1)
@@ -21,7 +23,7 @@ SCORE_MODELS = (("m50_50", 50.0, 50.0), ("m40_30", 40.0, 30.0), ("m60_100", 60.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def events_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ def main():
             "single": plan.count("SinglePartition"),
             "bnlj": plan.count("BroadcastNestedLoopJoin"),
             "cart": plan.count("CartesianProduct"),
-            "py": plan.count("MapInPandas") + plan.count("ArrowEvalPython") + plan.count("BatchEvalPython"),
+            "model": len(re.findall(r"Exchange hashpartitioning\(model#\d+, \d+\)", plan)),
+            "py": plan.count("MapInArrow") + plan.count("InArrow [") + plan.count("MapInPandas") + plan.count("ArrowEvalPython") + plan.count("BatchEvalPython"),
             "win": plan.count("Window ["),
             "bhj": plan.count("BroadcastHashJoin"),
             "smj": plan.count("SortMergeJoin"),

