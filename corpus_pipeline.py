@@ -19,7 +19,7 @@ from kindling.llm.pieces import load_pieces, round_trip_pieces
 from kindling.llm.quality import fit_ranker, rank_quality
 from kindling.llm.queries import PIECE_MODEL
 from kindling.llm.suffix_dedup import suffix_dedup
-from kindling.session import scratch_root
+from kindling.session import cut_lineage, scratch_root
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -37,7 +37,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """``docs`` without the rejected ids. These are written first: Spark then knows their size and broadcasts a small
+    list instead of shuffling all texts, and joins by shuffle beyond its threshold."""
+    return docs.join(cut_lineage(rejected.select("doc_id").distinct()), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
