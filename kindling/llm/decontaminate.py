@@ -23,23 +23,22 @@ def item_words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), lambda w: w != "")
 
 
-def fingerprints(hashes: Column, length: int) -> Column:
-    """The fingerprint of every window of ``length`` words, from the word hashes."""
-    k = (length + 1) // 2
-    per = length + 1 - k
-    n = F.size(hashes)
-    none = F.array().cast("array<bigint>")
-    grams = F.when(n < length, none).otherwise(F.transform(
-        F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(F.lit(length), *[F.get(hashes, i + j) for j in range(k)])))
-    return grams, (lambda g: F.when(n < length, none).otherwise(F.transform(
-        F.sequence(F.lit(0), n - length), lambda i: F.least(*[F.get(g, i + j) for j in range(per)])) if per > 1 else g))
-
-
 def _with_prints(rows: DataFrame, length: int) -> DataFrame:
-    """``rows`` (with ``words``) and the fingerprint of each window of ``length`` words as ``prints``."""
-    rows = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    grams, least = fingerprints(F.col("h"), length)
-    return rows.withColumn("grams", grams).withColumn("prints", least(F.col("grams"))).drop("h", "grams")
+    """``rows`` (with ``words``) and the fingerprint of each window of ``length`` words as ``prints``.
+
+    Word hashes, k-gram hashes and fingerprints are columns of their own, so that no lambda computes the array it
+    looks things up in."""
+    k = (length + 1) // 2
+    per_window = length + 1 - k
+    n, none = F.size("h"), F.array().cast("array<bigint>")
+    grams = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(F.lit(length), *[F.get("h", i + j) for j in range(k)]))
+    out = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    out = out.withColumn("grams", F.when(n < length, none).otherwise(grams))
+    prints = F.col("grams")
+    if per_window > 1:
+        prints = F.when(n < length, none).otherwise(F.transform(
+            F.sequence(F.lit(0), n - length), lambda i: F.least(*[F.get("grams", i + j) for j in range(per_window)])))
+    return out.withColumn("prints", prints).drop("h", "grams")
 
 
 def _window_text(words: Column, at: Column, length: int) -> Column:
