@@ -12,7 +12,7 @@ from kindling.llm.line_rules import line_rules
 from kindling.llm.minhash import near_duplicates
 from kindling.llm.pieces import load_pieces, round_trip_pieces
 from kindling.llm.quality import fit_ranker, rank_quality
-from kindling.llm.reputation import filter_urls
+from kindling.llm.reputation import filter_urls, url_document
 from kindling.llm.substring import substring_dedup
 from kindling.llm.suffix_dedup import suffix_dedup
 
@@ -87,9 +87,9 @@ URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 
 
 def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdict on every url of ``pages``; the label of the document with a page's number is its outcome."""
-    outcomes = _table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
-    out = filter_urls(_table(spark, sf, "pages"), outcomes, URL_RULES)
+    """Verdict on every url of ``pages``; the label of the document whose number is in a page's path is its outcome."""
+    out = filter_urls(_table(spark, sf, "pages"), _table(spark, sf, "labels"), URL_RULES, good_col="quality",
+                      by=url_document(F.col("url")), by_col="doc_id")
     return out.withColumns({"reputation": F.round("reputation", 6), "upper": F.round("upper", 6)})
 
 

@@ -28,6 +28,12 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def url_document(url: Column) -> Column:
+    """The number that the second part of the path is, up to an extension: 7817 of /en/7817, /en/7817/ and
+    /en/7817.html; null for any other path."""
+    return F.regexp_extract(url_path(url), r"^/[^/]+/([0-9]{1,18})(\.[A-Za-z]+)?/?\z", 1).try_cast("long")
+
+
 def match_rules(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, null if none does.
 
@@ -93,17 +99,20 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id",
-                url_col: str = "url", good_col: str = "good", min_good: float = 0.5) -> DataFrame:
+                url_col: str = "url", good_col: str = "good", min_good: float = 0.5, by: Column | None = None,
+                by_col: str | None = None) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, reputation, upper.
 
     ``outcomes`` has the page id and a label (1 good, 0 not; others and nulls are left out; a page with several labels
-    counts each). The verdict is the longest fitting rule's, else "block" if the host's upper bound is below
+    counts each); labels of something else are matched by ``by``, a column of ``pages``, and their ``by_col``, and a page
+    where ``by`` is null has no outcome. The verdict is the longest fitting rule's, else "block" if the host's upper bound is below
     ``min_good``, else "allow". Pages without a host (null or malformed urls) share the empty host. Pages are counted
     per host before anything is joined by host. An empty table gives an empty result.
     """
-    p = pages.select(pages[id_col].alias("id"), url_host(pages[url_col]).alias("host"), url_path(pages[url_col]).alias("path"))
-    good = outcomes.select(outcomes[id_col].alias("id"), outcomes[good_col].cast("int").alias("good")).where("good in (0, 1)")
-    seen = p.join(good, "id").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
+    p = pages.select(pages[id_col].alias("id"), url_host(pages[url_col]).alias("host"), url_path(pages[url_col]).alias("path"),
+                     (pages[id_col] if by is None else by).alias("by"))
+    good = outcomes.select(outcomes[by_col or id_col].alias("by"), outcomes[good_col].cast("int").alias("good")).where("good in (0, 1)")
+    seen = p.join(good, "by").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
     known = host_reputation(seen, p)
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     out = p.join(known.select("host", "reputation", "upper"), "host")

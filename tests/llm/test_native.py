@@ -6,7 +6,7 @@ from kindling.llm.chat import Template, format_chats, parse_chats
 from kindling.llm.decontaminate import contamination
 from kindling.llm.line_rules import line_rules
 from kindling.llm.queries import QUERIES, URL_RULES
-from kindling.llm.reputation import filter_urls, match_rules, suffix_and_domain, url_host, url_path
+from kindling.llm.reputation import filter_urls, match_rules, suffix_and_domain, url_document, url_host, url_path
 from tests_paths import SF001
 
 WORD, ITEM_WORD = re.compile("[^\x20\x09-\x0d]+"), re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -95,6 +95,20 @@ def test_reputation_blocks_only_what_is_surely_bad(spark):
     assert {r.verdict for r in filter_urls(p, l.limit(0), URL_RULES).collect()} == {"allow"}
 
 
+def test_outcome_of_a_page_is_its_documents(spark, tmp_path):
+    """Page numbers are not document numbers: the documents of a bad host's pages are labelled under other numbers."""
+    hosts = ["bad.example.org", "good.example.org"]
+    pages = [(i, f"http://{hosts[i % 2]}/en/{1000 - i}{('', '/', '.html', '?page=2', '#top')[i % 5]}") for i in range(120)]
+    pages += [(200, f"http://{hosts[0]}/about"), (201, None)]
+    labels = [(1000 - i, i % 2) for i in range(120)] + [(i, 1 - i % 2) for i in range(120)]  # under page numbers: reversed
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r.verdict for r in QUERIES["op7_url_filter"](spark, str(tmp_path)).collect()}
+    assert got == {**{i: "allow" if i % 2 else "block" for i in range(120)}, 200: "block", 201: "allow"}
+    numbers = spark.createDataFrame([(u,) for u in ("http://h/en/7", "http://h/7", "http://h/en/7x", "http://h/en/7/8", None)], "u string")
+    assert [r[0] for r in numbers.select(url_document(F.col("u"))).collect()] == [7, None, None, None, None]
+
+
 def test_decontamination_equals_brute_force(spark, docs, corpus, empty):
     words = lambda t: ITEM_WORD.findall((t or "").translate(ASCII_LOWER))
     texts = [" ".join(corpus[k][1].split()[a:b]) for k, a, b in ((1, 0, 20), (2, 3, 16), (5, 0, 12), (7, 2, 5), (9, 1, 2))]
