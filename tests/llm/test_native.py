@@ -66,6 +66,16 @@ def test_line_rules_remove_common_lines_of_a_host(spark):
     assert out[40].n_line_words == 0 and out[40].kept and out[50].kept
 
 
+def test_common_line_goes_whatever_the_size_of_its_host(spark):
+    body = lambda i: " ".join(f"w{i}_{k}" for k in range(25))
+    rows = [(i, (f"Read more\n{body(i)}" if i < 8 else body(i)), "large") for i in range(400)]
+    rows += [(1000 + i, (f"read  more\n{body(1000 + i)}" if i < 8 else body(1000 + i)), "small") for i in range(10)]
+    rows += [(2000 + i, f"read more\n{body(2000 + i)}", "few") for i in range(5)]
+    out = line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in out if r.n_line_words} == {*range(8), *range(1000, 1008)}
+    assert all(r.kept and r.kept_text == body(r.doc_id) for r in out if r.doc_id < 2000)
+
+
 def test_urls(spark):
     urls = ["http://A.b.EXAMPLE.com/en/x?q#f", "https://www.example.com/en/", "http://example.com", "//x/y", None, "", "a://b://c/d",
             "http://x.co.uk/p", "http://h.net/es/1", "http://h.net?es/"]
