@@ -10,7 +10,8 @@ only the suffixes whose order can matter:
    least hash occurs once in the corpus occur once themselves; runs of the others are segments.
 3. *Suffix arrays.* Segments are dealt by that hash, equal strings meet in one task, and a deep-shallow sort of all
    suffixes there puts equal ``width``-byte prefixes next to each other; every suffix that is not of its class's
-   smallest id is covered. A hash that very many segments share is dealt by the whole string instead.
+   smallest id is covered. A hash that very many segments share is dealt by the whole string instead, one row for
+   each distinct string of a group, with the group's smallest id; the group answers for its other copies itself.
 
 Cells and hashes travel as in :mod:`kindling.llm.exchange`; the answers are bits or ranges.
 """
@@ -113,14 +114,40 @@ class _Cells:
         return np.concatenate(starts), np.concatenate(counts), np.concatenate(hashes)
 
 
-def _string_hashes(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+def _string_hashes(data: np.ndarray, starts: np.ndarray, width: int, base: int = TA.BASE_A) -> np.ndarray:
     """Hash of the ``width`` bytes from each start on."""
     out = np.zeros(len(starts), U)
     for k in range(width):
-        out = TA.mix(out * U(TA.BASE_A) + TA.BYTE_VALUES[data[starts + k]])
+        out = TA.mix(out * U(base) + TA.BYTE_VALUES[data[starts + k]])
     return out
 
 
+def _runs(*places: np.ndarray) -> np.ndarray:
+    """Rows of (*places, length): the runs in which all of ``places`` rise by one."""
+    head = np.ones(len(places[0]), dtype=bool)
+    for p in places:
+        head[1:] |= p[1:] != p[:-1] + 1
+    first = np.flatnonzero(head)
+    return np.stack([*[p[first] for p in places], np.diff(np.append(first, len(head)))], axis=1).astype(np.int64)
+
+
+def _distinct_strings(cells: _Cells, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, hash, gone, like) of the strings at the ascending positions ``at``.
+
+    ``first`` are the positions of the first copy of each distinct string, which has the group's smallest id as
+    documents are ordered by id, and ``hash`` their hashes. ``gone`` are runs (position, length) of the copies with
+    larger ids, ``like`` runs (position of the first copy, position, length) of those with the same id.
+    """
+    keys, place, _ = X.distinct(_string_hashes(cells.data, at, width), _string_hashes(cells.data, at, width, TA.BASE_B))
+    first = np.full(len(keys[0]), len(cells.data))
+    np.minimum.at(first, place, at)
+    origin = first[place]
+    id_at = lambda x: cells.ids[np.searchsorted(cells.offs, x, side="right") - 1]
+    larger = id_at(at) > id_at(origin)
+    same = ~larger & (at != origin)
+    return first, keys[0], _runs(at[larger]), _runs(origin[same], at[same])
+
+
 def _smallest_id(table: pa.Table) -> pa.Table:
     """Bucket step 1: flags the cells that a document with a smaller id holds too."""
     (h1, h2, ids), offs = X.payload_arrays(table, [U, U, U])
@@ -144,7 +171,13 @@ def _segment_counts(heavy: int):
 
 def _sort_bucket(width: int, shallow: int):
     def sort(table: pa.Table) -> pa.Table:
-        """Bucket step 3: suffix array over the segments; answers the covered strings as (document, start, count)."""
+        """Bucket step 3: suffix array over the segments; answers the covered strings as (document, start, count).
+
+        What a group answers itself (kinds 5 and 6) passes through."""
+        sent = table.column("kind").to_numpy() == 4
+        own, table = table.filter(pa.array(~sent)), table.filter(pa.array(sent))
+        if table.num_rows == 0:
+            return own
         row, refs, ids, counts, texts = [], [], [], [], []
         for r, payload in enumerate(table.column("payload").to_pylist()):
             n = int(np.frombuffer(payload, np.int64, 1)[0])
@@ -174,8 +207,9 @@ def _sort_bucket(width: int, shallow: int):
         out = np.stack([refs[0][seg], refs[1][seg] + (at[first] - begin[seg]).astype(np.int32), length.astype(np.int32)], axis=1)
         cut = np.searchsorted(row[seg], np.arange(table.num_rows + 1))
         found = [out[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        return pa.table({"b": table.column("b"), "g": table.column("g"), "kind": table.column("kind"),
-                         "payload": pa.array(found, pa.binary())})
+        out = pa.table({"b": table.column("b"), "g": table.column("g"), "kind": table.column("kind"),
+                        "payload": pa.array(found, pa.binary())})
+        return pa.concat_tables([out, own.select(out.column_names)])
     return sort
 
 
@@ -226,11 +260,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         shared = X.answered(answers, 2, keys, n)[place]
         many = X.answered(answers, 3, keys, n)[place] & shared
         deal = keys[place]
-        single = TA.expand(starts[many], counts[many])  # strings of very common hashes, one by one
+        # strings of very common hashes, each distinct one once
+        single, single_deal, gone, like = _distinct_strings(cells, TA.expand(starts[many], counts[many]), width)
         plain = shared & ~many
         starts = np.concatenate([starts[plain], single])
         counts = np.concatenate([counts[plain], np.ones(len(single), np.int64)])
-        deal = np.concatenate([deal[plain], _string_hashes(cells.data, single, width)])
+        deal = np.concatenate([deal[plain], single_deal])
         order = np.argsort(deal, kind="stable")
         starts, counts, deal = starts[order], counts[order], deal[order]
         doc = np.searchsorted(cells.offs, starts, side="right") - 1
@@ -241,9 +276,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             text = cells.data[TA.expand(starts[lo:hi], counts[lo:hi] + width - 1)]
             rows.append(np.int64(hi - lo).tobytes() + ids[lo:hi].tobytes() + refs[:, lo:hi].tobytes() + text.tobytes())
             buckets.append(b)
+        kinds = [4] * len(rows)
+        for kind, runs in ((5, gone), (6, like)):
+            if len(runs):
+                rows.append(runs.tobytes())
+                buckets.append(group_of(table) % n)
+                kinds.append(kind)
         k = len(rows)
         return pa.table({"b": pa.array(buckets, pa.int64()), "g": pa.array(np.full(k, group_of(table), np.int64)),
-                         "kind": pa.array(np.full(k, 4, np.int32)), "payload": pa.array(rows, pa.binary())})
+                         "kind": pa.array(kinds, pa.int32()), "payload": pa.array(rows, pa.binary())})
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         cells = _Cells(table, width)
@@ -253,6 +294,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for i in np.flatnonzero(kinds == 4).tolist():
             doc, start, length = np.frombuffer(payload[i].as_py(), np.int32).reshape(-1, 3).astype(np.int64).T
             flags[TA.expand(cells.offs[doc] + start, length)] = True
+        for i in np.flatnonzero(kinds == 5).tolist():
+            start, length = np.frombuffer(payload[i].as_py(), np.int64).reshape(-1, 2).T
+            flags[TA.expand(start, length)] = True
+        for i in np.flatnonzero(kinds == 6).tolist():  # copies of first copies, which kind 4 has answered
+            origin, start, length = np.frombuffer(payload[i].as_py(), np.int64).reshape(-1, 3).T
+            flags[TA.expand(start, length)] = flags[TA.expand(origin, length)]
         kept, texts, spans, n_removed = [], [], [], []
         for i, j, d, o in TA.blocks(cells.data, cells.offs):
             gone = TA.covered(np.flatnonzero(flags[cells.offs[i]:cells.offs[j]]), width, len(d))

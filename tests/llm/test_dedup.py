@@ -1,10 +1,12 @@
 import collections
 import re
+import uuid
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from kindling.llm import suffix_dedup as S
 from kindling.llm.components import connected_components
 from kindling.llm.minhash import near_duplicates, signatures
 from kindling.llm.substring import COVERS, substring_dedup
@@ -108,6 +110,39 @@ def test_suffix_equals_brute_force_over_many_groups(docs, corpus):
             assert "\ufffd" not in r.kept_text
 
 
+def test_a_group_sends_each_common_string_once(spark, tmp_path, monkeypatch):
+    """One passage at different places of all documents, twice in some, some ids null or repeated."""
+    rng, real = np.random.default_rng(8), S._sort_bucket
+    say = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = say(70)
+    rows = [(None if i % 40 == 7 else i // 2 if i % 10 == 3 else i, say(rng.integers(1, 90)) + passage + say(rng.integers(1, 90))
+             + passage * (i % 3 == 0)) for i in range(200)]
+
+    def sort_and_count(width, shallow):
+        sort = real(width, shallow)
+
+        def step(table):
+            sent = collections.Counter()
+            for g, kind, payload in zip(*(table.column(c).to_pylist() for c in ("g", "kind", "payload"))):
+                if kind != 4:
+                    continue
+                n = int(np.frombuffer(payload, np.int64, 1)[0])
+                at = 8 + 20 * n
+                for count in np.frombuffer(payload, np.int32, n, 8 + 16 * n).tolist():
+                    if count == 1:
+                        sent[g, payload[at:at + width]] += 1
+                    at += count + width - 1
+            (tmp_path / uuid.uuid4().hex).write_text(str(max(sent.values(), default=0)))
+            return sort(table)
+        return step
+
+    monkeypatch.setattr(S, "_sort_bucket", sort_and_count)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup(docs, group_bytes=8192, heavy=2).collect()
+    assert key((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got) == key(brute_suffix(rows, 50))
+    assert {int(f.read_text()) for f in tmp_path.iterdir()} == {1}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(min_size=60, max_size=400).map(lambda b: bytes(x % 3 for x in b)), st.sampled_from([8, 16, 40]))
 def test_deep_shallow_order(text, shallow):
