@@ -1,7 +1,9 @@
 """The training-data pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents
-(doc_id, text, lang, source, n_chars). Rows without a doc_id cannot be named, so no stage but the classifier drops them.
+(doc_id, text, lang, source, n_chars). Rows are judged and dropped one by one, by a key of doc_id and text, so repeated
+and null ids are safe; of rows equal in both, the second stage keeps one. To the suffix arrays rows of one id are one
+document, and so are those without an id.
 Nulls, empty texts and empty tables pass through as the operators define; a table without usable labels rejects none.
 """
 
@@ -36,15 +38,38 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         "__good = 1").select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row's id and text; only rows equal in both share it."""
+    return docs.select(*COLUMNS).withColumn("__row", F.xxhash64("doc_id", "text"))
+
+
+def _distinct_rows(docs: DataFrame) -> DataFrame:
+    """One row of each set of rows equal in id and text: the one with the least other columns. Only keys and the rows
+    whose key occurs again are shuffled."""
+    keyed = _keyed(docs)
+    again = cut_lineage(keyed.groupBy("__row").count().where("count > 1").select("__row"))
+    if again.isEmpty():
+        return docs.select(*COLUMNS)
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    more = keyed.join(again, "__row", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("r"))
+    return keyed.join(again, "__row", "left_anti").select(*COLUMNS).unionByName(more.select("doc_id", "text", "r.*"))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rejected ids. These are written first: Spark then knows their size and broadcasts a small
+    """``docs`` without the rows of the rejected keys. These are written first: Spark then knows their size and broadcasts a small
     list instead of shuffling all texts, and joins by shuffle beyond its threshold."""
-    return docs.join(cut_lineage(rejected.select("doc_id").distinct()), "doc_id", "left_anti").select(*COLUMNS)
+    return _keyed(docs).join(cut_lineage(rejected.select("__row").distinct()), "__row", "left_anti").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
-    return _without(docs, near_duplicates(docs).where(~F.col("kept")))
+    """Keeps the row with the smallest id (null: the largest) of each group of near duplicates."""
+    docs = _distinct_rows(docs)
+    keyed = _keyed(docs)
+    named = cut_lineage(near_duplicates(keyed, id_col="__row").select("__row", "component_id")
+                        .join(keyed.select("__row", "doc_id"), "__row"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
+    kept = named.groupBy("component_id").agg(least.alias("least")).select("least.__row")
+    return _without(docs, named.join(kept, "__row", "left_anti"))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +81,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the benchmark's 13-word windows contaminate."""
-    return _without(docs, contamination(docs, _table(spark, sf_dir, "benchmark")).where("contaminated"))
+    found = contamination(_keyed(docs), _table(spark, sf_dir, "benchmark"), id_col="__row")
+    return _without(docs, found.where("contaminated"))
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

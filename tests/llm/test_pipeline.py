@@ -57,6 +57,24 @@ def test_stages_take_nulls_and_empty_tables(spark, docs, empty):
             assert out.count() <= table.count()
 
 
+def test_rows_with_repeated_and_null_ids_are_judged_one_by_one(spark):
+    say = lambda name, n=80: " ".join(f"{name}{k}" for k in range(n))
+    near = lambda name: say(name) + " tail"
+    rows = [(1, say("a")), (2, say("b")), (2, near("a")), (3, say("c")), (3, say("c")), (4, say("d")), (None, near("d")),
+            (None, say("e")), (None, say("e")), (5, say("f")), (5, near("f")), (None, None), (None, None), (6, "")]
+    table = lambda r: spark.createDataFrame([(i, t, "en", "s", 0) for i, t in r],
+                                            "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in P.near_duplicate_stage(spark, table(rows), SF001).collect()]
+    fixed = [(1, say("a")), (2, say("b")), (3, say("c")), (4, say("d")), (None, say("e")), (None, None), (6, "")]
+    assert sorted(map(repr, (r for r in got if r[0] != 5))) == sorted(map(repr, fixed))
+    assert len([r for r in got if r[0] == 5]) == 1
+
+    passage = max((r.text for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect() if r.text), key=len)
+    rows = [(1, say("a")), (1, passage), (None, passage), (None, say("b")), (2, passage)]
+    got = [(r.doc_id, r.text) for r in P.decontamination_stage(spark, table(rows), SF001).collect()]
+    assert sorted(got, key=repr) == sorted([(1, say("a")), (None, say("b"))], key=repr)
+
+
 def test_entry_registers_every_operator():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
