@@ -51,13 +51,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row per document row: id, n_words, n_hit, items (sorted strings), contaminated.
 
     A word is hit if a window of ``length`` words of some item, or a whole shorter item, covers it; items without
-    words or id take no part. contaminated: n_hit > 0 and 100 * n_hit >= min_percent * n_words. A null text has no
+    words take no part, items without an id are not named in ``items``. contaminated: n_hit > 0 and 100 * n_hit >= min_percent * n_words. A null text has no
     words. Rows that repeat an id are judged each by its text. An empty table of documents gives an empty result,
     without items nothing is hit. The benchmark's fingerprints are broadcast after they have been counted, and joined
     by shuffle beyond ``broadcast_rows``.
     """
     bench = items.select(items[item_col].cast("string").alias("item"), item_words(items[item_text]).alias("words"))
-    bench = bench.where(F.col("item").isNotNull() & (F.size("words") > 0)).withColumn(
+    bench = bench.where(F.size("words") > 0).withColumn(
         "length", F.least(F.size("words"), F.lit(length)))
     lengths = [r[0] for r in bench.select("length").distinct().orderBy("length").collect()]  # at most ``length`` numbers
     d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))

@@ -145,6 +145,14 @@ def test_decontamination_equals_brute_force(spark, docs, corpus, empty):
     assert {r.n_hit for r in contamination(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_benchmark_rows_without_id_contaminate(spark):
+    own, named = " ".join(f"p{k}" for k in range(20)), " ".join(f"q{k}" for k in range(20))
+    bench = spark.createDataFrame([(None, own), (None, "tiny"), (7, named)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + own), (2, "a tiny one"), (3, own + " " + named), (4, "clean")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in contamination(docs, bench).collect()}
+    assert got == {1: (20, [], True), 2: (1, [], True), 3: (40, ["7"], True), 4: (0, [], False)}
+
+
 def test_native_queries_run_no_python(spark):
     for name in ("op2_chat_format", "op4_quality_rules", "op7_url_filter", "op9_decontamination"):
         plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
