@@ -15,6 +15,7 @@ from kindling.llm.quality import fit_ranker, rank_quality
 from kindling.llm.reputation import filter_urls, url_document
 from kindling.llm.substring import substring_dedup
 from kindling.llm.suffix_dedup import suffix_dedup
+from kindling.llm.word_bpe import load_word_bpe, round_trip_words
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # a public vocabulary file on the driver; nothing else reads it
 
@@ -115,6 +116,19 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_bpe(spark: SparkSession, sf: str, file: str | None = None) -> DataFrame:
+    """Token ids of every whole text of ``documents`` by the word-end BPE file, decoded again."""
+    if file is None:
+        from public_tokenizers import path
+
+        file = path("word_bpe_49k.json")
+    out = round_trip_words(_table(spark, sf, "documents").select("doc_id", "text"), load_word_bpe(file))
+    packed = F.coalesce("ids_le", F.to_binary(F.lit("")))
+    return out.select("doc_id", (F.octet_length(packed) / 4).cast("long").alias("n_tokens"),
+                      F.sha2(packed, 256).alias("ids_sha256"),
+                      F.sha2(F.encode(F.coalesce("decoded", F.lit("")), "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
@@ -126,4 +140,5 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_bpe": op11_bpe,
 }
