@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
@@ -40,6 +41,7 @@ class WordBpe:
     """A vocabulary as arrays; its size is the size of the file, whatever the corpus."""
 
     rules: str  # the file without its vocabulary: normaliser and word pattern
+    pattern: str  # the word pattern
     pair: np.ndarray  # left id << 32 | right id, ascending
     rank: np.ndarray  # of each pair
     merged: np.ndarray  # id by rank
@@ -63,7 +65,7 @@ def load_word_bpe(file: str) -> WordBpe:
     kinds = [s["type"] for s in steps]
     if (model["type"] != "BPE" or odd or not plain or spec.get("decoder") or spec.get("post_processor")
             or not model.get("end_of_word_suffix") or kinds != ["Split", "ByteLevel"]
-            or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or steps[1]["add_prefix_space"]):
+            or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or "Regex" not in steps[0]["pattern"] or steps[1]["add_prefix_space"]):
         raise ValueError(f"{file}: not a byte-level BPE with word ends")
     vocab, end = model["vocab"], model["end_of_word_suffix"]
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -77,7 +79,7 @@ def load_word_bpe(file: str) -> WordBpe:
         inner[ord(c)], last[ord(c)] = vocab[c], vocab[c + end]
     rules = {k: v for k, v in spec.items() if k not in ("model", "added_tokens", "truncation", "padding")}
     rules["model"] = {"type": "BPE", "vocab": {}, "merges": []}
-    return WordBpe(json.dumps(rules), pair[order], order.astype(np.int32), merged, inner, last,
+    return WordBpe(json.dumps(rules), steps[0]["pattern"]["Regex"], pair[order], order.astype(np.int32), merged, inner, last,
                    tuple((t["content"], t["id"]) for t in added),
                    np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
 
@@ -195,6 +197,7 @@ class _Encoder:
         self.v = v
         self.normal = rules.normalizer.normalize_str if rules.normalizer else str
         self.split = rules.pre_tokenizer.pre_tokenize_str
+        self.ascii = regex.compile(f"(?:{v.pattern})| ").findall  # printable ASCII stands for its own bytes
         self.special = dict(v.special)
         names = sorted(self.special, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
@@ -212,19 +215,22 @@ class _Encoder:
     def _split(self, chunks: list[str]) -> tuple[list, np.ndarray]:
         """Words of all chunks in order, and how many each chunk has.
 
-        The chunks go through the file's rules as one text with blanks between them. Chunks with special tokens go one
-        by one, and so do all if one holds white space of its own (beyond ASCII)."""
+        Chunks go through the file's rules as one text with blanks between them. Chunks with special tokens go one by
+        one, and so do those near one that holds white space of its own (beyond ASCII)."""
         if not chunks:
             return [], np.zeros(0, np.int64)
         joined = " ".join(chunks)
         if not (_BLANK.search(joined) or self.marks and self.marks.search(joined)):
             normal = self.normal(joined)
-            parts = normal.split(" ")
-            if len(parts) == len(chunks):
-                ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-                found = self.split(normal)
-                starts = np.fromiter((at for _, (at, _) in found), np.int64, len(found))
-                return [w for w, _ in found], np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(chunks))
+            if joined.isascii() and joined.isprintable():  # the pattern itself, which also finds the blanks between the chunks
+                found = self.ascii(normal)
+                cut = np.array([i for i, w in enumerate(found) if w == " "], np.int64)
+                ends = np.append(cut, len(found)) - np.arange(len(chunks))
+                return [w for w in found if w != " "], np.diff(ends, prepend=0)
+            ends = np.cumsum(np.fromiter(map(len, normal.split(" ")), np.int64, len(chunks)) + 1)
+            found = self.split(normal)
+            starts = np.fromiter((at for _, (at, _) in found), np.int64, len(found))
+            return [w for w, _ in found], np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(chunks))
         if len(chunks) > 64:  # only the part that needs it goes one by one
             mid = len(chunks) // 2
             (a, n), (b, m) = self._split(chunks[:mid]), self._split(chunks[mid:])
@@ -262,9 +268,15 @@ class _Encoder:
         s, e, at = TA.words(d, o)
         first, place = distinct_words(d, s, e)
         text = d.tobytes()
-        ids, ends = self.chunks([text[a:b].decode("utf-8", "replace") for a, b in zip(s[first].tolist(), e[first].tolist())])
-        count = np.diff(ends)[place]
-        return ids[TA.expand(ends[:-1][place], count)], np.concatenate([[0], np.cumsum(count)]).astype(np.int64)[at]
+        chunks = [text[a:b].decode("utf-8", "replace") for a, b in zip(s[first].tolist(), e[first].tolist())]
+        simple = np.array([c.isascii() and c.isprintable() for c in chunks], dtype=bool)
+        size, head, ids = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), []
+        for some in (np.flatnonzero(simple), np.flatnonzero(~simple)):
+            flat, ends = self.chunks([chunks[i] for i in some.tolist()])
+            size[some], head[some] = np.diff(ends), ends[:-1] + sum(map(len, ids))
+            ids.append(flat)
+        count = size[place]
+        return np.concatenate(ids)[TA.expand(head[place], count)], np.concatenate([[0], np.cumsum(count)]).astype(np.int64)[at]
 
 
 def decode_block(v: WordBpe, ids: np.ndarray, offs: np.ndarray) -> list[str]:
