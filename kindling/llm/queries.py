@@ -10,6 +10,7 @@ from kindling.llm.decontaminate import contamination
 from kindling.llm.language import fit_prototypes, predict_language
 from kindling.llm.line_rules import line_rules
 from kindling.llm.minhash import near_duplicates
+from kindling.llm.phrases import mine_phrases
 from kindling.llm.pieces import load_pieces, round_trip_pieces
 from kindling.llm.quality import fit_ranker, rank_quality
 from kindling.llm.reputation import filter_urls, url_document
@@ -129,6 +130,12 @@ def op11_bpe(spark: SparkSession, sf: str, file: str | None = None) -> DataFrame
                       F.sha2(F.encode(F.coalesce("decoded", F.lit("")), "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op12_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The best 2,000 phrases of each language of ``documents``."""
+    out = mine_phrases(_table(spark, sf, "documents"), min_count=10, absorb_percent=50, top=2000)
+    return out.drop("words")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
@@ -141,4 +148,5 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_bpe": op11_bpe,
+    "op12_phrases": op12_phrases,
 }
