@@ -10,6 +10,7 @@ from kindling.llm.decontaminate import contamination
 from kindling.llm.language import fit_prototypes, predict_language
 from kindling.llm.line_rules import line_rules
 from kindling.llm.minhash import near_duplicates
+from kindling.llm.negatives import hard_negatives
 from kindling.llm.phrases import mine_phrases
 from kindling.llm.pieces import load_pieces, round_trip_pieces
 from kindling.llm.quality import fit_ranker, rank_quality
@@ -136,6 +137,13 @@ def op12_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return out.drop("words")
 
 
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every fiftieth row of ``embeddings``; every seventh row has the next label, as the task says."""
+    vectors = _table(spark, sf, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0, scale=256, positives=5, negatives=3, low_percent=50, high_percent=95)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
@@ -149,4 +157,5 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_bpe": op11_bpe,
     "op12_phrases": op12_phrases,
+    "op13_hard_negatives": op13_hard_negatives,
 }
