@@ -60,10 +60,11 @@ def prose():
 
 @pytest.mark.parametrize("setting", ["plain", "small"])
 def test_phrases_equal_brute_force(spark, prose, setting, monkeypatch):
-    if setting == "small":  # many shards and buckets, cut texts, salted joins
+    if setting == "small":  # many shards and buckets, cut texts, few hot keys
         monkeypatch.setattr(P, "SHARD_BYTES", 500)
         monkeypatch.setattr(P, "BUCKET_KEYS", 4096)
-        monkeypatch.setattr(P, "BROADCAST_ROWS", 3)
+        monkeypatch.setattr(P, "WORD_BUCKET_BYTES", 20_000)
+        monkeypatch.setattr(P, "HOT", 6)
     df = spark.createDataFrame([(*r, 1, "w", 2) for r in prose], "doc_id long, lang string, text string, n int, word string, a int")
     expected = brute([r[1:] for r in prose])
     assert rows_of(mine_phrases(df.repartition(3))) == expected and len(expected) > 50
@@ -77,33 +78,39 @@ def test_query_equals_brute_force(spark):
     assert rows_of(QUERIES["op12_phrases"](spark, SF001)) == brute([tuple(r) for r in rows])
 
 
-def test_permutation_is_invertible():
-    rng = np.random.default_rng(0)
-    hi, lo = rng.integers(0, 1 << 32, 5000, dtype=np.uint64), rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * 2
-    a, b = Q.permute(hi, lo)
-    assert int(a.max()) < 1 << 32
-    back = Q.restore(a, b)
-    assert (back[0] == hi).all() and (back[1] == lo).all()
+@pytest.mark.parametrize("size", [3, 9, 57, 63, 66, 96, 126])
+def test_packing_and_permutation_are_invertible(size):
+    rng = np.random.default_rng(size)
+    ids = [rng.integers(0, 1 << size // 3, 3000, dtype=np.uint64) for _ in range(3)]
+    key = Q.pack(ids, size)
+    hi, lo = Q.permute(*key, size)
+    assert all(int(h) < 1 << max(size - 64, 0) and int(x) < 1 << min(size, 64) for h, x in zip(hi, lo))
+    back = Q.restore(hi, lo, size)
+    assert all((x == y).all() for x, y in zip(back, key))
+    assert all((x == y).all() for x, y in zip(Q.unpack(*back, size), ids))
+    if size <= 9:  # a permutation: every key once
+        every = np.arange(1 << size, dtype=np.uint64)
+        assert sorted(Q.permute(every * np.uint64(0), every, size)[1].tolist()) == every.tolist()
 
 
-@pytest.mark.parametrize("bits", [0, 1, 5])
-def test_filters_keep_every_key_and_count(bits):
+@pytest.mark.parametrize("bits, size", [(0, 9), (1, 9), (3, 9), (0, 63), (5, 63), (0, 96), (5, 96), (2, 126)])
+def test_filters_keep_every_key_and_count(bits, size):
     rng = np.random.default_rng(bits)
     total, per_bucket = Counter(), defaultdict(list)
     for _ in range(4):
-        hi = rng.integers(0, 50, 3000).astype(np.uint64)
-        lo = rng.integers(0, 9, 3000).astype(np.uint64) * np.uint64(0x123456789ABCDEF1)  # keys that share lo
-        lo[:1000] = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
-        hi[-600:], lo[-600:] = 7, 11  # a count beyond one byte
+        ids = [rng.integers(0, min(1 << size // 3, 12), 3000).astype(np.uint64) for _ in range(3)]
+        hi, lo = Q.permute(*Q.pack(ids, size), size)
+        lo[1000:2000] = lo[0]  # keys that share lo
+        hi[-600:], lo[-600:] = hi[0], lo[0]  # a count beyond one byte
         total.update(zip(hi.tolist(), lo.tolist()))
         h, l, n = Q.count_keys(hi, lo)
-        for b, i, j in zip(*(x.tolist() for x in Q.bucket_edges(l, bits))):
-            raw = Q.write_filter(h[i:j], l[i:j], n[i:j], bits)
-            assert all((x == y).all() for x, y in zip(Q.read_filter(raw, b, bits), (h[i:j], l[i:j], n[i:j])))
+        for b, i, j in zip(*(x.tolist() for x in Q.bucket_edges(l, bits, size))):
+            raw = Q.write_filter(h[i:j], l[i:j], n[i:j], bits, size)
+            assert all((x == y).all() for x, y in zip(Q.read_filter(raw, b, bits, size), (h[i:j], l[i:j], n[i:j])))
             per_bucket[b].append(raw)
     merged = Counter()
     for b, filters in per_bucket.items():
-        h, l, n = Q.merge_filters(filters, b, bits)
+        h, l, n = Q.merge_filters(filters, b, bits, size)
         assert (np.diff(l.astype(object)) >= 0).all()
         merged.update(dict(zip(zip(h.tolist(), l.tolist()), n.tolist())))
     assert merged == total
