@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kindling.session import broadcast_if_small
 
 from kindling.functions.columns import sql_ident, stack_expr
+from kindling.operators.moments import moments
 
 # The keyword for each feature group, matched as a substring of the
 # lower-cased column name; names in no group go to "other".
@@ -105,7 +106,20 @@ def group_profile(long: DataFrame, catalog: DataFrame, group_col: str = "group")
 
     The long table is aggregated per feature first, map-side; the catalog is joined to that feature-sized result, and
     the groups merge their features' counts, means and squared deviations."""
-    f = feature_profile(long).join(catalog, "feature")
+    return _group_profile(feature_profile(long), catalog, group_col)
+
+
+def group_profile_wide(df: DataFrame, features: Sequence[str], catalog: DataFrame, group_col: str = "group") -> DataFrame:
+    """:func:`group_profile` of a wide table without its long form: the features' moments come from one pass over the
+    columns, a row per task."""
+    m = moments(df, list(dict.fromkeys(features)))
+    profile = m.select("feature", F.col("rows").alias("n_values"), (F.col("rows") - F.col("n")).alias("n_null"), "n", "mean",
+                       F.when(F.col("n") > 0, F.col("m2")).alias("m2"), "min", "max")
+    return _group_profile(profile, catalog, group_col)
+
+
+def _group_profile(profile: DataFrame, catalog: DataFrame, group_col: str) -> DataFrame:
+    f = profile.join(catalog, "feature")
     total, n = F.sum("n"), F.col("n")
     sums = f.groupBy(group_col).agg(
         F.sum("n_values").cast("bigint").alias("n_values"), F.sum("n_null").cast("bigint").alias("n_null"),
@@ -120,18 +134,12 @@ def group_profile(long: DataFrame, catalog: DataFrame, group_col: str = "group")
 
 
 def feature_rank(df: DataFrame, features: Sequence[str], label: str, top: int = 30) -> DataFrame:
-    """Features ranked by ``|corr(x, label)|``, highest first, top ``top`` (F5, K1); a feature without a correlation
-    comes last."""
-    features = list(features)
-    y = F.col(sql_ident(label)).cast("double")
-    long = to_long(df.withColumn("_y", y), ["_y"], features)  # stack: one generator
-    # corr() itself divides by zero on a constant column
-    known = F.col("value").isNotNull() & F.col("_y").isNotNull()
-    x, yy = F.when(known, F.col("value")), F.when(known, F.col("_y"))
-    scores = long.groupBy("feature").agg(F.covar_pop("value", "_y").alias("c"),
-                                         (F.stddev_pop(x) * F.stddev_pop(yy)).alias("s"))
-    scores = scores.select("feature", F.when(F.col("s") != 0, F.col("c") / F.col("s")).alias("corr"))
-    scores = names_frame(df.sparkSession, features).join(scores, "feature", "left")
+    """Features ranked by ``|corr(x, label)|``, highest first, top ``top`` (F5, K1). A row counts for a feature if value
+    and label are neither null nor NaN; a feature without a correlation (constant, or no such rows) comes last. One pass
+    over the table, a row of vectors per task. For the importance of a fitted model see ``importance``."""
+    spread = F.sqrt(F.col("m2_x")) * F.sqrt(F.col("m2_y"))
+    scores = moments(df, list(dict.fromkeys(features)), label).select(
+        "feature", F.when((F.col("m2_x") > 0) & (F.col("m2_y") > 0), F.col("c_xy") / spread).alias("corr"))
     from kindling.operators.evaluate import top_n
 
     return top_n(scores.withColumn("importance", F.abs("corr")), "importance", top, tie="feature")

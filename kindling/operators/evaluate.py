@@ -53,8 +53,8 @@ def with_prediction(df: DataFrame, threshold=DEFAULT_THRESHOLD, score: str = "sc
 
 def usable(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """The rows every metric counts (one rule for all): label and score neither null nor NaN."""
-    x = F.col(score).cast("double")
-    return df.filter(F.col(label).isNotNull() & x.isNotNull() & ~F.isnan(x))
+    x, y = F.col(score).cast("double"), F.col(label).cast("double")
+    return df.filter(y.isNotNull() & ~F.isnan(y) & x.isNotNull() & ~F.isnan(x))
 
 
 # --- core counts -------------------------------------------------------------------
@@ -70,7 +70,7 @@ def score_counts(scored: DataFrame, model: str = "model", label: str = "label",
     operators reading them several times scan the scored table once; the
     checkpoint also pins a range-partition bucket ``_bk`` per row, which the
     running sums use so that no bucket is hot however the scores are spread."""
-    y = F.col(label).cast("int")
+    y = positive(label)
     counts = (usable(scored, label, score)
               .groupBy(F.col(model).alias("model"), F.col(score).cast("double").alias("score"))
               .agg(F.sum(F.when(y == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
@@ -103,9 +103,14 @@ def curve_counts(counts: DataFrame, materialize: bool = False, with_next: bool =
 
 # --- E1 / E2 / E18 ----------------------------------------------------------------------
 
+def positive(label: str = "label") -> Column:
+    """1 for label 1 and 0 for any other label: the one label rule of all metrics."""
+    return F.when(F.col(label).cast("double") == 1, F.lit(1)).otherwise(F.lit(0))
+
+
 def log_loss(scored: DataFrame, group: str = "model", label: str = "label", score: str = "score") -> DataFrame:
     """Mean binary cross-entropy on probabilities, logs floored at -100."""
-    return usable(scored, label, score).groupBy(group).agg(F.avg(bce_on_probs(score, label)).alias("log_loss"))
+    return usable(scored, label, score).groupBy(group).agg(F.avg(bce_on_probs(score, positive(label))).alias("log_loss"))
 
 
 def weighted_log_loss(df: DataFrame, pos_weight: float = 2.0, group: str = "model", label: str = "label",
@@ -115,7 +120,7 @@ def weighted_log_loss(df: DataFrame, pos_weight: float = 2.0, group: str = "mode
     The mean divides by the row count, not by the sum of weights.
     """
     return usable(df, label, logit).groupBy(group).agg(
-        F.avg(bce_on_logits(logit, label, pos_weight)).alias("weighted_log_loss"))
+        F.avg(bce_on_logits(logit, positive(label), pos_weight)).alias("weighted_log_loss"))
 
 
 def epoch_metrics(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD, model: str = "model", label: str = "label",
@@ -165,7 +170,7 @@ def _cells(scored: DataFrame, thresholds) -> DataFrame:
     if thresholds is not None and not isinstance(thresholds, (int, float)):
         return confusion_cells(score_counts(scored), thresholds)
     t = DEFAULT_THRESHOLD if thresholds is None else float(thresholds)
-    above, pos = F.col("score").cast("double") > t, F.col("label").cast("int") == 1
+    above, pos = F.col("score").cast("double") > t, positive() == 1
     n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
     return usable(scored).groupBy("model").agg(
         F.lit(t).alias("threshold"), n(~above & ~pos).alias("tn"), n(above & ~pos).alias("fp"),
@@ -378,10 +383,16 @@ def metric_bars(comparison: DataFrame) -> DataFrame:
     return comparison.unpivot("model", list(COMPARISON_METRICS), "metric", "value")
 
 
+def known(df: DataFrame, name: str) -> Column:
+    """The column with NaN as null (only floating types have NaN)."""
+    c = F.col(name)
+    return F.when(~F.isnan(c), c) if df.schema[name].dataType.typeName() in ("float", "double") else c
+
+
 def top_n(df: DataFrame, by: str, n: int, tie: str | None = None) -> DataFrame:
-    """Descending sort and first ``n`` rows (K1); ``tie`` breaks equal values ascending.
+    """Descending sort and first ``n`` rows (K1); ``tie`` breaks equal values ascending, null and NaN come last.
     Planned as a per-partition top-n merged at the end, not a full sort."""
-    order = [F.col(by).desc_nulls_last()] + ([F.col(tie).asc()] if tie else [])
+    order = [known(df, by).desc_nulls_last()] + ([F.col(tie).asc()] if tie else [])
     return df.orderBy(*order).limit(n)
 
 

@@ -38,10 +38,27 @@ def _filled(features: Sequence[str]) -> tuple[SQLTransformer, list[str]]:
     return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__"), cols
 
 
+#: multiply-adds of a fit that make up one task's share, and the least rows of a task beyond one per core
+TASK_COST, TASK_ROWS = 5e9, 100_000
+
+
+def spread_rows(train: DataFrame, weights: int, iterations: int) -> DataFrame:
+    """``train`` dealt over tasks by the cost of an iterative fit (rows × weights × iterations), not by file size.
+
+    A small file is one partition, and an iterative fit on it one task for all its iterations. The rows are counted
+    and dealt round robin: one task per ``TASK_COST``, as many as there are cores at most or, on large tables, one per
+    ``TASK_ROWS`` rows. A fit worth less than two shares keeps its partitions. Gradients are summed over all rows, so only the order of
+    additions depends on the dealing."""
+    rows = train.count()
+    most = max(train.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    n = min(most, int(rows * weights * iterations // TASK_COST) + 1, max(rows, 1))
+    return train.repartition(n) if n > 1 else train
+
+
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "label", pos_weight: float = POS_WEIGHT,
                  reg: float = 0.0, max_iter: int = 100) -> PipelineModel:
     """Class-weighted logistic regression."""
-    data = train.withColumn("_w", class_weight(label, pos_weight))
+    data = spread_rows(train.withColumn("_w", class_weight(label, pos_weight)), len(features) + 1, max_iter)
     fill, cols = _filled(features)
     pipe = Pipeline(stages=[
         fill, VectorAssembler(inputCols=cols, outputCol="_fv"),
@@ -61,11 +78,13 @@ def fit_mlp(train: DataFrame, features: Sequence[str], label: str = "label", hid
     """Feed-forward network (T2): Spark's MLP (sigmoid hidden units, softmax output)."""
     if float(pos_weight) != int(pos_weight):
         raise ValueError("the MLP takes an integer positive weight (rows are repeated)")
-    data = repeat_positives(train, label, int(pos_weight))
+    layers = [len(features), *hidden, 2]
+    weights = sum((a + 1) * b for a, b in zip(layers[:-1], layers[1:]))
+    data = spread_rows(repeat_positives(train, label, int(pos_weight)), weights, max_iter)
     fill, cols = _filled(features)
     pipe = Pipeline(stages=[
         fill, VectorAssembler(inputCols=cols, outputCol="_fv"),
-        MultilayerPerceptronClassifier(featuresCol="_fv", labelCol=label, layers=[len(features), *hidden, 2],
+        MultilayerPerceptronClassifier(featuresCol="_fv", labelCol=label, layers=layers,
                                        maxIter=max_iter, seed=seed)])
     return pipe.fit(data)
 
@@ -76,7 +95,7 @@ def fit_additive(train: DataFrame, features: Sequence[str], label: str = "label"
     fill, feats = _filled(features)
     bins = [f"{c}_bin" for c in feats]
     ohe = [f"{c}_ohe" for c in feats]
-    data = train.withColumn("_w", class_weight(label, pos_weight))
+    data = spread_rows(train.withColumn("_w", class_weight(label, pos_weight)), len(feats) * n_bins, max_iter)
     pipe = Pipeline(stages=[
         fill, QuantileDiscretizer(inputCols=feats, outputCols=bins, numBuckets=n_bins, handleInvalid="keep"),
         OneHotEncoder(inputCols=bins, outputCols=ohe, handleInvalid="keep"),
@@ -112,7 +131,9 @@ def fit_frozen_head(train: DataFrame, features: Sequence[str], key: str, label:
     """Logistic head on frozen-block features (T4)."""
     feats = list(features)
     block = block or FrozenBlock.random(len(feats), seed=42)
-    data = _frozen_vector(train, feats, block).withColumn("_w", class_weight(label, pos_weight))
+    # the frozen block itself is the cost: one pass over it
+    dealt = spread_rows(train, sum(a.size for n, a in vars(block).items() if n != "act"), 1)
+    data = _frozen_vector(dealt, feats, block).withColumn("_w", class_weight(label, pos_weight))
     lr = LogisticRegression(featuresCol="_fv", labelCol=label, weightCol="_w", maxIter=max_iter)
     return FrozenHeadModel(block, PipelineModel(stages=[lr.fit(data)]), feats, key)
 
@@ -158,22 +179,23 @@ def fit_and_evaluate(prepared: DataFrame, specs: dict, features: Sequence[str],
     """Fit every model on the train part and evaluate on the valid part (T5).
 
     ``specs`` maps a model name to a fitting callable ``(train, features, key, label) -> model``.
+    All models' scores of the valid part make one scored table, evaluated in one job.
     Returns (evaluations, comparison table); fit time is measured around each fit.
     """
     train = prepared.filter(F.col(part_col) == "train")
     valid = prepared.filter(F.col(part_col) == "valid")
     spark = prepared.sparkSession
-    evals, meta = [], []
+    scores, meta = [], []
     for name, fit in specs.items():
         t0 = time.time()
         model = fit(train, features, key, label)
         fit_time = time.time() - t0
-        ev = E.evaluation(score(model, valid, key, label, name), find_best=True)
-        evals.append(ev)
+        scores.append(score(model, valid, key, label, name))
         meta.append((name, fit_time, parameter_count(model)))
-    all_evals = evals[0]
-    for ev in evals[1:]:
-        all_evals = all_evals.unionByName(ev)
+    scored = scores[0]
+    for s in scores[1:]:
+        scored = scored.unionByName(s)
+    all_evals = E.evaluation(scored, find_best=True)
     meta_df = spark.createDataFrame(meta, "model string, training_time double, parameters bigint")
     return all_evals, E.model_comparison(all_evals, meta_df)
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindling.operators.evaluate import known
+
 DEFAULT_THRESHOLD = 0.5
 # The series of a training history.
 HISTORY_SERIES = ("train_loss", "train_acc", "train_auc", "val_loss", "val_acc", "val_auc",
@@ -26,17 +28,19 @@ def threshold_schedule(history: DataFrame, searched: str, run: str = "run", epoc
     is_search = ((F.col(epoch) % 2) == 0) | (F.col(epoch) == last_epoch)
     upto = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (history.withColumn("searched_epoch", is_search)
-            .withColumn(out, F.coalesce(F.last(F.when(F.col("searched_epoch"), F.col(searched)), ignorenulls=True)
+            .withColumn(out, F.coalesce(F.last(F.when(F.col("searched_epoch"), known(history, searched)), ignorenulls=True)
                                         .over(upto), F.lit(DEFAULT_THRESHOLD))))
 
 
 def improvement_marks(history: DataFrame, metric: str = "val_f1", run: str = "run", epoch: str = "epoch") -> DataFrame:
     """Per epoch: ``improved`` (strictly above the best so far, starting from 0.0), the last
-    improved epoch (``-1`` if none) and ``since`` = epochs without improvement (K3)."""
+    improved epoch (``-1`` if none) and ``since`` = epochs without improvement (K3). A null or NaN metric improves
+    nothing."""
     before = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    best_before = F.greatest(F.coalesce(F.max(metric).over(before), F.lit(0.0)), F.lit(0.0))
-    h = history.withColumn("improved", F.col(metric) > best_before)
+    value = known(history, metric)
+    best_before = F.greatest(F.coalesce(F.max(value).over(before), F.lit(0.0)), F.lit(0.0))
+    h = history.withColumn("improved", F.coalesce(value > best_before, F.lit(False)))
     h = h.withColumn("last_improved", F.coalesce(F.max(F.when(F.col("improved"), F.col(epoch))).over(upto), F.lit(-1)))
     return h.withColumn("since", F.col(epoch) - F.col("last_improved"))
 

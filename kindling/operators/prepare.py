@@ -12,9 +12,9 @@ Scale notes
   narrow filter against that cutoff. The result is exactly the k smallest keys,
   the same rows a global ``row_number`` would keep. Three scans of the source
   (histogram, crossing bucket, selection), no union, no full-class window.
-* Scaler statistics are one aggregate (wide form) or one ``stack`` generator +
-  ``groupBy(feature)`` (long form, above ``long_form_above`` columns). Only the
-  parameter rows (one per feature) reach the driver, to become literals.
+* Scaler statistics are mergeable moments: one row of vectors per task, whatever
+  the number of columns. Only the parameter rows (one per feature) reach the
+  driver, to become literals.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.functions.columns import hash_order, sql_clean_double, sql_double, sql_ident, stack_expr
-from kindling.operators.catalog import names_frame
+from kindling.functions.columns import hash_order, sql_clean_double, sql_double, sql_ident
+from kindling.operators.moments import moments
 from kindling.session import cut_lineage
 
 TRAIN, VALID = "train", "valid"
@@ -168,14 +168,12 @@ def fit_scaler(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean and population standard deviation per feature (P9); std 0 becomes 1.
 
     Null and NaN values are skipped. Returns one row ``(feature, mean, std)`` per feature, with a null mean and std 1
-    for a feature without values. The columns are stacked to rows and aggregated map-side per feature.
+    for a feature without values. One pass over the table whatever its width: a task reduces its rows to vectors as
+    long as the feature list (see ``moments``).
     """
-    features = list(features)
-    long = df.selectExpr(stack_expr(features, sql_clean_double))
-    stats = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    stats = names_frame(df.sparkSession, features).join(stats, "feature", "left")
-    return stats.select("feature", "mean",
-                        F.when((F.col("std") == 0) | F.col("std").isNull(), F.lit(1.0)).otherwise(F.col("std")).alias("std"))
+    std = F.when(F.col("n") > 0, F.sqrt(F.col("m2") / F.col("n")))
+    return moments(df, list(dict.fromkeys(features))).select(
+        "feature", "mean", F.when((std == 0) | std.isNull(), F.lit(1.0)).otherwise(std).alias("std"))
 
 
 def collect_params(params: DataFrame, max_rows: int = 100_000) -> dict[str, tuple[float, float]]:

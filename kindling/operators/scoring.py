@@ -231,6 +231,12 @@ def conv_features(df: DataFrame, features: str, kernels: Sequence[Sequence[float
 
 # --- N6 --------------------------------------------------------------------------------------------
 
+def _or_zero(x) -> F.Column:
+    """The value as double; null and NaN count as 0, as in the fits."""
+    x = x.cast("double")
+    return F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Bins:
     """Equal-width bins ``[lo + b·width, lo + (b+1)·width)``; values outside go to the end bins."""
@@ -240,19 +246,18 @@ class Bins:
     n: int
 
     def index(self, x) -> F.Column:
-        b = F.floor((x.cast("double") - F.lit(float(self.lo))) / F.lit(float(self.width)))
+        b = F.floor((_or_zero(x) - F.lit(float(self.lo))) / F.lit(float(self.width)))
         return F.least(F.greatest(b, F.lit(0)), F.lit(self.n - 1)).cast("int")
 
 
 @dataclass(frozen=True)
 class Edges:
-    """Bins between ascending inner edges ``e``: bin k holds ``e[k-1] <= x < e[k]`` (what a quantile fit gives). A null
-    or NaN value counts as 0, as in the fits."""
+    """Bins between ascending inner edges ``e``: bin k holds ``e[k-1] <= x < e[k]`` (what a quantile fit gives)."""
 
     inner: tuple
 
     def index(self, x) -> F.Column:
-        v = F.coalesce(F.when(~F.isnan(x.cast("double")), x.cast("double")), F.lit(0.0))
+        v = _or_zero(x)
         return sum((F.when(v >= e, 1).otherwise(0) for e in self.inner), F.lit(0)).cast("int")
 
 
@@ -261,7 +266,7 @@ def additive_scores(df: DataFrame, bins: dict[str, Bins | Edges], shapes: dict[s
     """Generalised additive score ``b + Σ_f g_f(x_f)`` with tabulated shape functions.
 
     Each feature's value picks its bin's weight from a literal array: a narrow
-    projection. A null feature value contributes 0."""
+    projection. A null or NaN feature value counts as 0, whatever the kind of bins."""
     total = F.lit(float(bias))
     for f, b in bins.items():
         w = A.lit_array(shapes[f])

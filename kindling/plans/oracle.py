@@ -599,3 +599,42 @@ SELECT model, """ + ", ".join(f"printf('%.4f', {c}) AS {c}" for c in ("accuracy"
 SQL["csv_sink"] = SQL["model_comparison"]
 
 SQL["report_sink"] = "SELECT r.*, run_id FROM (" + SQL["metric_bars"] + ") r, (VALUES ('a'), ('b')) t(run_id)"
+
+
+# --- the same results by other operators ---------------------------------------------------------------
+SQL["wide_profile"] = SQL["group_profile"]
+SQL["interpolated_long"] = SQL["interpolated"]
+SQL["lag_features_long"] = SQL["lag_features"]
+
+SQL["permutation_importance"] = """WITH o AS (
+  SELECT o_orderkey AS key, CAST(o_orderstatus = 'F' AS INTEGER) AS label, o_totalprice,
+         CAST(substring(o_orderpriority, 1, 1) AS DOUBLE) AS priority FROM orders),
+takers AS (SELECT *, row_number() OVER (ORDER BY md5('take:42:' || key), key) AS place FROM o),
+givers AS (SELECT o_totalprice AS given_price, priority AS given_priority,
+                  row_number() OVER (ORDER BY md5('give:42:' || key), key) AS place FROM o),
+j AS (SELECT * FROM takers JOIN givers USING (place)),
+variants AS (
+  SELECT key, label, '-1' AS model, o_totalprice AS t, priority AS r FROM j
+  UNION ALL SELECT key, label, '0', given_price, priority FROM j
+  UNION ALL SELECT key, label, '1', o_totalprice, given_priority FROM j
+  UNION ALL SELECT key, label, '2', o_totalprice, priority FROM j),
+scored AS (SELECT key, model, label,
+                  round(1.0 / (1.0 + exp(-((t - 150000.0) / 100000.0 + (r - 3.0) * 0.2))), 4) AS score FROM variants)
+""" + COUNTS + """
+SELECT feature, round(w.auc, 6) AS auc, round(a.auc, 6) AS auc_permuted, round(w.auc - a.auc, 6) AS importance
+FROM (VALUES ('0', 'o_totalprice'), ('1', 'priority'), ('2', 'month')) f(model, feature)
+JOIN aucs a USING (model), (SELECT auc FROM aucs WHERE model = '-1') w"""
+
+SQL["source_asof"] = """WITH b AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
+c AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY ALL),
+e AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'error' GROUP BY ALL),
+m AS (SELECT b.event_id, b.user_id, c.ts + INTERVAL 1 DAY >= b.ts AS c_fresh, c.ts AS c_ts, c.value AS c_value,
+             e.ts + INTERVAL 1 DAY >= b.ts AS e_fresh, e.ts AS e_ts, e.value AS e_value
+      FROM b ASOF LEFT JOIN c ON b.user_id = c.user_id AND b.ts >= c.ts
+             ASOF LEFT JOIN e ON b.user_id = e.user_id AND b.ts >= e.ts)
+SELECT event_id, user_id,
+       CASE WHEN c_fresh THEN CAST(date_diff('day', DATE '2024-01-01', CAST(c_ts AS DATE)) AS INTEGER) END AS click_day,
+       CASE WHEN c_fresh THEN round(c_value, 6) END AS click_value,
+       CASE WHEN e_fresh THEN CAST(date_diff('day', DATE '2024-01-01', CAST(e_ts AS DATE)) AS INTEGER) END AS error_day,
+       CASE WHEN e_fresh THEN round(e_value, 6) END AS error_value
+FROM m"""

@@ -6,6 +6,7 @@ values exactly; counts are bigint. The SQL twins live in ``oracle.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,15 @@ from kindling.functions.columns import sigmoid
 from kindling.functions import arrays as AR
 from kindling.operators import catalog as C
 from kindling.operators import derive as DV
+from kindling.operators import epochs as EP
 from kindling.operators import fit as FT
 from kindling.operators import history as H
+from kindling.operators import importance as I
 from kindling.operators import scoring as S
 from kindling.operators import evaluate as E
 from kindling.operators import prepare as P
 from kindling.plans import tables as T
-from kindling.session import cut_lineage
+from kindling.session import cut_lineage, scratch_root
 from kindling.sources.io import write_csv, write_report
 
 R = 6  # rounding digits for computed doubles
@@ -537,3 +540,101 @@ QUERIES.update({
     "fit_frozen_head": _fit_one("frozen_head"),
     "fit_all": q_fit_all,
 })
+
+
+# --- epoch-wise fit, importance, moments of wide tables, long places, as-of merge ---------------------
+
+def _epoch_fit(spark, sf):
+    """A small network fitted epoch by epoch on the prepared events; its folder holds history and models."""
+    folder = f"{scratch_root(spark)}/epochs-{uuid.uuid4().hex}"
+    prepared = _events_prepared(spark, sf)
+    fitted = EP.fit_epochs(prepared, EVENT_FEATURES, folder, run="mlp", hidden=(16, 8), n_epochs=5, patience=3, iterations=10)
+    return prepared, fitted, folder
+
+
+def q_fit_epochs(spark, sf):
+    """Training curves (E17) of the history that the fit wrote."""
+    _, _, folder = _epoch_fit(spark, sf)
+    return _round(H.training_curves(EP.history_table(spark, folder)), ["value"])
+
+
+def q_fit_epochs_final(spark, sf):
+    """The best epoch's model on the valid part, at the threshold carried last."""
+    prepared, fitted, _ = _epoch_fit(spark, sf)
+    out = EP.final_evaluation(fitted, prepared.where(F.col("part") == P.VALID), "mlp")
+    return _round(out, EVAL_DOUBLES).withColumn("best_epoch", F.lit(fitted.epoch))
+
+
+IMPORTANCE_FEATURES = ("o_totalprice", "priority", "month")
+
+
+def _order_score(df):
+    """A fixed model of the orders that does not use the month."""
+    z = (F.col("o_totalprice") - 150000.0) / 100000.0 + (F.col("priority") - 3.0) * 0.2
+    return df.withColumn("score", F.round(sigmoid(z), 4))
+
+
+def q_permutation_importance(spark, sf):
+    out = I.permutation_importance(T.orders_labelled(spark, sf), _order_score, IMPORTANCE_FEATURES, "o_orderkey")
+    return _round(out, ["auc", "auc_permuted", "importance"])
+
+
+def q_fit_importance(spark, sf):
+    """Importance of the features of a fitted logistic model, on the valid part."""
+    prepared = _events_prepared(spark, sf)
+    model = FT.fit_logistic(prepared.where(F.col("part") == P.TRAIN), EVENT_FEATURES)
+
+    def score(df):
+        return model.transform(df).withColumn("score", FT.vector_to_array("probability")[1])
+
+    valid = prepared.where(F.col("part") == P.VALID)
+    return _round(I.permutation_importance(valid, score, EVENT_FEATURES, "event_id"), ["auc", "auc_permuted", "importance"])
+
+
+def q_wide_profile(spark, sf):
+    li = T.lineitem_labelled(spark, sf)
+    _, cat = _lineitem_long(spark, sf)
+    return _round(C.group_profile_wide(li, T.LINEITEM_FEATURES, cat), ["mean", "std", "min", "max"])
+
+
+def _long_filled(spark, sf):
+    grid = DV.daily_grid(T.events_daily(spark, sf), "user_id", "day", ["value", "n_events"])
+    filled = DV.interpolate_linear(grid, "user_id", "day", "value", out="value_filled", long_places=True)
+    return filled.select("user_id", "day", "value", "value_filled", F.coalesce("n_events", F.lit(0)).cast("bigint").alias("n_events"))
+
+
+def q_interpolated_long(spark, sf):
+    """D2 with known values carried across ranges of (place, day)."""
+    return _round(_long_filled(spark, sf), ["value", "value_filled"])
+
+
+def q_lag_features_long(spark, sf):
+    """D3 with the last rows of a range carried to the next."""
+    d = _long_filled(spark, sf).select("user_id", "day", F.col("value_filled").alias("value"), "n_events")
+    d = DV.lag_features(d, "user_id", "day", ["value", "n_events"], LAG_DAYS, long_places=True)
+    cols = ["value"] + [f"value_lag_{k}" for k in LAG_DAYS] + ["n_events", "n_events_lag_1"]
+    return _round(d.select("user_id", "day", *cols), [c for c in cols if c.startswith("value")])
+
+
+def q_source_asof(spark, sf):
+    """Each purchase with the user's latest click and error of the day before it."""
+    ev = T.table(spark, sf, "events")
+    kind = lambda k: ev.where(F.col("event_type") == k).select("user_id", "ts", "value")
+    base = ev.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    out = DV.merge_asof(base, ("click", kind("click"), ["value"]), ("error", kind("error"), ["value"]), place="user_id", time="ts",
+                        max_age="1 day")
+    day = lambda c: F.date_diff(F.col(c).cast("date"), F.lit(T.EVENTS_DAY0)).cast("int").alias(c.replace("_ts", "_day"))
+    return out.select("event_id", "user_id", day("click_ts"), F.round("click_value", R).alias("click_value"), day("error_ts"),
+                      F.round("error_value", R).alias("error_value"))
+
+
+QUERIES.update({
+    "fit_epochs": q_fit_epochs,
+    "fit_epochs_final": q_fit_epochs_final,
+    "permutation_importance": q_permutation_importance,
+    "fit_importance": q_fit_importance,
+    "wide_profile": q_wide_profile,
+    "interpolated_long": q_interpolated_long,
+    "lag_features_long": q_lag_features_long,
+    "source_asof": q_source_asof,
+})
