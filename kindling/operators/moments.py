@@ -3,7 +3,8 @@
 A task turns each Arrow batch into a (rows, columns) matrix and reduces it to a few vectors as long as the feature
 list; the vectors of batches, tasks and groups of tasks are merged pairwise, which is exact algebra and stays accurate
 where sums of squares do not. The table is read once, nothing is stacked into rows × features, and a task sends one
-row. Partial rows are merged in two steps, so the last task sees one row per partition of the first step, not per task.
+row. The rows of a table of more than ``LARGE`` bytes (by the plan's estimate) are merged in two steps, so the last task
+sees one row per partition of the first step, not per task.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,7 @@ from kindling.functions.columns import sql_ident
 #: known too: rows, both means, both squared deviations and the co-moment
 PARTS = ("rows", "n", "mean", "m2", "min", "max", "n_xy", "mean_x", "mean_y", "m2_x", "m2_y", "c_xy")
 _SCHEMA = "a array<double>"
+LARGE = 1 << 40  # about 8,000 tasks
 
 
 def _of_batch(x: np.ndarray, y: np.ndarray | None) -> np.ndarray:
@@ -72,16 +73,14 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _reduce(width: int, label: bool):
+def _reduce(width: int):
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = [pc.fill_null(c, float("nan")).to_numpy(zero_copy_only=False) for c in batch.columns]
-            y = columns.pop() if label else None
-            x = np.column_stack(columns) if columns else np.zeros((batch.num_rows, 0))
-            part = _of_batch(x, y)
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            part = _of_batch(x[:, :width], x[:, width] if x.shape[1] > width else None)
             total = part if total is None else merge(total, part)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["a"])
@@ -111,17 +110,23 @@ def moments(df: DataFrame, features: Sequence[str], label: str | None = None) ->
     spark, width = df.sparkSession, len(features)
     if width == 0:
         raise ValueError("no features")
-    exprs = [f"CAST({sql_ident(c)} AS DOUBLE) AS {sql_ident(f'f{i}')}" for i, c in enumerate(features)]
-    narrow = df.selectExpr(*exprs, *([f"CAST({sql_ident(label)} AS DOUBLE) AS `label`"] if label else []))
-    parts = narrow.mapInArrow(_reduce(width, bool(label)), _SCHEMA)
-    # a row per task; large numbers of them are merged in parallel first (AQE makes partitions of a bounded size)
-    parts = parts.repartition(F.xxhash64("a")).mapInArrow(_merge_rows(width), _SCHEMA)
+    # one list column without nulls: its buffer is the matrix
+    values = ", ".join(f"coalesce(CAST({sql_ident(c)} AS DOUBLE), double('NaN'))" for c in [*features, *([label] if label else [])])
+    parts = df.selectExpr(f"array({values}) AS v").mapInArrow(_reduce(width), _SCHEMA)
+    # a row per task; those of a large table are merged in parallel first (AQE makes partitions of a bounded size)
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > LARGE:
+        parts = parts.repartition(F.xxhash64("a")).mapInArrow(_merge_rows(width), _SCHEMA)
     parts = parts.repartition(1).mapInArrow(_merge_rows(width), _SCHEMA)
     value = lambda k: F.get("a", F.lit(k * width) + F.col("place")).alias(PARTS[k])
     found = parts.select("a", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("place"))
     found = found.select("place", *[value(k) for k in range(len(PARTS))])
-    names = spark.createDataFrame([(i, f) for i, f in enumerate(features)], "place int, feature string")
-    out = names.join(F.broadcast(found), "place", "left")  # a row per feature
+    places = spark.range(0, width, 1, 1).select(F.col("id").cast("int").alias("place"))
+    names = places.select("place", F.get(F.array(*[F.lit(f) for f in features]), F.col("place")).alias("feature"))
+    return _filled(names.join(F.broadcast(found), "place", "left"))  # a row per feature
+
+
+def _filled(out: DataFrame) -> DataFrame:
+    """Counts as whole numbers, and the rule for features without values."""
     known, none = F.col("n") > 0, F.lit(None).cast("double")
     out = out.withColumns({p: F.coalesce(F.col(p), F.lit(0.0)).cast("long") for p in ("rows", "n", "n_xy")})
     return out.withColumns({p: F.when(known, F.col(p)).otherwise(none) for p in ("mean", "min", "max")}).withColumns(

@@ -8,8 +8,8 @@ Scale notes
   md5 order key; a histogram over the first hex digits of that key (a bounded
   table: parts × 2 labels × 16**digits rows) shows, per (part, label), the bucket
   where the running count reaches k. Only rows of that crossing bucket are ranked,
-  to find the k-th smallest (key hash, key) of the class; the sample is then one
-  narrow filter against that cutoff. The result is exactly the k smallest keys,
+  to find the k-th smallest (key hash, key) of the class, with repeated keys counted
+  first; the sample is then one narrow filter against that cutoff. The result is exactly the k smallest keys,
   the same rows a global ``row_number`` would keep. Three scans of the source
   (histogram, crossing bucket, selection), no union, no full-class window.
 * Scaler statistics are mergeable moments: one row of vectors per task, whatever
@@ -102,7 +102,9 @@ def balanced_sample(df: DataFrame, key: str, label: str, part_col: str = "part",
                     seed: int = 42, digits: int = 4) -> DataFrame:
     """Exactly k rows of label 0 and k of label 1 per part, chosen by the md5 order of ``seed:key``.
 
-    Rows with other labels, or with a null key, are left out. ``digits`` hex digits of the order key
+    The histogram and the cutoff are computed when this is called; the sample itself is a lazy filter. Keys may repeat:
+    of a key at the cutoff as many rows are taken as are wanted, by a hash of the whole row (its columns must be
+    comparable). Rows with other labels, or with a null key, are left out. ``digits`` hex digits of the order key
     form the histogram buckets (16**digits per class); it only changes how much
     work the crossing bucket's ranking gets, never the result.
     """
@@ -137,20 +139,30 @@ def balanced_sample(df: DataFrame, key: str, label: str, part_col: str = "part",
                         (F.col("_x.k") - (F.col("_x._cum") - F.col("_x._cnt"))).alias("_need")))
     # k >= 1 whenever both classes exist, so every (part, label) crosses somewhere.
     # The k-th smallest (hash, key) of a class lies in its crossing bucket at rank
-    # _need; only that bucket's rows are ranked (at most parts × 2 small windows).
-    edge = rows.join(F.broadcast(crossing), [part_col, label]).filter(F.col("_b") == F.col("_bx"))
-    ranked = Window.partitionBy(part_col, label).orderBy("_h", key)
-    # a key that repeats across the cutoff has no k-th row
-    same = F.coalesce(F.lead(key).over(ranked) == F.col(key), F.lit(False))
-    cutoff = (edge.withColumn("_rn", F.row_number().over(ranked)).withColumn("_again", same)
-              .filter(F.col("_rn") == F.col("_need"))
-              .select(part_col, label, F.when(F.col("_again"), F.raise_error(F.concat(
-                  F.lit("balanced sample: the key repeats at the cutoff: "), F.col(key).cast("string"))))
-                  .otherwise(F.col("_h")).alias("_hc"), F.col(key).alias("_kc")))
-    # Every kept row is at or below the cutoff in (hash, key) order: one narrow filter.
+    # _need; only that bucket's keys are ranked (at most parts × 2 small windows), each
+    # with its number of rows, so that a key of many rows is one row here.
+    edge = (rows.join(F.broadcast(crossing), [part_col, label]).filter(F.col("_b") == F.col("_bx"))
+            .groupBy(part_col, label, "_h", F.col(key).alias("_kc"), "_need").agg(F.count(F.lit(1)).alias("_same")))
+    ranked = Window.partitionBy(part_col, label).orderBy("_h", "_kc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum("_same").over(ranked)
+    cutoff = (edge.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_same") < F.col("_need")))
+              .select(part_col, label, F.col("_h").alias("_hc"), "_kc", "_same", (F.col("_need") - F.col("_upto") + F.col("_same")).alias("_take")))
+    cutoff = cut_lineage(cutoff)  # at most parts × 2 rows
+    split = (F.col("_h") == F.col("_hc")) & (F.col(key) == F.col("_kc"))
+    near = rows.join(F.broadcast(cutoff), [part_col, label])
+    # Every kept row is at or below the cutoff in (hash, key) order: one narrow filter, without the keys of which only
+    # some rows are taken.
     keep = (F.col("_h") < F.col("_hc")) | ((F.col("_h") == F.col("_hc")) & (F.col(key) <= F.col("_kc")))
-    return (rows.join(F.broadcast(cutoff), [part_col, label])  # at most parts × 2 rows
-            .filter(keep).drop("_h", "_b", "_hc", "_kc"))
+    kept = near.filter(keep & ~(split & (F.col("_take") < F.col("_same")))).select(df.columns)
+    if cutoff.where("_take < _same").isEmpty():
+        return kept
+    # Equal rows are counted, not ranked one by one; the first _take of the key's rows in the order of a row hash.
+    some = near.filter(split & (F.col("_take") < F.col("_same"))).groupBy(*df.columns, "_take").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(part_col, label).orderBy(F.xxhash64(*df.columns), *df.columns).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_take") - F.coalesce(F.sum("_n").over(order), F.lit(0))
+    some = some.withColumn("_n", F.least(F.col("_n"), left)).filter(F.col("_n") > 0)
+    some = some.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return kept.unionByName(some.select(df.columns))
 
 
 def with_shuffle_key(df: DataFrame, key: str, seed: int = 42, out_col: str = "shuffle_key") -> DataFrame:
@@ -160,8 +172,15 @@ def with_shuffle_key(df: DataFrame, key: str, seed: int = 42, out_col: str = "sh
 
 
 def shuffle_order(df: DataFrame, key: str, seed: int = 42, out_col: str = "shuffle_key") -> DataFrame:
-    """Repeatable shuffle (P6), sorted by a distributed range sort; use it at the sink."""
-    return with_shuffle_key(df, key, seed, out_col).orderBy(out_col, key)
+    """Repeatable shuffle (P6): rows in the order of the shuffle key, then of ``key``; use it at the sink.
+
+    An md5 is uniform, so equal ranges of its first digits hold about the same number of rows: each row names its
+    partition, no sampling pass finds bounds, and ``df`` is read once. Partitions follow each other in order and are
+    sorted in themselves. Rows of one key share a partition."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.conv(F.substring(out_col, 1, 8), 16, 10).cast("long")
+    part = F.floor(F.coalesce(first, F.lit(0)) * n / F.lit(1 << 32)).cast("int")  # a null key comes first
+    return with_shuffle_key(df, key, seed, out_col).repartitionById(n, part).sortWithinPartitions(out_col, key)
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.operators.fit import FrozenHeadModel
 from kindling.operators.scoring import DenseNet, FrozenBlock
 
+TILE_BYTES = 4 << 20  # weights of one row of a saved model
+
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet scan (S1). A missing path fails with Spark's PATH_NOT_FOUND error; no data is invented.
@@ -34,7 +38,7 @@ def write_report(df: DataFrame, path: str, run_id: str | None = None) -> None:
 
 def save_model(model, path: str) -> None:
     """Persist a fitted model (S5): Spark ML models and pipelines as Spark writes them; a ``FrozenHeadModel`` or
-    ``DenseNet`` as a table of its weights ``(part, i, j, w)`` with a small description, and the fitted head."""
+    ``DenseNet`` as tiles of its weights ``(part, start, block)`` with a small description, and the fitted head."""
     if isinstance(model, DenseNet):
         parts = {f"{k}.{n}": a for k, (w, b, _) in enumerate(model.layers) for n, a in (("w", w), ("b", b))}
         _save_weights(parts, {"kind": "DenseNet", "acts": [a for _, _, a in model.layers]}, path)
@@ -47,22 +51,46 @@ def save_model(model, path: str) -> None:
         model.write().overwrite().save(path)
 
 
+def _tiles(parts: dict, tile_bytes: int = TILE_BYTES):
+    """(part, start, block) of each run of at most ``tile_bytes`` of a part's weights in row order."""
+    for name, a in parts.items():
+        flat = np.ascontiguousarray(a, dtype="<f8").reshape(-1)
+        step = max(1, tile_bytes // 8)
+        for start in range(0, max(flat.size, 1), step):
+            yield name, start, flat[start:start + step].tobytes()
+
+
 def _save_weights(parts: dict, about: dict, path: str) -> None:
+    """One binary row per tile of weights, in a folder of its own; the description, written last, names the folder that
+    counts. A save that is ended in between leaves the model that was there."""
     spark = SparkSession.getActiveSession()
-    rows = [(n, int(i), int(j), float(w)) for n, a in parts.items()
-            for (i, j), w in np.ndenumerate(np.asarray(a, dtype=float).reshape(-1, np.shape(a)[-1]))]
-    about = about | {"shapes": {n: list(np.shape(a)) for n, a in parts.items()}}
-    spark.createDataFrame(rows, "part string, i int, j int, w double").write.mode("overwrite").parquet(f"{path}/weights")
-    spark.createDataFrame([(json.dumps(about),)], "value string").write.mode("overwrite").text(f"{path}/about")
+    folder = f"weights-{uuid.uuid4().hex}"
+    old = _about(spark, path)
+    names, starts, blocks = zip(*_tiles(parts))
+    tiles = pa.table({"part": pa.array(names), "start": pa.array(starts, pa.int64()), "block": pa.array(blocks, pa.binary())})
+    spark.createDataFrame(tiles).write.parquet(f"{path}/{folder}")
+    about = about | {"shapes": {n: list(np.shape(a)) for n, a in parts.items()}, "weights": folder}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+    if old and old.get("weights"):
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old['weights']}")
+        fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs_path, True)
+
+
+def _about(spark: SparkSession, path: str) -> dict | None:
+    """The description of the model saved at ``path``; None if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/about")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return json.loads(spark.read.text(f"{path}/about").first().value)
 
 
 def _load_weights(spark: SparkSession, path: str) -> tuple[dict, dict]:
-    about = json.loads(spark.read.text(f"{path}/about").first().value)
-    parts = {n: np.zeros(shape) for n, shape in about["shapes"].items()}
-    for r in spark.read.parquet(f"{path}/weights").collect():  # one model's weights
-        a = parts[r.part]
-        a[(r.i, r.j) if a.ndim == 2 else r.j] = r.w
-    return about, parts
+    about = _about(spark, path)
+    parts = {n: np.zeros(int(np.prod(shape, dtype=np.int64)), "<f8") for n, shape in about["shapes"].items()}
+    for r in spark.read.parquet(f"{path}/{about['weights']}").toLocalIterator():  # a tile at a time
+        block = np.frombuffer(r.block, "<f8")
+        parts[r.part][r.start:r.start + len(block)] = block
+    return about, {n: a.reshape(about["shapes"][n]) for n, a in parts.items()}
 
 
 def load_model(path: str):
@@ -71,9 +99,7 @@ def load_model(path: str):
     from pyspark.ml.util import DefaultParamsReader
 
     spark = SparkSession.getActiveSession()
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(fs_path, "weights")):
+    if _about(spark, path):
         about, parts = _load_weights(spark, path)
         if about["kind"] == "DenseNet":
             return DenseNet([(parts[f"{k}.w"], parts[f"{k}.b"], act) for k, act in enumerate(about["acts"])])

@@ -13,6 +13,7 @@ from kindling.operators import catalog as C
 from kindling.operators import evaluate as E
 from kindling.operators import fit as FT
 from kindling.operators import history as H
+from kindling.operators import moments as M
 from kindling.operators.epochs import evaluate_parts, final_evaluation, fit_epochs, history_table, with_vector
 from kindling.operators.importance import permutation_importance
 from kindling.operators.moments import moments
@@ -158,7 +159,7 @@ def test_permutation_importance_equals_numpy(spark):
     assert [(r.feature, r.importance) for r in one] == [(f, None) for f in FEATURES]
 
 
-def test_moments_equal_numpy(spark):
+def test_moments_equal_numpy(spark, monkeypatch):
     rng = np.random.default_rng(4)
     n, names = 400, [f"x`{i}" for i in range(6)]
     x = rng.normal(1e6, 1, size=(n, 6))
@@ -185,6 +186,8 @@ def test_moments_equal_numpy(spark):
         assert std[names[3]] == std[names[4]] == 1.0
     zero = moments(df.limit(0), names, "y").collect()
     assert [r.n for r in zero] == [0] * 6 and {r.mean for r in zero} == {None}
+    monkeypatch.setattr(M, "LARGE", -1)  # partial rows merged in two steps
+    assert [r.n for r in moments(df.repartition(9), names, "y").collect()] == [got[f].n for f in names]
     plan = moments(df, names, "y")._jdf.queryExecution().optimizedPlan().toString()
     assert "stack" not in plan and "Expand" not in plan
 
@@ -236,3 +239,25 @@ def test_a_missing_value_is_zero_for_every_kind_of_bins(spark):
     for b in (bins, edges):
         got = [r.additive_score for r in additive_scores(df, {"x": b}, {"x": [1.0, 2.0]}).collect()]
         assert got == [2.0, 2.0, 2.0, 2.0]
+
+
+def test_weights_are_saved_as_blocks(spark, tmp_path, monkeypatch):
+    import time
+
+    from kindling.operators.scoring import DenseNet
+    from kindling.sources import io
+
+    rng = np.random.default_rng(0)
+    path = str(tmp_path / "net")
+    start = time.time()
+    net = DenseNet([(rng.normal(size=(4000, 1000)), rng.normal(size=1000), "relu"), (rng.normal(size=(1000, 1)), np.zeros(1), "sigmoid")])
+    io.save_model(net, path)
+    back = io.load_model(path)
+    assert time.time() - start < 60  # four million weights, none of them a Python object
+    for (w, b, act), (w2, b2, act2) in zip(net.layers, back.layers):
+        assert act == act2 and np.array_equal(w, w2) and np.array_equal(b, b2)
+    monkeypatch.setattr(io, "TILE_BYTES", 24)
+    small = DenseNet([(rng.normal(size=(5, 2)), rng.normal(size=2), "tanh")])
+    io.save_model(small, path)  # replaces the model; the old tiles are gone
+    assert np.array_equal(io.load_model(path).layers[0][0], small.layers[0][0])
+    assert sum(p.name.startswith("weights-") for p in (tmp_path / "net").iterdir()) == 1

@@ -99,11 +99,22 @@ def test_scaler_dotted_names_nulls_and_empty_input(spark):
     assert {r.feature for r in P.fit_scaler(df.limit(0), ["a.b", "n"]).collect()} == {"a.b", "n"}
 
 
-def test_balanced_sample_refuses_a_key_that_repeats_at_the_cutoff(spark):
-    rows = [(7, 0, "train")] * 6 + [(1, 1, "train"), (2, 1, "train")]
-    df = spark.createDataFrame(rows, "k long, label int, part string")
-    with pytest.raises(Exception, match="repeats at the cutoff"):
-        P.balanced_sample(df, "k", "label").collect()
+def test_balanced_sample_takes_some_rows_of_a_key_that_repeats(spark):
+    rows = [("a", "p", 1, 0.0)] * 6 + [("a", "p", 1, float(i)) for i in range(4)] + [(f"z{i}", "p", 0, 0.0) for i in range(7)]
+    df = spark.createDataFrame(rows, "key string, part string, label int, x double").repartition(3)
+    for cap, k in ((None, 7), (3, 3), (1, 1)):
+        out = P.balanced_sample(df, "key", "label", cap=cap)
+        got = sorted(map(tuple, out.collect()))
+        assert [sum(r[2] == y for r in got) for y in (0, 1)] == [k, k] and out.columns == df.columns
+        again = P.balanced_sample(df.repartition(5), "key", "label", cap=cap).collect()
+        assert got == sorted(map(tuple, again))  # whatever the layout
+        assert all(got.count(r) <= rows.count(r) for r in got)
+    many = [("hot", "p", i % 2, float(i % 5)) for i in range(400)] + [(f"k{i}", "p", i % 2, 0.0) for i in range(50)]
+    df = spark.createDataFrame(many, "key string, part string, label int, x double")
+    for cap in (1, 20, 100, 224, None):
+        got = [r.label for r in P.balanced_sample(df, "key", "label", cap=cap, digits=1).collect()]
+        assert (got.count(0), got.count(1)) == (min(cap or 225, 225),) * 2
+
 
 
 def test_prepare_balanced_and_scaled(spark):
