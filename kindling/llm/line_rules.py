@@ -89,12 +89,17 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .select("host", "line"))
     gone = (lines.select("key", "host", "line", F.struct("at", "n").alias("place")).join(frequent, ["host", "line"])
             .groupBy("key").agg(F.collect_set("place").alias("places")))  # equal rows give equal places
-    gone = gone.select("key", F.transform("places", lambda x: x.at).alias("removed"),
+    gone = gone.select("key", F.sort_array(F.transform("places", lambda x: x.at)).alias("removed"),
                        F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x.n).alias("gone"))
     base = base_counts(d, "text", width).join(gone, "key", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    kept_lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"),
-                          lambda _, i: ~F.coalesce(F.array_contains("removed", i), F.lit(False)))
+    # the lines between two removed ones are one slice: linear in the lines, however many are removed
+    base = base.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n")).withColumn(
+        "removed", F.coalesce("removed", F.array().cast("array<int>")))
+    first = lambda k: F.coalesce(F.get("removed", k - 1) + 2, F.lit(1))
+    last = lambda k: F.coalesce(F.get("removed", k), F.size("lines"))
+    kept_lines = F.flatten(F.transform(F.sequence(F.lit(0), F.size("removed")),
+                                       lambda k: F.slice("lines", first(k), last(k) - first(k) + 1)))
     return base.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), F.col("gone").alias("n_line_words"), F.array_join(kept_lines, "\n").alias("kept_text"),

@@ -157,3 +157,83 @@ def test_native_queries_run_no_python(spark):
     for name in ("op2_chat_format", "op4_quality_rules", "op7_url_filter", "op9_decontamination"):
         plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|InArrow", plan), name
+
+
+def test_many_shared_lines_take_linear_time(spark):
+    import time
+
+    def run(n):
+        lines = [f"line {i} of all" if i % 3 else f"own {i}" for i in range(n)]
+        rows = [(k, "\n".join(x if x.startswith("line") else f"{x} {k}" for x in lines), "h") for k in range(6)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        start = time.time()
+        out = {r.doc_id: r for r in line_rules(df).collect()}
+        for k, text, _ in rows:
+            kept = [x for x in text.split("\n") if x.startswith("own")]
+            assert out[k].kept_text == "\n".join(kept) and out[k].n_line_words == 4 * (n - len(kept))
+        return time.time() - start
+
+    run(1000)
+    assert run(100_000) < 60
+
+
+def brute_reputation(outcomes, hosts, z=1.645):
+    """Means and upper bounds level by level, in plain Python."""
+    def parts(h):
+        labels = h.split(".")
+        long = ".".join(labels[-2:]) in ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+        return ".".join(labels[-1 - long:]), ".".join(labels[-2 - long:])
+
+    def shrink(units, priors):
+        seen = {u: (n, g) for u, (n, g) in units.items() if n}
+        s = sum(n * (g / n - priors[u]) ** 2 for u, (n, g) in seen.items())
+        w = sum(priors[u] * (1 - priors[u]) for u in seen)
+        v = sum(n * priors[u] * (1 - priors[u]) for u, (n, g) in seen.items())
+        k = 1000.0 if not seen or v <= w or s <= w else min(1000.0, max(2.0, (v - w) / (s - w) - 1))
+        return k, {u: (k * priors[u] + g) / (k + n) for u, (n, g) in units.items()}
+
+    def add(key):
+        out = {}
+        for h in hosts:
+            n, g = out.get(key(h), (0, 0))
+            out[key(h)] = (n + outcomes.get(h, (0, 0))[0], g + outcomes.get(h, (0, 0))[1])
+        return out
+
+    n, good = (sum(outcomes.get(h, (0, 0))[i] for h in hosts) for i in (0, 1))
+    suffixes = add(lambda h: parts(h)[0])
+    _, means = shrink(suffixes, {s: (good + 1) / (n + 2) for s in suffixes})
+    domains = add(lambda h: parts(h)[1])
+    of = {parts(h)[1]: parts(h)[0] for h in hosts}
+    _, means = shrink(domains, {d: means[of[d]] for d in domains})
+    k, final = shrink(add(lambda h: h), {h: means[parts(h)[1]] for h in hosts})
+    return {h: (m, m + z * (m * (1 - m) / (k + outcomes.get(h, (0, 0))[0] + 1)) ** 0.5) for h, m in final.items()}
+
+
+def test_reputation_equals_the_formulas(spark):
+    import random
+
+    import pytest
+
+    from kindling.llm.reputation import host_reputation
+
+    rng = random.Random(4)
+    hosts = [f"{a}.{b}" for b in ("x.com", "y.com", "z.net", "q.co.uk", "w.co.uk") for a in ("www", "a", "b")] + ["", "plain"]
+    for good in (0.5, 0.95, None):
+        outcomes = {} if good is None else {h: (n, sum(rng.random() < (0.1 if h == "a.x.com" else good) for _ in range(n)))
+                                            for h in hosts[::2] for n in [rng.randint(1, 60)]}
+        seen = spark.createDataFrame([(h, *v) for h, v in outcomes.items()], "host string, n long, good long")
+        pages = spark.createDataFrame([(h, 1) for h in hosts * 2], "host string, n int")
+        got = {r.host: (r.reputation, r.upper) for r in host_reputation(seen, pages).collect()}
+        expected = brute_reputation(outcomes, hosts)
+        assert got.keys() == expected.keys()
+        for h, (m, u) in expected.items():
+            assert got[h] == (pytest.approx(m, abs=1e-9), pytest.approx(u, abs=1e-9))
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    long_url = "http://a.com/en/" + "x" * 100_000
+    rows = [(1, "http://a.com/en/7"), (1, "http://a.com/en/7"), (2, long_url), (None, "http://b.com/"), (3, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit(2), "good": F.lit("x"), "n": F.lit(0)})
+    labels = spark.createDataFrame([(7, 1, "y"), (7, 0, "y"), (None, 1, "y")], "doc_id long, quality int, host string")
+    out = filter_urls(pages, labels, URL_RULES, good_col="quality", by=url_document(F.col("url")), by_col="doc_id").collect()
+    assert sorted(r.page_id or 0 for r in out) == [0, 1, 1, 2, 3] and {len(r.path) for r in out if r.page_id == 2} == {100_004}
