@@ -25,11 +25,13 @@ HEADLINE = [
     "prepared",
     # catalog and derived tables
     "feature_groups", "group_profile", "feature_rank", "lag_groups", "interpolated", "source_merge",
+    "wide_profile", "interpolated_long", "source_asof", "permutation_importance",
     # scoring
     "entropy_score", "dense_layer", "batch_norm", "layer_norm", "conv_features", "additive_score", "branch_concat",
     "frozen_features", "batch_score",
     # history and fitting
     "early_stop", "training_curves", "fit_logistic", "fit_mlp", "fit_additive", "fit_frozen_head", "evaluation_weighted",
+    "fit_all", "fit_epochs",
 ]
 
 

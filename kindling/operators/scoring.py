@@ -1,13 +1,12 @@
 """Table-scale scoring: the per-row computations of the networks as Spark jobs.
 
-Every form is narrow (no shuffle). Small models run as projections on an ``array``
-feature column (higher-order functions inside the JVM); wide dense or branch layers,
-many-filter convolutions, the frozen block and the network scorer run as one
-``mapInArrow`` pass that multiplies an (n, width) numpy matrix per Arrow batch.
-Weights are model parameters: they enter as literals or a broadcast numpy bundle
-whose size is the model's, checked against a bound. The long forms (``*_long``)
-express the same maths as joins and aggregates on a ``(key, i, x)`` table and serve
-as their cross-check.
+Every form is narrow (no shuffle). N1, N4 and N6 are projections over a few values per
+row; dense and branch layers, convolutions, the frozen block and the network scorer
+run as one ``mapInArrow`` pass that multiplies an (n, width) numpy matrix per Arrow
+batch, whatever the size of the model. Weights are model parameters: they are
+broadcast, and a model of more than ``MODEL_BYTES`` of weights is refused, since every
+executor holds a copy. The long forms (``*_long``) express the same maths as joins
+and aggregates on a ``(key, i, x)`` table; the tests use them as a cross-check.
 """
 
 from __future__ import annotations
@@ -24,6 +23,24 @@ from kindling.functions import arrays as A
 from kindling.functions.columns import activation, sql_ident
 
 BN_EPS = 1e-5
+MODEL_BYTES = 1 << 30  # of weights that are broadcast at most
+
+
+def _weight_bytes(model) -> int:
+    """Bytes of the numpy arrays inside tuples, lists and model objects."""
+    if isinstance(model, np.ndarray):
+        return model.nbytes
+    if isinstance(model, (list, tuple)):
+        return sum(map(_weight_bytes, model))
+    return sum(map(_weight_bytes, vars(model).values())) if hasattr(model, "__dict__") else 0
+
+
+def _share(df: DataFrame, model):
+    """Broadcast a model's weights once their size is checked."""
+    size = _weight_bytes(model)
+    if size > MODEL_BYTES:
+        raise ValueError(f"the model has {size} bytes of weights; at most MODEL_BYTES = {MODEL_BYTES} are broadcast")
+    return df.sparkSession.sparkContext.broadcast(model)
 
 
 # --- N1 --------------------------------------------------------------------------------------------
@@ -102,7 +119,7 @@ def dense_layer(df: DataFrame, features: str, weights: Sequence[Sequence[float]]
     w = np.asarray(weights, dtype=np.float64)
     b = np.zeros(w.shape[1]) if bias is None else np.asarray(bias, dtype=np.float64)
     _np_act(np.zeros(1), act)  # an unknown activation fails here, not in a task
-    bc = df.sparkSession.sparkContext.broadcast((w, b, act))
+    bc = _share(df, (w, b, act))
 
     def fn(x):
         wm, bv, a = bc.value
@@ -205,7 +222,7 @@ def conv_features(df: DataFrame, features: str, kernels: Sequence[Sequence[float
     null."""
     k = np.asarray(kernels, dtype=np.float64)
     _np_act(np.zeros(1), act)
-    bc = df.sparkSession.sparkContext.broadcast((k, act))
+    bc = _share(df, (k, act))
 
     def fn(col):
         import pyarrow as pa
@@ -298,7 +315,7 @@ def branch_concat(df: DataFrame, features: str, branch_weights: Sequence[Sequenc
     bs = [np.asarray(b, dtype=np.float64) for b in branch_bias]
     r = np.asarray(residual_weights, dtype=np.float64)
     _np_act(np.zeros(1), act)
-    bc = df.sparkSession.sparkContext.broadcast((ws, bs, r, act))
+    bc = _share(df, (ws, bs, r, act))
 
     def fn(x):
         wl, bl, rm, a = bc.value
@@ -385,7 +402,7 @@ class FrozenBlock:
 def with_frozen_features(df: DataFrame, features: str, block: FrozenBlock, out: str = "frozen") -> DataFrame:
     """``df`` with the features of a frozen block (N7): one Arrow-batched pass, weights broadcast once, no join.
     float32 in, float32 out as the block's features; the maths runs in float64."""
-    bc = df.sparkSession.sparkContext.broadcast(block)
+    bc = _share(df, block)
 
     def fn(x):
         return bc.value.forward(x.astype(np.float32).astype(np.float64)).astype(np.float32)
@@ -433,7 +450,7 @@ def batch_score(df: DataFrame, features: str, model, key: str, model_name: str =
     """
     keep = [key] + ([label] if label else [])
     if isinstance(model, DenseNet):
-        bc = df.sparkSession.sparkContext.broadcast(model)
+        bc = _share(df, model)
 
         def fn(x):
             return 1.0 / (1.0 + np.exp(-bc.value.logits(x)))[:, None]

@@ -129,3 +129,19 @@ def test_many_filter_conv_numpy_path_equals_sql_form(spark):
     for k in want:
         for g, w in zip(got[k], want[k]):
             assert g == pytest.approx(w, abs=1e-12)
+
+
+def test_a_model_beyond_the_limit_is_not_broadcast(spark, monkeypatch):
+    import numpy as np
+    import pytest
+
+    from kindling.operators import scoring as S
+
+    net = S.DenseNet([(np.ones((3, 2)), np.zeros(2), "relu"), (np.ones((2, 1)), np.zeros(1), "sigmoid")])
+    assert S._weight_bytes(net) == 8 * (6 + 2 + 2 + 1)
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id int, x array<double>")
+    monkeypatch.setattr(S, "MODEL_BYTES", 8 * 11)
+    assert S.dense_layer(df, "x", np.ones((3, 2)).tolist(), [0.0, 0.0], "relu").count() == 1
+    monkeypatch.setattr(S, "MODEL_BYTES", 8)
+    with pytest.raises(ValueError, match="MODEL_BYTES"):
+        S.dense_layer(df, "x", np.ones((3, 2)).tolist(), [0.0, 0.0], "relu")
