@@ -31,7 +31,7 @@ HEADLINE = [
     "frozen_features", "batch_score",
     # history and fitting
     "early_stop", "training_curves", "fit_logistic", "fit_mlp", "fit_additive", "fit_frozen_head", "evaluation_weighted",
-    "fit_all", "fit_epochs",
+    "fit_all", "fit_epochs", "fit_curves", "curve_score",
 ]
 
 

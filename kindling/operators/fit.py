@@ -159,6 +159,8 @@ def parameter_count(model) -> int:
     """Number of fitted parameters of the models above."""
     if isinstance(model, FrozenHeadModel):
         return parameter_count(model.head)
+    if hasattr(model, "n_values"):
+        return int(model.n_values())
     last = model.stages[-1] if isinstance(model, PipelineModel) else model
     if hasattr(last, "weights") and hasattr(last, "getLayers"):
         return int(last.weights.size)

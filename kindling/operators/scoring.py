@@ -81,6 +81,11 @@ def _list_array(y: np.ndarray, valid: np.ndarray):
                                     mask=pa.array(~valid))
 
 
+def by_position(df: DataFrame) -> DataFrame:
+    """Columns renamed by place: ``mapInArrow`` takes its input by name and fails on names with dots."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
 def _map_column(df: DataFrame, features: str, fn, out: str, out_type: T.DataType) -> DataFrame:
     """Add ``out`` = ``fn`` of the Arrow column ``features``, batch by batch; other columns pass through."""
     import pyarrow as pa
@@ -91,10 +96,10 @@ def _map_column(df: DataFrame, features: str, fn, out: str, out_type: T.DataType
 
     def run(batches):
         for rb in batches:
-            yield pa.RecordBatch.from_arrays([rb.column(i) for i in keep] + [fn(rb.column(at))],
-                                             names=[rb.schema.names[i] for i in keep] + [out])
+            yield pa.RecordBatch.from_arrays([rb.column(i) for i in keep] + [fn(rb.column(at))], names=names)
 
-    return df.mapInArrow(run, schema)
+    names = schema.names
+    return by_position(df).mapInArrow(run, schema)
 
 
 def map_vectors(df: DataFrame, features: str, fn, out: str, width: int) -> DataFrame:

@@ -497,6 +497,23 @@ def _additive_sql() -> str:
 
 SQL["additive_score"] = _additive_sql()
 
+
+def _curve_sql() -> str:
+    from kindling.plans.tables import ADDITIVE_BIAS, ADDITIVE_SHAPES, CURVE_KNOTS
+
+    terms = []
+    for f, knots in CURVE_KNOTS.items():
+        x, y = f"CAST({f} AS DOUBLE)", [float(v) for v in ADDITIVE_SHAPES[f]]
+        parts = [f"WHEN {x} <= {knots[0]!r} THEN {y[0]!r}"]
+        for a, b, u, v in zip(knots[:-1], knots[1:], y[:-1], y[1:]):
+            parts.append(f"WHEN {x} <= {b!r} THEN {u!r} + ({x} - {a!r}) / ({b!r} - {a!r}) * ({v!r} - {u!r})")
+        terms.append(f"CASE {' '.join(parts)} ELSE {y[-1]!r} END")
+    return (f"SELECT l_orderkey, round(CAST({ADDITIVE_BIAS!r} AS DOUBLE) + " + " + ".join(terms)
+            + ", 8) + 0.0 AS curve_score FROM lineitem")
+
+
+SQL["curve_score"] = _curve_sql()
+
 SQL["branch_concat"] = "WITH " + U + """,
 bw AS (SELECT li, unnest(range(0, 2)) AS j FROM range(0, 16) t(li)),
 br AS (SELECT u.vec_id, u.i // 16 AS bb, bw.j,

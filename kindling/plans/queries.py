@@ -9,12 +9,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import sigmoid
 from kindling.functions import arrays as AR
 from kindling.operators import catalog as C
+from kindling.operators import curves as CV
 from kindling.operators import derive as DV
 from kindling.operators import epochs as EP
 from kindling.operators import fit as FT
@@ -426,6 +428,17 @@ def q_additive_score(spark, sf):
     return _round(out.select("l_orderkey", "additive_score"), ["additive_score"])
 
 
+def q_curve_score(spark, sf):
+    """Additive score with curves between knots (N6), the weights of the bins as values at the knots."""
+    li = T.table(spark, sf, "lineitem")
+    names = list(T.CURVE_KNOTS)
+    curves = CV.Curves(names, [np.array(T.CURVE_KNOTS[f]) for f in names], [np.array(T.ADDITIVE_SHAPES[f]) for f in names],
+                       T.ADDITIVE_BIAS)
+    # the values are multiples of 5e-8, so rounding to 8 digits meets no ties
+    return CV.curve_scores(li.select("l_orderkey", *names), curves).select(
+        "l_orderkey", (F.round("curve_score", 8) + F.lit(0.0)).alias("curve_score"))
+
+
 def q_branch_concat(spark, sf):
     out = S.branch_concat(_emb(spark, sf), "embedding", T.BRANCH_W, T.BRANCH_B, T.RESIDUAL_W, act="relu")
     return _round(_long_array(out, "vec_id", "branches"), ["value"])
@@ -495,6 +508,7 @@ QUERIES.update({
     "layer_norm": q_layer_norm,
     "conv_features": q_conv_features,
     "additive_score": q_additive_score,
+    "curve_score": q_curve_score,
     "branch_concat": q_branch_concat,
     "feature_slices": q_feature_slices,
     "frozen_features": q_frozen_features,
@@ -526,6 +540,13 @@ def _fit_one(name):
     return q
 
 
+def q_fit_curves(spark, sf):
+    """Additive model with continuous shape functions (T3), evaluated on the valid part."""
+    evals, _ = FT.fit_and_evaluate(_events_prepared(spark, sf), {"curves": lambda t, f, k, y: CV.fit_curves(t, f, y)},
+                                   EVENT_FEATURES, "event_id")
+    return _round(evals, EVAL_DOUBLES)
+
+
 def q_fit_all(spark, sf):
     """Prepare once, fit every model, evaluate each, and return the comparison table (T5)."""
     prepared = _events_prepared(spark, sf)
@@ -538,6 +559,7 @@ QUERIES.update({
     "fit_mlp": _fit_one("mlp"),
     "fit_additive": _fit_one("additive"),
     "fit_frozen_head": _fit_one("frozen_head"),
+    "fit_curves": q_fit_curves,
     "fit_all": q_fit_all,
 })
 

@@ -140,6 +140,7 @@ ADDITIVE_BINS = {  # feature: (lo, width, n_bins)
 ADDITIVE_SHAPES = {f: [((5 * k + 3 * b) % 7 - 3) / 10 for b in range(n)]
                    for k, (f, (_, _, n)) in enumerate(ADDITIVE_BINS.items())}
 ADDITIVE_BIAS = 0.1
+CURVE_KNOTS = {f: [lo + width * b for b in range(n)] for f, (lo, width, n) in ADDITIVE_BINS.items()}
 
 
 def formula_matrix(n: int, m: int, a: int, b: int, scale: float) -> list[list[float]]:

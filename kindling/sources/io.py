@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindling.operators.curves import Curves
 from kindling.operators.fit import FrozenHeadModel
 from kindling.operators.scoring import DenseNet, FrozenBlock
 
@@ -37,11 +38,14 @@ def write_report(df: DataFrame, path: str, run_id: str | None = None) -> None:
 
 
 def save_model(model, path: str) -> None:
-    """Persist a fitted model (S5): Spark ML models and pipelines as Spark writes them; a ``FrozenHeadModel`` or
-    ``DenseNet`` as tiles of its weights ``(part, start, block)`` with a small description, and the fitted head."""
+    """Persist a fitted model (S5): Spark ML models and pipelines as Spark writes them; a ``FrozenHeadModel``,
+    ``DenseNet`` or ``Curves`` as tiles of its weights ``(part, start, block)`` with a small description, and the fitted head."""
     if isinstance(model, DenseNet):
         parts = {f"{k}.{n}": a for k, (w, b, _) in enumerate(model.layers) for n, a in (("w", w), ("b", b))}
         _save_weights(parts, {"kind": "DenseNet", "acts": [a for _, _, a in model.layers]}, path)
+    elif isinstance(model, Curves):
+        parts = {f"{j}.{n}": a for j, kw in enumerate(zip(model.knots, model.shapes)) for n, a in zip(("x", "y"), kw)}
+        _save_weights(parts, {"kind": "Curves", "features": model.features, "bias": model.bias}, path)
     elif isinstance(model, FrozenHeadModel):
         parts = {n: a for n, a in vars(model.block).items() if n != "act"}
         _save_weights(parts, {"kind": "FrozenHeadModel", "act": model.block.act, "features": model.features,
@@ -103,6 +107,9 @@ def load_model(path: str):
         about, parts = _load_weights(spark, path)
         if about["kind"] == "DenseNet":
             return DenseNet([(parts[f"{k}.w"], parts[f"{k}.b"], act) for k, act in enumerate(about["acts"])])
+        if about["kind"] == "Curves":
+            n = range(len(about["features"]))
+            return Curves(about["features"], [parts[f"{j}.x"] for j in n], [parts[f"{j}.y"] for j in n], about["bias"])
         return FrozenHeadModel(FrozenBlock(**parts, act=about["act"]), PipelineModel.load(f"{path}/head"),
                                about["features"], about["key"])
     return DefaultParamsReader.loadParamsInstance(path, spark)
