@@ -36,7 +36,9 @@ def _weight_bytes(model) -> int:
 
 
 def _share(df: DataFrame, model):
-    """Broadcast a model's weights once their size is checked."""
+    """Broadcast a model's weights once their size is checked; a saved model goes as its address."""
+    if getattr(model, "open_in_task", False):
+        return model
     size = _weight_bytes(model)
     if size > MODEL_BYTES:
         raise ValueError(f"the model has {size} bytes of weights; at most MODEL_BYTES = {MODEL_BYTES} are broadcast")
@@ -393,6 +395,10 @@ class FrozenBlock:
         return cls(_xavier(rng, width, width), z(width), _xavier(rng, width, width), z(width),
                    _xavier(rng, width, h), z(h), _xavier(rng, h, width), z(width))
 
+    @property
+    def width(self) -> int:
+        return self.wv.shape[0]
+
     def n_values(self) -> int:
         return sum(a.size for a in self.__dict__.values() if isinstance(a, np.ndarray))
 
@@ -405,14 +411,14 @@ class FrozenBlock:
 
 
 def with_frozen_features(df: DataFrame, features: str, block: FrozenBlock, out: str = "frozen") -> DataFrame:
-    """``df`` with the features of a frozen block (N7): one Arrow-batched pass, weights broadcast once, no join.
+    """``df`` with the features of a frozen block (N7): one Arrow-batched pass, weights broadcast once, or opened by the tasks from a ``SavedModel``; no join.
     float32 in, float32 out as the block's features; the maths runs in float64."""
     bc = _share(df, block)
 
     def fn(x):
         return bc.value.forward(x.astype(np.float32).astype(np.float64)).astype(np.float32)
 
-    mapped = map_vectors(df, features, fn, out, block.wv.shape[0])
+    mapped = map_vectors(df, features, fn, out, block.width)
     return mapped.withColumn(out, F.col(out).cast("array<float>"))
 
 
@@ -436,6 +442,10 @@ class DenseNet:
             layers.append((_xavier(rng, a, b), np.zeros(b), act if i < len(sizes) - 2 else "identity"))
         return cls(layers)
 
+    @property
+    def width(self) -> int:
+        return self.layers[0][0].shape[0]
+
     def n_values(self) -> int:
         return sum(w.size + b.size for w, b, _ in self.layers)
 
@@ -450,17 +460,17 @@ def batch_score(df: DataFrame, features: str, model, key: str, model_name: str =
     """Score every row (N8) → ``(key, model, [label,] score)`` with ``score = sigmoid(logit)``.
 
     ``model`` is a fitted Spark ML model (its ``probability`` column is used) or a
-    :class:`DenseNet` run in one ``mapInArrow`` pass with broadcast weights; vectors that are null, hold a null or
+    :class:`DenseNet`, or a ``SavedModel`` of one, run in one ``mapInArrow`` pass; vectors that are null, hold a null or
     have another length than the first layer score null. Narrow: no shuffle either way.
     """
     keep = [key] + ([label] if label else [])
-    if isinstance(model, DenseNet):
+    if isinstance(model, DenseNet) or getattr(model, "kind", None) == "DenseNet":
         bc = _share(df, model)
 
         def fn(x):
             return 1.0 / (1.0 + np.exp(-bc.value.logits(x)))[:, None]
 
-        scored = map_vectors(df.select(*keep, features), features, fn, "_score", model.layers[0][0].shape[0])
+        scored = map_vectors(df.select(*keep, features), features, fn, "_score", model.width)
         scored = scored.select(*keep, F.get("_score", F.lit(0)).alias("score"))
     else:
         from pyspark.ml.functions import vector_to_array

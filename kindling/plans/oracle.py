@@ -655,3 +655,6 @@ SELECT event_id, user_id,
        CASE WHEN e_fresh THEN CAST(date_diff('day', DATE '2024-01-01', CAST(e_ts AS DATE)) AS INTEGER) END AS error_day,
        CASE WHEN e_fresh THEN round(e_value, 6) END AS error_value
 FROM m"""
+
+SQL["batch_score_saved"] = SQL["batch_score"]
+SQL["frozen_features_saved"] = SQL["frozen_features"]

@@ -27,7 +27,7 @@ from kindling.operators import evaluate as E
 from kindling.operators import prepare as P
 from kindling.plans import tables as T
 from kindling.session import cut_lineage, scratch_root
-from kindling.sources.io import write_csv, write_report
+from kindling.sources.io import save_model, saved_model, write_csv, write_report
 
 R = 6  # rounding digits for computed doubles
 
@@ -466,6 +466,26 @@ def q_batch_score(spark, sf):
     return _round(S.batch_score(_emb(spark, sf), "embedding", net, key="vec_id", model_name="ffn", label="target"), ["score"])
 
 
+def _opened_in_tasks(spark, model):
+    path = f"{scratch_root(spark)}/model-{uuid.uuid4().hex}"
+    save_model(model, path)
+    return saved_model(path)
+
+
+def q_frozen_features_saved(spark, sf):
+    """N7 with the block's weights opened by the tasks from shared storage."""
+    block = _opened_in_tasks(spark, S.FrozenBlock(**T.frozen_weights()))
+    out = S.frozen_block_features(_emb(spark, sf), "embedding", block, key="vec_id")
+    return out.select("vec_id", F.posexplode("frozen").alias("pos", "v")).select(
+        "vec_id", "pos", (F.round(F.col("v").cast("double"), 4) + F.lit(0.0)).alias("value"))
+
+
+def q_batch_score_saved(spark, sf):
+    """N8 with the network's weights opened by the tasks from shared storage."""
+    net = _opened_in_tasks(spark, S.DenseNet(T.network_layers()))
+    return _round(S.batch_score(_emb(spark, sf), "embedding", net, key="vec_id", model_name="ffn", label="target"), ["score"])
+
+
 def q_assembled(spark, sf):
     """The assembled feature vector (P11), one row per position."""
     li = P.assemble(T.lineitem_labelled(spark, sf), T.LINEITEM_FEATURES)
@@ -513,6 +533,8 @@ QUERIES.update({
     "feature_slices": q_feature_slices,
     "frozen_features": q_frozen_features,
     "batch_score": q_batch_score,
+    "frozen_features_saved": q_frozen_features_saved,
+    "batch_score_saved": q_batch_score_saved,
     "assembled": q_assembled,
     "comparison_display": q_comparison_display,
     "csv_sink": q_csv_sink,

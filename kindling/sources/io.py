@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from kindling.operators.curves import Curves
 from kindling.operators.fit import FrozenHeadModel
-from kindling.operators.scoring import DenseNet, FrozenBlock
+from kindling.operators.scoring import MODEL_BYTES, DenseNet, FrozenBlock
+from kindling.sources.weights import SavedModel, build
 
 TILE_BYTES = 4 << 20  # weights of one row of a saved model
 
@@ -39,16 +40,20 @@ def write_report(df: DataFrame, path: str, run_id: str | None = None) -> None:
 
 def save_model(model, path: str) -> None:
     """Persist a fitted model (S5): Spark ML models and pipelines as Spark writes them; a ``FrozenHeadModel``,
-    ``DenseNet`` or ``Curves`` as tiles of its weights ``(part, start, block)`` with a small description, and the fitted head."""
+    ``FrozenBlock``, ``DenseNet`` or ``Curves`` as tiles of its weights ``(part, start, block)`` with a small description, and the fitted head."""
     if isinstance(model, DenseNet):
         parts = {f"{k}.{n}": a for k, (w, b, _) in enumerate(model.layers) for n, a in (("w", w), ("b", b))}
         _save_weights(parts, {"kind": "DenseNet", "acts": [a for _, _, a in model.layers]}, path)
     elif isinstance(model, Curves):
         parts = {f"{j}.{n}": a for j, kw in enumerate(zip(model.knots, model.shapes)) for n, a in zip(("x", "y"), kw)}
         _save_weights(parts, {"kind": "Curves", "features": model.features, "bias": model.bias}, path)
+    elif isinstance(model, FrozenBlock):
+        parts = {n: a for n, a in vars(model).items() if n != "act"}
+        _save_weights(parts, {"kind": "FrozenBlock", "act": model.act}, path)
     elif isinstance(model, FrozenHeadModel):
-        parts = {n: a for n, a in vars(model.block).items() if n != "act"}
-        _save_weights(parts, {"kind": "FrozenHeadModel", "act": model.block.act, "features": model.features,
+        block = getattr(model.block, "value", model.block)  # a block that tasks open is read once here
+        parts = {n: a for n, a in vars(block).items() if n != "act"}
+        _save_weights(parts, {"kind": "FrozenHeadModel", "act": block.act, "features": model.features,
                               "key": model.key}, path)
         model.head.write().overwrite().save(f"{path}/head")
     else:
@@ -97,19 +102,39 @@ def _load_weights(spark: SparkSession, path: str) -> tuple[dict, dict]:
     return about, {n: a.reshape(about["shapes"][n]) for n, a in parts.items()}
 
 
-def load_model(path: str):
-    """Load a model saved by :func:`save_model` (S5); the class comes from what was saved with it."""
+def saved_model(path: str, max_bytes: int = MODEL_BYTES) -> SavedModel:
+    """The saved network or block at ``path`` as an address that tasks open: the driver reads its description only.
+
+    Saving to the same path again removes the tiles of the model before, so a job that still runs on it would fail: give each
+    model a path of its own."""
+    spark = SparkSession.getActiveSession()
+    about = _about(spark, path)
+    if about is None:
+        raise FileNotFoundError(f"no saved weights at {path}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{about['weights']}")
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return SavedModel(uri, about, max_bytes)
+
+
+def load_model(path: str, in_tasks: bool = False):
+    """Load a model saved by :func:`save_model` (S5); the class comes from what was saved with it.
+
+    With ``in_tasks`` networks and frozen blocks stay where they are and the tasks open them (:func:`saved_model`)."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.util import DefaultParamsReader
 
     spark = SparkSession.getActiveSession()
-    if _about(spark, path):
+    about = _about(spark, path)
+    if about is None:
+        return DefaultParamsReader.loadParamsInstance(path, spark)
+    if in_tasks and about["kind"] != "Curves":
+        block = saved_model(path)
+    else:
         about, parts = _load_weights(spark, path)
-        if about["kind"] == "DenseNet":
-            return DenseNet([(parts[f"{k}.w"], parts[f"{k}.b"], act) for k, act in enumerate(about["acts"])])
         if about["kind"] == "Curves":
             n = range(len(about["features"]))
             return Curves(about["features"], [parts[f"{j}.x"] for j in n], [parts[f"{j}.y"] for j in n], about["bias"])
-        return FrozenHeadModel(FrozenBlock(**parts, act=about["act"]), PipelineModel.load(f"{path}/head"),
-                               about["features"], about["key"])
-    return DefaultParamsReader.loadParamsInstance(path, spark)
+        block = build(about, parts)
+    if about["kind"] == "FrozenHeadModel":
+        return FrozenHeadModel(block, PipelineModel.load(f"{path}/head"), about["features"], about["key"])
+    return block
