@@ -41,7 +41,7 @@ def _with_prints(rows: DataFrame, length: int) -> DataFrame:
     return out.withColumn("prints", prints).drop("h", "grams")
 
 
-def _window_text(words: Column, at: Column, length: int) -> Column:
+def _window_text(words: Column, at: Column, length: int | Column) -> Column:
     return F.array_join(F.slice(words, at + 1, length), " ")
 
 
@@ -61,10 +61,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         "length", F.least(F.size("words"), F.lit(length)))
     lengths = [r[0] for r in bench.select("length").distinct().orderBy("length").collect()]  # at most ``length`` numbers
     d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    d = d.withColumn("key", F.xxhash64("id", "text"))
+    d = d.withColumn("key", F.struct(F.xxhash64("id", "text"), F.xxhash64(F.lit(1), "text", "id")))  # 128 bits
     worded = d.select("key", item_words(F.col("text")).alias("words"))
 
-    bench_windows = bench_prints = found = None
+    bench_windows = found = None
+    item_prints = {}
     for n in lengths:
         own = _with_prints(bench.where(F.col("length") == n), n)
         # exploded from an expression: from a column, Spark would push a copy of its whole formula below the projections
@@ -73,9 +74,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         windows = own.select(F.lit(n).alias("length"), "item", "print", _window_text(F.col("words"), F.col("at"), n).alias("window"))
         prints = windows.select("print").distinct()
         few = prints.count() <= broadcast_rows
+        item_prints[n] = prints, few
         mine = _with_prints(worded, n).select("key", F.explode(F.array_distinct("prints")).alias("print"))
         hit = mine.join(F.broadcast(prints) if few else prints, "print").withColumn("length", F.lit(n))
-        hit = hit.groupBy("key", "length").agg(F.collect_set("print").alias("hits"))
+        hit = hit.select("key", "length").distinct()
         bench_windows = windows if bench_windows is None else bench_windows.unionByName(windows)
         found = hit if found is None else found.unionByName(hit)
     n_words = d.select("id", "key", F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
@@ -83,16 +85,22 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         out = n_words.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
     else:
         bench_windows = bench_windows.select("length", "item", "window").distinct()
-        near = d.join(cut_lineage(found), "key").select("key", "length", "hits", item_words(F.col("text")).alias("words"))
-        parts = []
+        # the words of the documents that share a fingerprint, written once for the passes below
+        near = found.groupBy("key").agg(F.collect_set("length").alias("lengths"))
+        near = cut_lineage(worded.join(near, "key"))
+        at = None
         for n in lengths:
-            w = _with_prints(near.where(F.col("length") == n), n)
-            at = F.filter(F.transform("prints", lambda p, i: F.when(F.array_contains("hits", p), i)), lambda i: i.isNotNull())
-            w = w.select("key", "words", F.explode(at).alias("at"))
-            parts.append(w.select("key", F.lit(n).alias("length"), "at", _window_text(F.col("words"), F.col("at"), n).alias("window")))
-        compared = parts[0]
-        for p in parts[1:]:
-            compared = compared.unionByName(p)
+            w = _with_prints(near.where(F.array_contains("lengths", n)), n)
+            # places travel without the words: a row of one window must not carry its whole text
+            w = w.select("key", F.explode(F.transform("prints", lambda p, i: F.struct(p.alias("print"), i.alias("at")))).alias("x"))
+            prints, few = item_prints[n]
+            w = w.select("key", "x.*").join(F.broadcast(prints) if few else prints, "print")
+            w = w.select("key", F.struct("at", F.lit(n).alias("length")).alias("place"))
+            at = w if at is None else at.unionByName(w)
+        at = at.groupBy("key").agg(F.collect_set("place").alias("places"))
+        compared = near.select("key", "words").join(at, "key").select("key", F.explode(F.transform("places", lambda x: F.struct(
+            x["length"].alias("length"), x["at"].alias("at"),
+            _window_text(F.col("words"), x["at"], x["length"]).alias("window")))).alias("x")).select("key", "x.*")
         same = bench_windows.select("length", "window").distinct()
         hits = cut_lineage(compared.join(same, ["length", "window"]))
         places = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "length"))).alias("places"))

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -153,6 +155,19 @@ def test_benchmark_rows_without_id_contaminate(spark):
     assert got == {1: (20, [], True), 2: (1, [], True), 3: (40, ["7"], True), 4: (0, [], False)}
 
 
+def test_decontamination_is_linear_in_the_hits_of_a_text(spark):
+    """A text of 60,000 benchmark words: with a lookup or a copy of the text per window this took minutes."""
+    rng = random.Random(6)
+    item = [f"b{rng.randrange(5000)}" for _ in range(400)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(item * 150)), (1, " ".join(item * 150)), (2, " ".join(["x"] * 60000))],
+                                 "doc_id long, text string")
+    t0 = time.time()
+    got = sorted((r.doc_id, r.n_words, r.n_hit) for r in contamination(docs, bench).collect())
+    assert got == [(1, 60000, 60000), (1, 60000, 60000), (2, 60000, 0)]
+    assert time.time() - t0 < 90
+
+
 def test_native_queries_run_no_python(spark):
     for name in ("op2_chat_format", "op4_quality_rules", "op7_url_filter", "op9_decontamination"):
         plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
