@@ -23,6 +23,8 @@ from kindling.llm import textarrays as TA
 DIMENSIONS = 1024
 UNKNOWN = "und"
 _COLUMNS = 4096  # trigrams multiplied at a time
+_ROWS = 1024  # texts counted at a time: the counts are a table of texts x trigrams
+_LANGUAGES = 4096  # sums of a task kept before they are handed on
 
 
 @lru_cache(1)
@@ -101,16 +103,24 @@ def fit_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, code = np.unique(np.array(batch.column("lang").to_pylist(), dtype=str), return_inverse=True)
+            named = np.array(batch.column("lang").to_pylist(), dtype=object)
             data, offs = TA.string_block(batch.column("text"))
-            for i, j, d, o in TA.blocks(data, offs):
+            for i, j, d, o in TA.blocks(data, offs, max_rows=_ROWS):
+                langs, code = np.unique(named[i:j], return_inverse=True)
                 doc, grams = trigrams(d, o)
-                part = bundles(code[i:j][doc], grams, len(langs), dims)
+                part = bundles(code[doc], grams, len(langs), dims)
                 for k, lang in enumerate(langs.tolist()):
                     sums[lang] = sums.get(lang, 0) + part[k]
+                if len(sums) >= _LANGUAGES:
+                    yield handed(sums)
+                    sums = {}
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()])],
-                                             names=["lang", "v"])
+            yield handed(sums)
+
+    def handed(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(list(sums.values()))
+        v = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * dims), pa.array(flat))
+        return pa.RecordBatch.from_arrays([pa.array(list(sums)), v], names=["lang", "v"])
 
     d = docs.select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")).where(
         "text is not null and lang is not null")
@@ -138,7 +148,7 @@ def predict_language(docs: DataFrame, langs: list[str], prototypes: np.ndarray,
         for batch in batches:
             data, offs = TA.string_block(batch.column(at))
             best, score = np.full(batch.num_rows, len(langs)), np.zeros(batch.num_rows)
-            for i, j, d, o in TA.blocks(data, offs) if langs else ():
+            for i, j, d, o in TA.blocks(data, offs, max_rows=_ROWS) if langs else ():
                 doc, grams = trigrams(d, o)
                 v = bundles(doc, grams, j - i, dims)
                 size = np.linalg.norm(v, axis=1)

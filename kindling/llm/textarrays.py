@@ -76,11 +76,13 @@ def string_block(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[offs[0]:offs[-1]], offs - offs[0]
 
 
-def blocks(data: np.ndarray, offs: np.ndarray, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole documents of about ``max_bytes`` (a longer document is a run of its own)."""
+def blocks(data: np.ndarray, offs: np.ndarray, max_bytes: int = BLOCK_BYTES,
+           max_rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole documents of about ``max_bytes`` and at most ``max_rows`` (a longer document is a run of its own)."""
     n, i = len(offs) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + max_bytes, side="right")) - 1)
+        j = min(j, i + (max_rows or n))
         yield i, j, data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
         i = j
 

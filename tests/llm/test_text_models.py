@@ -1,10 +1,14 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kindling.llm.language import fit_prototypes, predict_language
+from kindling.llm import language as L
+from kindling.llm import textarrays as TA
+from kindling.llm.language import _ROWS, bundles, fit_prototypes, predict_language, trigrams
 from kindling.llm.pieces import decode_pieces, encode_block, encode_pieces, load_pieces, round_trip_pieces
 from kindling.llm.quality import fit_pairs, fit_ranker, rank_quality
 from kindling.llm.queries import PIECE_MODEL, QUERIES
@@ -78,6 +82,33 @@ def test_language_edges_and_clashing_columns(docs, empty):
     assert {r.lang_pred for r in predict_language(docs, none, nothing).collect()} == {"und"}
 
 
+def test_language_memory_is_bounded_on_many_short_texts():
+    """The counts of texts by trigrams are made for a bounded number of texts, and blocks change no sum."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(45)) for _ in range(3000)]
+    data, offs = TA.string_block(pa.array(texts))
+    whole = bundles(*trigrams(data, offs), 3000, 256)
+    tracemalloc.start()
+    parts = []
+    for i, j, d, o in TA.blocks(data, offs, max_rows=_ROWS):
+        assert j - i <= _ROWS
+        parts.append(bundles(*trigrams(d, o), j - i, 256))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(np.concatenate(parts), whole) and peak < 150e6
+
+
+def test_language_learns_many_labels_in_parts(spark, monkeypatch):
+    """Sums are handed on when many labels gather; the prototypes stay those of all rows."""
+    rows = [(f"l{i % 5}", f"text {i % 5} {'abcde'[i % 5] * 9}") for i in range(40)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    langs, p = fit_prototypes(df, dims=128)
+    monkeypatch.setattr(L, "_LANGUAGES", 2)
+    monkeypatch.setattr(L, "_ROWS", 3)
+    again, q = fit_prototypes(df, dims=128)
+    assert langs == again == [f"l{i}" for i in range(5)] and np.allclose(p, q, atol=1e-12)
+
+
 def test_language_held_out_accuracy(spark):
     out = QUERIES["op3_language_id"](spark, SF001)
     truth = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "lang")
