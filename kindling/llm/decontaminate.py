@@ -85,8 +85,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         out = n_words.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
     else:
         bench_windows = bench_windows.select("length", "item", "window").distinct()
-        # the words of the documents that share a fingerprint, written once for the passes below
-        near = found.groupBy("key").agg(F.collect_set("length").alias("lengths"))
+        # the words of the documents that share a fingerprint, written once for the passes below; their keys are written
+        # first, so that the join knows how few they are and need not shuffle the texts
+        near = cut_lineage(found.groupBy("key").agg(F.collect_set("length").alias("lengths")))
         near = cut_lineage(worded.join(near, "key"))
         at = None
         for n in lengths:
