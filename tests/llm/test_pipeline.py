@@ -79,5 +79,5 @@ def test_entry_registers_every_operator():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
     assert set(QUERIES) <= names and "pipeline" in names
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
     assert set(entry.oracle_sql()) <= names
