@@ -6,10 +6,11 @@ Each distinct shingle set (texts with equal sets are one class) is hashed once:
 gives one candidate link per member, to its least member, so candidates grow with members and not with pairs.
 Candidates are confirmed on the full sets, and components follow.
 
-A star alone could lose a link between two members that its centre does not connect. So buckets whose members are
-still in more than one component are looked at again: their members meet in blocks with their sets, and only pairs
-across components that are similar enough leave the task to be confirmed. Signatures rule out most pairs before the
-sets are compared: those that agree less than a similarity at the threshold allows (six standard deviations).
+A star alone could lose a link between two members that its centre does not connect. So the texts of buckets whose
+members are still in more than one component are joined once more, exactly: with all shingles in one order, rarest
+first, two sets that are similar enough share a shingle among the first ones of both (a quarter of the larger set, a
+seventh of the smaller). Only pairs across components that meet so, and whose sizes and places in the order leave room
+for the threshold, are confirmed. Pages of one template differ in their rarest shingles, so they do not meet.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from kindling.session import cut_lineage
 
 U = np.uint64
 BANDS, ROWS = 36, 4
-BLOCK = 1024  # members of a bucket that meet in one task
+BLOCK = 256  # rows of one join key that are never dealt to several tasks
+HOT_KEYS = 10_000  # at most so many keys can hold more than this part of all rows
 MAX_ATTEMPTS = 4096
 
 
@@ -89,6 +91,22 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a).view(np.int64)
 
 
+def _spread_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, block: int, how: str = "inner") -> DataFrame:
+    """``rows`` (with an id) joined with ``keyed``, whose ``weight`` is the number of rows of its unique ``key``.
+
+    A key with more than ``block`` rows and more than 1 / HOT_KEYS of all is dealt in parts by a hash of the id. There
+    are less than HOT_KEYS such keys whatever the input, so their list is broadcast.
+    """
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    share = max(block, total // HOT_KEYS + 1)
+    parts = F.ceil(F.col(weight) / share).cast("int")
+    hot = keyed.where(F.col(weight) > share).select(key, parts.alias("__parts"))
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn(
+        "__part", F.pmod(F.xxhash64("id"), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    keyed = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.join(keyed, [key, "__part"], how).drop("__part")
+
+
 def _profile(size: int, bands: int, rows: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,18 +119,15 @@ def _profile(size: int, bands: int, rows: int):
                 keys = _signed(band_keys(sig, bands, rows))
                 at = np.zeros(j - i + 1, np.int32)
                 at[1:] = np.cumsum((n > 0) * bands)
-                short = (sig & U(0xFFFF)).astype(np.uint16)
-                it = iter(range(len(some)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(i, j - i), pa.array(n, pa.int64()),
                      pa.array(_signed(k1)), pa.array(_signed(k2)),
-                     pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel())),
-                     pa.array([short[next(it)].tobytes() if x else None for x in n.tolist()], pa.binary())],
-                    names=["id", "n", "k1", "k2", "bands", "sig"])
+                     pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))],
+                    names=["id", "n", "k1", "k2", "bands"])
     return profile
 
 
-PROFILE_SCHEMA = "id long, n long, k1 long, k2 long, bands array<long>, sig binary"
+PROFILE_SCHEMA = "id long, n long, k1 long, k2 long, bands array<long>"
 
 
 def _confirm(size: int, percent: int):
@@ -139,50 +154,43 @@ def _confirm(size: int, percent: int):
     return confirm
 
 
-def _set_rows(size: int):
-    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingles(size: int):
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, offs in shingle_sets(batch.column("text"), size):
-                short, at = (h >> U(32)).astype(np.uint32), offs.tolist()  # ascending as h is
+                # a repeated id may have several texts; their sets are told apart
+                text = TA.range_hash(TA.prefix_hash(h, TA.BASE_A), offs[:-1], offs[1:], TA.BASE_A)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(i, j - i),
-                     pa.array([short[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["id", "members"])
-    return set_rows
+                    [batch.column("id").slice(i, j - i), pa.array(_signed(text)),
+                     pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(_signed(h)))],
+                    names=["id", "text", "shingles"])
+    return shingles
 
 
-def _across(percent: int):
-    """Pairs of a block pair in different components whose sets, as 32-bit hashes, are similar enough.
+def _meeting(texts: DataFrame, components: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """(a, b): pairs of ids in different components, among which are all that have 100 * intersection >= percent * union.
 
-    A pair that shares several buckets is looked at in the one of its first common band. Shortened hashes can only
-    raise a similarity, so no link is lost; the pairs are confirmed on the full sets.
+    ``components`` is (id, comp). Such a pair shares at least need = percent * (n + m) / (100 + percent) shingles, so
+    in any order of all shingles the first n - need + 1 of the one and m - need + 1 of the other have one in common;
+    from the first common one on, both must have need left. A shingle of one text alone can join nothing.
     """
-    def across(table: pa.Table) -> pa.Table:
-        col = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
-        ids, comp, left, n, hub = col("id"), col("comp"), col("is_left"), col("n"), col("is_hub")
-        same, band = bool(col("same_block")[0]), int(col("band")[0])
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
-        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)[:, :band]
-        sets = [np.frombuffer(x, np.uint32) for x in table.column("members").to_pylist()]
-        lhs, rhs = np.flatnonzero(left), np.arange(len(ids)) if same else np.flatnonzero(~left)
-        t, out = percent / 100, []
-        for i in lhs.tolist():
-            j = rhs[(comp[rhs] != comp[i]) & ~hub[rhs] & ~hub[i]]  # the centre of the star has been compared
-            if same:
-                j = j[j > i]
-            need = t - 6 * np.sqrt(t * (1 - t) / np.minimum(np.minimum(n[j], n[i]), sig.shape[1]))
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= need]
-            j = j[~(keys[j] == keys[i]).any(axis=1)]
-            if len(j) == 0 or len(sets[i]) == 0:
-                continue
-            sizes = np.array([len(sets[x]) for x in j.tolist()])
-            other, owner = np.concatenate([sets[x] for x in j.tolist()]), np.repeat(np.arange(len(j)), sizes)
-            at = np.minimum(np.searchsorted(sets[i], other), len(sets[i]) - 1)
-            both = np.bincount(owner[sets[i][at] == other], minlength=len(j))
-            close = 100 * both >= percent * (np.minimum(sizes + len(sets[i]), n[j] + n[i]) - both)
-            out += [(ids[i], x) for x in ids[j[close]].tolist()]
-        a = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(a.min(axis=1)), "b": pa.array(a.max(axis=1))})
-    return across
+    sets = cut_lineage(texts.join(components, "id").select("id", "text").mapInArrow(
+        _shingles(size), "id long, text long, shingles array<long>"))
+    each = sets.select("id", "text", F.explode("shingles").alias("shingle"))
+    counts = cut_lineage(each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"))
+    ranked = _spread_join(each, counts, "shingle", "c", block, "left").groupBy("id", "text").agg(
+        F.array_sort(F.collect_set(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "shingle"))).alias("s"))
+    ranked = ranked.withColumn("n", F.size("s").cast("long"))
+    first = ranked.select("id", "n", F.posexplode(F.expr(f"slice(s, 1, int(n - (n * {percent} + 99) div 100 + 1))")))
+    first = first.where("col.c > 1").select("id", "n", (F.col("pos") + 1).alias("pos"), F.col("col.shingle").alias("shingle"))
+    first = cut_lineage(first.join(components, "id"))
+    whole = 100 + percent
+    small = first.where(f"pos <= n - (2 * n * {percent} + {whole - 1}) div {whole} + 1")
+    pairs = first.alias("p").join(small.alias("q"), F.expr(f"""
+        p.shingle = q.shingle and p.comp <> q.comp and (p.n > q.n or (p.n = q.n and p.id > q.id))
+        and 100 * q.n >= {percent} * p.n
+        and {whole} * (least(p.n - p.pos, q.n - q.pos) + 1) >= {percent} * (p.n + q.n)"""))
+    return pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75,
@@ -196,6 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows that repeat an id
     are judged each by its text, and linked to others by any of them. Other columns are ignored; an empty table gives an empty result.
 
+    A join key (bucket or shingle) of up to ``block`` rows is never dealt to several tasks.
     Texts with equal sets are linked exactly. For two different sets at the threshold, the chance that none of
     ``bands`` buckets holds both is (1 - t**rows)**bands, about 1e-6 with the defaults, and less above it.
     """
@@ -205,10 +214,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # classes of equal sets, each a node named by its least id
     classes = cut_lineage(usable.groupBy("k1", "k2").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    in_band = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
-    hubs = in_band.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    members = cut_lineage(in_band.join(hubs.select("bucket", "hub"), "bucket"))
+        F.min("id").alias("id"), F.first("bands").alias("bands")))
+    in_band = classes.select("id", F.explode("bands").alias("bucket"))
+    hubs = cut_lineage(in_band.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1"))
+    members = cut_lineage(_spread_join(in_band, hubs, "bucket", "m", block))
 
     # texts that share a bucket with another; all later steps read only these
     texts = cut_lineage(d.join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
@@ -222,21 +231,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     reached = connected_components(links)
 
-    # buckets that still hold more than one component: members of each pair of blocks meet once
-    placed = members.join(reached.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "band", "id", "hub", F.coalesce("component", "id").alias("comp"))
-    open_ = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_ = open_.where("lo <> hi and m > 2").select("bucket", F.ceil(F.col("m") / block).cast("int").alias("n_blocks"))
-    again = cut_lineage(placed.join(open_, "bucket"))
-    sets = texts.join(again.select("id").distinct(), "id").mapInArrow(_set_rows(size), "id long, members binary")
-    again = again.join(classes.select("id", "n", "sig", "bands"), "id").join(sets, "id").withColumn(
-        "blk", F.pmod(F.xxhash64("id", "bucket"), F.col("n_blocks")).cast("int"))
-    meets = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "bucket", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "band", "id", "comp", "n",
-        "sig", "bands", "members",
-        (F.col("id") == F.col("hub")).alias("is_hub"), (F.col("blk") <= F.col("other")).alias("is_left"),
-        (F.col("blk") == F.col("other")).alias("same_block"))
-    more = meets.groupBy("bucket", "p", "q").applyInArrow(_across(percent), "a long, b long").distinct()
+    # buckets that still hold more than one component; one of two members has been compared by its star
+    placed = members.where("m > 2").join(reached.withColumnRenamed("node", "id"), "id", "left").select(
+        "bucket", "id", F.coalesce("component", "id").alias("comp"))
+    open_ = cut_lineage(placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                        .where("lo <> hi").select("bucket", "m"))
+    again = cut_lineage(_spread_join(placed, open_, "bucket", "m", block).select("id", "comp").distinct())
+    more = _meeting(texts, again, size, percent, block)
     links = links.unionByName(confirmed(cut_lineage(more)))
     reached = connected_components(links)
 

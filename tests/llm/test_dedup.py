@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from kindling.llm import suffix_dedup as S
 from kindling.llm.components import connected_components
-from kindling.llm.minhash import near_duplicates, signatures
+from kindling.llm.minhash import _meeting, near_duplicates, signatures
 from kindling.llm.substring import COVERS, substring_dedup
 from kindling.llm.suffix_dedup import suffix_dedup
 from kindling.llm.suffixes import order_suffixes
@@ -168,6 +168,39 @@ def test_star_alone_would_lose_links(spark):
     assert {r.component_id for r in got} == {min(r[0] for r in rows)}
 
 
+def test_rare_shingles_meet_for_every_similar_pair(spark):
+    """Mutated texts of many lengths on both sides of the threshold, each its own component: no similar pair is lost."""
+    rng = np.random.default_rng(11)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(90):
+        w = base[:int(rng.integers(60, 150))]
+        for _ in range(int(rng.integers(0, 6))):
+            w[int(rng.integers(len(w)))] = f"x{int(rng.integers(12))}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[a:a + 5]) for a in range(len(w) - 4)} for w in (t.split(" ") for _, t in rows)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    alone = texts.selectExpr("id", "id as comp")
+    for percent in (50, 75, 90):
+        similar = {(a, b) for a in range(90) for b in range(a + 1, 90)
+                   if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        met = {(r.a, r.b) for r in _meeting(texts, alone, 5, percent, 4).collect()}
+        assert similar and similar <= met and len(met) < 90 * 89 / 2
+
+
+def test_pages_of_one_template_under_the_threshold_do_not_meet(spark):
+    """All share their buckets; their own words are the rarest shingles, so the work does not grow with the pairs."""
+    template = " ".join(f"t{k}" for k in range(200))
+    rows = [(i, template + " " + " ".join(f"p{i}_{k}" for k in range(40))) for i in range(600)]  # similarity 0.71
+    rows.append((1000, template + " " + " ".join(f"p300_{k}" for k in range(30))))  # 0.96 with page 300, 0.74 with the others
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = docs.selectExpr("doc_id as id", "doc_id as comp")
+    met = _meeting(docs.withColumnRenamed("doc_id", "id"), alone, 5, 75, 256).collect()
+    assert [(r.a, r.b) for r in met] == [(300, 1000)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert got == {i: 300 if i == 1000 else i for i in got}
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
