@@ -39,37 +39,40 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row's id and text; only rows equal in both share it."""
+    """``docs`` with a 64-bit key of each row's id and text; rows equal in both share it."""
     return docs.select(*COLUMNS).withColumn("__row", F.xxhash64("doc_id", "text"))
 
 
 def _distinct_rows(docs: DataFrame) -> DataFrame:
-    """One row of each set of rows equal in id and text: the one with the least other columns. Only keys and the rows
-    whose key occurs again are shuffled."""
+    """One row of each set of rows equal in id and text, the one with the least other columns, with a key ``__row``.
+    Only keys and the rows whose key occurs again are shuffled. Different rows that share a key get another one."""
     keyed = _keyed(docs)
     again = cut_lineage(keyed.groupBy("__row").count().where("count > 1").select("__row"))
     if again.isEmpty():
-        return docs.select(*COLUMNS)
+        return keyed
     rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    more = keyed.join(again, "__row", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("r"))
-    return keyed.join(again, "__row", "left_anti").select(*COLUMNS).unionByName(more.select("doc_id", "text", "r.*"))
+    more = (keyed.join(again, "__row", "left_semi").groupBy("__row", "doc_id", "text")
+            .agg(F.min(F.struct(*rest)).alias("r")).select("__row", "doc_id", "text", "r.*"))
+    clash = more.groupBy("__row").count().where("count > 1").select("__row", F.lit(True).alias("clash"))
+    more = more.join(clash, "__row", "left").withColumn(
+        "__row", F.when(F.col("clash"), F.xxhash64(F.lit(1), "text", "doc_id")).otherwise(F.col("__row")))
+    return keyed.join(again, "__row", "left_anti").unionByName(more.drop("clash"))
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows of the rejected keys. These are written first: Spark then knows their size and broadcasts a small
-    list instead of shuffling all texts, and joins by shuffle beyond its threshold."""
-    return _keyed(docs).join(cut_lineage(rejected.select("__row").distinct()), "__row", "left_anti").select(*COLUMNS)
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows whose ``__row`` is not rejected. The rejected keys are written first: Spark then knows their size and
+    broadcasts a small list instead of shuffling all texts, and joins by shuffle beyond its threshold."""
+    return keyed.join(cut_lineage(rejected.select("__row").distinct()), "__row", "left_anti").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest id (null: the largest) of each group of near duplicates."""
-    docs = _distinct_rows(docs)
-    keyed = _keyed(docs)
+    keyed = _distinct_rows(docs)
     named = cut_lineage(near_duplicates(keyed, id_col="__row").select("__row", "component_id")
                         .join(keyed.select("__row", "doc_id"), "__row"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
     kept = named.groupBy("component_id").agg(least.alias("least")).select("least.__row")
-    return _without(docs, named.join(kept, "__row", "left_anti"))
+    return _without(keyed, named.join(kept, "__row", "left_anti"))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,8 +84,10 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the benchmark's 13-word windows contaminate."""
-    found = contamination(_keyed(docs), _table(spark, sf_dir, "benchmark"), id_col="__row")
-    return _without(docs, found.where("contaminated"))
+    wide = F.struct(F.xxhash64("doc_id", "text").alias("x"), F.xxhash64(F.lit(1), "text", "doc_id").alias("y"))  # 128 bits
+    keyed = docs.select(*COLUMNS).withColumn("__row", wide)
+    found = contamination(keyed, _table(spark, sf_dir, "benchmark"), id_col="__row")
+    return _without(keyed, found.where("contaminated"))
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
