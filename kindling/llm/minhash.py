@@ -6,8 +6,9 @@ Each distinct shingle set (texts with equal sets are one class) is hashed once:
 gives one candidate link per member, to its least member, so candidates grow with members and not with pairs.
 Candidates are confirmed on the full sets, and components follow.
 
-A star alone could lose a link between two members that its centre does not connect. So the texts of buckets whose
-members are still in more than one component are joined once more, exactly: with all shingles in one order, rarest
+A star alone could lose a link between two members that its centre does not connect. Buckets whose members are still
+in more than one component get a second star, around a centre that differs by bucket. The texts of those that then hold
+more than one component are joined once more, exactly: with all shingles in one order, rarest
 first, two sets that are similar enough share a shingle among the first ones of both (a quarter of the larger set, a
 seventh of the smaller). Only pairs across components that meet so, and whose sizes and places in the order leave room
 for the threshold, are confirmed. Pages of one template differ in their rarest shingles, so they do not meet.
@@ -231,12 +232,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     reached = connected_components(links)
 
-    # buckets that still hold more than one component; one of two members has been compared by its star
-    placed = members.where("m > 2").join(reached.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("comp"))
-    open_ = cut_lineage(placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                        .where("lo <> hi").select("bucket", "m"))
-    again = cut_lineage(_spread_join(placed, open_, "bucket", "m", block).select("id", "comp").distinct())
+    def open_members(reached: DataFrame) -> DataFrame:
+        """Members of buckets that still hold more than one component, each with another centre than the least id; one of
+        two members has been compared by its star."""
+        placed = members.where("m > 2").join(reached.withColumnRenamed("node", "id"), "id", "left").select(
+            "bucket", "id", F.coalesce("component", "id").alias("comp"))
+        centre = F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id", "comp")).alias("centre")
+        open_ = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), centre)
+        return _spread_join(placed, cut_lineage(open_.where("lo <> hi").select("bucket", "m", "centre")), "bucket", "m", block)
+
+    # a second star of each, around a centre that differs by bucket: a member meets up to ``bands`` different centres
+    stars = open_members(reached).where("comp <> centre.comp").select(
+        F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
+    links = cut_lineage(links.unionByName(confirmed(stars)))
+    reached = connected_components(links)
+    again = cut_lineage(open_members(reached).select("id", "comp").distinct())
     more = _meeting(texts, again, size, percent, block)
     links = links.unionByName(confirmed(cut_lineage(more)))
     reached = connected_components(links)
