@@ -16,11 +16,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import OneHotEncoder, QuantileDiscretizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindling.operators import evaluate as E
 from kindling.functions.columns import sql_clean_double, sql_ident
+from kindling.operators.network import fit_weights
 from kindling.operators.scoring import FrozenBlock, with_frozen_features
 
 POS_WEIGHT = 2.0  # fixed value: weight of the positive class in the benchmark's loss
@@ -46,11 +48,12 @@ def spread_rows(train: DataFrame, weights: int, iterations: int) -> DataFrame:
     """``train`` dealt over tasks by the cost of an iterative fit (rows × weights × iterations), not by file size.
 
     A small file is one partition, and an iterative fit on it one task for all its iterations. The rows are counted
-    and dealt round robin: one task per ``TASK_COST``, as many as there are cores at most or, on large tables, one per
-    ``TASK_ROWS`` rows. A fit worth less than two shares keeps its partitions. Gradients are summed over all rows, so only the order of
+    and dealt round robin: one task per ``TASK_COST``, as many as there are cores at most or, on large tables, so many
+    full rounds of the cores that a task has ``TASK_ROWS`` rows at most. A fit worth less than two shares keeps its partitions. Gradients are summed over all rows, so only the order of
     additions depends on the dealing."""
     rows = train.count()
-    most = max(train.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    most = cores * max(1, -(-rows // (cores * TASK_ROWS)))
     n = min(most, int(rows * weights * iterations // TASK_COST) + 1, max(rows, 1))
     return train.repartition(n) if n > 1 else train
 
@@ -75,18 +78,24 @@ def repeat_positives(df: DataFrame, label: str, times: int) -> DataFrame:
 
 def fit_mlp(train: DataFrame, features: Sequence[str], label: str = "label", hidden: Sequence[int] = (256, 128, 64),
             pos_weight: int = 2, max_iter: int = 100, seed: int = 42) -> PipelineModel:
-    """Feed-forward network (T2): Spark's MLP (sigmoid hidden units, softmax output)."""
+    """Feed-forward network (T2): Spark's MLP (sigmoid hidden units, softmax output).
+
+    The weights are fitted by :func:`~kindling.operators.network.fit_weights`, whose tasks use numpy's matrix products
+    and weighted rows; Spark's class gives the first weights of ``seed`` and the model."""
     if float(pos_weight) != int(pos_weight):
-        raise ValueError("the MLP takes an integer positive weight (rows are repeated)")
+        raise ValueError("the MLP takes an integer positive weight")
     layers = [len(features), *hidden, 2]
     weights = sum((a + 1) * b for a, b in zip(layers[:-1], layers[1:]))
-    data = spread_rows(repeat_positives(train, label, int(pos_weight)), weights, max_iter)
     fill, cols = _filled(features)
-    pipe = Pipeline(stages=[
-        fill, VectorAssembler(inputCols=cols, outputCol="_fv"),
-        MultilayerPerceptronClassifier(featuresCol="_fv", labelCol=label, layers=layers,
-                                       maxIter=max_iter, seed=seed)])
-    return pipe.fit(data)
+    rows = fill.transform(train.withColumn("_w", class_weight(label, pos_weight))).select(
+        *cols, F.col(label).cast("double").alias("_y"), "_w")
+    fill_vector = VectorAssembler(inputCols=cols, outputCol="_fv")
+    # no iteration over one row of zeros: a model of the weights it starts with
+    still = MultilayerPerceptronClassifier(featuresCol="_fv", labelCol=label, layers=layers, maxIter=0, seed=seed)
+    zeros = fill_vector.transform(train.sparkSession.range(1).select(*[F.lit(0.0).alias(c) for c in cols], F.lit(0.0).alias(label)))
+    start = still.fit(zeros).weights.toArray()
+    fitted = fit_weights(spread_rows(rows, weights, max_iter), layers, start, max_iter)
+    return PipelineModel(stages=[fill, fill_vector, still.setInitialWeights(Vectors.dense(fitted)).fit(zeros)])
 
 
 def fit_additive(train: DataFrame, features: Sequence[str], label: str = "label", n_bins: int = 10,
