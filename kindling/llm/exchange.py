@@ -44,11 +44,18 @@ def bucket_slices(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np
     return b[cut], cut, np.append(cut[1:], len(b)).astype(np.int64)
 
 
-def distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct tuples of ``keys`` in ascending order, the place of each input tuple among them, their counts."""
+def distinct(*keys: np.ndarray, hashed: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct tuples of ``keys`` in ascending order, the place of each input tuple among them, their counts.
+
+    ``hashed`` says that tuples of one first key are nearly always equal: the other keys are only sorted if not."""
     if len(keys[0]) == 0:
         return [k for k in keys], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    # quicker than a stable sort; equal tuples are one row whatever their order
+    order = np.argsort(keys[0]) if hashed or len(keys) == 1 else np.lexsort(keys[::-1])
+    if hashed and len(keys) > 1:
+        tied = np.diff(keys[0][order]) == 0
+        if any(np.any(tied & (np.diff(k[order]) != 0)) for k in keys[1:]):  # first hashes that are equal by chance
+            order = np.lexsort(keys[::-1])
     head = np.zeros(len(order), dtype=bool)
     head[0] = True
     ordered = [k[order] for k in keys]

@@ -27,16 +27,18 @@ from kindling.llm import textarrays as TA
 from kindling.llm.suffixes import order_suffixes
 
 U = np.uint64
-CUT_GRAM, CUT_EVERY = 16, 64
+CUT_GRAM, CUT_EVERY = 16, 64  # CUT_EVERY: a power of two
 NO_ID = np.int64(2**63 - 1)  # documents without an id come last
 SIGN = U(1 << 63)
 GROUP_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 16  # bytes hashed at once: their 64-bit hashes stay in the processor's cache
 HEAVY = 20_000  # segments of one hash beyond which they are dealt by whole strings
 
 
 def _grams(prefix: np.ndarray, n: int, k: int) -> np.ndarray:
-    at = np.arange(max(n - k + 1, 0))
-    return TA.range_hash(prefix, at, at + k, TA.BASE_BYTES)
+    """:func:`TA.range_hash` of all ranges of ``k`` bytes, by slices."""
+    many = max(n - k + 1, 0)
+    return TA.mix((prefix[k:k + many] - prefix[:many]) * TA.powers(TA.BASE_BYTES, len(prefix))[1][:many])
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -56,12 +58,15 @@ class _Cells:
         self.data, self.offs = TA.string_block(table.column("text"))
         self.ids = table.column("id").combine_chunks().fill_null(NO_ID).to_numpy().astype(np.int64)
         starts, ends, h1, h2, owner = [], [], [], [], []
-        for i, j, d, o in TA.blocks(self.data, self.offs):
+        for i, j, d, o in TA.blocks(self.data, self.offs, BLOCK_BYTES):
             if len(d) == 0:
                 continue
             p = TA.prefix_hash(TA.BYTE_VALUES[d], TA.BASE_BYTES)
-            cut = np.flatnonzero(_grams(p, len(d), CUT_GRAM) % U(CUT_EVERY) == 0)
-            s = np.union1d(cut, o[:-1][np.diff(o) > 0])
+            cut = np.zeros(len(d), dtype=bool)
+            grams = _grams(p, len(d), CUT_GRAM)
+            cut[:len(grams)] = grams & U(CUT_EVERY - 1) == 0
+            cut[o[:-1][np.diff(o) > 0]] = True
+            s = np.flatnonzero(cut)
             e = np.append(s[1:], len(d))
             doc = np.searchsorted(o, s, side="right") - 1
             full = s + width <= o[doc + 1]  # cells in which a whole string starts
@@ -74,7 +79,7 @@ class _Cells:
             owner.append(doc + i)
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.starts, self.ends, self.owner = cat(starts, np.int64), cat(ends, np.int64), cat(owner, np.int64)
-        self.keys, self.place, _ = X.distinct(cat(h1, U), cat(h2, U))
+        self.keys, self.place, _ = X.distinct(cat(h1, U), cat(h2, U), hashed=True)
         self.least = np.full(len(self.keys[0]), NO_ID)
         np.minimum.at(self.least, self.place, self.ids[self.owner])
 
@@ -94,7 +99,7 @@ class _Cells:
     def segments(self, fresh: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, strings, hash) of the runs of strings of ``fresh`` positions that share their least hash."""
         starts, counts, hashes = [], [], []
-        for i, j, d, o in TA.blocks(self.data, self.offs):
+        for i, j, d, o in TA.blocks(self.data, self.offs, BLOCK_BYTES):
             if len(d) < self.width:
                 continue
             p = TA.prefix_hash(TA.BYTE_VALUES[d], TA.BASE_BYTES)
@@ -102,9 +107,11 @@ class _Cells:
             at = np.flatnonzero(fresh[self.offs[i]:self.offs[j]][:len(least)])
             if len(at) == 0:
                 continue
-            h, doc = least[at], np.searchsorted(o, at, side="right")
+            opens = np.zeros(len(d) + 1, dtype=bool)  # first bytes of documents
+            opens[o] = True
+            h = least[at]
             head = np.ones(len(at), dtype=bool)
-            head[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
+            head[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1) | opens[at[1:]]
             head = np.flatnonzero(head)
             starts.append(at[head] + self.offs[i])
             counts.append(np.diff(np.append(head, len(at))))
@@ -138,7 +145,8 @@ def _distinct_strings(cells: _Cells, at: np.ndarray, width: int) -> tuple[np.nda
     documents are ordered by id, and ``hash`` their hashes. ``gone`` are runs (position, length) of the copies with
     larger ids, ``like`` runs (position of the first copy, position, length) of those with the same id.
     """
-    keys, place, _ = X.distinct(_string_hashes(cells.data, at, width), _string_hashes(cells.data, at, width, TA.BASE_B))
+    keys, place, _ = X.distinct(_string_hashes(cells.data, at, width), _string_hashes(cells.data, at, width, TA.BASE_B),
+                                hashed=True)
     first = np.full(len(keys[0]), len(cells.data))
     np.minimum.at(first, place, at)
     origin = first[place]
@@ -151,7 +159,7 @@ def _distinct_strings(cells: _Cells, at: np.ndarray, width: int) -> tuple[np.nda
 def _smallest_id(table: pa.Table) -> pa.Table:
     """Bucket step 1: flags the cells that a document with a smaller id holds too."""
     (h1, h2, ids), offs = X.payload_arrays(table, [U, U, U])
-    keys, place, _ = X.distinct(h1, h2)
+    keys, place, _ = X.distinct(h1, h2, hashed=True)
     least = np.full(len(keys[0]), np.iinfo(np.uint64).max, dtype=U)
     np.minimum.at(least, place, ids)
     return X.answer_table(table, ids > least[place] if len(place) else np.zeros(0, bool), offs)
@@ -301,7 +309,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             origin, start, length = np.frombuffer(payload[i].as_py(), np.int64).reshape(-1, 3).T
             flags[TA.expand(start, length)] = flags[TA.expand(origin, length)]
         kept, texts, spans, n_removed = [], [], [], []
-        for i, j, d, o in TA.blocks(cells.data, cells.offs):
+        for i, j, d, o in TA.blocks(cells.data, cells.offs, BLOCK_BYTES):
             gone = TA.covered(np.flatnonzero(flags[cells.offs[i]:cells.offs[j]]), width, len(d))
             whole = _whole_characters(d, gone)
             for lo, hi in zip(o[:-1].tolist(), o[1:].tolist()):

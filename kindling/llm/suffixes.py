@@ -15,27 +15,37 @@ SHALLOW = 40  # bytes sorted by multikey quicksort
 
 def _words_at(text: np.ndarray) -> np.ndarray:
     """The 8 bytes from every position on as one big-endian number (zero-padded at the end)."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | padded[k:k + len(text)]
-    return out
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.ndarray(len(text), ">u8", padded, strides=(1,)).astype(np.uint64)
+
+
+def _open_groups(head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the members of groups of two or more, start of each such group among them, its size)."""
+    places = np.flatnonzero(~(head & np.append(head[1:], True)))
+    first = np.flatnonzero(head[places])
+    return places, first, np.diff(np.append(first, len(places)))
 
 
 def shallow_sort(words: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes ``at`` by their first ``depth`` bytes (a multiple of 8) and the heads of equal groups."""
     key = words[at]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     head = np.ones(len(at), dtype=bool)
     head[1:] = key[1:] != key[:-1]
     for level in range(8, depth, 8):
-        follows = np.append(head[1:], True)
-        open_ = np.flatnonzero(~(head & follows))  # members of groups of two or more
+        open_, first, sizes = _open_groups(head)
         if len(open_) == 0:
             break
-        group, members = np.cumsum(head)[open_], order[open_]
+        members = order[open_]
         key = words[at[members] + level]
+        group = np.repeat(np.arange(len(first)), sizes)
+        mixed = np.zeros(len(first), dtype=bool)
+        mixed[group[key != np.repeat(key[first], sizes)]] = True  # a group with one key stays as it is
+        pick = mixed[group]
+        if not pick.any():
+            continue
+        open_, members, key, group = open_[pick], members[pick], key[pick], group[pick]
         sub = np.lexsort((key, group))
         order[open_] = members[sub]
         group, key = group[sub], key[sub]
@@ -111,30 +121,30 @@ def order_suffixes(text: np.ndarray, at: np.ndarray, width: int, shallow: int =
     rest = width - depth
     if rest == 0:
         return order, head
-    # rest of each key as 8-byte characters, the last one cut to the bytes that count
+    # rest of each key that shares its first bytes, as 8-byte characters, the last one cut to the bytes that count
+    open_, first, sizes = _open_groups(head)
+    members = order[open_]
     tails = []
     for level in range(depth, width, 8):
-        w, n = words[at[order] + level], min(8, width - level)
+        w, n = words[at[members] + level], min(8, width - level)
         tails.append(w >> np.uint64(8 * (8 - n)) if n < 8 else w)
-    group = np.cumsum(head) - 1
-    first = np.flatnonzero(head)
-    same = np.ones(len(order), dtype=bool)
+    same = np.ones(len(members), dtype=bool)
     for t in tails:
-        same &= t == t[first][group]
-    mixed = np.unique(group[~same])  # groups with one key in all members are one class already
-    ends = np.append(first[1:], len(order))
+        same &= t == np.repeat(t[first], sizes)
+    # groups with one key in all members are one class already
+    mixed = np.unique(np.repeat(np.arange(len(first)), sizes)[~same])
     shifts = [8 * min(8, width - level) for level in range(depth, width, 8)]
-    for lo, hi in zip(first[mixed].tolist(), ends[mixed].tolist()):
-        trie, parts = BlindTrie(rest), [t[lo:hi].tolist() for t in tails]
+    for lo, hi in zip(first[mixed].tolist(), (first + sizes)[mixed].tolist()):
+        trie, parts, begin = BlindTrie(rest), [t[lo:hi].tolist() for t in tails], int(open_[lo])
         for m, key in enumerate(zip(*parts)):
             number = 0
             for part, shift in zip(key, shifts):
                 number = (number << shift) | part
             trie.insert(number, m)
         placed, heads = [], []
-        for members in trie.leaves():
+        for leaf in trie.leaves():
             heads.append(len(placed))
-            placed += members
-        order[lo:hi] = order[lo:hi][placed]
-        head[lo + np.array(heads)] = True
+            placed += leaf
+        order[open_[lo:hi]] = members[lo:hi][placed]
+        head[begin + np.array(heads)] = True
     return order, head

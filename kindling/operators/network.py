@@ -44,6 +44,10 @@ class GradientSum:
                     for k, (m, b) in enumerate(layer_views(weights, layers))]
         self.gradient = np.zeros(len(weights))
         self.sums = layer_views(self.gradient, layers)
+        # buffers of a block, kept: fresh ones of this size cost as much as the products
+        self.first = np.empty((BLOCK_ROWS, layers[1]))
+        self.values, self.deltas, self.products = (
+            [np.empty((BLOCK_ROWS, n), np.float32) for n in layers[1:-1]] for _ in range(3))
         self.weight = self.loss = 0.0
 
     def add(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
@@ -51,14 +55,15 @@ class GradientSum:
             self._block(x[i:i + BLOCK_ROWS], y[i:i + BLOCK_ROWS], w[i:i + BLOCK_ROWS])
 
     def _block(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        rows, inputs = np.arange(len(x)), [x]
+        n, rows, inputs, last = len(x), np.arange(len(x)), [x], len(self.net) - 1
         for k, (matrix, bias) in enumerate(self.net):
-            z = inputs[-1] @ matrix
+            out = self.first if k == 0 else self.values[k] if k < last else None
+            z = np.matmul(inputs[-1], matrix, out=None if out is None else out[:n])
             z += bias
-            if k + 1 < len(self.net):  # a hidden layer: 1 / (1 + exp(-z))
-                z = z.astype(np.float32, copy=False)
+            if k < last:  # a hidden layer: 1 / (1 + exp(-z))
+                z = np.negative(z, out=self.values[k][:n], casting="same_kind")
                 with np.errstate(over="ignore"):
-                    np.exp(np.negative(z, out=z), out=z)
+                    np.exp(z, out=z)
                 z += 1
                 np.reciprocal(z, out=z)
             inputs.append(z)
@@ -71,14 +76,22 @@ class GradientSum:
         delta /= total[:, None]
         delta[rows, y] -= 1.0
         delta *= w[:, None]
-        for k in range(len(self.net) - 1, -1, -1):
+        for k in range(last, -1, -1):
             a, (matrix_sum, bias_sum) = inputs[k], self.sums[k]
+            if k == 0 and last:
+                self.first[:n] = delta
+                delta = self.first[:n]
             matrix_sum += a.T @ delta
             bias_sum += delta.sum(axis=0, dtype=float)
             if k:
-                delta = (delta @ self.net[k][0].T).astype(np.float32, copy=False)
-                delta *= a
-                delta -= delta * a
+                below = self.deltas[k - 1][:n]
+                if k == last:
+                    below[:] = delta @ self.net[k][0].T
+                else:
+                    np.matmul(delta, self.net[k][0].T, out=below)
+                below *= a
+                below -= np.multiply(below, a, out=self.products[k - 1][:n])
+                delta = below
 
 
 def _sums_table(part: int, weight: float, loss: float, gradient: np.ndarray) -> pa.RecordBatch:

@@ -222,3 +222,22 @@ def test_empty_tables(empty):
     assert substring_dedup(empty).collect() == []
     assert suffix_dedup(empty).collect() == []
     assert near_duplicates(empty).collect() == []
+
+
+def test_suffixes_that_agree_are_not_sorted_again(monkeypatch):
+    text = np.frombuffer(b"the quick brown fox jumps over the lazy dog and then again it sleeps" * 40, np.uint8)
+    at = np.arange(0, len(text) - 68, 68)
+    monkeypatch.setattr(np, "lexsort", lambda *a, **k: (_ for _ in ()).throw(AssertionError("groups of one key were sorted")))
+    order, head = order_suffixes(text, at, 50)
+    assert sorted(order.tolist()) == list(range(len(at))) and head.tolist() == [True] + [False] * (len(at) - 1)
+
+
+def test_distinct_tuples_with_first_hashes_equal_by_chance():
+    from kindling.llm import exchange as X
+
+    rng = np.random.default_rng(5)
+    for n_first in (3, 1 << 60):
+        a, b = rng.integers(0, n_first, 500).astype(np.uint64), rng.integers(0, 4, 500).astype(np.uint64)
+        a, b = np.append(a, a[:100]), np.append(b, b[:100])
+        plain, quick = X.distinct(a, b), X.distinct(a, b, hashed=True)
+        assert all((x == y).all() for x, y in zip([*plain[0], *plain[1:]], [*quick[0], *quick[1:]]))
