@@ -2,9 +2,9 @@
 
 The network is the one of Spark's ``MultilayerPerceptronClassifier`` (sigmoid hidden units, softmax output,
 cross-entropy, its order of weights), as is the solver (L-BFGS of 10 corrections, strong Wolfe steps, its tolerance). An
-evaluation is one job over the cached rows: a block of rows is a few matrix products, a partition gives one sum, the sums
-are added in groups, and the driver gets ``FEW_SUMS`` gradients at most or the square root of the partitions. Rows may carry
-weights, which Spark's class does not take.
+evaluation is one job over the cached rows, packed as matrices: a block of rows is a few matrix products, a partition gives
+one sum, the sums are added in groups, and the driver gets ``FEW_SUMS`` gradients at most or the square root of the
+partitions. Rows may carry weights, which Spark's class does not take.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 256  # rows of one matrix product: their activations stay in the processor's cache
+BLOCK_ROWS = 1024  # rows of one matrix product: many, as calls and sums cost by the block, but their activations stay in the cache
+PACK_BYTES = 4 << 20  # features of one packed row, at most (one row's features if they are more)
 FEW_SUMS = 32  # gradients the driver adds itself
+PACKED = "x binary, y binary, w binary"
 SUMS = "part long, weight double, loss double, gradient binary"
 
 
@@ -36,62 +38,81 @@ class GradientSum:
     """Weighted sums of loss and gradient over rows, added block by block.
 
     Features, logits, losses and all sums are doubles; only the hidden units of a block and the products between them
-    are in single precision, whose rounding is independent from row to row and averages out in the sums."""
+    are in single precision, whose rounding is independent from row to row and averages out in the sums. Hidden layers
+    are kept with the sign turned, as their units 1 / (1 + exp(-z)) want -z."""
 
     def __init__(self, weights: np.ndarray, layers: Sequence[int]):
-        inner = range(1, len(layers) - 2)
-        self.net = [(m.astype(np.float32), b.astype(np.float32)) if k in inner else (m, b)
-                    for k, (m, b) in enumerate(layer_views(weights, layers))]
+        *hidden, self.out = layer_views(weights, layers)
+        self.first = -np.vstack(hidden[0]) if hidden else None
+        self.inner = [((-m).astype(np.float32), b.astype(np.float32)) for m, b in hidden[1:]]
         self.gradient = np.zeros(len(weights))
         self.sums = layer_views(self.gradient, layers)
         # buffers of a block, kept: fresh ones of this size cost as much as the products
-        self.first = np.empty((BLOCK_ROWS, layers[1]))
-        self.values, self.deltas, self.products = (
-            [np.empty((BLOCK_ROWS, n), np.float32) for n in layers[1:-1]] for _ in range(3))
+        self.wide = np.empty((BLOCK_ROWS, layers[1])) if hidden else None
+        self.values, self.deltas = ([np.empty((BLOCK_ROWS, n), np.float32) for n in layers[1:-1]] for _ in range(2))
+        self.products = [np.empty_like(m) for m, _ in self.inner]
+        self.ones = np.ones(BLOCK_ROWS, np.float32)
         self.weight = self.loss = 0.0
 
     def add(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        for i in range(0, len(x), BLOCK_ROWS):
-            self._block(x[i:i + BLOCK_ROWS], y[i:i + BLOCK_ROWS], w[i:i + BLOCK_ROWS])
+        x = np.column_stack([x, np.ones(len(x))])  # the first layer's bias is the weight of a 1
+        with np.errstate(over="ignore"):
+            for i in range(0, len(x), BLOCK_ROWS):
+                self._block(x[i:i + BLOCK_ROWS], y[i:i + BLOCK_ROWS], w[i:i + BLOCK_ROWS])
 
     def _block(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        n, rows, inputs, last = len(x), np.arange(len(x)), [x], len(self.net) - 1
-        for k, (matrix, bias) in enumerate(self.net):
-            out = self.first if k == 0 else self.values[k] if k < last else None
-            z = np.matmul(inputs[-1], matrix, out=None if out is None else out[:n])
-            z += bias
-            if k < last:  # a hidden layer: 1 / (1 + exp(-z))
-                z = np.negative(z, out=self.values[k][:n], casting="same_kind")
-                with np.errstate(over="ignore"):
-                    np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-            inputs.append(z)
-        z = inputs.pop()
-        z -= z.max(axis=1, keepdims=True)
+        values = [v[:len(x)] for v in self.values]
+        for k, z in enumerate(values):
+            if k == 0:
+                z[:] = np.matmul(x, self.first, out=self.wide[:len(x)])
+            else:
+                matrix, bias = self.inner[k - 1]
+                np.matmul(values[k - 1], matrix, out=z)
+                z -= bias
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+        last = values[-1].astype(float) if values else x[:, :-1]
+        delta = self._output(last, y, w)
+        if not values:
+            return
+        below = self.deltas[-1][:len(x)]
+        below[:] = delta.T @ self.out[0].T
+        for k in range(len(values) - 1, -1, -1):
+            a, (matrix_sum, bias_sum) = values[k], self.sums[k]
+            below *= a  # times the slope a (1 - a)
+            if k == len(values) - 1:
+                np.subtract(1, a, out=a)
+            else:  # what came through a hidden layer has the turned sign
+                np.subtract(a, 1, out=a)
+            below *= a
+            if k == 0:
+                wide = self.wide[:len(x)]
+                wide[:] = below
+                total = x.T @ wide
+                matrix_sum += total[:-1]
+                bias_sum += total[-1]
+            else:
+                matrix_sum += np.matmul(values[k - 1].T, below, out=self.products[k - 1])
+                bias_sum += self.ones[:len(x)] @ below
+                below = np.matmul(below, self.inner[k - 1][0].T, out=self.deltas[k - 1][:len(x)])
+
+    def _output(self, a: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Adds the loss and the last layer's sums; the loss's slopes at the logits, one row per class."""
+        (matrix, bias), (matrix_sum, bias_sum), rows = self.out, self.sums[-1], np.arange(len(a))
+        z = matrix.T @ a.T
+        z += bias[:, None]
+        z -= z.max(axis=0)
         delta = np.exp(z)
-        total = delta.sum(axis=1)
+        total = delta.sum(axis=0)
         self.weight += float(w.sum())
-        self.loss += float(w @ (np.log(total) - z[rows, y]))
-        delta /= total[:, None]
-        delta[rows, y] -= 1.0
-        delta *= w[:, None]
-        for k in range(last, -1, -1):
-            a, (matrix_sum, bias_sum) = inputs[k], self.sums[k]
-            if k == 0 and last:
-                self.first[:n] = delta
-                delta = self.first[:n]
-            matrix_sum += a.T @ delta
-            bias_sum += delta.sum(axis=0, dtype=float)
-            if k:
-                below = self.deltas[k - 1][:n]
-                if k == last:
-                    below[:] = delta @ self.net[k][0].T
-                else:
-                    np.matmul(delta, self.net[k][0].T, out=below)
-                below *= a
-                below -= np.multiply(below, a, out=self.products[k - 1][:n])
-                delta = below
+        self.loss += float(w @ (np.log(total) - z[y, rows]))
+        delta /= total
+        delta[y, rows] -= 1.0
+        delta *= w
+        matrix_sum += a.T @ delta.T
+        bias_sum += delta.sum(axis=1)
+        return delta
 
 
 def _sums_table(part: int, weight: float, loss: float, gradient: np.ndarray) -> pa.RecordBatch:
@@ -99,17 +120,35 @@ def _sums_table(part: int, weight: float, loss: float, gradient: np.ndarray) ->
                                        pa.array([gradient.tobytes()], pa.binary())], names=["part", "weight", "loss", "gradient"])
 
 
-def _partition_sums(weights: np.ndarray, layers: Sequence[int]):
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = GradientSum(weights, layers)
+def _packed(classes: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *x, y, w = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             x = np.stack(x, axis=1).astype(float)
             if not np.isfinite(x).all():
                 raise ValueError("features of a network must be finite")
-            if not np.isin(y, np.arange(layers[-1])).all():
-                raise ValueError(f"labels of a network must be whole numbers from 0 to {layers[-1] - 1}")
-            total.add(x, y.astype(np.int64), w.astype(float))
+            if not np.isin(y, np.arange(classes)).all():
+                raise ValueError(f"labels of a network must be whole numbers from 0 to {classes - 1}")
+            y, w, step = y.astype(np.int64), w.astype(float), max(1, PACK_BYTES // (8 * x.shape[1]))
+            for i in range(0, len(x), step):
+                yield pa.RecordBatch.from_arrays([pa.array([v[i:i + step].tobytes()], pa.binary()) for v in (x, y, w)],
+                                                 names=["x", "y", "w"])
+    return pack
+
+
+def packed_rows(rows: DataFrame, layers: Sequence[int]) -> DataFrame:
+    """``rows`` (feature columns, label, row weight) checked and packed, a batch of them per row, in their partitions: a
+    pass hands the tasks their matrices as they are instead of turning every row into columns again."""
+    return rows.mapInArrow(_packed(layers[-1]), PACKED)
+
+
+def _partition_sums(weights: np.ndarray, layers: Sequence[int]):
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = GradientSum(weights, layers)
+        for batch in batches:
+            for x, y, w in zip(*batch.columns):
+                x, y, w = np.frombuffer(x.as_buffer()), np.frombuffer(y.as_buffer(), np.int64), np.frombuffer(w.as_buffer())
+                total.add(x.reshape(len(y), layers[0]), y, w)
         yield _sums_table(TaskContext.get().partitionId(), total.weight, total.loss, total.gradient)
     return sums
 
@@ -125,6 +164,11 @@ def _add_sums(table: pa.Table) -> pa.Table:
 
 def mean_loss(rows: DataFrame, layers: Sequence[int]) -> Callable:
     """``weights -> (weighted mean loss, its gradient)`` over ``rows``: the feature columns, the label, the row weight."""
+    return packed_loss(packed_rows(rows, layers), layers)
+
+
+def packed_loss(rows: DataFrame, layers: Sequence[int]) -> Callable:
+    """:func:`mean_loss` of rows that :func:`packed_rows` has packed."""
     parts = rows.rdd.getNumPartitions()
 
     def at(weights: np.ndarray) -> tuple[float, np.ndarray]:
@@ -228,8 +272,8 @@ def lbfgs(loss: Callable, x: np.ndarray, max_iter: int, tolerance: float = 1e-6,
 
 def fit_weights(rows: DataFrame, layers: Sequence[int], start: np.ndarray, max_iter: int) -> np.ndarray:
     """The weights of a network fitted to ``rows`` (feature columns, label, row weight, in this order) from ``start``."""
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = packed_rows(rows, layers).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return lbfgs(mean_loss(rows, layers), start, max_iter)
+        return lbfgs(packed_loss(rows, layers), start, max_iter)
     finally:
         rows.unpersist()
